@@ -110,7 +110,7 @@ SELECT shard, row_index, centroid_id, {sql_r4('d')} AS distance FROM near
 QUALIFY row_number() OVER (PARTITION BY row_index ORDER BY d, centroid_id) = 1""")
 def assign_nearest(spark, sf):
     found = nearest.assign_nearest(
-        vectors(spark, sf), centroids(spark, sf), ["shard", "row_index"])
+        vectors(spark, sf), stage(centroids(spark, sf)), ["shard", "row_index"])
     return found.withColumn("distance", r4("distance"))
 
 
@@ -135,7 +135,7 @@ _REPRESENTATIVES = with_tables(VECTORS, ELEMENTS, CENTROIDS, _NEAR, _CELL)
 SELECT shard, centroid_id, row_index, {sql_r4('d')} AS distance FROM near
 QUALIFY row_number() OVER (PARTITION BY shard, centroid_id ORDER BY d, row_index) = 1""")
 def representatives(spark, sf):
-    found = cluster.representatives(vectors(spark, sf), centroids(spark, sf))
+    found = cluster.representatives(vectors(spark, sf), stage(centroids(spark, sf)))
     return found.withColumn("distance", r4("distance"))
 
 
@@ -144,7 +144,8 @@ SELECT n.centroid_id, n.shard, n.row_index, {sql_r4('n.d')} AS distance
 FROM near n JOIN cell ON cell.row_index = n.row_index AND cell.cell = n.centroid_id
 QUALIFY row_number() OVER (PARTITION BY n.centroid_id ORDER BY d, n.shard, n.row_index) = 1""")
 def representatives_in_cluster(spark, sf):
-    found = cluster.representatives(vectors(spark, sf), centroids(spark, sf), "cluster")
+    found = cluster.representatives(
+        vectors(spark, sf), stage(centroids(spark, sf)), "cluster")
     return found.withColumn("distance", r4("distance"))
 
 
@@ -295,7 +296,8 @@ def codebook_codes(spark, sf):
     patches = vectors(spark, sf).select(
         F.col("row_index").alias("image_id"), "embedding", parts).withColumn(
         "embedding", F.slice("embedding", F.col("pos") * STEP + 1, F.lit(STEP)))
-    book = centroids(spark, sf).select("centroid_id", F.slice("center", 1, STEP).alias("center"))
+    book = stage(centroids(spark, sf).select(
+        "centroid_id", F.slice("center", 1, STEP).alias("center")))
     coded = quantize.codebook_codes(patches, book, PARTS)
     return coded.select("image_id", F.array_join(F.col("codes").cast("array<string>"), ",").alias(
         "codes"))

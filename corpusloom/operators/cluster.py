@@ -18,6 +18,7 @@ from corpusloom.operators.batches import (
     BROADCAST_BYTES,
     bounded_blocks,
     map_batches,
+    to_lists,
     to_matrix,
 )
 from corpusloom.operators.nearest import (
@@ -103,13 +104,14 @@ def kmeans_final(centroids: DataFrame, k: int, center: str = "center", seed: int
     points = centroids.select(array_to_vector(as_double(F.col(center))).alias("features"))
     have = points.count()
     model = KMeans(k=min(k, have), seed=seed, maxIter=max_iter).fit(points)
-    rows = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
-    return centroids.sparkSession.createDataFrame(rows, "centroid_id bigint, center array<double>")
+    centers = np.array(model.clusterCenters())
+    return centroids.sparkSession.createDataFrame(pa.table({
+        "centroid_id": pa.array(np.arange(len(centers))), "center": to_lists(centers, pa.float64())}))
 
 
 def fit_cells(docs: DataFrame, nlist: int = 8, vector: str = "embedding", seed: int = 0,
               max_iter: int = 20) -> DataFrame:
-    """The coarse centroids of a pruned search."""
+    """The coarse centroids of a pruned search, fitted on all of ``docs``."""
     return kmeans_final(docs, nlist, vector, seed, max_iter)
 
 
@@ -166,7 +168,7 @@ def assign_two_hop(df: DataFrame, first: DataFrame, final: DataFrame, shard: str
                    row: str = "row_index", vector: str = "embedding") -> DataFrame:
     """Vector to its shard's centroid, that centroid to its nearest final one."""
     hop_one = assign_own_shard(df, first, shard, row, vector)
-    hop_two = _final_of(first, final, shard)
+    hop_two = stage(_final_of(first, final, shard))
     return attach(hop_one.withColumnRenamed("centroid_id", "first_id"), hop_two,
                   [shard, "first_id"]).select(shard, row, "first_id", "final_id")
 

@@ -31,7 +31,9 @@ from corpusloom.operators.batches import (
     map_batches,
     to_matrix,
 )
+from corpusloom.storage import stage
 
+TASK_WAVES = 4
 METRICS = ("inner_product", "cosine", "l2")
 Candidates = tuple[np.ndarray, np.ndarray, np.ndarray]  # query index, row index, likeness
 
@@ -127,14 +129,18 @@ def scan_topk(
     search, which returns at most k candidates per query. Each task holds the
     running best k of the block per group, not the candidates of all batches.
     """
-    source = docs.select(*dict.fromkeys([doc_id, *columns, *([group] if group else [])]))
+    context = docs.sparkSession.sparkContext
+    # Every task sends its best k of all queries, so a few waves of tasks beat many small ones.
+    tasks = max(TASK_WAVES * context.defaultParallelism,
+                int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    source = docs.select(
+        *dict.fromkeys([doc_id, *columns, *([group] if group else [])])).coalesce(tasks)
     sign = -1.0 if metric == "l2" else 1.0
     fields = [T.StructField("query_id", T.LongType()), T.StructField("doc_id", T.LongType()),
               T.StructField("score", T.FloatType())]
     if group:
         fields.insert(0, source.schema[group])
     schema = T.StructType(fields)
-    context = docs.sparkSession.sparkContext
 
     def search(block: Block) -> DataFrame:
         shared = context.broadcast(block)
@@ -332,9 +338,9 @@ LISTED_CELLS = 1000
 
 def probe_cells(queries: DataFrame, centroids: DataFrame, nprobe: int, query_id: str,
                 vector: str) -> DataFrame:
-    """Each query with its ``nprobe`` nearest cells."""
-    return nearest_targets(queries, centroids, nprobe, [query_id, vector], "l2",
-                           vector=vector).withColumnRenamed("target_ids", "cells")
+    """Each query with its ``nprobe`` nearest cells, staged since it is read several times."""
+    near = nearest_targets(queries, centroids, nprobe, [query_id, vector], "l2", vector=vector)
+    return stage(near.select(query_id, vector, F.col("target_ids").alias("cells")))
 
 
 def rows_by_cell(batch: pa.RecordBatch, cell: str, rows: np.ndarray) -> Iterator[tuple]:

@@ -12,29 +12,31 @@ from corpusloom.functions.vectors import checked_dim
 from corpusloom.storage import stage
 
 ROWS_PER_SPLIT = 32  # sampled keys per range bucket
+HASH_SPACE = 1 << 31
 
 
-def _split_points(df: DataFrame, columns: Sequence[str], buckets: int) -> Column | None:
-    """A constant sorted array of fewer than ``buckets`` keys, or None for a small table.
+def _split_points(df: DataFrame, columns: Sequence[str], rows: int, buckets: int) -> Column:
+    """A constant sorted array of about ``buckets`` keys.
 
-    They come from the keys with the smallest hashes, so the same data gives
-    the same points whatever its partitioning. Only these points reach the
-    driver, and they only set how evenly the work is spread. A table is small
-    if the sample holds all of it.
+    They come from the keys whose hash lies below a threshold, so the same
+    data gives the same points whatever its partitioning. Only these points
+    reach the driver, and they only set how evenly the work is spread.
     """
-    limit = buckets * ROWS_PER_SPLIT
+    wanted = buckets * ROWS_PER_SPLIT
+    threshold = int(min(1.0, wanted / rows) * HASH_SPACE)
     sampled = (
         df.select(F.struct(*columns).alias("_key"))
-        .orderBy(F.xxhash64("_key"), "_key")
-        .limit(limit)
+        .where(F.pmod(F.xxhash64("_key"), F.lit(HASH_SPACE)) < threshold)
+        .distinct()
+        .limit(2 * wanted)
     )
     every = F.lit(ROWS_PER_SPLIT)
     keys = F.sort_array(F.collect_list("_key"))
-    size, points = sampled.agg(keys.alias("_keys")).select(
-        F.size("_keys"), F.filter("_keys", lambda k, i: (i > 0) & (i % every == 0))).first()
-    if size < limit:
-        return None
+    points = sampled.agg(keys.alias("_keys")).select(
+        F.filter("_keys", lambda k, i: (i > 0) & (i % every == 0))).first()[0]
     kinds = [df.schema[c].dataType for c in columns]
+    if not points:
+        points = [sampled.first()[0]]
     return F.array(*[
         F.struct(*[F.lit(v).cast(t).alias(c) for c, v, t in zip(columns, point, kinds)])
         for point in points])
@@ -42,7 +44,7 @@ def _split_points(df: DataFrame, columns: Sequence[str], buckets: int) -> Column
 
 def _bucket_of(key: Column, splits: Column, buckets: int) -> Column:
     """How many split points are not above the key, by binary search."""
-    steps = [1 << s for s in range(buckets.bit_length() - 1, -1, -1)]
+    steps = [1 << s for s in range(buckets.bit_length(), -1, -1)]
 
     def advance(position: Column, step: Column) -> Column:
         ahead = position + step
@@ -74,14 +76,17 @@ def number_rows(
     their range and shifted by the rows of the ranges before. The only
     one-task steps run over the split points and over the per-range counts. A
     table no larger than the sample for the split points is numbered directly.
+    The table is read four times, three of them for ``order_by`` alone: stage
+    it first if it is the result of costly steps.
     """
     if list(order_by[: len(within)]) != list(within):
         raise ValueError("'within' must be the leading part of 'order_by'")
     buckets = _buckets(df)
-    splits = _split_points(df, order_by, buckets)
-    if splits is None:
+    rows = df.count()
+    if rows <= buckets * ROWS_PER_SPLIT:
         position = F.row_number().over(Window.partitionBy(*within).orderBy(*order_by)) - 1
         return df.withColumn(name, position.cast("bigint"))
+    splits = _split_points(df, order_by, rows, buckets)
     ranged = df.withColumn("_bucket", _bucket_of(F.struct(*order_by), splits, buckets))
     place = [*within, "_bucket"]
 
@@ -108,19 +113,21 @@ def number_rows(
 
 
 def attach(df: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
-    """Join a per-group table back to its rows.
+    """Join a per-group table, made from a staged one, back to its rows.
 
-    The table is staged first. Catalyst then sees its true size and broadcasts
-    it below the session's threshold; above it, the join shuffles and adaptive
-    execution splits hot keys.
+    Staging tells Catalyst the size. It broadcasts the table below the session's
+    threshold; above it, the join shuffles and adaptive execution splits hot keys.
     """
-    return df.join(stage(small), list(on), how)
+    return df.join(small, list(on), how)
+
+
+def _staged_values(df: DataFrame, column: str) -> DataFrame:
+    return stage(df.select(column).where(F.col(column).isNotNull()).distinct())
 
 
 def group_number(df: DataFrame, column: str, name: str = "group_id") -> DataFrame:
     """Append the 0-based rank of ``column`` among its distinct values."""
-    ranks = number_rows(df.select(column).where(F.col(column).isNotNull()).distinct(),
-                        [column], name)
+    ranks = number_rows(_staged_values(df, column), [column], name)
     return attach(df, ranks, [column], "left").select(*df.columns, name)
 
 
@@ -134,7 +141,7 @@ def file_batch(df: DataFrame, column: str = "shard", size: int = 4,
 
 def file_slice(df: DataFrame, start: int, end: int | None, column: str = "shard") -> DataFrame:
     """The rows of files ``[start, end)`` in the sorted listing."""
-    ranks = number_rows(df.select(column).distinct(), [column], "_file_rank")
+    ranks = number_rows(_staged_values(df, column), [column], "_file_rank")
     wanted = ranks.where(F.col("_file_rank") >= start)
     if end is not None:
         wanted = wanted.where(F.col("_file_rank") < end)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.operators.numbering import number_rows
@@ -42,38 +42,34 @@ def _hash_number(digest: Column) -> Column:
     return F.conv(F.left(digest, F.lit(8)), 16, 10).cast("bigint")
 
 
-# Up to here the ordinary top-n plan, which merges n rows in one task, is fine.
-SMALL_SAMPLE = 50_000
-SLICES = 1 << 16
+def _digest_at(share: float) -> str:
+    """The digest below which this share of all rows is expected; ``g`` is above every digest."""
+    place = int(share * (1 << 60))
+    return "g" if place >= 1 << 60 else f"{max(place, 0):015x}"
 
 
 def sample_n(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
     """Exactly ``n`` rows (all, if there are fewer) without replacement.
 
-    ``key`` identifies a row. A large sample is cut at a hash value: a count
-    per hash slice finds the slice where the n-th row lies, rows in the slices
-    before it are taken as they are, and only that slice is ranked.
+    ``key`` identifies a row. The rows with the n lowest digests are taken.
+    Nearly all of them lie below a digest that the counts give; only the rows
+    in a band of some ``sqrt(n)`` around the n-th are sorted.
     """
-    digest = hash_key(key, seed)
-    if n <= SMALL_SAMPLE:
-        return df.orderBy(digest, F.col(key)).limit(n)
-    hashed = df.withColumn("_digest", digest).withColumn(
-        "_slice", F.shiftright(_hash_number(F.col("_digest")), 16))
-    counts = hashed.groupBy("_slice").agg(F.count(F.lit(1)).alias("_rows"))
-    upto = Window.orderBy("_slice")  # at most SLICES rows
-    cut = counts.select(
-        "_slice", (F.sum("_rows").over(upto) - F.col("_rows")).alias("_before"), "_rows")
-    border = cut.where((F.col("_before") < n) & (F.col("_before") + F.col("_rows") >= n)).select(
-        F.struct("_slice", "_before"))
-    # Without a border slice there are fewer than n rows, and all are taken.
-    at = F.coalesce(border.scalar(), F.struct(F.lit(SLICES).cast("bigint").alias("_slice"),
-                                              F.lit(0).cast("bigint").alias("_before")))
-    whole = hashed.where(F.col("_slice") < at.getField("_slice"))
-    part = hashed.where(F.col("_slice") == at.getField("_slice"))
-    rank = F.row_number().over(Window.partitionBy("_slice").orderBy("_digest", key))
-    part = part.withColumn("_rank", rank + at.getField("_before")).where(
-        F.col("_rank") <= n).drop("_rank")
-    return whole.unionByName(part).select(*df.columns)
+    total = df.count()
+    if n >= total:
+        return df
+    hashed = df.withColumn("_digest", hash_key(key, seed))
+    digest = F.col("_digest")
+    slack = 6 * n ** 0.5 + 16
+    while True:
+        low, high = _digest_at((n - slack) / total), _digest_at((n + slack) / total)
+        below, upto = hashed.agg(
+            F.count_if(digest < low), F.count_if(digest < high)).first()
+        if below <= n <= upto:
+            break
+        slack *= 4
+    band = hashed.where((digest >= low) & (digest < high)).orderBy("_digest", key).limit(n - below)
+    return hashed.where(digest < low).unionByName(band).drop("_digest")
 
 
 def split_hash(df: DataFrame, key: str, test_size: float = 0.1, seed: int = 0,
@@ -113,9 +109,11 @@ def exclude_prompts(train: DataFrame, validation: DataFrame, n: int = 20, mode:
         # A longer prompt can't equal a beginning of n characters.
         validation = validation.where(F.length(prompt) <= n)
     seen_keys = validation.where(F.col(prompt).isNotNull()).select(
-        seen.alias("_seen")).distinct()
-    return train.join(
-        seen_keys, F.left(F.col(prompt), F.lit(n)) == F.col("_seen"), "left_anti")
+        seen.alias("_start")).distinct()
+    # The beginning is a column of its own, so that a caller who drops the
+    # prompt doesn't shuffle it.
+    started = train.withColumn("_start", F.left(F.col(prompt), F.lit(n)))
+    return started.join(seen_keys, "_start", "left_anti").select(*train.columns)
 
 
 @dataclass(frozen=True)
@@ -142,4 +140,6 @@ def train_val_split(
     rest = exclude_prompts(usable, validation, n, mode)
     if exclude_val:
         rest = rest.join(validation.select(key), key, "left_anti")
-    return TrainValidation(sample_n(rest, train_size, key, seed + 1), validation)
+    # Keys alone are excluded and sampled; whole rows are picked up at the end.
+    chosen = stage(sample_n(stage(rest.select(key)), train_size, key, seed + 1))
+    return TrainValidation(usable.join(chosen, key, "left_semi"), validation)

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
 _local_dir: str | None = None
+_written: list[str] = []
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -36,5 +37,16 @@ def stage(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     writer = df.write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
+    _written.append(path)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_staged(spark: SparkSession) -> int:
+    """Delete the tables staged by this process; frames that read them end with it."""
+    context = spark.sparkContext
+    removed = 0
+    while _written:
+        path = context._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        removed += path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    return removed
