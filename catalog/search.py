@@ -381,7 +381,8 @@ def cluster_two_level(spark, sf):
 
 @query("pq_fit")
 def pq_fit(spark, sf):
-    return quantize.pq_fit(vectors(spark, sf), m=4, nbits=4, max_iter=5).select(
+    return quantize.pq_fit(
+        vectors(spark, sf), m=8, nbits=5, key="row_index", max_iter=5).select(
         "part", "code", F.size("center").cast("bigint").alias("dim"))
 
 

@@ -56,11 +56,15 @@ def minibatch_kmeans(x: np.ndarray, k: int, batch: int, epochs: int, seed: int)
     return centers
 
 
-def _sliced(df: DataFrame, shard: str, row: str, rows: int) -> DataFrame:
-    """Append ``_slice``: a shard over ``rows`` rows is spread over several by hash."""
-    sizes = stage(df.groupBy(shard).agg(F.count(F.lit(1)).alias("_n"))).withColumn(
-        "_slices", F.ceil(F.col("_n") / rows))
-    return df.join(sizes, shard).withColumn(
+def _slice_counts(df: DataFrame, shard: str, rows: int) -> DataFrame:
+    """Into how many slices each shard goes so that one holds about ``rows`` rows."""
+    sizes = stage(df.groupBy(shard).agg(F.count(F.lit(1)).alias("_n")))
+    return sizes.select(shard, F.ceil(F.col("_n") / rows).alias("_slices"))
+
+
+def _sliced(df: DataFrame, counts: DataFrame, shard: str, row: str) -> DataFrame:
+    """Append ``_slice``, by the hash of the row's position."""
+    return df.join(counts, shard).withColumn(
         "_slice", F.pmod(F.xxhash64(F.col(row)), F.col("_slices")))
 
 
@@ -73,13 +77,14 @@ def kmeans_shard(df: DataFrame, k: int, shard: str = "shard", row: str = "row_in
     share its ``k`` by their number, so no task holds a whole large shard.
     All rows take part. Centroids of a shard are numbered from 0.
     """
-    work = _sliced(df.select(shard, row, vector), shard, row, slice_rows)
+    counts = _slice_counts(df, shard, slice_rows)
+    work = _sliced(df.select(shard, row, vector), counts, shard, row)
     slices = F.col("_slices")
     # k over the slices, the first k mod slices of them get one more, each at least one.
     share = F.greatest(
         F.floor(F.lit(k) / slices) + (F.col("_slice") < F.lit(k) % slices).cast("bigint"),
         F.lit(1))
-    work = work.withColumn("_k", share.cast("int")).drop("_n", "_slices")
+    work = work.withColumn("_k", share.cast("int")).drop("_slices")
     schema = T.StructType([
         df.schema[shard], T.StructField("_slice", T.LongType()),
         T.StructField("_local", T.LongType()),
@@ -145,8 +150,10 @@ def assign_own_shard(df: DataFrame, centroids: DataFrame, shard: str = "shard",
 
         return map_batches(df, [shard, row], vector, new, compute)
 
-    work = _sliced(df.select(shard, row, vector), shard, row, slice_rows)
-    slices = work.select(shard, "_slice").distinct()
+    counts = _slice_counts(df, shard, slice_rows)
+    work = _sliced(df.select(shard, row, vector), counts, shard, row)
+    slices = counts.select(shard, F.explode(F.sequence(
+        F.lit(0).cast("bigint"), F.col("_slices") - 1)).alias("_slice"))
     spread = centroids.select(shard, "centroid_id", "center").join(slices, shard)
     schema = T.StructType([df.schema[shard], df.schema[row],
                            T.StructField("centroid_id", T.LongType())])

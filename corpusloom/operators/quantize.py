@@ -8,17 +8,15 @@ of its nearest codebook entry. Codebooks are a table
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.functions.vectors import as_double
 from corpusloom.operators.batches import (
     BROADCAST_BYTES,
     Block,
@@ -38,6 +36,7 @@ from corpusloom.operators.nearest import (
     rows_by_cell,
     scan_topk,
 )
+from corpusloom.operators.split import sample_n
 
 MAX_CODES = 1 << 15  # a code is a signed 16-bit number
 
@@ -46,23 +45,88 @@ def _width(df: DataFrame, vector: str) -> int:
     return df.select(F.size(vector)).first()[0]
 
 
-def pq_fit(df: DataFrame, m: int = 16, nbits: int = 8, vector: str = "embedding",
-           seed: int = 0, max_iter: int = 20) -> DataFrame:
-    """Learn ``2**nbits`` codebook entries for each of ``m`` slices."""
+def residuals(df: DataFrame, centroids: DataFrame, keep: list[str], vector: str = "embedding",
+              cell: str = "cell") -> DataFrame:
+    """The vectors less the coarse centroid of their cell."""
+    shared = df.sparkSession.sparkContext.broadcast(_coarse(centroids))
+    columns = list(dict.fromkeys([*keep, cell]))
+
+    def compute(batch: pa.RecordBatch) -> dict[str, pa.Array]:
+        coarse = shared.value
+        matrix = to_matrix(batch.column(vector), coarse[1].shape[1])
+        cells = batch.column(cell).to_numpy(zero_copy_only=False)
+        return {"residual": to_lists(_residual(matrix, cells, coarse), pa.float64())}
+
+    new = T.StructType([T.StructField("residual", T.ArrayType(T.DoubleType()))])
+    return map_batches(df, columns, vector, new, compute).withColumnRenamed("residual", vector)
+
+
+def _slice_sums(df: DataFrame, vector: str, books: list[np.ndarray]) -> list:
+    """Per slice and entry the number and the sum of the slices nearest to it.
+
+    Every task adds up its rows first and sends one row per entry.
+    """
+    shared = df.sparkSession.sparkContext.broadcast(books)
+    step = books[0].shape[1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = shared.value
+        counts = [np.zeros(len(b)) for b in held]
+        sums = [np.zeros_like(b) for b in held]
+        for batch in batches:
+            matrix = to_matrix(batch.column(vector), step * len(held))
+            for p, centers in enumerate(held):
+                part = matrix[:, p * step:(p + 1) * step]
+                _, found, _ = best_in_block(part, centers, np.arange(len(centers)), 1, "l2")
+                counts[p] += np.bincount(found, minlength=len(centers))
+                np.add.at(sums[p], found, part)
+        for p, (n, total) in enumerate(zip(counts, sums)):
+            hit = np.flatnonzero(n)
+            if len(hit):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(hit), p), pa.int32()), pa.array(hit, pa.int64()),
+                     pa.array(n[hit]), to_lists(total[hit], pa.float64())],
+                    names=["part", "code", "n", "total"])
+
+    found = df.select(vector).mapInArrow(
+        run, "part int, code bigint, n double, total array<double>")
+    total = vector_to_array(Summarizer.sum(array_to_vector(F.col("total")))).alias("total")
+    summed = found.groupBy("part", "code").agg(F.sum("n").alias("n"), total).collect()
+    shared.destroy()
+    return summed
+
+
+def pq_fit(df: DataFrame, m: int = 16, nbits: int = 8, key: str = "doc_id",
+           vector: str = "embedding", seed: int = 0, max_iter: int = 20) -> DataFrame:
+    """Learn up to ``2**nbits`` codebook entries for each of ``m`` slices.
+
+    All slices are clustered together, so one iteration reads the vectors once.
+    It starts from the slices of rows drawn by the hash of ``key`` and ends when
+    no centre moves. Only the codebooks, whose size is set by ``nbits`` and the
+    width, reach the driver.
+    """
     width = _width(df, vector)
     if width % m:
         raise ValueError(f"width {width} isn't a multiple of {m}")
     if nbits > 15:
         raise ValueError("a code has 15 bits at most")
-    step = width // m
-    books = []
-    for part in range(m):
-        slices = df.select(array_to_vector(
-            F.slice(as_double(F.col(vector)), part * step + 1, step)).alias("features"))
-        model = KMeans(k=1 << nbits, seed=seed, maxIter=max_iter).fit(slices)
-        books += [(part, code, [float(x) for x in c])
-                  for code, c in enumerate(model.clusterCenters())]
-    return df.sparkSession.createDataFrame(books, "part int, code bigint, center array<double>")
+    step, entries = width // m, 1 << nbits
+    drawn = sample_n(df.select(key, vector), entries, key, seed).orderBy(key).toArrow()
+    start = to_matrix(drawn.column(vector), width)
+    books = [np.unique(start[:, p * step:(p + 1) * step], axis=0) for p in range(m)]
+    for _ in range(max_iter):
+        moved = 0.0
+        for part, code, n, total in _slice_sums(df, vector, books):
+            center = np.asarray(total) / n
+            moved = max(moved, float(np.abs(center - books[part][code]).max()))
+            books[part][code] = center
+        if moved < 1e-9:
+            break
+    sizes = [len(b) for b in books]
+    return df.sparkSession.createDataFrame(pa.table({
+        "part": pa.array(np.repeat(np.arange(m), sizes), pa.int32()),
+        "code": pa.array(np.concatenate([np.arange(n) for n in sizes])),
+        "center": to_lists(np.concatenate(books), pa.float64())}))
 
 
 class Codebooks:
