@@ -39,6 +39,11 @@ from pyspark.sql.types import StructType
 BATCH_ROWS = 8192
 
 
+def _lowered(options: dict[str, str]) -> dict[str, str]:
+    """Option names are not case-sensitive."""
+    return {k.lower(): v for k, v in options.items()}
+
+
 def _open(path: str, options: dict[str, str]) -> np.ndarray:
     if options.get("kind", "npy") == "npy":
         matrix = np.load(path, mmap_mode="r", allow_pickle=False)
@@ -85,7 +90,7 @@ class MatrixReader(DataSourceReader):
         return sorted(found)
 
     def partitions(self) -> list[RowRange]:
-        step = int(self.options.get("rowsPerPartition", "65536"))
+        step = int(self.options.get("rowsperpartition", "65536"))
         ranges, width = [], None
         for path, shard in self._files():
             rows, dim = _open(path, self.options).shape  # only the header is read
@@ -187,10 +192,10 @@ class MatrixDataSource(DataSource):
         return f"shard string, row_index bigint, embedding array<{kind}>"
 
     def reader(self, schema: StructType) -> MatrixReader:
-        return MatrixReader(dict(self.options))
+        return MatrixReader(_lowered(self.options))
 
     def writer(self, schema: StructType, overwrite: bool) -> MatrixWriter:
-        return MatrixWriter(dict(self.options), overwrite)
+        return MatrixWriter(_lowered(self.options), overwrite)
 
 
 def register(spark: SparkSession) -> None:

@@ -53,8 +53,8 @@ def read_parts(spark: SparkSession, root: str) -> DataFrame:
 
     One file is one value; a part is a folder of some thousand images.
     """
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option(
-        "pathGlobFilter", "*.json").text(root)
+    files = spark.read.text(
+        root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.json")
     part = F.regexp_replace("_metadata.file_name", r"\.json$", "")
     return explode_part(files, part, F.col("value"))
 
