@@ -8,12 +8,16 @@ from pyspark.sql import functions as F
 # The code points that count as blank, the markers around a
 # decoded caption, the filler words and the closing words of a prompt suffix.
 BLANK = r"[\x09-\x0d\x1c-\x20\x85\p{Z}]"
+INK = r"[^\x09-\x0d\x1c-\x20\x85\p{Z}]"
+BLANK_CHARACTERS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 START_MARK = "<start_of_text>"
 END_MARK = "<end_of_text>"
 TRAILING_JUNK = " .,"
 FILLERS = ("there is", "this is")
 SUFFIX_TAIL = "fine details, masterpiece"
-WHITELIST = r"\A[\p{Ll}\p{Lu}\p{Nd}\p{Po}\p{Pd}\p{Zs}]*\z"
+WHITELIST = r"\A[\p{Ll}\p{Lu}\p{Nd}\p{Po}\p{Pd}\p{Zs}]*+\z"
 NULL_WORDS = ("NULL", "null", "NaN")
 
 
@@ -28,8 +32,8 @@ def caption_tail(c: Column, n: int = 15) -> Column:
 
 
 def strip_blank(c: Column) -> Column:
-    """Remove Unicode white space at both ends (``trim`` knows only the space)."""
-    return F.regexp_replace(c, rf"\A{BLANK}+|{BLANK}+\z", "")
+    """Remove Unicode white space at both ends (``trim`` by itself knows only the space)."""
+    return F.trim(c, F.lit(BLANK_CHARACTERS))
 
 
 def words(c: Column) -> Column:
@@ -38,7 +42,10 @@ def words(c: Column) -> Column:
 
 
 def has_min_words(c: Column, n: int = 5) -> Column:
-    return F.size(words(c)) >= n
+    """True for at least ``n`` words; the text is read only up to the n-th."""
+    if n <= 0:
+        return c.isNotNull()
+    return c.rlike(rf"\A{BLANK}*+(?:{INK}++{BLANK}++){{{n - 1}}}{INK}")
 
 
 def is_null_like(c: Column) -> Column:

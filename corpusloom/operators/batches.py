@@ -60,6 +60,24 @@ def map_batches(
     return source.mapInArrow(run, schema)
 
 
+SPREAD_BYTES = 256 * 1024 * 1024
+PIECE_BYTES = 256 * 1024
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal out a small input evenly, for costly work per row.
+
+    A file can't be split below a row group, so a small input may keep a single
+    core busy. An input over ``SPREAD_BYTES`` by Catalyst's estimate is left as
+    it is.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size > SPREAD_BYTES:
+        return df
+    pieces = size // PIECE_BYTES + 1
+    return df.repartition(min(pieces, df.sparkSession.sparkContext.defaultParallelism))
+
+
 @dataclass(frozen=True)
 class Block:
     """Rows of a table collected for a broadcast: ids, vectors and other columns."""

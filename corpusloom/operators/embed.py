@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from corpusloom.operators.batches import to_lists
+from corpusloom.operators.batches import spread, to_lists
 
 Encoder = Callable[[pa.Array], np.ndarray]
 
@@ -32,14 +32,15 @@ class HashingEncoder:
         coded = pc.list_flatten(split).dictionary_encode()
         vocabulary = coded.dictionary.to_pylist()
         which = coded.indices.to_numpy(zero_copy_only=False)
-        digests = [hashlib.md5(w.encode()).hexdigest() for w in vocabulary]
-        place = np.array([int(h[:8], 16) % self.dim for h in digests], dtype=np.int64)
-        sign = np.array([1.0 if int(h[8], 16) < 8 else -1.0 for h in digests])
-        sign[[w == "" for w in vocabulary]] = 0.0
-        out = np.bincount(owner * self.dim + place[which], weights=sign[which],
-                          minlength=len(texts) * self.dim) if len(which) else np.zeros(
-                              len(texts) * self.dim)
-        out = out.reshape(len(texts), self.dim)
+        out = np.zeros((len(texts), self.dim))
+        if len(which):
+            digests = b"".join([hashlib.md5(w.encode()).digest() for w in vocabulary])
+            octets = np.frombuffer(digests, dtype=np.uint8).reshape(-1, 16)
+            place = octets[:, :4].copy().view(">u4").ravel().astype(np.int64) % self.dim
+            sign = np.where(octets[:, 4] < 128, 1.0, -1.0)
+            sign[[w == "" for w in vocabulary]] = 0.0
+            out = np.bincount(owner * self.dim + place[which], weights=sign[which],
+                              minlength=out.size).reshape(out.shape)
         length = np.sqrt((out ** 2).sum(axis=1, keepdims=True))
         return np.divide(out, length, out=np.zeros_like(out), where=length > 0)
 
@@ -56,7 +57,7 @@ def embed_text(
 
     An encoder takes a string array and gives a matrix with a row per text.
     """
-    source = df.select(*dict.fromkeys([*keep, text]))
+    source = spread(df.select(*dict.fromkeys([*keep, text])))
     schema = T.StructType([source.schema[c] for c in keep]
                           + [T.StructField(name, T.ArrayType(T.FloatType()))])
 

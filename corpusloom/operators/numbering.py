@@ -13,6 +13,7 @@ from corpusloom.storage import stage
 
 ROWS_PER_SPLIT = 32  # sampled keys per range bucket
 HASH_SPACE = 1 << 31
+SMALL_ROWS = 65_536  # a table of this size is numbered in one task
 
 
 def _split_points(df: DataFrame, columns: Sequence[str], rows: int, buckets: int) -> Column:
@@ -24,19 +25,13 @@ def _split_points(df: DataFrame, columns: Sequence[str], rows: int, buckets: int
     """
     wanted = buckets * ROWS_PER_SPLIT
     threshold = int(min(1.0, wanted / rows) * HASH_SPACE)
-    sampled = (
-        df.select(F.struct(*columns).alias("_key"))
-        .where(F.pmod(F.xxhash64("_key"), F.lit(HASH_SPACE)) < threshold)
-        .distinct()
-        .limit(2 * wanted)
-    )
+    sampled = df.select(F.struct(*columns).alias("_key")).where(
+        F.pmod(F.xxhash64("_key"), F.lit(HASH_SPACE)) < threshold)
     every = F.lit(ROWS_PER_SPLIT)
-    keys = F.sort_array(F.collect_list("_key"))
+    keys = F.sort_array(F.collect_set("_key"))
     points = sampled.agg(keys.alias("_keys")).select(
-        F.filter("_keys", lambda k, i: (i > 0) & (i % every == 0))).first()[0]
+        F.filter("_keys", lambda k, i: i % every == 0)).first()[0]
     kinds = [df.schema[c].dataType for c in columns]
-    if not points:
-        points = [sampled.first()[0]]
     return F.array(*[
         F.struct(*[F.lit(v).cast(t).alias(c) for c, v, t in zip(columns, point, kinds)])
         for point in points])
@@ -75,7 +70,7 @@ def number_rows(
     The order is cut into ranges at split points; rows are numbered inside
     their range and shifted by the rows of the ranges before. The only
     one-task steps run over the split points and over the per-range counts. A
-    table no larger than the sample for the split points is numbered directly.
+    table of at most ``SMALL_ROWS`` rows is numbered directly.
     The table is read four times, three of them for ``order_by`` alone: stage
     it first if it is the result of costly steps.
     """
@@ -83,7 +78,7 @@ def number_rows(
         raise ValueError("'within' must be the leading part of 'order_by'")
     buckets = _buckets(df)
     rows = df.count()
-    if rows <= buckets * ROWS_PER_SPLIT:
+    if rows <= SMALL_ROWS:
         position = F.row_number().over(Window.partitionBy(*within).orderBy(*order_by)) - 1
         return df.withColumn(name, position.cast("bigint"))
     splits = _split_points(df, order_by, rows, buckets)

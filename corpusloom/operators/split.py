@@ -12,6 +12,7 @@ from corpusloom.operators.numbering import number_rows
 from corpusloom.storage import stage
 
 HASH_RANGE = 1 << 32
+SMALL_ROWS = 65_536  # a table of this size is sampled in one task
 
 
 def filter_steps(df: DataFrame, steps: int = 50, column: str = "steps") -> DataFrame:
@@ -53,13 +54,16 @@ def sample_n(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
 
     ``key`` identifies a row. The rows with the n lowest digests are taken.
     Nearly all of them lie below a digest that the counts give; only the rows
-    in a band of some ``sqrt(n)`` around the n-th are sorted.
+    in a band of some ``sqrt(n)`` around the n-th are sorted. A table of at
+    most ``SMALL_ROWS`` rows is sorted as a whole.
     """
     total = df.count()
     if n >= total:
         return df
     hashed = df.withColumn("_digest", hash_key(key, seed))
     digest = F.col("_digest")
+    if total <= SMALL_ROWS:
+        return hashed.orderBy("_digest", key).limit(n).drop("_digest")
     slack = 6 * n ** 0.5 + 16
     while True:
         low, high = _digest_at((n - slack) / total), _digest_at((n + slack) / total)

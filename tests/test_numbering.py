@@ -16,6 +16,13 @@ def lopsided(spark):
     return df.join(starts, "shard").select("shard", (F.col("row_index") - F.col("s")).alias("row_index"))
 
 
+@pytest.fixture(params=["ranges", "direct"], autouse=True)
+def path(request, monkeypatch):
+    """Each test runs over both ways of numbering."""
+    if request.param == "ranges":
+        monkeypatch.setattr(numbering, "SMALL_ROWS", 1)
+
+
 def test_numbers_follow_the_order(lopsided):
     got = numbering.number_rows(lopsided, ["shard", "row_index"], "n").toPandas()
     got = got.sort_values(["shard", "row_index"])
@@ -29,8 +36,9 @@ def test_numbers_within_a_group(lopsided):
         numbering.number_rows(lopsided, ["row_index"], "n", within=["shard"])
 
 
-def test_hot_group_is_spread(lopsided):
+def test_hot_group_is_spread(lopsided, monkeypatch):
     """The window that numbers rows is partitioned by range, not by shard alone."""
+    monkeypatch.setattr(numbering, "SMALL_ROWS", 1)
     plan = numbering.number_rows(
         lopsided, ["shard", "row_index"], "n", within=["shard"])._jdf.queryExecution().toString()
     assert "row_number() windowspecdefinition(shard" in plan and "_bucket" in plan

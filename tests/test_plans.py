@@ -31,7 +31,7 @@ def test_head_and_tail_read_one_column(spark):
     "scan_captions", "head_tail", "filter_steps", "filter_not_null", "strip_ws", "min_words",
     "null_like", "charset_whitelist", "image_path", "parse_ids", "flatten_struct",
     "clean_caption", "strip_filler", "tag_suffix", "split_hash", "json_part_explode",
-    "encode_mlp", "vec_affine", "vec_normalize", "embed_text", "assign_nearest",
+    "encode_mlp", "vec_affine", "vec_normalize", "assign_nearest",
     "pq_encode", "union_models"])
 def test_row_wise_queries_do_not_shuffle(spark, name):
     plan = plan_of(entry_module.queries()[name](spark, SF))
@@ -48,8 +48,9 @@ def test_no_query_runs_row_by_row_python_or_pairs(spark):
         assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan, name
 
 
-def test_one_task_steps_see_counts_only(spark):
+def test_one_task_steps_see_counts_only(spark, monkeypatch):
     """Every gathering into one partition is fed by an aggregate, never by rows of a table."""
+    monkeypatch.setattr(numbering, "SMALL_ROWS", 1)
     events = table(spark, SF, "events").select("event_id")
     docs = captions(spark, SF)
     for df in (numbering.number_rows(events, ["event_id"]),

@@ -49,7 +49,9 @@ def test_ordered_distinct(spark):
 
 
 @pytest.mark.parametrize("n", [1, 10, 500, 4999, 5000, 9000])
-def test_sample_is_exact_and_ignores_partitioning(spark, n):
+@pytest.mark.parametrize("small", [1, 1 << 16])
+def test_sample_is_exact_and_ignores_partitioning(spark, monkeypatch, n, small):
+    monkeypatch.setattr(split, "SMALL_ROWS", small)
     df = spark.range(5000).withColumn("x", F.col("id") * 2)
     one = {r[0] for r in split.sample_n(df.coalesce(1), n, "id", 3).collect()}
     many = split.sample_n(df.repartition(13), n, "id", 3)
