@@ -80,12 +80,20 @@ def spread(df: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Block:
-    """Rows of a table collected for a broadcast: ids, vectors and other columns."""
+    """Rows of a table collected for a broadcast: ids, vectors and other columns.
+
+    What is broadcast are the ``parts``: plain arrays, which executors can read
+    without this package.
+    """
 
     ids: np.ndarray
     matrix: np.ndarray
     extra: dict[str, list]
 
+    @property
+    def parts(self) -> tuple:
+        return self.ids, self.matrix, self.extra
+
 
 def _collect(df: DataFrame, id_col: str, vector: str, extra: Sequence[str]) -> Block:
     table = df.select(id_col, vector, *extra).toArrow()

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from corpusloom.functions.vectors import as_double
 from corpusloom.operators.batches import (
     BROADCAST_BYTES,
+    Block,
     bounded_blocks,
     map_batches,
     to_lists,
@@ -132,11 +133,11 @@ def assign_own_shard(df: DataFrame, centroids: DataFrame, shard: str = "shard",
     have, width = centroids.agg(F.count(F.lit(1)), F.max(F.size("center"))).first()
     if have * (width or 0) * 8 <= max_bytes:
         block = next(bounded_blocks(centroids, "centroid_id", "center", [shard], max_bytes))
-        shared = df.sparkSession.sparkContext.broadcast(block)
+        shared = df.sparkSession.sparkContext.broadcast(block.parts)
         new = T.StructType([T.StructField("centroid_id", T.LongType())])
 
         def compute(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-            held = shared.value
+            held = Block(*shared.value)
             owners = np.array(held.extra[shard])
             matrix = to_matrix(batch.column(vector), held.matrix.shape[1])
             coded = batch.column(shard).dictionary_encode()

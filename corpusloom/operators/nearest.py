@@ -143,10 +143,10 @@ def scan_topk(
     schema = T.StructType(fields)
 
     def search(block: Block) -> DataFrame:
-        shared = context.broadcast(block)
+        shared = context.broadcast(block.parts)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held = shared.value
+            held = Block(*shared.value)
             find = scorer(held)
             best: dict = {}
             for batch in batches:
@@ -259,10 +259,10 @@ def nearest_targets(
     context = df.sparkSession.sparkContext
 
     def assign(block: Block) -> DataFrame:
-        shared = context.broadcast(block)
+        shared = context.broadcast(block.parts)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held = shared.value
+            held = Block(*shared.value)
             labels = np.array(held.extra[category]) if category else np.zeros(len(held.ids))
             groups = [(g, np.flatnonzero(labels == g)) for g in np.unique(labels)]
             for batch in batches:
@@ -321,11 +321,11 @@ def assign_cells(docs: DataFrame, centroids: DataFrame, vector: str = "embedding
     probed cells only.
     """
     block = bounded_block(centroids, "centroid_id", "center")
-    shared = docs.sparkSession.sparkContext.broadcast(block)
+    shared = docs.sparkSession.sparkContext.broadcast(block.parts)
     new = T.StructType([T.StructField(name, T.LongType())])
 
     def compute(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-        held = shared.value
+        held = Block(*shared.value)
         matrix = to_matrix(batch.column(vector), held.matrix.shape[1])
         _, ti, _ = best_in_block(matrix, held.matrix, held.ids, 1, "l2")
         return {name: pa.array(held.ids[ti], pa.int64())}

@@ -129,25 +129,28 @@ def pq_fit(df: DataFrame, m: int = 16, nbits: int = 8, key: str = "doc_id",
         "center": to_lists(np.concatenate(books), pa.float64())}))
 
 
-class Codebooks:
-    """The codebooks as arrays, one per slice; small by construction."""
-
-    def __init__(self, table: DataFrame, max_bytes: int = BROADCAST_BYTES):
-        parts, codes, width = table.agg(
-            F.count_distinct("part"), F.count(F.lit(1)), F.max(F.size("center"))).first()
-        if codes * width * 8 > max_bytes or codes > parts * MAX_CODES:
-            raise ValueError("the codebooks are over the bound")
-        rows = sorted(table.select("part", "code", "center").collect())
-        self.numbers = [np.array([r[1] for r in rows if r[0] == p]) for p in range(parts)]
-        self.centers = [np.array([r[2] for r in rows if r[0] == p]) for p in range(parts)]
-        self.step = width
-
-
-def encode(matrix: np.ndarray, books: Codebooks) -> np.ndarray:
-    coded = np.empty((len(matrix), len(books.centers)), dtype=np.int16)
-    for p, (numbers, centers) in enumerate(zip(books.numbers, books.centers)):
-        part = matrix[:, p * books.step:(p + 1) * books.step]
-        _, found, _ = best_in_block(part, centers, numbers, 1, "l2")
+Books = tuple[list[np.ndarray], list[np.ndarray]]  # per slice the codes and the centres
+
+
+def _codebooks(table: DataFrame, max_bytes: int = BROADCAST_BYTES) -> Books:
+    """The codebooks as arrays, after a check of their size."""
+    parts, codes, width = table.agg(
+        F.count_distinct("part"), F.count(F.lit(1)), F.max(F.size("center"))).first()
+    if codes * width * 8 > max_bytes or codes > parts * MAX_CODES:
+        raise ValueError("the codebooks are over the bound")
+    rows = table.select("part", "code", "center").orderBy("part", "code").toArrow()
+    owner = rows.column("part").to_numpy()
+    numbers, centers = rows.column("code").to_numpy(), to_matrix(rows.column("center"))
+    return ([numbers[owner == p] for p in range(parts)],
+            [centers[owner == p] for p in range(parts)])
+
+
+def encode(matrix: np.ndarray, books: Books) -> np.ndarray:
+    coded = np.empty((len(matrix), len(books[0])), dtype=np.int16)
+    for p, (numbers, centers) in enumerate(zip(*books)):
+        step = centers.shape[1]
+        _, found, _ = best_in_block(
+            matrix[:, p * step:(p + 1) * step], centers, numbers, 1, "l2")
         coded[:, p] = numbers[found]
     return coded
 
@@ -174,12 +177,12 @@ def pq_encode(df: DataFrame, codebooks: DataFrame, keep: list[str], vector: str
     ``cell`` is encoded.
     """
     context = df.sparkSession.sparkContext
-    shared = context.broadcast((Codebooks(codebooks), _coarse(centroids)))
+    shared = context.broadcast((_codebooks(codebooks), _coarse(centroids)))
     columns = [*keep, cell] if centroids is not None and cell not in keep else keep
 
     def compute(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         books, coarse = shared.value
-        matrix = to_matrix(batch.column(vector), books.step * len(books.centers))
+        matrix = to_matrix(batch.column(vector), sum(c.shape[1] for c in books[1]))
         if coarse is not None:
             matrix = _residual(matrix, batch.column(cell).to_numpy(zero_copy_only=False), coarse)
         return {"codes": to_lists(encode(matrix, books), pa.int16())}
@@ -188,23 +191,30 @@ def pq_encode(df: DataFrame, codebooks: DataFrame, keep: list[str], vector: str
     return map_batches(df, columns, vector, new, compute)
 
 
-def _tables(queries: np.ndarray, books: Codebooks) -> list[np.ndarray]:
+def _tables(queries: np.ndarray, books: Books) -> list[np.ndarray]:
     """Per slice the squared distances of the queries to all entries."""
     out = []
-    for p, centers in enumerate(books.centers):
-        part = queries[:, p * books.step:(p + 1) * books.step]
+    for p, centers in enumerate(books[1]):
+        step = centers.shape[1]
+        part = queries[:, p * step:(p + 1) * step]
         out.append(((part[:, None, :] - centers[None, :, :]) ** 2).sum(axis=2))
     return out
 
 
-def _code_scan(queries: np.ndarray, positions: list[np.ndarray], ids: np.ndarray,
-               books: Codebooks, k: int) -> Candidates:
+def _positions(coded: np.ndarray, books: Books) -> list[np.ndarray]:
+    """Codes may carry any number; the tables are addressed by the place in the codebook."""
+    return [np.searchsorted(numbers, coded[:, p]) for p, numbers in enumerate(books[0])]
+
+
+def _code_scan(queries: np.ndarray, coded: np.ndarray, ids: np.ndarray, books: Books,
+               k: int) -> Candidates:
+    places = _positions(coded, books)
     found = []
     step = max(1, (1 << 22) // max(1, len(ids)))
     for start in range(0, len(queries), step):
         part = queries[start:start + step]
         total = np.zeros((len(part), len(ids)))
-        for table, where in zip(_tables(part, books), positions):
+        for table, where in zip(_tables(part, books), places):
             total += table[:, where]
         like = -np.sqrt(total).astype(np.float32)
         if k < len(ids):
@@ -234,30 +244,24 @@ def pq_search(
     With coarse ``centroids``, documents carry ``cell`` and were encoded as
     differences to its centroid; only the ``nprobe`` nearest cells are searched.
     """
-    books = Codebooks(codebooks)
-    coarse = _coarse(centroids)
-    # Codes may carry any number; look-up tables are addressed by position.
-    sorters = [np.argsort(n) for n in books.numbers]
-
-    def positions(coded: np.ndarray) -> list[np.ndarray]:
-        return [s[np.searchsorted(n, coded[:, p], sorter=s)]
-                for p, (n, s) in enumerate(zip(books.numbers, sorters))]
+    shared = codes.sparkSession.sparkContext.broadcast((_codebooks(codebooks), _coarse(centroids)))
 
     def decode(batch: pa.RecordBatch, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         taken = pa.array(rows)
-        coded = to_matrix(batch.column("codes").take(taken), len(books.numbers))
+        coded = to_matrix(batch.column("codes").take(taken), len(shared.value[0][0]))
         ids = batch.column(doc_id).take(taken).to_numpy(zero_copy_only=False)
         return coded.astype(np.int64), ids
 
     def flat(block: Block) -> Callable[[pa.RecordBatch, np.ndarray], Candidates]:
         def find(batch: pa.RecordBatch, rows: np.ndarray) -> Candidates:
             coded, ids = decode(batch, rows)
-            qi, di, like = _code_scan(block.matrix, positions(coded), ids, books, k)
+            qi, di, like = _code_scan(block.matrix, coded, ids, shared.value[0], k)
             return qi, rows[di], like
         return find
 
     def pruned(block: Block) -> Callable[[pa.RecordBatch, np.ndarray], Candidates]:
         probing = queries_by_cell(block)
+        books, coarse = shared.value
 
         def find(batch: pa.RecordBatch, rows: np.ndarray) -> Candidates:
             found = [(np.empty(0, int), np.empty(0, int), np.empty(0, np.float32))]
@@ -267,7 +271,7 @@ def pq_search(
                     continue
                 coded, ids = decode(batch, members)
                 shifted = _residual(block.matrix[wanted], np.full(len(wanted), number), coarse)
-                qi, di, like = _code_scan(shifted, positions(coded), ids, books, k)
+                qi, di, like = _code_scan(shifted, coded, ids, books, k)
                 found.append((wanted[qi], members[di], like))
             return tuple(np.concatenate(c) for c in zip(*found))
         return find

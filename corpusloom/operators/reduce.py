@@ -34,6 +34,15 @@ class Layer:
     relu: bool = True
 
 
+def _share(spark: SparkSession, layers: Sequence[Layer]):
+    """Broadcast the layers as plain arrays, which executors can read without this package."""
+    return spark.sparkContext.broadcast([(la.weight, la.bias, la.relu) for la in layers])
+
+
+def _layers(shared) -> list[Layer]:
+    return [Layer(*parts) for parts in shared.value]
+
+
 @dataclass(frozen=True)
 class Autoencoder:
     encoder: tuple[Layer, ...]
@@ -68,11 +77,11 @@ def encode_mlp(df: DataFrame, layers: Sequence[Layer], keep: Sequence[str],
     ``split_by_width`` gives those rows.
     """
     _check_size(layers)
-    shared = df.sparkSession.sparkContext.broadcast(tuple(layers))
+    shared = _share(df.sparkSession, layers)
     width = layers[0].weight.shape[1]
 
     def compute(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-        made = apply_layers(to_matrix(batch.column(vector), width), shared.value)
+        made = apply_layers(to_matrix(batch.column(vector), width), _layers(shared))
         return {name: to_lists(made.astype(np.float32), pa.float32())}
 
     new = T.StructType([T.StructField(name, T.ArrayType(T.FloatType()))])
@@ -85,12 +94,12 @@ def reconstruction_error(df: DataFrame, model: Autoencoder, keep: Sequence[str],
     """Append ``error``, the mean squared difference of a vector to its reconstruction."""
     layers = (*model.encoder, *model.decoder)
     _check_size(layers)
-    shared = df.sparkSession.sparkContext.broadcast(layers)
+    shared = _share(df.sparkSession, layers)
     width = layers[0].weight.shape[1]
 
     def compute(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         x = to_matrix(batch.column(vector), width)
-        return {"error": pa.array(((apply_layers(x, shared.value) - x) ** 2).mean(axis=1))}
+        return {"error": pa.array(((apply_layers(x, _layers(shared)) - x) ** 2).mean(axis=1))}
 
     usable, _ = split_by_width(df, width, vector)
     return map_batches(usable, keep, vector, T.StructType([
@@ -146,7 +155,7 @@ GRADIENT_ROW = 65_536
 def _summed_gradients(batch: DataFrame, layers: Sequence[Layer],
                       vector: str) -> tuple[float, int, list[np.ndarray]]:
     """Gradients per task, cut in pieces and summed by Spark; only the sum reaches the driver."""
-    shared = batch.sparkSession.sparkContext.broadcast(tuple(layers))
+    shared = _share(batch.sparkSession, layers)
     width = layers[0].weight.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +163,7 @@ def _summed_gradients(batch: DataFrame, layers: Sequence[Layer],
         for b in batches:
             if b.num_rows == 0:
                 continue
-            loss, grads = _gradients(to_matrix(b.column(vector), width), shared.value)
+            loss, grads = _gradients(to_matrix(b.column(vector), width), _layers(shared))
             flat = np.concatenate([[loss, b.num_rows], *[g.ravel() for g in grads]])
             total = flat if total is None else total + flat
         if total is None:

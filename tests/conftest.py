@@ -12,6 +12,9 @@ from corpusloom.storage import drop_staged  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
+    # Workers start in this folder, so a task that needs the package's files fails here too.
+    os.chdir(tmp_path_factory.mktemp("elsewhere"))
+    os.environ.pop("PYTHONPATH", None)
     session = (
         SparkSession.builder.master("local[8]")
         .appName("corpusloom-tests")
