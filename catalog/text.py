@@ -124,12 +124,12 @@ def image_path(spark, sf):
 
 @query("parse_ids", """
 SELECT doc_id, doc_id::VARCHAR AS file_id, doc_id::VARCHAR AS part_number,
-       'lvs_' || source || '_' || doc_id AS stem, source AS image,
+       'set_' || source || '_' || doc_id AS stem, source AS image,
        '/out/centroids/centroids_' || doc_id || '.npy' AS moved
 FROM documents""")
 def parse_ids(spark, sf):
     number = F.col("doc_id").cast("string")
-    name = F.concat(F.lit("lvs_"), F.col("source"), F.lit("_"), number, F.lit(".parquet.gz"))
+    name = F.concat(F.lit("set_"), F.col("source"), F.lit("_"), number, F.lit(".parquet.gz"))
     return table(spark, sf, "documents").select(
         "doc_id",
         paths.file_id(F.concat(F.lit("metadata_"), number, F.lit(".parquet"))).alias("file_id"),

@@ -39,10 +39,15 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def normalize(c: Column) -> Column:
-    """Divide by the L2 norm; a zero vector stays zero."""
-    length = norm(c)
-    return F.when(length > 0, F.transform(as_double(c), lambda x: x / length)).otherwise(
-        as_double(c))
+    """Divide by the L2 norm; a zero vector stays zero.
+
+    The norm is bound to a lambda variable: written into the inner lambda it
+    would be computed anew for every element.
+    """
+    bound = F.array(F.struct(as_double(c).alias("v"), norm(c).alias("n")))
+    scaled = F.transform(bound, lambda b: F.when(
+        b["n"] > 0, F.transform(b["v"], lambda x: x / b["n"])).otherwise(b["v"]))
+    return F.get(scaled, F.lit(0))
 
 
 def affine(c: Column, scale: float, shift: float = 0.0) -> Column:

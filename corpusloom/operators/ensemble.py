@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.paths import long_key
 from corpusloom.functions.text import tag_suffix
-from corpusloom.functions.vectors import as_double, normalize
+from corpusloom.functions.vectors import as_double
 from corpusloom.operators.nearest import nearest_targets
 from corpusloom.operators.numbering import number_rows
 
@@ -28,8 +28,7 @@ def select_tags(images: DataFrame, keywords: DataFrame, image: str = "image_id",
     few labels, so they go to every task and the images stay in place.
     """
     most = max(TAGS_PER_CATEGORY.values())
-    scaled = images.select(image, normalize(F.col(vector)).alias(vector))
-    near = nearest_targets(scaled, keywords, most, [image], "cosine", "label_id", vector, vector,
+    near = nearest_targets(images, keywords, most, [image], "cosine", "label_id", vector, vector,
                            category="category")
     quota = reduce(
         lambda c, kv: c.when(F.col("category") == kv[0], kv[1]),
