@@ -38,10 +38,14 @@ def file_slice(spark, sf):
     return numbering.file_slice(captions(spark, sf).select("shard", "row_index"), 2, 7)
 
 
-@query("row_range_scan", "SELECT doc_id, lang, n_chars FROM documents WHERE doc_id >= 50 AND doc_id < 170")
+@query("row_range_scan", """
+SELECT doc_id, lang, n_chars FROM documents
+WHERE doc_id >= (SELECT count(*) FROM documents) // 4
+  AND doc_id < (SELECT count(*) FROM documents) * 3 // 4""")
 def row_range_scan(spark, sf):
-    return split.row_range(
-        table(spark, sf, "documents").select("doc_id", "lang", "n_chars"), 50, 170, "doc_id")
+    docs = table(spark, sf, "documents").select("doc_id", "lang", "n_chars")
+    n = docs.count()
+    return split.row_range(docs, n // 4, n * 3 // 4, "doc_id")
 
 
 @query("head_tail", with_tables(CAPTIONS) + """

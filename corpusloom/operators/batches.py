@@ -7,7 +7,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.core.broadcast import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -110,14 +111,11 @@ def bounded_blocks(
     vector: str,
     extra: Sequence[str] = (),
     max_bytes: int = BROADCAST_BYTES,
-    group: Column | None = None,
 ) -> Iterator[Block]:
     """The table as matrices of about ``max_bytes`` each, one at a time.
 
     The size is measured first. A table within the bound gives one block. A
-    larger one is staged in hash slices, and each slice is read on its own, so
-    the driver never holds more than one block. Rows with equal ``group`` stay
-    together.
+    larger one is staged in hash slices, and each slice is read on its own.
     """
     rows, width = df.agg(F.count(F.lit(1)), F.max(F.size(vector))).first()
     if not rows:
@@ -126,15 +124,41 @@ def bounded_blocks(
     if slices == 1:
         yield _collect(df, id_col, vector, extra)
         return
-    slice_of = F.pmod(F.xxhash64(group if group is not None else F.col(id_col)), F.lit(slices))
-    staged = stage(
-        df.select(id_col, vector, *extra, slice_of.cast("int").alias("_slice")), ["_slice"])
+    slice_of = F.pmod(F.xxhash64(id_col), F.lit(slices)).cast("int").alias("_slice")
+    staged = stage(df.select(id_col, vector, *extra, slice_of), ["_slice"])
     for number in range(slices):
         block = _collect(staged.where(F.col("_slice") == number), id_col, vector, extra)
         if len(block.ids):
             yield block
 
 
+def over_blocks(
+    spark: SparkSession,
+    blocks: Iterator[Block],
+    run: Callable[[Broadcast], DataFrame],
+) -> list[DataFrame]:
+    """The result of ``run`` for the broadcast of every block.
+
+    A single block gives a lazy result. With more, each result is staged and
+    its broadcast given up before the next block but one is collected, so their
+    number has no bearing on memory.
+    """
+    blocks = iter(blocks)
+    block, following = next(blocks, None), next(blocks, None)
+    if block is None:
+        return []
+    context = spark.sparkContext
+    if following is None:
+        return [run(context.broadcast(block.parts))]
+    results = []
+    while block is not None:
+        shared = context.broadcast(block.parts)
+        results.append(stage(run(shared)))
+        shared.destroy()
+        block, following = following, next(blocks, None)
+    return results
+
+
 def bounded_block(df: DataFrame, id_col: str, vector: str, extra: Sequence[str] = (),
                   max_bytes: int = BROADCAST_BYTES) -> Block:
     """The whole table as one block, or an error if it is over the bound."""

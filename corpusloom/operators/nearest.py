@@ -17,6 +17,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,6 +30,7 @@ from corpusloom.operators.batches import (
     bounded_block,
     bounded_blocks,
     map_batches,
+    over_blocks,
     to_matrix,
 )
 from corpusloom.storage import stage
@@ -115,7 +117,7 @@ def topk_merge(df: DataFrame, k: int, query: str = "query_id", item: str = "doc_
 
 def scan_topk(
     docs: DataFrame,
-    queries: Sequence[Block] | Iterator[Block],
+    queries: Iterator[Block],
     scorer: Callable[[Block], Callable[[pa.RecordBatch, np.ndarray], Candidates]],
     columns: Sequence[str],
     doc_id: str,
@@ -123,7 +125,7 @@ def scan_topk(
     metric: str,
     group: str | None = None,
 ) -> DataFrame:
-    """Run every query block over all documents and merge the best k.
+    """Run every query block over all documents and merge the best k of its queries.
 
     ``scorer(block)`` gives a function of a batch and the row numbers in it to
     search, which returns at most k candidates per query. Each task holds the
@@ -142,9 +144,7 @@ def scan_topk(
         fields.insert(0, source.schema[group])
     schema = T.StructType(fields)
 
-    def search(block: Block) -> DataFrame:
-        shared = context.broadcast(block.parts)
-
+    def search(shared: Broadcast) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held = Block(*shared.value)
             find = scorer(held)
@@ -180,14 +180,14 @@ def scan_topk(
                         out.insert(0, pa.array([name] * len(out[0]), kind))
                     yield pa.RecordBatch.from_arrays(out, names=[f.name for f in fields])
 
-        return source.mapInArrow(run, schema)
+        return topk_merge(source.mapInArrow(run, schema), k, descending=metric != "l2",
+                          group=[group] if group else [])
 
-    pieces = [search(block) for block in queries]
+    pieces = over_blocks(docs.sparkSession, queries, search)
     if not pieces:
         empty = T.StructType([*schema.fields, T.StructField("rank", T.IntegerType())])
         return docs.sparkSession.createDataFrame([], empty)
-    found = reduce(DataFrame.unionByName, pieces)
-    return topk_merge(found, k, descending=metric != "l2", group=[group] if group else [])
+    return reduce(DataFrame.unionByName, pieces)
 
 
 def knn_exact(
@@ -256,11 +256,7 @@ def nearest_targets(
     source = df.select(*dict.fromkeys([*keep, vector]))
     schema = T.StructType([source.schema[c] for c in keep] + list(new.fields))
     names = [f.name for f in schema.fields]
-    context = df.sparkSession.sparkContext
-
-    def assign(block: Block) -> DataFrame:
-        shared = context.broadcast(block.parts)
-
+    def assign(shared: Broadcast) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held = Block(*shared.value)
             labels = np.array(held.extra[category]) if category else np.zeros(len(held.ids))
@@ -284,8 +280,8 @@ def nearest_targets(
 
         return source.mapInArrow(run, schema)
 
-    pieces = [assign(b) for b in bounded_blocks(
-        targets, target_id, target_vector, extra, max_bytes)]
+    pieces = over_blocks(
+        df.sparkSession, bounded_blocks(targets, target_id, target_vector, extra, max_bytes), assign)
     if not pieces:
         return df.sparkSession.createDataFrame([], schema)
     if len(pieces) == 1:

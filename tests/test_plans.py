@@ -39,15 +39,6 @@ def test_row_wise_queries_do_not_shuffle(spark, name):
     assert "BatchEvalPython" not in plan
 
 
-def test_no_query_runs_row_by_row_python_or_pairs(spark):
-    for name, run in entry_module.queries().items():
-        if name in ("fit_reducer", "cluster_two_level", "pq_fit", "kmeans_final", "kmeans_shard"):
-            continue
-        plan = plan_of(run(spark, SF))
-        assert "BatchEvalPython" not in plan, name
-        assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan, name
-
-
 def test_one_task_steps_see_counts_only(spark, monkeypatch):
     """Every gathering into one partition is fed by an aggregate, never by rows of a table."""
     monkeypatch.setattr(numbering, "SMALL_ROWS", 1)
