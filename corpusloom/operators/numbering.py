@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusloom.functions.vectors import checked_dim
 from corpusloom.storage import stage
@@ -32,22 +33,27 @@ def _split_points(df: DataFrame, columns: Sequence[str], rows: int, buckets: int
     points = sampled.agg(keys.alias("_keys")).select(
         F.filter("_keys", lambda k, i: i % every == 0)).first()[0]
     kinds = [df.schema[c].dataType for c in columns]
-    return F.array(*[
+    constants = F.array(*[
         F.struct(*[F.lit(v).cast(t).alias(c) for c, v, t in zip(columns, point, kinds)])
         for point in points])
+    # The type of the key, nullable fields included: else every comparison casts.
+    return constants.cast(T.ArrayType(T.StructType([df.schema[c] for c in columns])))
 
 
-def _bucket_of(key: Column, splits: Column, buckets: int) -> Column:
-    """How many split points are not above the key, by binary search."""
-    steps = [1 << s for s in range(buckets.bit_length(), -1, -1)]
+def _with_bucket(df: DataFrame, columns: Sequence[str], splits: Column,
+                 buckets: int) -> DataFrame:
+    """Append ``_bucket``: how many split points are not above the key, by binary search.
 
-    def advance(position: Column, step: Column) -> Column:
-        ahead = position + step
-        return F.when(
-            (ahead <= F.size(splits)) & (F.get(splits, ahead - 1) <= key), ahead
-        ).otherwise(position)
-
-    return F.coalesce(F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), advance), F.lit(0))
+    One projection per step: all of them run in one generated function, which
+    a higher-order function over the steps would not.
+    """
+    df = df.withColumns({"_key": F.struct(*columns), "_bucket": F.lit(0)})
+    for exponent in range(buckets.bit_length(), -1, -1):
+        ahead = F.col("_bucket") + F.lit(1 << exponent)
+        # Beyond the last split point the comparison is null, and the place stays.
+        df = df.withColumn("_bucket", F.when(
+            F.get(splits, ahead - 1) <= F.col("_key"), ahead).otherwise(F.col("_bucket")))
+    return df.drop("_key")
 
 
 def _buckets(df: DataFrame) -> int:
@@ -82,7 +88,7 @@ def number_rows(
         position = F.row_number().over(Window.partitionBy(*within).orderBy(*order_by)) - 1
         return df.withColumn(name, position.cast("bigint"))
     splits = _split_points(df, order_by, rows, buckets)
-    ranged = df.withColumn("_bucket", _bucket_of(F.struct(*order_by), splits, buckets))
+    ranged = _with_bucket(df, order_by, splits, buckets)
     place = [*within, "_bucket"]
 
     counts = ranged.groupBy(*place).agg(F.count(F.lit(1)).alias("_rows"))

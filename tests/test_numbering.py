@@ -44,8 +44,8 @@ def test_hot_group_is_spread(lopsided, monkeypatch):
     assert "row_number() windowspecdefinition(shard" in plan and "_bucket" in plan
     buckets = numbering._buckets(lopsided)
     splits = numbering._split_points(lopsided, ["shard", "row_index"], 6000, buckets)
-    key = F.struct("shard", "row_index")
-    sizes = lopsided.groupBy(numbering._bucket_of(key, splits, buckets).alias("b")).count()
+    ranged = numbering._with_bucket(lopsided, ["shard", "row_index"], splits, buckets)
+    sizes = ranged.groupBy("_bucket").count()
     assert sizes.agg(F.max("count")).first()[0] < 6000 * 4 / buckets
 
 
