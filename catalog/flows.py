@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from catalog.inputs import (
     CAPTIONS,
     ELEMENTS,
-    INDEX,
     KEYWORDS,
     PROMPTS,
     SQL_BLANK,

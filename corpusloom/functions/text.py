@@ -36,11 +36,6 @@ def strip_blank(c: Column) -> Column:
     return F.trim(c, F.lit(BLANK_CHARACTERS))
 
 
-def words(c: Column) -> Column:
-    """The white-space separated words, without empty ones."""
-    return F.filter(F.split(c, f"{BLANK}+"), lambda w: w != "")
-
-
 def has_min_words(c: Column, n: int = 5) -> Column:
     """True for at least ``n`` words; the text is read only up to the n-th."""
     if n <= 0:
