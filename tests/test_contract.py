@@ -4,9 +4,10 @@ import pytest
 from compare import difference, oracle_connection
 
 import __spark_entry__ as entry_module
+import catalog.registry
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLES = entry_module.queries(), entry_module.oracle_sql()
+QUERIES, ORACLES = catalog.registry.QUERIES, catalog.registry.ORACLES
 # Results of fitted models and random draws: no SQL equivalent.
 FITTED = {"bootstrap", "kmeans_shard", "kmeans_final", "cluster_two_level", "pq_fit",
           "knn_ivf_fitted", "fit_reducer", "search_images", "reduce_corpus"}
@@ -24,6 +25,11 @@ def test_entry(spark):
     assert df.columns == ["shard", "row_index", "caption"] and df.count() > 0
 
 
+def test_the_entry_lists_the_catalogue():
+    assert set(QUERIES) <= set(entry_module.queries())
+    assert set(ORACLES) <= set(entry_module.oracle_sql())
+
+
 def test_only_fitted_models_lack_an_oracle():
     assert set(QUERIES) - set(ORACLES) == FITTED
     assert set(ORACLES) <= set(QUERIES)
