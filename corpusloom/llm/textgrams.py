@@ -76,3 +76,73 @@ def ranges(counts: np.ndarray) -> np.ndarray:
     """0 .. c-1 for each count, one after another."""
     ends = np.cumsum(counts)
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - counts, counts)
+
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+
+
+def word_bounds(data: np.ndarray, offsets: np.ndarray,
+                space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and text of each maximal run of bytes outside ``space``; none crosses texts."""
+    inside = ~space[data]
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    cuts = offsets[(offsets > 0) & (offsets < len(data))]
+    begins[cuts] = inside[cuts]
+    start = np.flatnonzero(begins)
+    ends = inside.copy()
+    ends[:-1] &= ~inside[1:]
+    ends[cuts - 1] = inside[cuts - 1]
+    end = np.flatnonzero(ends) + 1
+    return start, end, np.searchsorted(offsets, start, "right") - 1
+
+
+def word_ranks(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit fingerprint for each word: a sum of hashes of (place in the word, byte)."""
+    if len(start) == 0:
+        return np.empty(0, U)
+    size = end - start
+    at = np.repeat(start, size) + ranges(size)
+    place = ranges(size).astype(U)
+    total = np.add.reduceat(mix(data[at] + (place << U(8)) + U(1)), np.cumsum(size) - size)
+    return mix(total + size.astype(U))
+
+
+def shingles(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, fingerprint) of each run of ``words`` words; a shorter text is one shingle."""
+    start, end, owner = word_bounds(data, offsets)
+    ranks = word_ranks(data, start, end)
+    count = np.bincount(owner, minlength=len(offsets) - 1)
+    first = np.cumsum(count) - count
+    per = np.where(count >= words, count - words + 1, np.minimum(count, 1))
+    text = np.repeat(np.arange(len(per)), per)
+    at = first[text] + ranges(per)
+    size = np.minimum(count[text], words)
+    out = size.astype(U)
+    for k in range(words):
+        have = size > k
+        out[have] = pair(out[have], ranks[at[have] + k])
+    return text, out
+
+
+def counted(text: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (text, value) in order, and how often each occurs."""
+    if len(text) == 0:
+        return text, value, np.empty(0, np.int64)
+    order = np.lexsort([value, text])
+    text, value = text[order], value[order]
+    new = np.ones(len(text), bool)
+    new[1:] = (text[1:] != text[:-1]) | (value[1:] != value[:-1])
+    heads = np.flatnonzero(new)
+    return text[heads], value[heads], np.diff(np.append(heads, len(text)))
+
+
+def slices(offsets: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Ranges of texts of about ``most`` bytes each; a longer text is alone."""
+    out, at, n = [], 0, len(offsets) - 1
+    while at < n:
+        stop = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
+        out.append((at, min(stop, n)))
+        at = out[-1][1]
+    return out
