@@ -1,4 +1,4 @@
 """All queries of this subpackage."""
 
-from corpusloom.llm import decontaminate, minhash, rules, sharding, suffix_dedup, urlfilter  # noqa: F401
+from corpusloom.llm import decontaminate, minhash, packing, rules, sharding, suffix_dedup, urlfilter  # noqa: F401
 from corpusloom.llm.registry import ORACLES, QUERIES  # noqa: F401
