@@ -1,4 +1,4 @@
 """All queries of this subpackage."""
 
-from corpusloom.llm import decontaminate, langid, minhash, packing, quality, rules, sharding, suffix_dedup, urlfilter  # noqa: F401
+from corpusloom.llm import decontaminate, langid, minhash, packing, quality, rules, sharding, suffix_dedup, tokencount, urlfilter  # noqa: F401
 from corpusloom.llm.registry import ORACLES, QUERIES  # noqa: F401
