@@ -20,8 +20,8 @@ reaches the threshold.
   neighbours are repeats.
 
 Each task keeps the first of equal stretches or windows before rows are shuffled, so a
-passage in a third of all documents sends one row for each batch of text. No round looks at
-pairs of documents. Ranks are 64-bit fingerprints; two different strings share one with a
+passage in a third of all documents sends one row for each batch of text; a rank with many
+different stretches is dealt out stretch by stretch. No round looks at pairs of documents. Ranks are 64-bit fingerprints; two different strings share one with a
 chance of 2^-64, and a repeat in round 2 needs two equal ones.
 
 Edge cases: null text is empty; texts shorter than the threshold keep all bytes; a null
@@ -33,7 +33,7 @@ integers. Further columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -49,14 +49,17 @@ THRESHOLD = 100
 #: Bytes of text whose ranks a task holds at once (about 20 arrays of 8 bytes each).
 CHUNK = 1 << 21
 
+#: Stretches of one rank in a chunk of text beyond which they are dealt one by one.
+HOT = 16
+
 _POS = 24  # bits of a place inside a chunk
 _NULL_ID = -(1 << 63)
 
 
-def _keys(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+def _keys(docs: DataFrame, doc_id: str, text: str, keep: Sequence[str]) -> DataFrame:
     raw = F.coalesce(F.col(text), F.lit(""))
-    return docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_NULL_ID)).alias("_d"),
-                       F.xxhash64(raw).alias("_t"), raw.cast("binary").alias("_x"))
+    return docs.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)], F.coalesce(F.col(doc_id).cast("long"), F.lit(_NULL_ID)).alias("_d"),
+                       F.hash(raw).alias("_t"), raw.cast("binary").alias("_x"))
 
 
 def _sampled(data: np.ndarray, begin: int, end: int, threshold: int):
@@ -88,11 +91,12 @@ def _first_of(keys: list[np.ndarray], order: list[np.ndarray]) -> tuple[np.ndarr
     return rows[new], rows[~new & ~same]
 
 
+#: place is first * threshold + number of further windows: one number sorts and holds both.
 _ROUND_1 = T.StructType([
     T.StructField("rank", T.LongType()), T.StructField("stretch", T.LongType()),
-    T.StructField("_d", T.LongType()), T.StructField("_t", T.LongType()),
-    T.StructField("first", T.LongType()), T.StructField("shape", T.IntegerType()),
-    T.StructField("repeat", T.BooleanType())])
+    T.StructField("_d", T.LongType()), T.StructField("_t", T.IntegerType()),
+    T.StructField("place", T.LongType()), T.StructField("kind", T.IntegerType())])
+_ORDINARY, _REPEAT, _SPREAD = 0, 1, 2
 
 
 def _windows_of(offsets: np.ndarray, threshold: int, chunk: int):
@@ -105,7 +109,7 @@ def _windows_of(offsets: np.ndarray, threshold: int, chunk: int):
     return which, lo, np.minimum(lo + chunk, stop[which])
 
 
-def _round_1(threshold: int, chunk: int):
+def _round_1(threshold: int, chunk: int, hot: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_bytes(batch.column("_x"))
@@ -137,20 +141,28 @@ def _round_1(threshold: int, chunk: int):
                 first = a + base - offsets[own]
                 keep, again = _first_of([rank, stretch], [ids[own], ties[own], first])
                 rows = np.concatenate([keep, again])
+                # A rank with many stretches here: two stay with it, the others are dealt by
+                # their own rank. They have company for certain, so they stay open.
+                run = np.flatnonzero(np.diff(rank[keep], prepend=rank[keep][:1] - 1))
+                size = np.diff(np.append(run, len(keep)))
+                kind = np.full(len(rows), _REPEAT, np.int32)
+                kind[:len(keep)] = np.where((np.repeat(size, size) > hot) & (ranges(size) > 1),
+                                            _SPREAD, _ORDINARY)
+                dealt = np.where(kind != _ORDINARY, pair(rank.view(U)[rows], stretch.view(U)[rows])
+                                 .view(np.int64), rank[rows])
                 if len(rows):
                     yield pa.RecordBatch.from_arrays([
-                        pa.array(rank[rows]), pa.array(stretch[rows]), pa.array(ids[own[rows]]),
-                        pa.array(ties[own[rows]]), pa.array(first[rows]),
-                        pa.array((b - a)[rows].astype(np.int32)),
-                        pa.array(np.arange(len(rows)) >= len(keep))], names=_ROUND_1.names)
+                        pa.array(dealt), pa.array(stretch[rows]), pa.array(ids[own[rows]]),
+                        pa.array(ties[own[rows]]), pa.array(first[rows] * threshold + (b - a)[rows]),
+                        pa.array(kind)], names=_ROUND_1.names)
                 at = stop
     return run
 
 
 _ROUND_2 = T.StructType([
     T.StructField("rank", T.LongType()), T.StructField("next", T.LongType()),
-    T.StructField("_d", T.LongType()), T.StructField("_t", T.LongType()),
-    T.StructField("first", T.LongType()), T.StructField("repeat", T.BooleanType())])
+    T.StructField("_d", T.LongType()), T.StructField("_t", T.IntegerType()),
+    T.StructField("place", T.LongType()), T.StructField("kind", T.IntegerType())])
 
 
 def _round_2(threshold: int, chunk: int):
@@ -165,8 +177,9 @@ def _round_2(threshold: int, chunk: int):
             keep, again = _first_of([rank, nxt], [d, t, q])
             rows = np.concatenate([keep, again])
             return pa.RecordBatch.from_arrays([
-                pa.array(x[rows]) for x in (rank, nxt, d, t, q)
-            ] + [pa.array(np.arange(len(rows)) >= len(keep))], names=_ROUND_2.names)
+                pa.array(x[rows]) for x in (rank, nxt, d, t, q * threshold)
+            ] + [pa.array((np.arange(len(rows)) >= len(keep)).astype(np.int32) * _REPEAT)],
+                names=_ROUND_2.names)
 
         size = 0
         for batch in batches:
@@ -175,8 +188,8 @@ def _round_2(threshold: int, chunk: int):
                 if not spans.is_valid:
                     continue
                 data = np.frombuffer(x.as_buffer(), np.uint8)
-                flat = spans.values.flatten()
-                lo, count = flat[0].to_numpy(), flat[1].to_numpy() + 1
+                place = spans.values.to_numpy()
+                lo, count = place // threshold, place % threshold + 1
                 q = np.unique(np.repeat(lo, count) + ranges(count))
                 # Neighbouring windows share their ranks: take runs of them.
                 for part in np.split(q, np.flatnonzero(np.diff(q) > threshold) + 1):
@@ -186,7 +199,7 @@ def _round_2(threshold: int, chunk: int):
                         w = some - base
                         n = len(w)
                         held.append((ranks[w], ranks[w + threshold - half], np.full(n, d.as_py()),
-                                     np.full(n, t.as_py()), some))
+                                     np.full(n, t.as_py(), np.int32), some))
                         size += n
                         if size >= chunk // 4:
                             yield flush()
@@ -197,11 +210,10 @@ def _round_2(threshold: int, chunk: int):
 
 
 _RESULT = T.StructType([
-    T.StructField("_d", T.LongType()), T.StructField("_t", T.LongType()),
     T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()),
     T.StructField("spans", T.ArrayType(T.StructType([
         T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))),
-    T.StructField("kept", T.BinaryType())])
+    T.StructField("kept", T.BinaryType()), T.StructField("kept_text", T.StringType())])
 
 
 def merged(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -214,10 +226,14 @@ def merged(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return lo[heads], hi[np.append(heads[1:], len(lo)) - 1]
 
 
-def _cut(threshold: int):
+def _cut(threshold: int, ids: list[str], with_text: bool):
+    def whole(parts: list[bytes]) -> str | None:
+        # A cut inside a character takes the rest of the character with it.
+        return "".join(p.decode(errors="ignore") for p in parts) if with_text else None
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            removed, spans, kept, size = [], [], [], []
+            removed, spans, kept, size, texts = [], [], [], [], []
             for x, runs in zip(batch.column("_x"), batch.column("_runs"), strict=True):
                 data = x.as_py()
                 size.append(len(data))
@@ -225,62 +241,64 @@ def _cut(threshold: int):
                     removed.append(0)
                     spans.append([])
                     kept.append(data)
+                    texts.append(whole([data]))
                     continue
-                flat = runs.values.flatten()
-                lo = flat[0].to_numpy()
-                a, b = merged(lo, lo + flat[1].to_numpy() + threshold)
+                place = runs.values.to_numpy()
+                lo = place // threshold
+                a, b = merged(lo, lo + place % threshold + threshold)
                 removed.append(int((b - a).sum()))
                 spans.append([{"start": int(i), "end": int(j)} for i, j in zip(a, b, strict=True)])
                 edges = [0, *np.stack([a, b], 1).ravel().tolist(), len(data)]
-                kept.append(b"".join(data[i:j] for i, j in zip(edges[::2], edges[1::2], strict=True)))
+                parts = [data[i:j] for i, j in zip(edges[::2], edges[1::2], strict=True)]
+                kept.append(b"".join(parts))
+                texts.append(whole(parts))
             kinds = [pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary()]
             yield pa.RecordBatch.from_arrays([
-                batch.column("_d"), batch.column("_t"), pa.array(size, pa.int64()),
-                pa.array(removed, pa.int64()), pa.array(spans, kinds[0]), pa.array(kept, kinds[1])],
-                names=_RESULT.names)
+                *[batch.column(c) for c in ids], pa.array(size, pa.int64()),
+                pa.array(removed, pa.int64()), pa.array(spans, kinds[0]), pa.array(kept, kinds[1]),
+                pa.array(texts, pa.string())], names=[*ids, *_RESULT.names])
     return run
 
 
-def _place(first: str = "first") -> Column:
-    return F.struct("_d", "_t", first)
+def _place() -> Column:
+    return F.struct("_d", "_t", "place")
 
 
-def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
-                   threshold: int = THRESHOLD, chunk: int = CHUNK) -> DataFrame:
-    """``doc_id``, n_bytes, n_removed, spans (byte ranges to remove) and kept (remaining bytes).
+def repeated_spans(docs: DataFrame, keep: Sequence[str] = ("doc_id",), doc_id: str = "doc_id",
+                   text: str = "text", threshold: int = THRESHOLD, chunk: int = CHUNK,
+                   hot: int = HOT, with_text: bool = False) -> DataFrame:
+    """``keep``, n_bytes, n_removed, spans (byte ranges to remove), kept (bytes) and kept_text.
 
-    One row for each row of ``docs``.
+    One row for each row of ``docs``. ``kept_text`` is null unless ``with_text``; it lacks
+    what remains of a character that a span cuts.
     """
     if threshold < 4 or threshold % 2:
         raise ValueError("the threshold must be even and at least 4")
-    rows = _keys(docs, doc_id, text)
-    sampled = rows.mapInArrow(_round_1(threshold, chunk), _ROUND_1)
+    ids = [f"_k{i}" for i in range(len(keep))]
+    rows = _keys(docs, doc_id, text, keep)
+    sampled = rows.select("_x", "_d", "_t").mapInArrow(_round_1(threshold, chunk, hot), _ROUND_1)
     # Round 1: one shuffle by rank; equal stretches, and ranks with several stretches.
-    same = Window.partitionBy("rank", "stretch").orderBy("_d", "_t", "first")
+    same = Window.partitionBy("rank", "stretch").orderBy("_d", "_t", "place")
     alike = Window.partitionBy("rank")
-    judged = sampled.select(
-        "*", F.first(_place()).over(same).alias("_head")).select(
+    judged = sampled.select("*", F.first(_place()).over(same).alias("_head")).select(
         "*", (F.min("stretch").over(alike) != F.max("stretch").over(alike)).alias("_many"))
-    repeat = F.col("repeat") | (F.col("_head") != _place())
-    found = stage(judged.select(
-        "_d", "_t", "first", F.col("shape").alias("more"), repeat.alias("repeat"), "_many").where(
-        "repeat OR _many").select("_d", "_t", "first", "more", "repeat"))
+    repeat = (F.col("kind") == _REPEAT) | (F.col("_head") != _place())
+    found = stage(judged.select("_d", "_t", "place", repeat.alias("repeat"), "_many", "kind").where(
+        (F.col("kind") == _SPREAD) | F.col("repeat") | F.col("_many")).select(
+        "_d", "_t", "place", "repeat"))
     # Round 2: windows of the open stretches, by rank pairs.
-    stretch = F.struct("first", "more")
-    opened = found.where("NOT repeat").groupBy("_d", "_t").agg(F.collect_list(stretch).alias("_open"))
-    pairs = rows.join(opened, ["_d", "_t"], "left").select("_x", "_d", "_t", "_open").mapInArrow(
+    opened = found.where("NOT repeat").groupBy("_d", "_t").agg(F.collect_list("place").alias("_open"))
+    pairs = rows.join(opened, ["_d", "_t"], "left").select(*ids, "_x", "_d", "_t", "_open").mapInArrow(
         _round_2(threshold, chunk), _ROUND_2)
-    equal = Window.partitionBy("rank", "next").orderBy("_d", "_t", "first")
+    equal = Window.partitionBy("rank", "next").orderBy("_d", "_t", "place")
     hits = pairs.select("*", F.first(_place()).over(equal).alias("_head")).where(
-        F.col("repeat") | (F.col("_head") != _place())).select(
-        "_d", "_t", "first", F.lit(0).alias("more"))
-    runs = found.where("repeat").select("_d", "_t", "first", "more").unionByName(hits).groupBy(
-        "_d", "_t").agg(F.collect_list(stretch).alias("_runs"))
-    # The same shuffle of the texts as in round 2: Spark reuses it.
-    cut = rows.join(runs, ["_d", "_t"], "left").select("_x", "_d", "_t", "_runs").mapInArrow(
-        _cut(threshold), _RESULT)
-    return cut.select(F.when(F.col("_d") != _NULL_ID, F.col("_d")).alias(doc_id),
-                      "n_bytes", "n_removed", "spans", "kept")
+        (F.col("kind") == _REPEAT) | (F.col("_head") != _place())).select("_d", "_t", "place")
+    runs = found.where("repeat").select("_d", "_t", "place").unionByName(hits).groupBy(
+        "_d", "_t").agg(F.collect_list("place").alias("_runs"))
+    # The same shuffle of the same columns as in round 2: Spark reuses it.
+    cut = rows.join(runs, ["_d", "_t"], "left").select(*ids, "_x", "_d", "_t", "_runs").mapInArrow(
+        _cut(threshold, ids, with_text), T.StructType([*[rows.schema[i] for i in ids], *_RESULT.fields]))
+    return cut.select(*[F.col(i).alias(c) for c, i in zip(keep, ids, strict=True)], *_RESULT.names)
 
 
 @query("op1_suffix_dedup")
