@@ -1,10 +1,103 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: from raw documents to packed token sequences.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the
+columns of ``docs``, whatever further columns there are. ``run`` writes each stage's result
+to the shared folder and reads it back for the next, so a lost executor costs one stage at
+most. There is no SQL for the whole: three of the stages are learned, searched or drawn by
+hash; the tests hold it against a brute-force version.
+
+Edge cases are those of the operators. Null ids and repeated rows are allowed: of rows with
+the same id and text the near-duplicate stage keeps one. Empty documents give an empty
+result.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpusloom.llm.decontaminate import benchmark_hits, contaminated
+from corpusloom.llm.langid import UNKNOWN, identify, learned_from, train
+from corpusloom.llm.minhash import near_duplicates
+from corpusloom.llm.packing import pack
+from corpusloom.llm.suffix_dedup import repeated_spans
+from corpusloom.storage import stage
+
+#: The main language's least share of a document that stays.
+MIN_SHARE = 0.5
+
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def _renamed(docs: DataFrame) -> tuple[DataFrame, list[str], dict[str, str]]:
+    """``docs`` under names that no operator uses, these names, and which is which."""
+    names = [f"c{i}__" for i in range(len(docs.columns))]
+    return docs.toDF(*names), names, dict(zip(docs.columns, names, strict=True))
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents with a main language; drops those without a letter or without one."""
+    own, names, of = _renamed(docs)
+    model = train(learned_from(own, of["doc_id"]), of["text"], of["lang"])
+    found = identify(own, model, names, of["text"])
+    kept = found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= MIN_SHARE))
+    return kept.select(*names).toDF(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each class of near duplicates, the one with the smallest id."""
+    own, names, of = _renamed(docs)
+    doc_id, text = of["doc_id"], of["text"]
+    keyed = own.select("*", F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("_h"),
+                       F.xxhash64(*[c for c in names if c != text]).alias("_o"))
+    winners = near_duplicates(own, doc_id, text).where("first").select(
+        F.col("text_md5").alias("_h")).distinct()
+    # One row of the winning text, chosen on narrow rows.
+    chosen = keyed.select("_h", F.struct(F.col(doc_id).isNull(), doc_id, "_o").alias("_r")).groupBy(
+        "_h").agg(F.min("_r").alias("_r")).join(winners, "_h", "left_semi").select(
+        "_h", F.col("_r._o").alias("_o"))
+    kept = keyed.join(chosen, ["_h", "_o"], "left_semi").dropDuplicates(["_h", "_o"])
+    return kept.select(*names).toDF(*docs.columns)
+
+
+def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts strings that also start earlier; drops documents of which nothing is left."""
+    own, names, of = _renamed(docs)
+    text = of["text"]
+    cut = repeated_spans(own, [c for c in names if c != text], of["doc_id"], text, with_text=True)
+    left = cut.where((F.col("n_removed") == 0) | F.col("kept_text").rlike(r"\S"))
+    columns = {**{c: F.col(c) for c in names if c != text}, text: F.col("kept_text")}
+    if "n_chars" in of:
+        columns[of["n_chars"]] = F.length("kept_text").cast(docs.schema["n_chars"].dataType)
+    return left.select(*[columns[c].alias(c) for c in names]).toDF(*docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents of which a twentieth or more stands in benchmark passages."""
+    own, names, of = _renamed(docs)
+    benchmark = spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet")
+    found = benchmark_hits(own, benchmark, names, of["text"])
+    return found.where(~contaminated()).select(*names).toDF(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences of at most 2048 tokens."""
+    packed = pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+STAGES = [
+    ("language", language),
+    ("near_dedup", near_dedup),
+    ("suffix_dedup", suffix_dedup),
+    ("decontaminate", decontaminate),
+    ("packing", packing),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+    for _, step in STAGES[:-1]:
+        docs = stage(step(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.llm.registry import query, table
+from corpusloom.llm.share import opened, shared
 from corpusloom.llm.textgrams import ranges, slices, text_bytes, word_bounds, word_ranks
 
 WINDOW = 13
@@ -178,11 +179,11 @@ _SPAN = T.ArrayType(T.StructType([
     T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
 
-def _search(broadcast, shard_bytes: int, columns: list[str]):
+def _search(broadcast, shard_bytes: int, columns: list[str], text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        phrases: Phrases = broadcast.value
+        phrases: Phrases = opened(broadcast)
         for batch in batches:
-            data, offsets = text_bytes(batch.column("_x"))
+            data, offsets = text_bytes(batch.column(text))
             for lo, hi in slices(offsets, shard_bytes):
                 cut = offsets[lo:hi + 1]
                 docs = hi - lo
@@ -249,16 +250,17 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, keep: Sequence[str] =
     total = items.agg(F.sum(F.octet_length("t") + F.octet_length("i") + 16)).first()[0] or 0
     blocks = int(total // block_bytes) + 1
     ids = [f"_k{i}" for i in range(len(keep))]
+    own = ids[list(keep).index(text)] if text in keep else "_x"
     rows = docs.select(
         *[F.col(c).alias(i) for c, i in zip(keep, ids, strict=True)],
-        F.coalesce(F.col(text), F.lit("")).alias("_x"),
+        *([] if text in keep else [F.col(text).alias(own)]),
         F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"),
         F.lit(None).cast(_SPAN).alias("spans"), F.lit(None).cast(_SPAN).alias("cuts"),
         F.lit(None).cast("array<string>").alias("items"))
     for block in range(blocks):
         part = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block).distinct().collect()
-        held = spark.sparkContext.broadcast(Phrases([(r.i, r.t) for r in part], window))
-        rows = rows.mapInArrow(_search(held, shard_bytes, rows.columns), rows.schema)
+        held = shared(spark, Phrases([(r.i, r.t) for r in part], window))
+        rows = rows.mapInArrow(_search(held, shard_bytes, rows.columns, own), rows.schema)
     return rows.select(*[F.col(i).alias(c) for c, i in zip(keep, ids, strict=True)],
                        "n_words", "n_hit", "spans", "cuts", "items")
 

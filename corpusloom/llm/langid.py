@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.llm.registry import query, table
+from corpusloom.llm.share import opened, shared
 from corpusloom.llm.textgrams import U, mix, slices, text_bytes
 
 BUCKETS = 1 << 16
@@ -151,11 +152,11 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", buckets: int
     return Mixture([names[i] for i in at], table_ / table_.sum(0))
 
 
-def _predict(model, keep: list[str]):
+def _predict(model, keep: list[str], text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixture: Mixture = model.value
+        mixture: Mixture = opened(model)
         for batch in batches:
-            data, offsets = text_bytes(batch.column("_x"))
+            data, offsets = text_bytes(batch.column(text))
             chunk = 4 * _TEXT_CHUNK // max(4, len(mixture.languages))
             for lo, hi in slices(offsets, chunk):
                 cut = offsets[lo:hi + 1]
@@ -184,16 +185,17 @@ def identify(docs: DataFrame, model: Mixture, keep: Sequence[str] = ("doc_id",),
              text: str = "text") -> DataFrame:
     """``keep``, lang_pred, score and mixture (languages with their shares)."""
     ids = [f"_k{i}" for i in range(len(keep))]
-    raw = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(*[F.col(c).alias(i) for c, i in zip(keep, ids, strict=True)], raw.alias("_x"),
-                       raw.rlike(r"\p{L}").alias("_letter"))
+    own = ids[list(keep).index(text)] if text in keep else "_x"
+    more = [] if text in keep else [F.col(text).alias(own)]
+    rows = docs.select(*[F.col(c).alias(i) for c, i in zip(keep, ids, strict=True)], *more,
+                       F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("_letter"))
     schema = T.StructType([*[rows.schema[i] for i in ids], T.StructField("lang_pred", T.StringType()),
                            T.StructField("score", T.DoubleType()),
                            T.StructField("mixture", T.ArrayType(T.StructType([
                                T.StructField("lang", T.StringType()),
                                T.StructField("share", T.DoubleType())])))])
-    held = docs.sparkSession.sparkContext.broadcast(model)
-    return rows.mapInArrow(_predict(held, ids), schema).select(
+    held = shared(docs.sparkSession, model)
+    return rows.mapInArrow(_predict(held, ids, own), schema).select(
         *[F.col(i).alias(c) for c, i in zip(keep, ids, strict=True)], "lang_pred", "score", "mixture")
 
 

@@ -31,6 +31,7 @@ from pyspark.sql import types as T
 
 from corpusloom.llm.langid import held_out
 from corpusloom.llm.registry import query, table
+from corpusloom.llm.share import opened, shared
 from corpusloom.llm.textgrams import pair, slices, text_bytes, word_bounds, word_ranks
 from corpusloom.storage import stage
 
@@ -218,9 +219,10 @@ def fit(x: np.ndarray, y: np.ndarray, bins: int = BINS, rounds: int = ROUNDS, ra
 
 def _apply(model, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        additive: AdditiveModel = opened(model)
         for batch in batches:
             flat = batch.column("figures").flatten().to_numpy(zero_copy_only=False)
-            score = model.value.score(flat.reshape(-1, len(FIGURES)))
+            score = additive.score(flat.reshape(-1, len(FIGURES)))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(score)],
                                              names=[*keep, "score"])
     return run
@@ -254,7 +256,7 @@ def scored(figured: DataFrame, model: AdditiveModel, keep: Sequence[str] = ("doc
     """``keep`` and the score of each row of ``measured``."""
     ids = [f"_k{i}" for i in range(len(keep))]
     rows = figured.select(*[F.col(c).alias(i) for c, i in zip(keep, ids, strict=True)], "figures")
-    held = figured.sparkSession.sparkContext.broadcast(model)
+    held = shared(figured.sparkSession, model)
     schema = T.StructType([*[rows.schema[i] for i in ids], T.StructField("score", T.DoubleType())])
     return rows.mapInArrow(_apply(held, ids), schema).select(
         *[F.col(i).alias(c) for c, i in zip(keep, ids, strict=True)], "score")
