@@ -1,6 +1,6 @@
 """Near-duplicate classes by DartMinHash signatures and banded candidate search.
 
-A text is the multiset of its five-word shingles. Darts are thrown, by hash, into the
+A text is the set of its five-word shingles, or with ``weights='count'`` the multiset. Darts are thrown, by hash, into the
 plane (weight, rank) of each shingle: the plane is cut into regions that double in both
 directions, each region into cells of area one, and each cell holds a Poisson(1) number
 of darts. A dart hits a text if it lies below the shingle's weight. Each dart belongs to
@@ -10,9 +10,12 @@ about K ln K + 2K darts hit, and doubled for texts with an empty coordinate. Two
 signatures agree in a coordinate with the probability of the weighted Jaccard similarity.
 
 Candidates share a band of the signature. In each bucket the smallest member is compared
-with the others; then members of buckets that still hold several classes are compared
-across classes, in cells of bounded size, estimates first. Every accepted link passed an
-exact comparison of the shingle multisets. Classes are the connected components.
+with the others, which joins most of a group with one comparison for each member. Members
+of buckets that still hold several classes are then compared across classes in cells of
+bounded size: pairs whose signatures agree often enough, each in the first band they share,
+best first, until the two classes are one. So every candidate pair between two classes is
+tried, and nothing is emitted but links that join classes. Every link passed an exact
+comparison of the shingles. Classes are the connected components.
 
 Equal texts are one node from the start, so a group of copies costs one signature, one
 node and no pairs.
@@ -46,9 +49,8 @@ BANDS = 25
 ROWS = 5
 #: Candidates need this share of equal coordinates: four standard deviations below 0.8.
 ESTIMATE = 0.66
-#: Members of a bucket in one comparison cell, and candidates kept for a member and class.
+#: Members of a bucket on each side of a comparison cell.
 CELL = 512
-BEST = 3
 
 _TEXT_CHUNK = 1 << 20
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(18)])
@@ -119,13 +121,15 @@ _SIGNED = T.StructType([
     T.StructField("bands", T.ArrayType(T.LongType()))])
 
 
-def _sign(words: int, bands: int, rows: int):
+def _sign(words: int, bands: int, rows: int, weights: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_bytes(batch.column("_x"))
             for lo, hi in slices(offsets, _TEXT_CHUNK):
                 at = offsets[lo:hi + 1]
                 text, value, weight = counted(*shingles(data[at[0]:at[-1]], at - at[0], words))
+                if weights == "set":
+                    weight = np.ones(len(weight))
                 made = signatures(text, value, weight, hi - lo, bands * rows)
                 some = (made != _NONE).all(1)
                 low = (made & U(255)).astype(np.uint8)
@@ -141,63 +145,94 @@ def _sign(words: int, bands: int, rows: int):
     return run
 
 
-def weighted_jaccard(left: pa.Array, right: pa.Array, words: int = WORDS) -> np.ndarray:
-    """Sum of the smaller over sum of the larger counts of shingles, text by text."""
-    n = len(left)
-    made = [counted(*shingles(*text_bytes(c), words)) for c in (left, right)]
-    text = np.concatenate([m[0] for m in made])
-    value = np.concatenate([m[1] for m in made])
-    count = np.concatenate([m[2] for m in made])
-    order = np.lexsort([value, text])
-    text, value, count = text[order], value[order], count[order]
-    twin = np.zeros(len(text), bool)
-    twin[1:] = (text[1:] == text[:-1]) & (value[1:] == value[:-1])
-    both = np.flatnonzero(twin)
-    shared = np.bincount(text[both], weights=np.minimum(count[both], count[both - 1]), minlength=n)
-    total = np.bincount(text, weights=count, minlength=n) - shared
-    return np.divide(shared, total, out=np.zeros(n), where=total > 0)
-
-
-def _verify(words: int, similarity: float):
+_SETS = T.StructType([T.StructField("node", T.LongType()), T.StructField("elements", T.BinaryType())])
+
+
+def _sets(words: int, weights: str):
+    """The shingles of each text as sorted 32-bit numbers; the k-th copy of one is an element."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_bytes(batch.column("_x"))
+            for lo, hi in slices(offsets, _TEXT_CHUNK):
+                at = offsets[lo:hi + 1]
+                text, value, count = counted(*shingles(data[at[0]:at[-1]], at - at[0], words))
+                if weights == "count":
+                    text, value = np.repeat(text, count), pair(np.repeat(value, count), ranges(count).astype(U))
+                small = (value >> U(32)).astype(np.uint32)
+                cut = np.searchsorted(text, np.arange(hi - lo + 1))
+                yield pa.RecordBatch.from_arrays([
+                    batch.column("node").slice(lo, hi - lo),
+                    pa.array([np.unique(small[i:j]).tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)],
+                             pa.binary())], names=_SETS.names)
+    return run
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two sorted arrays of distinct numbers."""
+    both = np.sort(np.concatenate([a, b]))
+    shared = int((both[1:] == both[:-1]).sum())
+    return shared / max(1, len(a) + len(b) - shared)
+
+
+def _numbers(column: pa.Array | pa.ChunkedArray, kind) -> list[np.ndarray]:
+    return [np.frombuffer(x, kind) for x in column.to_pylist()]
+
+
+def _verify(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
-                near = weighted_jaccard(some.column("_ta"), some.column("_tb"), words)
-                yield pa.RecordBatch.from_arrays(
-                    [some.column("a"), some.column("b"), pa.array(near >= similarity - 1e-12)],
-                    names=["a", "b", "near"])
+            near = [jaccard(x, y) >= similarity - 1e-12 for x, y in zip(
+                _numbers(batch.column("_ea"), np.uint32), _numbers(batch.column("_eb"), np.uint32),
+                strict=True)]
+            keep = pa.array(near, pa.bool_())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(c).filter(keep) for c in ("a", "b")], names=["a", "b"])
     return run
 
 
-def _compare_cell(estimate: float, best: int):
+def _compare_cell(estimate: float, similarity: float):
     def run(group: pa.Table) -> pa.Table:
         node = group.column("node").to_numpy()
         label = group.column("label").to_numpy()
         asks = group.column("asks").to_numpy(zero_copy_only=False)
-        gives = group.column("gives").to_numpy(zero_copy_only=False)
-        sig = np.stack([np.frombuffer(s, np.uint8) for s in group.column("sig").to_pylist()])
+        band = group.column("band")[0].as_py()
+        sig = np.stack(_numbers(group.column("sig"), np.uint8))
+        elements = _numbers(group.column("elements"), np.uint32)
+        size = np.array([len(e) for e in elements])
+        keys = np.stack([k.values.to_numpy() for k in group.column("bands").combine_chunks()])[:, :band]
+        _, of = np.unique(label, return_inverse=True)
+        parent = list(range(int(of.max()) + 1))
+
+        def top(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
         found = []
-        for q in np.flatnonzero(asks):
-            share = (sig == sig[q]).mean(1)
-            ok = np.flatnonzero((share >= estimate) & gives & (label != label[q]))
-            ok = ok[np.lexsort([node[ok], -share[ok]])]
-            seen: dict[int, int] = {}
-            for t in ok:
-                seen[label[t]] = seen.get(label[t], 0) + 1
-                if seen[label[t]] <= best:
+        gives = np.flatnonzero(~asks)
+        for q in np.flatnonzero(asks).tolist():
+            others = gives[of[gives] != of[q]]
+            share = (sig[others] == sig[q]).mean(1)
+            fits = np.minimum(size[others], size[q]) >= similarity * np.maximum(size[others], size[q]) - 1e-9
+            new = ~(keys[others] == keys[q]).any(1)  # not together in an earlier band
+            at = np.flatnonzero((share >= estimate) & fits & new)
+            for t in others[at[np.argsort(-share[at], kind="stable")]].tolist():
+                x, y = top(int(of[q])), top(int(of[t]))
+                if x != y and jaccard(elements[q], elements[t]) >= similarity - 1e-12:
+                    parent[x] = y
                     found.append((node[q], node[t]))
         pairs = np.array(found, np.int64).reshape(-1, 2)
         return pa.table({"a": pairs.max(1), "b": pairs.min(1)})
     return run
 
 
-def _across_classes(buckets: DataFrame, nodes: DataFrame, labels: DataFrame, estimate: float,
-                    cell: int, best: int) -> DataFrame:
-    """Candidate pairs between classes that share a bucket.
+def _across_classes(buckets: DataFrame, nodes: DataFrame, sets: DataFrame, labels: DataFrame,
+                    estimate: float, similarity: float, cell: int) -> DataFrame:
+    """Links between classes that share a bucket.
 
     Members outside the bucket's largest class ask; all members answer, in cells of at most
-    ``cell`` asking and ``cell`` answering members.
+    ``cell`` asking and ``cell`` answering members (about; they are dealt by hash).
     """
     known = buckets.join(labels, "node", "left").select(
         "band", "key", "node", F.coalesce("label", "node").alias("label"))
@@ -208,33 +243,36 @@ def _across_classes(buckets: DataFrame, nodes: DataFrame, labels: DataFrame, est
         "band", "key", F.col("top.label").alias("largest"),
         F.ceil((F.col("n") - F.col("top.n")) / cell).cast("int").alias("n_asks"),
         F.ceil(F.col("n") / cell).cast("int").alias("n_gives")))
-    members = known.join(mixed, ["band", "key"]).join(nodes.select("node", "sig"), "node")
+    members = stage(known.join(mixed, ["band", "key"]))
     place = F.xxhash64("node")
     gives = members.select(
-        "band", "key", "node", "label", "sig", F.lit(False).alias("asks"), F.lit(True).alias("gives"),
+        "band", "key", "node", "label", F.lit(False).alias("asks"),
         F.explode(F.sequence(F.lit(0), F.col("n_asks") - 1)).alias("x"),
         F.pmod(place, "n_gives").cast("int").alias("y"))
     asks = members.where("label <> largest").select(
-        "band", "key", "node", "label", "sig", F.lit(True).alias("asks"), F.lit(False).alias("gives"),
+        "band", "key", "node", "label", F.lit(True).alias("asks"),
         F.pmod(place, "n_asks").cast("int").alias("x"),
         F.explode(F.sequence(F.lit(0), F.col("n_gives") - 1)).alias("y"))
-    return gives.unionByName(asks).groupBy("band", "key", "x", "y").applyInArrow(
-        _compare_cell(estimate, best), "a long, b long").distinct()
+    content = nodes.select("node", "sig", "bands").join(sets, "node")
+    return gives.unionByName(asks).join(content, "node").groupBy("band", "key", "x", "y").applyInArrow(
+        _compare_cell(estimate, similarity), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     words: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS,
                     rows: int = ROWS, estimate: float = ESTIMATE, cell: int = CELL,
-                    best: int = BEST) -> DataFrame:
+                    weights: str = "set") -> DataFrame:
     """``doc_id``, text_md5, class_id and first (the text that stands for its class).
 
     One row for each row of ``docs``.
     """
     if not 0 < similarity <= 1:
         raise ValueError("the similarity is above 0 and at most 1")
+    if weights not in ("set", "count"):
+        raise ValueError("weights is 'set' or 'count'")
     raw = F.coalesce(F.col(text), F.lit(""))
     keyed = docs.select(F.col(doc_id).alias("_d"), F.md5(raw.cast("binary")).alias("_h"), raw.alias("_x"))
-    signed = keyed.select("_h", "_x").mapInArrow(_sign(words, bands, rows), _SIGNED)
+    signed = keyed.select("_h", "_x").mapInArrow(_sign(words, bands, rows, weights), _SIGNED)
     nodes = stage(signed.dropDuplicates(["_h"]).select(
         F.monotonically_increasing_id().alias("node"), "_h", "sig", "bands"))
 
@@ -248,26 +286,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         sig, F.col("b") == F.col("_n")).mapInArrow(_estimated(estimate), "a long, b long")
     close = stage(close)
 
-    # Texts of the nodes that share a bucket.
+    # Shingles of the texts that share a bucket.
     involved = buckets.select("node").distinct().join(nodes.select("node", "_h"), "node")
-    texts = stage(keyed.select("_h", "_x").join(involved, "_h").dropDuplicates(["node"]).select(
-        F.col("node").alias("_n"), F.col("_x").alias("_t")))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(texts, F.col("a") == F.col("_n")).drop("_n").withColumnRenamed("_t", "_ta").join(
-            texts, F.col("b") == F.col("_n")).drop("_n").withColumnRenamed("_t", "_tb")
-        return stage(both.select("a", "b", "_ta", "_tb").mapInArrow(
-            _verify(words, similarity), "a long, b long, near boolean"))
-
-    tested = verified(close)
-    while True:
-        labels = stage(components(tested.where("near").select("a", "b")))
-        asked = _across_classes(buckets, nodes, labels, estimate, cell, best).join(
-            tested, ["a", "b"], "left_anti")
-        more = verified(stage(asked))
-        tested = tested.unionByName(more)
-        if more.where("near").isEmpty():
-            break
+    sets = stage(keyed.select("_h", "_x").join(involved, "_h").dropDuplicates(["node"]).select(
+        "node", "_x").mapInArrow(_sets(words, weights), _SETS))
+    one, two = (sets.select(F.col("node").alias(n), F.col("elements").alias(e))
+                for n, e in (("a", "_ea"), ("b", "_eb")))
+    links = stage(close.join(one, "a").join(two, "b").select("a", "b", "_ea", "_eb").mapInArrow(
+        _verify(similarity), "a long, b long"))
+    labels = stage(components(links))
+    more = stage(_across_classes(buckets, nodes, sets, labels, estimate, similarity, cell))
+    labels = stage(components(links.unionByName(more)))
 
     named = nodes.join(labels, "node", "left").select("_h", F.coalesce("label", "node").alias("_c"))
     placed = keyed.select("_d", "_h").join(named, "_h")
