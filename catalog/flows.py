@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from catalog.inputs import (
     CAPTIONS,
     ELEMENTS,
+    INDEX,
     KEYWORDS,
     PROMPTS,
     SQL_BLANK,
@@ -19,7 +20,9 @@ from catalog.inputs import (
 )
 from catalog.registry import query, r4, sql_r4, with_tables
 from catalog.rows import _SPLIT
+from catalog.search import _FITTED_KNN, _docs, _queries
 from corpusloom.operators import ensemble
+from corpusloom.operators.numbering import image_number
 from corpusloom.plans import diversify, reduction, search, submission, training_set
 from corpusloom.storage import stage
 
@@ -82,13 +85,16 @@ def caption_submission(spark, sf):
     return made.select("imgId_eId", r4("val").alias("val"))
 
 
-@query("search_images")
+@query("search_images", with_tables(*_FITTED_KNN, INDEX, """num AS (
+  SELECT *, row_number() OVER (ORDER BY part, img_name) - 1 AS image_number FROM idx)""") + f"""
+SELECT query_id, rank, knn.doc_id, {sql_r4('score')} AS score, part, img_name,
+  coalesce(steps, -1) AS steps
+FROM knn LEFT JOIN num ON image_number = knn.doc_id""")
 def search_images(spark, sf):
-    from catalog.search import _docs, _queries
-    from corpusloom.operators.numbering import image_number
-
     numbered = image_number(index(spark, sf).select("part", "img_name", "steps"))
-    return search.search_images(_docs(spark, sf), _queries(spark, sf), numbered)
+    found = search.search_images(_docs(spark, sf), _queries(spark, sf), numbered, strict=False,
+                                 fit_steps=2)
+    return found.withColumns({"score": r4("score"), "steps": F.coalesce("steps", F.lit(-1))})
 
 
 @query("reduce_corpus")

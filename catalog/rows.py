@@ -151,9 +151,15 @@ def split_contiguous(spark, sf):
         table(spark, sf, "events").select("event_id"), 0.9, ["event_id"])
 
 
-@query("bootstrap")
+@query("bootstrap", f"""
+WITH numbered AS (SELECT *, row_number() OVER (ORDER BY vec_id) - 1 AS r FROM embeddings),
+draws AS (SELECT i AS draw, ('0x' || left({_DIGEST.format(seed=11, key='i')}, 8))::BIGINT
+            % (SELECT count(*) FROM embeddings) AS r
+          FROM range((SELECT count(*) FROM embeddings)) u(i))
+SELECT draw, vec_id, label FROM draws JOIN numbered USING (r)""")
 def bootstrap(spark, sf):
-    return split.bootstrap(table(spark, sf, "embeddings"), seed=11).select("vec_id", "label")
+    return split.bootstrap(table(spark, sf, "embeddings"), "vec_id", seed=11).select(
+        "draw", "vec_id", "label")
 
 
 _SPLIT = with_tables(INDEX, """usable AS (
@@ -209,7 +215,7 @@ WHERE l.quality = 1""")
 def take_vectors(spark, sf):
     meta = table(spark, sf, "labels").where("quality = 1").select(
         (F.col("doc_id") % 4).alias("shard"), F.col("doc_id").alias("row_index"), "toxic")
-    taken = take.take_vectors(meta, vectors(spark, sf).drop("label"))
+    taken = take.take_vectors(meta, vectors(spark, sf).drop("label"), strict=False)
     total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x)
     return taken.select("shard", "row_index", "toxic", r4(total).alias("total"))
 

@@ -73,15 +73,15 @@ _register_exact("knn_exact_l2", "l2")
 
 @query("neighbour_meta", with_tables(VECTORS, _knn("inner_product"), INDEX, """num AS (
   SELECT *, row_number() OVER (ORDER BY part, img_name) - 1 AS image_number FROM idx)""") + """
-SELECT query_id, rank, knn.doc_id, part, img_name, steps
-FROM knn JOIN num ON image_number = knn.doc_id""")
+SELECT query_id, rank, knn.doc_id, part, img_name, coalesce(steps, -1) AS steps
+FROM knn LEFT JOIN num ON image_number = knn.doc_id""")
 def neighbour_meta(spark, sf):
     found = nearest.knn_exact(_docs(spark, sf), _queries(spark, sf))
     wide = take.widen_neighbours(found)
     numbered = numbering.image_number(index(spark, sf).select("part", "img_name", "steps"))
-    return take.neighbour_meta(take.explode_neighbours(wide), numbered).select(
+    return take.neighbour_meta(take.explode_neighbours(wide), numbered, strict=False).select(
         "query_id", F.col("rank").cast("bigint").alias("rank"), "doc_id", "part", "img_name",
-        "steps")
+        F.coalesce("steps", F.lit(-1)).alias("steps"))
 
 
 _NEAR = """near AS (
@@ -101,7 +101,7 @@ _PROBES = """probe AS (
     "ON d.row_index = cell.row_index")) + _TIDY)
 def knn_ivf(spark, sf):
     cells = stage(centroids(spark, sf))
-    docs = nearest.assign_cells(_docs(spark, sf), cells)
+    docs = nearest.store_cells(_docs(spark, sf), cells)
     return _tidy(nearest.knn_ivf(docs, _queries(spark, sf), cells, 5, 3))
 
 
@@ -173,7 +173,7 @@ def suffix_by_image(spark, sf):
 @query("suffix_tiled", with_tables(*_TAGGED, SUFFIXES, PROMPTS, """slots AS (
   SELECT *, row_number() OVER (ORDER BY image_id) - 1 AS slot FROM suf)""") + """
 SELECT p.image_id, seq, model, text || suffix AS text FROM (
-  SELECT *, row_number() OVER (ORDER BY image_id, seq) - 1 AS j FROM pr) p
+  SELECT *, row_number() OVER (PARTITION BY model ORDER BY image_id, seq) - 1 AS j FROM pr) p
 JOIN slots ON slot = j % (SELECT count(*) FROM suf)""")
 def suffix_tiled(spark, sf):
     return ensemble.attach_suffix(
@@ -261,8 +261,8 @@ _BY_CELL_AND_CODE = """knn AS (
 def pq_search_ivf(spark, sf):
     cells = stage(centroids(spark, sf))
     books = stage(_books(cells))
-    docs = nearest.assign_cells(_docs(spark, sf), cells)
-    codes = quantize.pq_encode(docs, books, ["doc_id", "cell"], centroids=cells)
+    docs = nearest.store_cells(_docs(spark, sf), cells)
+    codes = stage(quantize.pq_encode(docs, books, ["doc_id", "cell"], centroids=cells), ["cell"])
     return _tidy(quantize.pq_search(
         codes, _queries(spark, sf), books, 5, centroids=cells, nprobe=3))
 
@@ -335,12 +335,13 @@ def encode_mlp(spark, sf):
   SELECT row_index, embedding, {_layer_sql('z', 16, 8, True)} AS h FROM enc)""", f"""dec2 AS (
   SELECT row_index, embedding, {_layer_sql('h', 64, 16, False)} AS y FROM dec1)""") + f"""
 SELECT {sql_r4('avg(list_sum(list_transform(range(1, 65), '
-               'lambda i: power(y[i] - embedding[i], 2))) / 64.0::DOUBLE)')} AS mse FROM dec2""")
+               'lambda i: power(y[i] - embedding[i], 2))) / 64.0::DOUBLE)')} AS mse,
+  count(*) AS n_rows, 0::BIGINT AS n_rejected FROM dec2""")
 def reconstruction_mse(spark, sf):
     model = reduce.Autoencoder((_weights(16, 64), _weights(8, 16)),
                                (_weights(16, 8), _weights(64, 16, False)))
-    return reduce.reconstruction_mse(vectors(spark, sf), model, ["row_index"]).select(
-        r4("mse").alias("mse"))
+    return reduce.reconstruction_mse(vectors(spark, sf), model, ["row_index"]).withColumn(
+        "mse", r4("mse"))
 
 
 @query("embed_text", rf"""
@@ -361,22 +362,61 @@ def embed_text(spark, sf):
         "val <> 0").select("doc_id", F.col("pos").cast("bigint").alias("pos"), r4("val").alias("val"))
 
 
-# Fitted models: no SQL equivalent, their properties are tested in tests/.
-@query("kmeans_shard")
+def _lloyd_sql(name: str, source: str, k: int, key: str, steps: int, shard: str = "0") -> list[str]:
+    """Tables ``{name}0 .. {name}{steps}`` of centres: k lowest digests, then Lloyd steps."""
+    parts = [f"""{name}p AS (SELECT {shard} AS s, {key} AS key, embedding FROM {source})""",
+             f"""{name}0 AS (SELECT s, row_number() OVER (PARTITION BY s ORDER BY md5('0:' || key), key) - 1
+  AS id, embedding AS center FROM {name}p QUALIFY id < {k})"""]
+    for i in range(steps):
+        parts += [f"""{name}a{i} AS (SELECT p.s, p.key, c.id, p.embedding FROM {name}p p JOIN {name}{i} c ON p.s = c.s
+  QUALIFY row_number() OVER (PARTITION BY p.s, p.key ORDER BY list_distance(p.embedding, c.center)::FLOAT, c.id) = 1)""",
+                  f"""{name}m{i} AS (SELECT s, id, list(m ORDER BY pos) AS center FROM (
+  SELECT s, id, pos, avg(embedding[pos]) AS m FROM {name}a{i}, unnest(range(1, 65)) AS u(pos)
+  GROUP BY ALL) GROUP BY s, id)""",
+                  f"""{name}{i + 1} AS (SELECT c.s, c.id, coalesce(m.center, c.center) AS center
+  FROM {name}{i} c LEFT JOIN {name}m{i} m ON c.s = m.s AND c.id = m.id)"""]
+    return parts
+
+
+def _long(df, *keys):
+    return df.select(*keys, "centroid_id", F.posexplode("center").alias("pos", "val")).select(
+        *keys, "centroid_id", F.col("pos").cast("bigint").alias("pos"), r4("val").alias("val"))
+
+
+_LONG = f"id AS centroid_id, i AS pos, {sql_r4('center[i + 1]')} AS val"
+_SHARDED = _lloyd_sql("sh", "vec", 8, "row_index::VARCHAR", 2, "shard")
+_ALL = _lloyd_sql("al", "vec", 10, "row_index::VARCHAR", 3)
+_CELLS = _lloyd_sql("fc", "vec", 8, "row_index::VARCHAR", 2)
+_SECOND = _lloyd_sql("tw", "(SELECT s, id, center AS embedding FROM sh2)", 10,
+                     "s || '/' || id", 2)
+
+
+@query("kmeans_shard", with_tables(VECTORS, *_SHARDED) + f"""
+SELECT s AS shard, {_LONG} FROM sh2, range(64) r(i)""")
 def kmeans_shard(spark, sf):
-    return cluster.kmeans_shard(vectors(spark, sf), 8, batch=64).select(
-        "shard", "centroid_id", F.size("center").cast("bigint").alias("dim"))
+    return _long(cluster.kmeans_shard(vectors(spark, sf), 8, max_iter=2), "shard")
 
 
-@query("kmeans_final")
+@query("kmeans_final", with_tables(VECTORS, *_ALL) + f"""
+SELECT {_LONG} FROM al3, range(64) r(i)""")
 def kmeans_final(spark, sf):
-    return cluster.kmeans_final(vectors(spark, sf), 10, "embedding", max_iter=10).select(
-        "centroid_id", F.size("center").cast("bigint").alias("dim"))
+    return _long(cluster.kmeans_final(
+        vectors(spark, sf), 10, "embedding", max_iter=3, key=["row_index"]))
 
 
-@query("cluster_two_level")
+@query("cluster_two_level", with_tables(VECTORS, *_SHARDED, *_SECOND, """one AS (
+  SELECT v.shard, v.row_index, c.id AS first_id FROM vec v JOIN sh2 c ON v.shard = c.s
+  QUALIFY row_number() OVER (PARTITION BY v.row_index ORDER BY
+    list_distance(v.embedding, c.center)::FLOAT, c.id) = 1)""", """two AS (
+  SELECT a.s AS shard, a.id AS first_id, c.id AS final_id FROM sh2 a, tw2 c
+  QUALIFY row_number() OVER (PARTITION BY a.s, a.id ORDER BY
+    list_distance(a.center, c.center)::FLOAT, c.id) = 1)""") + """
+SELECT shard, row_index, first_id, final_id FROM one JOIN two USING (shard, first_id)""")
 def cluster_two_level(spark, sf):
-    return cluster.cluster_two_level(vectors(spark, sf), 8, 10).assignment
+    return cluster.cluster_two_level(vectors(spark, sf), 8, 10, max_iter=2).assignment
+
+
+FITTED_CELLS = (*_CELLS, """cen AS (SELECT id AS centroid_id, center FROM fc2)""")
 
 
 @query("pq_fit")
@@ -386,10 +426,16 @@ def pq_fit(spark, sf):
         "part", "code", F.size("center").cast("bigint").alias("dim"))
 
 
-@query("knn_ivf_fitted")
+_FITTED_KNN = (VECTORS, *FITTED_CELLS, _NEAR, _CELL, _PROBES, _knn(
+    "inner_product",
+    "vec q JOIN probe USING (row_index) JOIN cell USING (cell) JOIN vec d "
+    "ON d.row_index = cell.row_index"))
+
+
+@query("knn_ivf_fitted", with_tables(*_FITTED_KNN) + _TIDY)
 def knn_ivf_fitted(spark, sf):
-    cells = stage(cluster.fit_cells(_docs(spark, sf), 8, max_iter=10))
-    docs = nearest.assign_cells(_docs(spark, sf), cells)
+    cells = cluster.fit_cells(_docs(spark, sf), 8, max_iter=2)
+    docs = nearest.store_cells(_docs(spark, sf), cells)
     return _tidy(nearest.knn_ivf(docs, _queries(spark, sf), cells, 5, 3))
 
 

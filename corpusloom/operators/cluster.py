@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.functions.vectors import as_double
 from corpusloom.operators.batches import (
+    BLOCK_BYTES,
     BROADCAST_BYTES,
     Block,
+    bounded_block,
     bounded_blocks,
     map_batches,
     to_lists,
@@ -27,34 +30,21 @@ from corpusloom.operators.nearest import (
     best_in_block,
     knn_exact,
 )
-from corpusloom.operators.numbering import attach, number_rows
+from corpusloom.operators.numbering import attach
+from corpusloom.operators.split import hash_key
 from corpusloom.storage import stage
 
-SLICE_ROWS = 65_536  # rows of one shard that one task clusters or assigns together
+SLICE_BYTES = BLOCK_BYTES  # vectors of one shard that one task assigns together
 
 
 def _nearest(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
     return best_in_block(x, centers, np.arange(len(centers)), 1, "l2")[1]
 
 
-def minibatch_kmeans(x: np.ndarray, k: int, batch: int, epochs: int, seed: int) -> np.ndarray:
-    """Mini-batch k-means: each centre is the running mean of the rows it has won."""
-    rng = np.random.default_rng(seed)
-    k = min(k, len(x))
-    centers = x[rng.choice(len(x), k, replace=False)].copy()
-    won = np.zeros(k)
-    for _ in range(epochs):
-        order = rng.permutation(len(x))
-        for start in range(0, len(x), batch):
-            part = x[order[start:start + batch]]
-            label = _nearest(part, centers)
-            n = np.bincount(label, minlength=k)
-            total = np.zeros_like(centers)
-            np.add.at(total, label, part)
-            won += n
-            hit = n > 0
-            centers[hit] += (total[hit] - n[hit, None] * centers[hit]) / won[hit, None]
-    return centers
+def _rows_within(df: DataFrame, vector: str) -> int:
+    """How many rows of vectors fit in ``SLICE_BYTES``."""
+    width = df.agg(F.max(F.size(vector))).first()[0] or 1
+    return max(1, SLICE_BYTES // (8 * width))
 
 
 def _slice_counts(df: DataFrame, shard: str, rows: int) -> DataFrame:
@@ -69,61 +59,107 @@ def _sliced(df: DataFrame, counts: DataFrame, shard: str, row: str) -> DataFrame
         "_slice", F.pmod(F.xxhash64(F.col(row)), F.col("_slices")))
 
 
-def kmeans_shard(df: DataFrame, k: int, shard: str = "shard", row: str = "row_index",
-                 vector: str = "embedding", batch: int = 5000, epochs: int = 3, seed: int = 0,
-                 slice_rows: int = SLICE_ROWS) -> DataFrame:
-    """About ``k`` centroids per shard: ``shard, centroid_id, center``.
-
-    A shard of more than ``slice_rows`` rows is clustered in hash slices that
-    share its ``k`` by their number, so no task holds a whole large shard.
-    All rows take part. Centroids of a shard are numbered from 0.
-    """
-    counts = _slice_counts(df, shard, slice_rows)
-    work = _sliced(df.select(shard, row, vector), counts, shard, row)
-    slices = F.col("_slices")
-    # k over the slices, the first k mod slices of them get one more, each at least one.
-    share = F.greatest(
-        F.floor(F.lit(k) / slices) + (F.col("_slice") < F.lit(k) % slices).cast("bigint"),
-        F.lit(1))
-    work = work.withColumn("_k", share.cast("int")).drop("_slices")
+def _start(df: DataFrame, k: int, shard: str, key: list[str], vector: str, seed: int) -> DataFrame:
+    """The rows with the k lowest key digests of each shard as its first centres."""
+    digest = hash_key(F.concat_ws("/", *key), seed)
+    keyed = df.select(shard, *key, digest.alias("_digest"))
+    # The rank is cut to k in each task before the shuffle; vectors follow afterwards.
+    order = Window.partitionBy(shard).orderBy("_digest", *key)
+    chosen = keyed.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k)
+    found = chosen.select(shard, *key, (F.col("_n") - 1).cast("bigint").alias("centroid_id"))
+    return df.join(stage(found), [shard, *key]).select(
+        shard, "centroid_id", as_double(F.col(vector)).alias("center"))
+
+
+def _won(df: DataFrame, centers: DataFrame, shard: str, key: list[str], vector: str,
+         max_bytes: int) -> DataFrame:
+    """Count and sum of the rows nearest to each centre of their shard: ``n, total``."""
+    total = vector_to_array(Summarizer.sum(array_to_vector(F.col("total")))).alias("total")
+    have, width = centers.agg(F.count(F.lit(1)), F.max(F.size("center"))).first()
+    if have * (width or 0) * 8 > max_bytes:
+        # Beyond the broadcast bound vectors meet their shard's centres in slices.
+        row = F.struct(*key)
+        named = df.select(shard, row.alias("_row"), as_double(F.col(vector)).alias("total"))
+        near = assign_own_shard(named, centers, shard, "_row", "total", max_bytes=max_bytes)
+        return named.join(near, [shard, "_row"]).groupBy(shard, "centroid_id").agg(
+            F.count(F.lit(1)).cast("double").alias("n"), total)
+    block = bounded_block(centers, "centroid_id", "center", [shard], max_bytes)
+    shared = df.sparkSession.sparkContext.broadcast(block.parts)
     schema = T.StructType([
-        df.schema[shard], T.StructField("_slice", T.LongType()),
-        T.StructField("_local", T.LongType()),
-        T.StructField("center", T.ArrayType(T.DoubleType()))])
-
-    def fit(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(row)
-        x = np.stack(group[vector].to_numpy()).astype(np.float64)
-        centers = minibatch_kmeans(x, int(group["_k"].iloc[0]), batch, epochs, seed)
-        return pd.DataFrame({
-            shard: group[shard].iloc[0], "_slice": group["_slice"].iloc[0],
-            "_local": np.arange(len(centers)), "center": list(centers)})
-
-    fitted = stage(work.groupBy(shard, "_slice").applyInPandas(fit, schema))
-    return number_rows(fitted, [shard, "_slice", "_local"], "centroid_id", within=[shard]).select(
-        shard, "centroid_id", "center")
+        df.schema[shard], T.StructField("centroid_id", T.LongType()),
+        T.StructField("n", T.DoubleType()), T.StructField("total", T.ArrayType(T.DoubleType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = Block(*shared.value)
+        owners = np.array(held.extra[shard], dtype=object)
+        counts, sums, kind = np.zeros(len(owners)), np.zeros_like(held.matrix), pa.null()
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            kind = batch.column(shard).type
+            matrix = to_matrix(batch.column(vector), held.matrix.shape[1])
+            coded = batch.column(shard).dictionary_encode()
+            codes = coded.indices.to_numpy(zero_copy_only=False)
+            for i, name in enumerate(coded.dictionary.to_pylist()):
+                rows, own = np.flatnonzero(codes == i), np.flatnonzero(owners == name)
+                order = own[np.argsort(held.ids[own], kind="stable")]
+                won = order[_nearest(matrix[rows], held.matrix[order])]
+                counts += np.bincount(won, minlength=len(counts))
+                np.add.at(sums, won, matrix[rows])
+        hit = np.flatnonzero(counts)
+        if len(hit):
+            yield pa.RecordBatch.from_arrays([
+                pa.array(owners[hit].tolist(), kind), pa.array(held.ids[hit], pa.int64()),
+                pa.array(counts[hit]), to_lists(sums[hit], pa.float64())],
+                names=[shard, "centroid_id", "n", "total"])
+
+    return df.select(shard, vector).mapInArrow(run, schema).groupBy(shard, "centroid_id").agg(
+        F.sum("n").alias("n"), total)
+
+
+def kmeans_shard(df: DataFrame, k: int, shard: str = "shard", row: str | Sequence[str] = "row_index",
+                 vector: str = "embedding", max_iter: int = 10, seed: int = 0,
+                 max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """min(k, rows) centroids for each shard: ``shard, centroid_id, center``.
+
+    All rows of a shard are clustered together, whatever its size: it starts from the
+    rows with the lowest digests of ``row`` and takes ``max_iter`` full Lloyd steps. Each
+    task sends one count and sum for each centre that its rows won. A centre that wins no
+    row stays. Ties go to the lower centroid.
+    """
+    key = [row] if isinstance(row, str) else list(row)
+    centers = stage(_start(df, k, shard, key, vector, seed))
+    for _ in range(max_iter):
+        won = _won(df, centers, shard, key, vector, max_bytes)
+        moved = F.transform("total", lambda x: x / F.col("n"))
+        centers = stage(centers.join(won, [shard, "centroid_id"], "left").select(
+            shard, "centroid_id", F.coalesce(moved, F.col("center")).alias("center")))
+    return centers
 
 
 def kmeans_final(centroids: DataFrame, k: int, center: str = "center", seed: int = 0,
-                 max_iter: int = 20) -> DataFrame:
-    """k-means over a table of vectors: ``centroid_id, center``; k is at most the row count."""
-    points = centroids.select(array_to_vector(as_double(F.col(center))).alias("features"))
-    have = points.count()
-    model = KMeans(k=min(k, have), seed=seed, maxIter=max_iter).fit(points)
-    centers = np.array(model.clusterCenters())
-    return centroids.sparkSession.createDataFrame(pa.table({
-        "centroid_id": pa.array(np.arange(len(centers))), "center": to_lists(centers, pa.float64())}))
+                 max_iter: int = 10, key: Sequence[str] | None = None) -> DataFrame:
+    """k-means over a table of vectors: ``centroid_id, center``; k is at most the row count.
+
+    ``key`` identifies a row; all columns but the vector, if not given.
+    """
+    names = [c for c in centroids.columns if c != center] if key is None else list(key)
+    one = centroids.select(F.lit(0).alias("_all"), *[
+        F.col(c).alias(f"_key{i}") for i, c in enumerate(names)], F.col(center).alias("_vector"))
+    keys = [f"_key{i}" for i in range(len(names))]
+    return kmeans_shard(one, k, "_all", keys, "_vector", max_iter, seed).select(
+        "centroid_id", "center")
 
 
 def fit_cells(docs: DataFrame, nlist: int = 8, vector: str = "embedding", seed: int = 0,
-              max_iter: int = 20) -> DataFrame:
+              max_iter: int = 10, key: str = "doc_id") -> DataFrame:
     """The coarse centroids of a pruned search, fitted on all of ``docs``."""
-    return kmeans_final(docs, nlist, vector, seed, max_iter)
+    return kmeans_final(docs, nlist, vector, seed, max_iter, [key])
 
 
 def assign_own_shard(df: DataFrame, centroids: DataFrame, shard: str = "shard",
                      row: str = "row_index", vector: str = "embedding",
-                     slice_rows: int = SLICE_ROWS,
+                     slice_rows: int | None = None,
                      max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """The nearest centroid of a vector among those of its own shard.
 
@@ -151,7 +187,7 @@ def assign_own_shard(df: DataFrame, centroids: DataFrame, shard: str = "shard",
 
         return map_batches(df, [shard, row], vector, new, compute)
 
-    counts = _slice_counts(df, shard, slice_rows)
+    counts = _slice_counts(df, shard, slice_rows or _rows_within(df, vector))
     work = _sliced(df.select(shard, row, vector), counts, shard, row)
     slices = counts.select(shard, F.explode(F.sequence(
         F.lit(0).cast("bigint"), F.col("_slices") - 1)).alias("_slice"))
@@ -218,10 +254,10 @@ class Clustering:
 
 def cluster_two_level(df: DataFrame, k_first: int = 10_000, k_final: int = 50_000,
                       shard: str = "shard", row: str = "row_index", vector: str = "embedding",
-                      seed: int = 0) -> Clustering:
+                      seed: int = 0, max_iter: int = 10) -> Clustering:
     """All steps; every intermediate result is a written table."""
-    first = stage(kmeans_shard(df, k_first, shard, row, vector, seed=seed))
-    final = stage(kmeans_final(first, k_final, seed=seed))
+    first = kmeans_shard(df, k_first, shard, row, vector, max_iter, seed)
+    final = kmeans_final(first, k_final, "center", seed, max_iter, [shard, "centroid_id"])
     assignment = stage(assign_two_hop(df, first, final, shard, row, vector))
     chosen = stage(representatives(df, final, "shard", shard, row, vector))
     return Clustering(first, final, assignment, chosen)

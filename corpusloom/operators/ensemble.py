@@ -21,20 +21,21 @@ TAGS_PER_CATEGORY = {"medium": 1, "movement": 1, "flavor": 3}
 
 
 def select_tags(images: DataFrame, keywords: DataFrame, image: str = "image_id",
-                vector: str = "embedding") -> DataFrame:
+                vector: str = "embedding", quotas: dict[str, int] | None = None,
+                other: int = 1) -> DataFrame:
     """The labels nearest to each image by cosine, per category, best first.
 
-    Gives ``image, category, rank, label_id, label, score``. A category has
-    few labels, so they go to every task and the images stay in place.
+    ``quotas`` says how many labels a category gives, ``other`` how many one that it
+    doesn't name. Gives ``image, category, rank, label_id, label, score``. A category
+    has few labels, so they go to every task and the images stay in place.
     """
-    most = max(TAGS_PER_CATEGORY.values())
+    wanted = TAGS_PER_CATEGORY if quotas is None else quotas
+    most = max(other, *wanted.values()) if wanted else other
     near = nearest_targets(images, keywords, most, [image], "cosine", "label_id", vector, vector,
                            category="category")
-    quota = reduce(
-        lambda c, kv: c.when(F.col("category") == kv[0], kv[1]),
-        list(TAGS_PER_CATEGORY.items())[1:],
-        F.when(F.col("category") == list(TAGS_PER_CATEGORY)[0],
-               list(TAGS_PER_CATEGORY.values())[0]))
+    quota = F.lit(other)
+    for category, count in wanted.items():
+        quota = F.when(F.col("category") == category, count).otherwise(quota)
     entry = F.posexplode(F.arrays_zip("target_ids", "target_scores")).alias("pos", "e")
     ranked = near.select(image, "category", entry).where(F.col("pos") < quota).select(
         image, "category", (F.col("pos") + 1).alias("rank"),
@@ -45,7 +46,10 @@ def select_tags(images: DataFrame, keywords: DataFrame, image: str = "image_id",
 
 
 def suffixes(tags: DataFrame, image: str = "image_id") -> DataFrame:
-    """One suffix per image. An image has a handful of tags, so the lists are short."""
+    """One suffix per image. An image has a handful of tags, so the lists are short.
+
+    A category without a tag leaves its place in the suffix empty.
+    """
 
     def labels(category: str) -> Column:
         entry = F.when(F.col("category") == category, F.struct("rank", "label"))
@@ -53,28 +57,34 @@ def suffixes(tags: DataFrame, image: str = "image_id") -> DataFrame:
 
     gathered = tags.groupBy(image).agg(
         labels("medium").alias("m"), labels("movement").alias("v"), labels("flavor").alias("f"))
-    return gathered.select(
-        image, tag_suffix(F.get("m", F.lit(0)), F.get("v", F.lit(0)), F.col("f")).alias("suffix"))
+    medium, movement = (F.coalesce(F.get(c, F.lit(0)), F.lit("")) for c in ("m", "v"))
+    return gathered.select(image, tag_suffix(medium, movement, F.col("f")).alias("suffix"))
 
 
 def attach_suffix(prompts: DataFrame, suffix: DataFrame, mode: str = "image",
                   image: str = "image_id", order_by: Sequence[str] = ("image_id", "seq"),
-                  text: str = "text") -> DataFrame:
+                  text: str = "text", model: str = "model") -> DataFrame:
     """Append the suffix to each prompt.
 
-    ``'image'`` joins by image. ``'tiled'`` gives prompt ``j`` of all prompts in
-    the order ``order_by`` the suffix of image ``j mod n`` of n images.
+    ``'image'`` joins by image; a prompt whose image has no suffix is an error.
+    ``'tiled'`` gives prompt ``j`` of its model's prompts in the order ``order_by`` the
+    suffix of image ``j mod n`` of n images.
     """
     if mode == "image":
-        joined = prompts.join(suffix, image)
+        joined = prompts.join(suffix, image, "left")
+        missing = F.raise_error(F.concat(F.lit("no suffix for image "), F.col(image).cast("string")))
+        ending = F.coalesce("suffix", missing)
     elif mode == "tiled":
-        n = suffix.agg(F.count(F.lit(1)).alias("n")).scalar()
-        numbered = number_rows(prompts, order_by, "_j").withColumn("_slot", F.col("_j") % n)
+        n = suffix.count()
+        if n == 0:
+            raise ValueError("no suffixes")
+        numbered = number_rows(prompts, [model, *order_by], "_j", within=[model]).withColumn(
+            "_slot", F.col("_j") % n)
         slots = number_rows(suffix, [image], "_slot").select("_slot", "suffix")
-        joined = numbered.join(slots, "_slot")
+        joined, ending = numbered.join(slots, "_slot"), F.col("suffix")
     else:
         raise ValueError("mode is 'image' or 'tiled'")
-    return joined.withColumn(text, F.concat(text, "suffix")).select(*prompts.columns)
+    return joined.withColumn(text, F.concat(text, ending)).select(*prompts.columns)
 
 
 def union_models(frames: dict[str, DataFrame], name: str = "model") -> DataFrame:

@@ -329,7 +329,15 @@ def assign_cells(docs: DataFrame, centroids: DataFrame, vector: str = "embedding
     return map_batches(docs, docs.columns, vector, new, compute)
 
 
-LISTED_CELLS = 1000
+def store_cells(docs: DataFrame, centroids: DataFrame, vector: str = "embedding",
+                name: str = "cell") -> DataFrame:
+    """Documents with their cell, written in one folder per cell.
+
+    A search over the result reads the folders of probed cells only. Small cells are
+    gathered in few files, and a cell of any size spreads over several.
+    """
+    assigned = assign_cells(docs, centroids, vector, name)
+    return stage(assigned.hint("rebalance", name), [name])
 
 
 def probe_cells(queries: DataFrame, centroids: DataFrame, nprobe: int, query_id: str,
@@ -351,18 +359,23 @@ def rows_by_cell(batch: pa.RecordBatch, cell: str, rows: np.ndarray) -> Iterator
 
 def queries_by_cell(block: Block) -> dict[int, np.ndarray]:
     """For each cell the queries of a block that probe it."""
-    flat = [(c, i) for i, cells in enumerate(block.extra["cells"]) for c in cells]
-    grouped: dict[int, list[int]] = {}
-    for c, i in flat:
-        grouped.setdefault(c, []).append(i)
-    return {c: np.array(members) for c, members in grouped.items()}
+    lists = block.extra["cells"]
+    cells = np.array([c for cells in lists for c in cells], dtype=np.int64)
+    owners = np.repeat(np.arange(len(lists)), [len(cells) for cells in lists])
+    order = np.argsort(cells, kind="stable")
+    cells, owners = cells[order], owners[order]
+    edges = np.flatnonzero(np.diff(cells)) + 1
+    return {int(c[0]): o for c, o in zip(np.split(cells, edges), np.split(owners, edges)) if len(c)}
 
 
 def in_probed_cells(docs: DataFrame, probes: DataFrame, cell: str) -> DataFrame:
-    """Documents in a probed cell, by partition pruning where the cells are few."""
-    wanted = [r[0] for r in probes.select(F.explode("cells")).distinct().limit(
-        LISTED_CELLS + 1).collect()]
-    return docs if len(wanted) > LISTED_CELLS else docs.where(F.col(cell).isin(wanted))
+    """Documents in a probed cell.
+
+    Where ``cell`` is a partition column, Spark finds the probed cells first and reads
+    their folders only.
+    """
+    wanted = probes.select(F.explode("cells").alias(cell)).distinct()
+    return docs.join(stage(wanted).where(F.col(cell) >= 0), cell, "left_semi")
 
 
 def knn_ivf(

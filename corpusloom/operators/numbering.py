@@ -5,62 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from corpusloom.functions.vectors import checked_dim
 from corpusloom.storage import stage
 
-ROWS_PER_SPLIT = 32  # sampled keys per range bucket
-HASH_SPACE = 1 << 31
-SMALL_ROWS = 65_536  # a table of this size is numbered in one task
-
-
-def _split_points(df: DataFrame, columns: Sequence[str], rows: int, buckets: int) -> Column:
-    """A constant sorted array of about ``buckets`` keys.
-
-    They come from the keys whose hash lies below a threshold, so the same
-    data gives the same points whatever its partitioning. Only these points
-    reach the driver, and they only set how evenly the work is spread.
-    """
-    wanted = buckets * ROWS_PER_SPLIT
-    threshold = int(min(1.0, wanted / rows) * HASH_SPACE)
-    sampled = df.select(F.struct(*columns).alias("_key")).where(
-        F.pmod(F.xxhash64("_key"), F.lit(HASH_SPACE)) < threshold)
-    every = F.lit(ROWS_PER_SPLIT)
-    keys = F.sort_array(F.collect_set("_key"))
-    points = sampled.agg(keys.alias("_keys")).select(
-        F.filter("_keys", lambda k, i: i % every == 0)).first()[0]
-    kinds = [df.schema[c].dataType for c in columns]
-    constants = F.array(*[
-        F.struct(*[F.lit(v).cast(t).alias(c) for c, v, t in zip(columns, point, kinds)])
-        for point in points])
-    # The type of the key, nullable fields included: else every comparison casts.
-    return constants.cast(T.ArrayType(T.StructType([df.schema[c] for c in columns])))
-
-
-def _with_bucket(df: DataFrame, columns: Sequence[str], splits: Column,
-                 buckets: int) -> DataFrame:
-    """Append ``_bucket``: how many split points are not above the key, by binary search.
-
-    One projection per step: all of them run in one generated function, which
-    a higher-order function over the steps would not.
-    """
-    df = df.withColumns({"_key": F.struct(*columns), "_bucket": F.lit(0)})
-    for exponent in range(buckets.bit_length(), -1, -1):
-        ahead = F.col("_bucket") + F.lit(1 << exponent)
-        # Beyond the last split point the comparison is null, and the place stays.
-        df = df.withColumn("_bucket", F.when(
-            F.get(splits, ahead - 1) <= F.col("_key"), ahead).otherwise(F.col("_bucket")))
-    return df.drop("_key")
-
-
-def _buckets(df: DataFrame) -> int:
-    configured = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return min(max(2 * configured, 8), 8192)
-
-
 def number_rows(
     df: DataFrame,
     order_by: Sequence[str],
@@ -73,44 +23,29 @@ def number_rows(
     With ``within`` (a leading part of ``order_by``) the count starts anew in
     each group, and a group of any size is still spread over many tasks.
 
-    The order is cut into ranges at split points; rows are numbered inside
-    their range and shifted by the rows of the ranges before. The only
-    one-task steps run over the split points and over the per-range counts. A
-    table of at most ``SMALL_ROWS`` rows is numbered directly.
-    The table is read four times, three of them for ``order_by`` alone: stage
-    it first if it is the result of costly steps.
+    Spark deals the rows to consecutive ranges and sorts each. The sorted rows are
+    written once with their place in their range; the rows of earlier ranges are
+    added. Only the counts, one row for each range (and group), meet in one place.
+    A group that holds most of the rows spreads over many ranges.
     """
     if list(order_by[: len(within)]) != list(within):
         raise ValueError("'within' must be the leading part of 'order_by'")
-    buckets = _buckets(df)
-    rows = df.count()
-    if rows <= SMALL_ROWS:
-        position = F.row_number().over(Window.partitionBy(*within).orderBy(*order_by)) - 1
-        return df.withColumn(name, position.cast("bigint"))
-    splits = _split_points(df, order_by, rows, buckets)
-    ranged = _with_bucket(df, order_by, splits, buckets)
-    place = [*within, "_bucket"]
-
-    counts = ranged.groupBy(*place).agg(F.count(F.lit(1)).alias("_rows"))
-    before = Window.partitionBy(*within).orderBy("_bucket").rowsBetween(
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = stage(df.repartitionByRange(parts, *order_by).sortWithinPartitions(*order_by).withColumn(
+        "_place", F.monotonically_increasing_id()))
+    # The upper bits of a place are the range, the lower ones count its rows.
+    located = ranged.withColumn("_range", F.shiftright("_place", 33))
+    counts = located.groupBy(*within, "_range").agg(
+        F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    before = Window.partitionBy(*within).orderBy("_range").rowsBetween(
         Window.unboundedPreceding, -1)
-    offsets = counts.select(
-        *place, F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
-
-    numbered = ranged.withColumn(
-        "_local", F.row_number().over(Window.partitionBy(*place).orderBy(*order_by)) - 1)
-    if within:
-        # As many rows as groups and ranges: staged, so that Catalyst knows its size.
-        offsets = stage(offsets)
-        condition = reduce(
-            lambda a, b: a & b, [F.col(f"n.{c}").eqNullSafe(F.col(f"o.{c}")) for c in place])
-        joined = numbered.alias("n").join(offsets.alias("o"), condition)
-    else:
-        # At most one row per range.
-        joined = numbered.alias("n").join(F.broadcast(offsets.alias("o")), "_bucket")
-    return joined.select(
+    offsets = stage(counts.select(*within, "_range", (
+        F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first")).alias("_shift")))
+    condition = reduce(lambda a, b: a & b, [
+        F.col(f"n.{c}").eqNullSafe(F.col(f"o.{c}")) for c in (*within, "_range")])
+    return located.alias("n").join(offsets.alias("o"), condition).select(
         *[F.col(f"n.{c}") for c in df.columns],
-        (F.col("n._local") + F.col("o._offset")).cast("bigint").alias(name))
+        (F.col("n._place") + F.col("o._shift")).cast("bigint").alias(name))
 
 
 def attach(df: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
@@ -122,13 +57,13 @@ def attach(df: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner
     return df.join(small, list(on), how)
 
 
-def _staged_values(df: DataFrame, column: str) -> DataFrame:
-    return stage(df.select(column).where(F.col(column).isNotNull()).distinct())
+def _values(df: DataFrame, column: str) -> DataFrame:
+    return df.select(column).where(F.col(column).isNotNull()).distinct()
 
 
 def group_number(df: DataFrame, column: str, name: str = "group_id") -> DataFrame:
     """Append the 0-based rank of ``column`` among its distinct values."""
-    ranks = number_rows(_staged_values(df, column), [column], name)
+    ranks = number_rows(_values(df, column), [column], name)
     return attach(df, ranks, [column], "left").select(*df.columns, name)
 
 
@@ -142,7 +77,7 @@ def file_batch(df: DataFrame, column: str = "shard", size: int = 4,
 
 def file_slice(df: DataFrame, start: int, end: int | None, column: str = "shard") -> DataFrame:
     """The rows of files ``[start, end)`` in the sorted listing."""
-    ranks = number_rows(_staged_values(df, column), [column], "_file_rank")
+    ranks = number_rows(_values(df, column), [column], "_file_rank")
     wanted = ranks.where(F.col("_file_rank") >= start)
     if end is not None:
         wanted = wanted.where(F.col("_file_rank") < end)
@@ -157,7 +92,7 @@ def image_number(df: DataFrame, part: str = "part", img_name: str = "img_name",
 
 def shard_offsets(df: DataFrame, shard: str = "shard") -> DataFrame:
     """Per shard its row count and the number of rows in all shards before it."""
-    counts = stage(df.groupBy(shard).agg(F.count(F.lit(1)).alias("n_rows")))
+    counts = df.groupBy(shard).agg(F.count(F.lit(1)).alias("n_rows"))
     ranked = number_rows(counts, [shard], "_rank")
     # Prefix sums in blocks of 4096 shards: sums inside a block plus the blocks before.
     blocked = ranked.withColumn("_block", F.floor(F.col("_rank") / 4096))

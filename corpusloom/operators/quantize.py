@@ -302,9 +302,13 @@ def reshape_codes(df: DataFrame, width: int = 1024, code: str = "code", batch: s
 
 def codebook_codes(patches: DataFrame, codebook: DataFrame, width: int, image: str = "image_id",
                    position: str = "pos", vector: str = "embedding") -> DataFrame:
-    """Per image the nearest codebook entries of its patches, in patch order."""
+    """Per image the nearest codebook entries of its patches, in patch order.
+
+    An image with fewer or more than ``width`` patches is an error.
+    """
     coded = assign_nearest(patches, codebook, [image, position], vector)
-    gathered = reshape_codes(
-        coded.select(image, position, F.col("centroid_id").alias("code")), width, "code",
-        image, position)
-    return gathered.where(F.col("row_in_batch") == 0).drop("row_in_batch")
+    entry = F.struct(position, F.col("centroid_id").cast("smallint").alias("code"))
+    gathered = coded.groupBy(image).agg(F.sort_array(F.collect_list(entry)).alias("_c"))
+    message = F.concat(F.lit(f"not {width} patches in image "), F.col(image).cast("string"))
+    return gathered.select(image, F.when(F.size("_c") == width, F.col("_c.code")).otherwise(
+        F.raise_error(message)).alias("codes"))

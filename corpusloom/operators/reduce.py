@@ -70,45 +70,66 @@ def split_by_width(df: DataFrame, dim: int, vector: str = "embedding") -> tuple[
     return df.where(fits), df.where(~F.coalesce(fits, F.lit(False)))
 
 
+def _fitting(column: pa.Array, width: int) -> pa.Array:
+    """Which lists have ``width`` numbers, none of them null."""
+    fits = np.zeros(len(column), bool)
+    for i, size in enumerate(column.value_lengths().to_pylist()):
+        fits[i] = size == width
+    if column.flatten().null_count:
+        whole = [v is not None and None not in v for v in column.to_pylist()]
+        fits &= np.array(whole, bool)
+    return pa.array(fits)
+
+
+def _spread(values: pa.Array, fits: pa.Array) -> pa.Array:
+    """``values`` at the places that fit, null at the others."""
+    place = np.cumsum(fits.to_numpy(zero_copy_only=False)) - 1
+    return values.take(pa.array(place, mask=~fits.to_numpy(zero_copy_only=False)))
+
+
 def encode_mlp(df: DataFrame, layers: Sequence[Layer], keep: Sequence[str],
                vector: str = "embedding", name: str = "reduced") -> DataFrame:
-    """Append the output of the layers; rows of a wrong width don't pass.
-
-    ``split_by_width`` gives those rows.
-    """
+    """Append the output of the layers; null for a vector of a wrong width."""
     _check_size(layers)
     shared = _share(df.sparkSession, layers)
     width = layers[0].weight.shape[1]
 
     def compute(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-        made = apply_layers(to_matrix(batch.column(vector), width), _layers(shared))
-        return {name: to_lists(made.astype(np.float32), pa.float32())}
+        fits = _fitting(batch.column(vector), width)
+        made = apply_layers(to_matrix(batch.column(vector).filter(fits), width), _layers(shared))
+        return {name: _spread(to_lists(made.astype(np.float32), pa.float32()), fits)}
 
     new = T.StructType([T.StructField(name, T.ArrayType(T.FloatType()))])
-    usable, _ = split_by_width(df, width, vector)
-    return map_batches(usable, keep, vector, new, compute)
+    return map_batches(df, keep, vector, new, compute)
 
 
 def reconstruction_error(df: DataFrame, model: Autoencoder, keep: Sequence[str],
                          vector: str = "embedding") -> DataFrame:
-    """Append ``error``, the mean squared difference of a vector to its reconstruction."""
+    """Append ``error``, the mean squared difference of a vector to its reconstruction.
+
+    Null for a vector of a wrong width.
+    """
     layers = (*model.encoder, *model.decoder)
     _check_size(layers)
     shared = _share(df.sparkSession, layers)
     width = layers[0].weight.shape[1]
 
     def compute(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-        x = to_matrix(batch.column(vector), width)
-        return {"error": pa.array(((apply_layers(x, _layers(shared)) - x) ** 2).mean(axis=1))}
+        fits = _fitting(batch.column(vector), width)
+        x = to_matrix(batch.column(vector).filter(fits), width)
+        error = ((apply_layers(x, _layers(shared)) - x) ** 2).mean(axis=1)
+        return {"error": _spread(pa.array(error, pa.float64()), fits)}
 
-    usable, _ = split_by_width(df, width, vector)
-    return map_batches(usable, keep, vector, T.StructType([
+    return map_batches(df, keep, vector, T.StructType([
         T.StructField("error", T.DoubleType())]), compute)
 
 
 def reconstruction_mse(df: DataFrame, model: Autoencoder, keep: Sequence[str],
                        vector: str = "embedding") -> DataFrame:
-    return reconstruction_error(df, model, keep, vector).agg(F.avg("error").alias("mse"))
+    """``mse`` over the usable rows, and how many rows there are and were rejected."""
+    return reconstruction_error(df, model, keep, vector).agg(
+        F.avg("error").alias("mse"), F.count(F.lit(1)).alias("n_rows"),
+        F.count_if(F.col("error").isNull()).alias("n_rejected"))
 
 
 def fit_pca(df: DataFrame, dim: int, vector: str = "embedding") -> Autoencoder:

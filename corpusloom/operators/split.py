@@ -12,7 +12,6 @@ from corpusloom.operators.numbering import number_rows
 from corpusloom.storage import stage
 
 HASH_RANGE = 1 << 32
-SMALL_ROWS = 65_536  # a table of this size is sampled in one task
 
 
 def filter_steps(df: DataFrame, steps: int = 50, column: str = "steps") -> DataFrame:
@@ -54,16 +53,13 @@ def sample_n(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
 
     ``key`` identifies a row. The rows with the n lowest digests are taken.
     Nearly all of them lie below a digest that the counts give; only the rows
-    in a band of some ``sqrt(n)`` around the n-th are sorted. A table of at
-    most ``SMALL_ROWS`` rows is sorted as a whole.
+    in a band of some ``sqrt(n)`` around the n-th are sorted.
     """
     total = df.count()
     if n >= total:
         return df
     hashed = df.withColumn("_digest", hash_key(key, seed))
     digest = F.col("_digest")
-    if total <= SMALL_ROWS:
-        return hashed.orderBy("_digest", key).limit(n).drop("_digest")
     slack = 6 * n ** 0.5 + 16
     while True:
         low, high = _digest_at((n - slack) / total), _digest_at((n + slack) / total)
@@ -92,9 +88,20 @@ def split_contiguous(df: DataFrame, ratio: float, order_by: Sequence[str],
         name, F.col("_position") < edge).drop("_position")
 
 
-def bootstrap(df: DataFrame, fraction: float = 1.0, seed: int = 0) -> DataFrame:
-    """Rows drawn with replacement; the size holds in expectation."""
-    return df.sample(withReplacement=True, fraction=fraction, seed=seed)
+def bootstrap(df: DataFrame, key: str, n: int | None = None, seed: int = 0,
+              name: str = "draw") -> DataFrame:
+    """Exactly ``n`` rows (as many as there are, if not given) drawn with replacement.
+
+    ``key`` identifies a row. Draw ``j`` takes the row whose place in the order of the
+    key is a digest of (seed, j) modulo the number of rows, under any partitioning.
+    """
+    rows = number_rows(df, [key], "_row")
+    total = rows.count()
+    if total == 0:
+        return rows.select(*df.columns, F.col("_row").alias(name))
+    draws = df.sparkSession.range(total if n is None else n).select(
+        F.col("id").alias(name), (_hash_number(hash_key("id", seed)) % total).alias("_row"))
+    return draws.join(rows, "_row").select(*df.columns, name)
 
 
 def exclude_prompts(train: DataFrame, validation: DataFrame, n: int = 20, mode: str = "prefix",

@@ -11,11 +11,11 @@ POSITION = ("shard", "row_index")
 
 
 def take_vectors(meta: DataFrame, vectors: DataFrame, on: Sequence[str] = POSITION,
-                 strict: bool = False) -> DataFrame:
+                 strict: bool = True) -> DataFrame:
     """The vector of every metadata row; repeated rows stay repeated.
 
-    A position without a vector is dropped, or with ``strict`` an error that
-    the running query raises: no second pass looks for it.
+    A position without a vector is an error that the running query raises: no
+    second pass looks for it. Without ``strict`` such rows are left out.
     """
     if not strict:
         return meta.join(vectors, list(on), "inner")
@@ -46,9 +46,19 @@ def unpaired_counts(paired: DataFrame, names: tuple[str, str]) -> DataFrame:
 
 
 def neighbour_meta(neighbours: DataFrame, index: DataFrame,
-                   position: str = "image_number") -> DataFrame:
-    """Look up the index row of every neighbour."""
-    return neighbours.join(index, F.col("doc_id") == F.col(position), "inner").drop(position)
+                   position: str = "image_number", strict: bool = True) -> DataFrame:
+    """Look up the index row of every neighbour.
+
+    A neighbour without one is an error; without ``strict`` its columns stay null.
+    """
+    columns = [c for c in index.columns if c != position]
+    joined = neighbours.join(index.withColumn("_found", F.lit(True)),
+                             F.col("doc_id") == F.col(position), "left").drop(position)
+    if strict:
+        missing = F.raise_error(F.concat(F.lit("no index row for "), F.col("doc_id").cast("string")))
+        joined = joined.withColumns(
+            {c: F.when(F.col("_found"), F.col(c)).otherwise(missing) for c in columns})
+    return joined.drop("_found")
 
 
 def widen_neighbours(neighbours: DataFrame) -> DataFrame:

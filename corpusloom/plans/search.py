@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.operators.cluster import fit_cells
-from corpusloom.operators.nearest import assign_cells, knn_exact, knn_ivf
+from corpusloom.operators.nearest import knn_exact, knn_ivf, store_cells
 from corpusloom.operators.take import neighbour_meta
-from corpusloom.storage import stage
 
 
 def search_images(
@@ -20,18 +19,21 @@ def search_images(
     nprobe: int = 3,
     metric: str = "inner_product",
     exact: bool = False,
+    strict: bool = True,
+    fit_steps: int = 10,
 ) -> DataFrame:
     """The best ``k`` images per query with their index rows.
 
     ``docs`` holds ``doc_id, embedding`` with the image number as id, ``queries``
     ``query_id, embedding``. Without ``exact`` only the ``nprobe`` nearest of
     ``nlist`` cells are searched; one set of cells serves all documents.
+    A document without an index row is an error; without ``strict`` its columns are null.
     """
     if exact:
         found = knn_exact(docs, queries, k, metric)
     else:
-        cells = stage(fit_cells(docs, nlist))
-        found = knn_ivf(assign_cells(docs, cells), queries, cells, k, nprobe, metric)
-    named = neighbour_meta(found, index)
+        cells = fit_cells(docs, nlist, max_iter=fit_steps)
+        found = knn_ivf(store_cells(docs, cells), queries, cells, k, nprobe, metric)
+    named = neighbour_meta(found, index, strict=strict)
     return named.select("query_id", F.col("rank").cast("bigint").alias("rank"), "doc_id", "score",
                         *[c for c in index.columns if c != "image_number"])

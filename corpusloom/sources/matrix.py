@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import fnmatch
 import os
+import time
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -130,6 +131,8 @@ class MatrixWriter(DataSourceArrowWriter):
         self.folder, self.overwrite = options["path"], overwrite
         self.dtype = np.dtype(options.get("dtype", "float32"))
         self.run = uuid.uuid4().hex
+        # Later runs sort after earlier ones, so an append adds rows at the end.
+        self.stamp = f"{time.time_ns():020d}"
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
         from pyspark import TaskContext
@@ -162,18 +165,20 @@ class MatrixWriter(DataSourceArrowWriter):
             while piece := data.read(1 << 24):
                 out.write(piece)
         os.remove(body)
-        return Written(staged, os.path.join(self.folder, f"part_{part:05d}.npy"))
+        return Written(staged, os.path.join(self.folder, f"part_{self.stamp}_{part:05d}.npy"))
 
     def commit(self, messages: list[Written | None]) -> None:
+        # New files first, so that a failure in between loses nothing.
         kept = {m.final for m in messages if m and m.final}
-        if self.overwrite and os.path.isdir(self.folder):
-            for name in os.listdir(self.folder):
-                path = os.path.join(self.folder, name)
-                if fnmatch.fnmatch(name, "part_*.npy") and path not in kept:
-                    os.remove(path)
         for m in messages:
             if m and m.staged:
                 os.replace(m.staged, m.final)
+        if os.path.isdir(self.folder):
+            for name in os.listdir(self.folder):
+                path = os.path.join(self.folder, name)
+                old = self.overwrite and fnmatch.fnmatch(name, "part_*.npy") and path not in kept
+                if old or name.startswith(f"_{self.run}"):
+                    os.remove(path)
 
     def abort(self, messages: list[Written | None]) -> None:
         if os.path.isdir(self.folder):

@@ -7,27 +7,24 @@ between a broadcast and a shuffled join.
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
-_local_dir: str | None = None
 _written: list[str] = []
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a fresh local one only under a local master."""
-    global _local_dir
+    """The shared folder of ``spark.checkpoint.dir``; where it's unset, one in the warehouse.
+
+    Both are seen by the driver and all executors.
+    """
     configured = spark.conf.get(_KEY, None)
     if configured:
         return configured
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError(f"set {_KEY} to a folder that all executors share")
-    if _local_dir is None:
-        _local_dir = tempfile.mkdtemp(prefix="corpusloom-")
-    return _local_dir
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_staged"
 
 
 def stage(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
@@ -50,3 +47,10 @@ def drop_staged(spark: SparkSession) -> int:
         path = context._jvm.org.apache.hadoop.fs.Path(_written.pop())
         removed += path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
     return removed
+
+
+@atexit.register
+def _drop_at_exit() -> None:
+    spark = SparkSession.getActiveSession() if _written else None
+    if spark is not None:
+        drop_staged(spark)

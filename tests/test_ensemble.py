@@ -78,13 +78,29 @@ def test_suffixes_by_image_and_tiled(spark, tagged):
         F.lit("p").alias("text"))
     own = ensemble.attach_suffix(prompts, suffix).collect()
     assert all(r["text"] == "p" + table[r["image_id"]] for r in own) and len(own) == 90
-    tiled = ensemble.attach_suffix(prompts, suffix, "tiled").collect()
-    assert len(tiled) == 90
+    two = prompts.withColumn("model", F.explode(F.array(F.lit("A"), F.lit("B"))))
+    tiled = ensemble.attach_suffix(two, suffix, "tiled").collect()
+    assert len(tiled) == 180
     assert all(r["text"] == "p" + table[(r["image_id"] * 3 + r["seq"]) % 30] for r in tiled)
+    with pytest.raises(Exception, match="no suffix for image"):
+        ensemble.attach_suffix(prompts, suffix.where("image_id <> 4")).collect()
     with pytest.raises(ValueError):
         ensemble.attach_suffix(prompts, suffix, "random")
 
 
+def test_quotas_name_their_categories(spark):
+    images = frame(spark, range(3), RNG.normal(size=(3, 4)), "image_id")
+    labels = [(c, i, f"{c}{i}", RNG.normal(size=4).tolist()) for i, c in enumerate("mmvvffffxxxx")]
+    kw = spark.createDataFrame(labels, "category string, label_id long, label string, embedding array<double>")
+    got = ensemble.select_tags(images, kw, quotas={"m": 1, "f": 3, "x": 2}).groupBy("category").count()
+    assert {r[0]: r[1] for r in got.collect()} == {"m": 3, "f": 9, "x": 6, "v": 3}
+
+
+def test_an_image_without_a_category_has_a_suffix(spark):
+    tags = spark.createDataFrame([(1, "flavor", 1, "warm")], "image_id long, category string, rank int, label string")
+    assert ensemble.suffixes(tags).first()["suffix"] == ", , , warm, fine details, masterpiece"
+
+
 def test_pool_and_long_form(spark):
     x = RNG.normal(size=(40, 5))
     df = frame(spark, range(40), x, "row").withColumn("image_id", F.col("row") % 3)

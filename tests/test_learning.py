@@ -139,12 +139,25 @@ def test_encoder_rejects_wrong_widths(spark):
     df = spark.createDataFrame([(1, [1.0, -2.0]), (2, [1.0]), (3, None), (4, [1.0, None])],
                                "id bigint, embedding array<float>")
     layer = reduce.Layer(np.array([[1.0, 0.0], [0.0, 1.0], [1.0, 1.0]]), np.array([0.5, 0.5, 0.5]))
-    assert [tuple(r) for r in reduce.encode_mlp(df, [layer], ["id"]).collect()] == [
-        (1, [1.5, 0.0, 0.0])]
+    assert sorted(tuple(r) for r in reduce.encode_mlp(df, [layer], ["id"]).collect()) == [
+        (1, [1.5, 0.0, 0.0]), (2, None), (3, None), (4, None)]
+    same = reduce.Autoencoder((reduce.Layer(np.eye(2), np.zeros(2), relu=False),), ())
+    assert tuple(reduce.reconstruction_mse(df, same, ["id"]).first()) == (0.0, 4, 3)
     _, rejected = reduce.split_by_width(df, 2)
     assert sorted(r[0] for r in rejected.collect()) == [2, 3, 4]
 
 
+def test_patches_beyond_the_width_are_an_error(spark):
+    patches = spark.createDataFrame(
+        [(i, p, [float(p)]) for i, n in ((1, 4), (2, 6)) for p in range(n)],
+        "image_id long, pos long, embedding array<double>")
+    book = spark.createDataFrame([(0, [0.0]), (1, [3.0])], "centroid_id long, center array<double>")
+    good = quantize.codebook_codes(patches.where("image_id = 1"), book, 4).collect()
+    assert [r["codes"] for r in good] == [[0, 0, 1, 1]]
+    with pytest.raises(Exception, match="not 4 patches in image 2"):
+        quantize.codebook_codes(patches, book, 4).collect()
+
+
 def test_gradients_agree_with_differences():
     rng = np.random.default_rng(1)
     layers = [*reduce._start([5, 4, 3], rng, True), *reduce._start([3, 4, 5], rng, False)]

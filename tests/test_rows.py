@@ -49,9 +49,7 @@ def test_ordered_distinct(spark):
 
 
 @pytest.mark.parametrize("n", [1, 10, 500, 4999, 5000, 9000])
-@pytest.mark.parametrize("small", [1, 1 << 16])
-def test_sample_is_exact_and_ignores_partitioning(spark, monkeypatch, n, small):
-    monkeypatch.setattr(split, "SMALL_ROWS", small)
+def test_sample_is_exact_and_ignores_partitioning(spark, n):
     df = spark.range(5000).withColumn("x", F.col("id") * 2)
     one = {r[0] for r in split.sample_n(df.coalesce(1), n, "id", 3).collect()}
     many = split.sample_n(df.repartition(13), n, "id", 3)
@@ -67,7 +65,16 @@ def test_splits(spark):
     assert 1800 < share < 2200
     marked = split.split_contiguous(spark.range(1001), 0.9, ["id"]).toPandas()
     assert marked.loc[marked["is_train"], "id"].max() == 899 and marked["is_train"].sum() == 900
-    assert 9500 < split.bootstrap(spark.range(10000), seed=1).count() < 10500
+
+
+def test_bootstrap_is_exact_and_ignores_partitioning(spark):
+    df = spark.range(1000)
+    one = sorted(map(tuple, split.bootstrap(df.coalesce(1), "id", seed=1).collect()))
+    assert sorted(map(tuple, split.bootstrap(df.repartition(9), "id", seed=1).collect())) == one
+    assert [r[1] for r in sorted(one, key=lambda r: r[1])] == list(range(1000))
+    assert 580 < len({r[0] for r in one}) < 690
+    assert split.bootstrap(df, "id", 2500).count() == 2500
+    assert split.bootstrap(df.where("false"), "id").count() == 0
 
 
 def test_ranges(spark):
@@ -115,9 +122,18 @@ def test_take_keeps_repeats_and_checks_range(spark):
     got = take.take_vectors(meta, vectors, strict=True).collect()
     assert sorted((r["caption"], r["embedding"][0]) for r in got) == [("x", 2), ("y", 2), ("z", 0)]
     beyond = meta.union(spark.createDataFrame([("a", 9, "w")], CAPS))
-    assert take.take_vectors(beyond, vectors).count() == 3
+    assert take.take_vectors(beyond, vectors, strict=False).count() == 3
     with pytest.raises(Exception, match="no vector at position a/9"):
-        take.take_vectors(beyond, vectors, strict=True).collect()
+        take.take_vectors(beyond, vectors).collect()
+
+
+def test_neighbours_without_an_index_row(spark):
+    found = spark.createDataFrame([(1, 0), (1, 7)], "query_id long, doc_id long")
+    known = spark.createDataFrame([(0, "a")], "image_number long, part string")
+    kept = take.neighbour_meta(found, known, strict=False).collect()
+    assert sorted((r.doc_id, r.part) for r in kept) == [(0, "a"), (7, None)]
+    with pytest.raises(Exception, match="no index row for 7"):
+        take.neighbour_meta(found, known).collect()
 
 
 def test_pairs_report_missing_partners(spark):

@@ -79,6 +79,15 @@ def test_npy_round_trip(spark, tmp_path):
     assert np.load(only).dtype == np.float16 and np.load(only).shape == (1003, 5)
 
 
+def test_append_keeps_earlier_files(spark, tmp_path):
+    out = str(tmp_path / "m")
+    for x in (1.0, 2.0):
+        one = spark.createDataFrame([([x],)], "embedding array<float>").coalesce(1)
+        matrix.register(spark)
+        one.write.format("matrix").option("dtype", "float32").mode("append").save(out)
+    assert [r["embedding"] for r in matrix.read_vectors(spark, out).orderBy("shard").collect()] == [[1.0], [2.0]]
+
+
 def test_part_metadata_to_index(spark, tmp_path):
     for part, images in {"part-000002": ["b.webp", "a.webp"], "part-000001": ["c.webp"],
                          "part-000003": []}.items():
