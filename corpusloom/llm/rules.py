@@ -51,7 +51,7 @@ BASE_RULES = (
 )
 METHOD_RULES = (
     Rule("symbols", "n_symbols", "most", 10, "n_words", 100),
-    Rule("repeated_lines", "n_dup_lines", "most", 30, "n_lines", 100),
+    Rule("repeated_lines", "n_dup_lines", "most", 70, "n_lines", 100),
     Rule("stop_words", "n_stop_words", "least", 2, "n_words", 100),
     Rule("short_words", "word_chars", "least", 2, "n_words"),
     Rule("long_words", "word_chars", "most", 20, "n_words"),
@@ -133,7 +133,7 @@ f AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(list_aggregate(w, 'string
 b AS (SELECT *, coalesce(wc, 0) AS word_chars,
         n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT (base_failed OR 100 * n_symbols > 10 * n_words OR 100 * n_dup_lines > 30 * n_lines
+  NOT (base_failed OR 100 * n_symbols > 10 * n_words OR 100 * n_dup_lines > 70 * n_lines
        OR 100 * n_stop_words < 2 * n_words OR word_chars < 2 * n_words
        OR word_chars > 20 * n_words) AS kept
 FROM b"""
