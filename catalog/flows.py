@@ -46,7 +46,7 @@ SELECT v.shard, v.row_index, k.caption, {sql_r4('list_sum(v.embedding)')} AS tot
 FROM kept k JOIN vec v USING (row_index)""")
 def diverse_vectors(spark, sf):
     texts = captions(spark, sf).withColumn("shard", F.col("row_index") % 4)
-    taken = diversify.diverse_vectors(texts, vectors(spark, sf).drop("label"), chunk_rows=10)
+    taken = diversify.diverse_vectors(texts, vectors(spark, sf).drop("label"), chunk_rows=10, strict=False)
     total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x)
     return taken.select("shard", "row_index", "caption", r4(total).alias("total"), "chunk")
 

@@ -34,7 +34,8 @@ def dedup_head_tail(
 
     ``scope='batch'`` treats every ``batch_size`` consecutive files on their
     own; ``'global'`` treats the whole corpus as one. The two passes do not
-    commute, hence two shuffles.
+    commute, hence two shuffles, of positions, beginnings and ends alone; captions
+    join what is left. ``order_by`` identifies a row and holds no nulls.
     """
     if scope not in ("global", "batch"):
         raise ValueError("scope is 'global' or 'batch'")
@@ -46,11 +47,12 @@ def dedup_head_tail(
     if scope == "batch":
         work = file_batch(work, order_by[0], batch_size)
         scope_keys = ["batch"]
+    work = work.select(*order_by, *scope_keys, "head", "tail")
     work = keep_first(work, [*scope_keys, "head"], order_by)
     work = keep_first(work, [*scope_keys, "tail"], order_by)
     if keep_work_columns:
-        return work.select(*df.columns, *scope_keys, "head", "tail")
-    return work.select(*df.columns)
+        return df.join(work, list(order_by)).select(*df.columns, *scope_keys, "head", "tail")
+    return df.join(work, list(order_by), "left_semi").select(*df.columns)
 
 
 def ordered_distinct(df: DataFrame, column: str, position: str) -> DataFrame:

@@ -210,7 +210,9 @@ def _code_scan(queries: np.ndarray, coded: np.ndarray, ids: np.ndarray, books: B
                k: int) -> Candidates:
     places = _positions(coded, books)
     found = []
-    step = max(1, (1 << 22) // max(1, len(ids)))
+    # Both the distances to all documents and the tables over all entries stay small.
+    entries = max(centers.size for centers in books[1])
+    step = max(1, (1 << 22) // max(1, len(ids), entries))
     for start in range(0, len(queries), step):
         part = queries[start:start + step]
         total = np.zeros((len(part), len(ids)))

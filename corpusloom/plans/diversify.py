@@ -12,7 +12,6 @@ from corpusloom.operators.cluster import Clustering, cluster_two_level
 from corpusloom.operators.dedup import dedup_head_tail
 from corpusloom.operators.numbering import chunk_fixed
 from corpusloom.operators.take import take_vectors
-from corpusloom.storage import stage
 
 
 @dataclass(frozen=True)
@@ -44,11 +43,14 @@ def diverse_vectors(
     rules: CaptionRules = CaptionRules(),
     scope: str = "global",
     chunk_rows: int = 100_000,
+    strict: bool = True,
 ) -> DataFrame:
-    """The vectors of clean captions with distinct beginnings and ends, in chunks per shard."""
+    """The vectors of clean captions with distinct beginnings and ends, in chunks per shard.
+
+    A caption without a vector is an error, or left out if not ``strict``.
+    """
     kept = dedup_head_tail(clean_captions(captions, rules), scope=scope)
-    # Staged: numbering reads its input several times, and this one took three shuffles.
-    return chunk_fixed(stage(take_vectors(kept, vectors)), chunk_rows)
+    return chunk_fixed(take_vectors(kept, vectors, strict=strict), chunk_rows)
 
 
 def cluster_corpus(vectors: DataFrame, k_first: int = 10_000, k_final: int = 50_000,

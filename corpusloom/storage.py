@@ -27,14 +27,20 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_staged"
 
 
+def new_path(spark: SparkSession) -> str:
+    """A new folder name in the shared folder; ``drop_staged`` deletes it."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
 def stage(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back."""
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
+    path = new_path(spark)
     writer = df.write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    _written.append(path)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

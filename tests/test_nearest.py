@@ -149,9 +149,8 @@ def test_a_stored_cell_column_prunes_partitions(spark, tmp_path, data):
     q = frame(spark, [0], queries[:1], "query_id")
     probes = nearest.probe_cells(q, cells, 2, "query_id", "embedding")
     pruned = nearest.in_probed_cells(stored, probes, "cell")
-    assert len(pruned.inputFiles()) <= len(stored.inputFiles())
     plan = pruned._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [cell" in plan
+    assert "dynamicpruning" in plan
     stored = stored.withColumn("cell", F.col("cell").cast("bigint"))
     assert nearest.knn_ivf(stored, q, cells, 5, 2).count() == 5
 
