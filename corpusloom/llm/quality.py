@@ -33,6 +33,7 @@ from corpusloom.llm.langid import held_out
 from corpusloom.llm.registry import query, table
 from corpusloom.llm.share import opened, shared
 from corpusloom.llm.textgrams import pair, slices, text_bytes, word_bounds, word_ranks
+from corpusloom.operators.split import sample_n
 from corpusloom.storage import stage
 
 SAMPLE_ROWS = 20_000
@@ -245,9 +246,11 @@ def train(figured: DataFrame, labels: DataFrame, doc_id: str = "doc_id", label:
     known = labels.where(F.col(label).isNotNull()).select(
         F.col(doc_id).alias("_i"), F.col(label).cast("int").alias("_y")).where(
         F.col("_i").isNotNull() & ~held_out("_i"))
-    learned = figured.select(F.col(doc_id).alias("_d"), "figures").join(known, F.col("_d") == F.col("_i"))
-    sample = learned.orderBy(F.xxhash64("_i", F.lit(1)), "_i", "_y").limit(sample_rows).select(
-        "figures", "_y").toArrow()
+    learned = stage(figured.select(F.col(doc_id).alias("_d"), "figures").join(
+        known, F.col("_d") == F.col("_i")).select("_i", "figures", "_y"))
+    sample = sample_n(learned, sample_rows, "_i", 1).toArrow()
+    # In one order, so that sums are the same on every run.
+    sample = sample.sort_by([("_y", "ascending"), ("_i", "ascending")])
     flat = sample.column("figures").combine_chunks().flatten().to_numpy(zero_copy_only=False)
     return fit(flat.reshape(-1, len(FIGURES)), sample.column("_y").to_numpy().astype(float))
 
