@@ -40,7 +40,7 @@ LARGEST_SET = 3
 ROUNDS = 8
 UNKNOWN = "und"
 _SMOOTH = 0.05
-_TEXT_CHUNK = 1 << 20
+_TEXT_CHUNK = 1 << 18
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
