@@ -26,14 +26,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.llm.registry import query, table
-from corpusloom.llm.textgrams import ranges, slices, text_bytes, word_bounds, word_ranks
+from corpusloom.llm.textgrams import U, pair, ranges, slices, text_bytes, word_bounds, word_ranks
 from corpusloom.storage import stage
 
 SEQUENCE = 2048
 END_ID = 1
 GROUP_ROWS = 4096
-_CACHE_WORDS = 200_000
-_TEXT_CHUNK = 1 << 20
+_CACHE_WORDS = 1_000_000
+_TEXT_CHUNK = 1 << 21
 
 
 def tournament_first_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -69,10 +69,47 @@ def tournament_first_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return bins, offsets
 
 
+#: Bytes of words that may be cut into runs of letters, digits and marks: ASCII but for
+#: quotes (contractions) and < | (special tokens), and the Latin letters that start with 0xC3.
+_RUN = np.zeros(256, np.int8)
+_RUN[33:127] = 3
+_RUN[48:58] = 2
+_RUN[65:91] = _RUN[97:123] = 1
+_RUN[0x80:0xC0] = _RUN[0xC3] = 1
+_RUN[[0x27, 0x3C, 0x7C, 0x97, 0xB7]] = 0
+_JOINED = 256
+
+
+def runs_of(data: np.ndarray, offsets: np.ndarray):
+    """Words between white space, those of plain letters and marks cut into runs of one kind.
+
+    Gives the bytes (capitals of cut words in lower case), starts, ends, texts and whether a
+    run is of letters alone.
+    """
+    start, end, owner = word_bounds(data, offsets)
+    kind = _RUN[data]
+    odd = np.append(0, np.cumsum(kind == 0))
+    plain = odd[end] == odd[start]
+    inside = np.zeros(len(data) + 1, np.int8)
+    inside[start[plain]] += 1
+    inside[end[plain]] -= 1
+    inside = np.cumsum(inside[:-1], dtype=np.int8).astype(bool)
+    begins = np.zeros(len(data), bool)
+    begins[start] = True
+    begins[1:] |= inside[1:] & inside[:-1] & (kind[1:] != kind[:-1])
+    first = np.flatnonzero(begins)
+    word = np.searchsorted(start, first, "right") - 1
+    last = np.minimum(np.append(first[1:], len(data)), end[word])
+    lowered = np.where(inside & (data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
+    return lowered, first, last, owner[word], plain[word] & (kind[first] == 1)
+
+
 class WordEncoder:
-    """Ids of texts by a tokenizer that never joins what white space parts.
+    """Ids of texts by a tokenizer that lower-cases and never joins what white space parts.
 
-    Words between ASCII white space are encoded once and kept while the cache has room.
+    It also never joins letters with marks or digits, so such runs are encoded once and
+    kept while the cache has room. Runs of letters are single words to the tokenizer: many
+    are encoded in one call and told apart by the ids that end a word.
     """
 
     def __init__(self, path: str):
@@ -81,32 +118,54 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.known: dict[int, int] = {}
-        self.lists: list[np.ndarray] = []
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
+        self._clear()
+
+    def _clear(self) -> None:
+        self.keys, self.first, self.size = np.empty(0, U), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.ids = np.empty(0, np.uint32)
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the number of ids of each text."""
-        start, end, owner = word_bounds(data, offsets)
-        rank = word_ranks(data, start, end)
+        lowered, start, end, owner, letters = runs_of(data, offsets)
+        rank = pair(word_ranks(lowered, start, end), letters.astype(U))
         distinct, at, which = np.unique(rank, return_index=True, return_inverse=True)
-        if len(self.lists) > _CACHE_WORDS:
-            self.known, self.lists = {}, []
-        known, keys = self.known, distinct.tolist()
-        new = [i for i, k in enumerate(keys) if k not in known]
-        raw = data.tobytes()
-        words = [raw[start[at[i]]:end[at[i]]].decode() for i in new]
-        for i, made in zip(new, self.tokenizer.encode_batch(words, add_special_tokens=False), strict=True):
-            known[keys[i]] = len(self.lists)
-            self.lists.append(np.array(made.ids, np.uint32))
-        lists = [self.lists[known[k]] for k in keys]
-        size = np.array([len(x) for x in lists], np.int64)
-        flat = np.concatenate(lists) if lists else np.empty(0, np.uint32)
-        first = np.cumsum(size) - size
-        per = size[which]
-        ids = flat[np.repeat(first[which], per) + ranges(per)]
+        if len(self.keys) > _CACHE_WORDS:
+            self._clear()
+        place = np.minimum(np.searchsorted(self.keys, distinct), max(len(self.keys) - 1, 0))
+        have = self.keys[place] == distinct if len(self.keys) else np.zeros(len(distinct), bool)
+        self._learn(lowered.tobytes(), distinct[~have], start[at[~have]], end[at[~have]],
+                    letters[at[~have]])
+        place = np.searchsorted(self.keys, distinct)
+        per = self.size[place][which]
+        ids = self.ids[np.repeat(self.first[place][which], per) + ranges(per)]
         count = np.bincount(owner, weights=per, minlength=len(offsets) - 1).astype(np.int64)
         return ids, count
 
+    def _learn(self, raw: bytes, keys: np.ndarray, start: np.ndarray, end: np.ndarray,
+               letters: np.ndarray) -> None:
+        order = np.argsort(~letters, kind="stable")
+        words = [raw[i:j].decode() for i, j in zip(start[order].tolist(), end[order].tolist(), strict=True)]
+        single = int(letters.sum())
+        joined = [" ".join(words[i:min(i + _JOINED, single)]) for i in range(0, single, _JOINED)]
+        encode = self.tokenizer.encode_batch_fast
+        made = [np.array(e.ids, np.uint32) for e in encode(joined, add_special_tokens=False)]
+        flat = np.concatenate(made) if made else np.empty(0, np.uint32)
+        stop = np.flatnonzero(self.ends[flat]) + 1
+        if len(stop) != single:
+            raise ValueError("the tokenizer doesn't keep runs of letters apart")
+        others = [np.array(e.ids, np.uint32) for e in encode(words[single:], add_special_tokens=False)]
+        size = np.concatenate([np.diff(stop, prepend=0), np.array([len(x) for x in others], np.int64)])
+        first = len(self.ids) + np.cumsum(size) - size
+        self.ids = np.concatenate([self.ids, flat, *others])
+        keys = np.concatenate([self.keys, keys[order]])
+        sort = np.argsort(keys, kind="stable")
+        self.keys = keys[sort]
+        self.first = np.concatenate([self.first, first])[sort]
+        self.size = np.concatenate([self.size, size])[sort]
+
 
 _PIECES = T.StructType([
     T.StructField("start", T.LongType()), T.StructField("length", T.LongType()),
