@@ -16,13 +16,13 @@ reaches the threshold.
   ranks at its start, at the growing offset and at its end. Of equal stretches all but the
   first are repeats, whole.
 * Round 2 sorts the windows of first stretches whose sample has other stretches too, by the
-  rank pair (rank at p, rank at p + half): the pair covers the threshold, so equal
+  rank of the pair (rank at p, rank at p + half): the pair covers the threshold, so equal
   neighbours are repeats.
 
 Each task keeps the first of equal stretches or windows before rows are shuffled, so a
 passage in a third of all documents sends one row for each batch of text; a rank with many
-different stretches is dealt out stretch by stretch. No round looks at pairs of documents. Ranks are 64-bit fingerprints; two different strings share one with a
-chance of 2^-64, and a repeat in round 2 needs two equal ones.
+different stretches is dealt out stretch by stretch. No round looks at pairs of documents. Ranks are 64-bit fingerprints: two different strings share one with a
+chance of 2^-64.
 
 Edge cases: null text is empty; texts shorter than the threshold keep all bytes; a null
 ``doc_id`` comes before all others; rows with equal id and text are one document seen
@@ -148,8 +148,10 @@ def _round_1(threshold: int, chunk: int, hot: int):
                 kind = np.full(len(rows), _REPEAT, np.int32)
                 kind[:len(keep)] = np.where((np.repeat(size, size) > hot) & (ranges(size) > 1),
                                             _SPREAD, _ORDINARY)
-                dealt = np.where(kind != _ORDINARY, pair(rank.view(U)[rows], stretch.view(U)[rows])
-                                 .view(np.int64), rank[rows])
+                # Repeats are settled here; their place spreads them.
+                alone = pair(stretch.view(U)[rows], np.where(kind == _REPEAT, first[rows], 0).astype(U)
+                             + np.where(kind == _REPEAT, ids[own[rows]], 0).astype(U))
+                dealt = np.where(kind != _ORDINARY, alone.view(np.int64), rank[rows])
                 if len(rows):
                     yield pa.RecordBatch.from_arrays([
                         pa.array(dealt), pa.array(stretch[rows]), pa.array(ids[own[rows]]),
@@ -160,9 +162,9 @@ def _round_1(threshold: int, chunk: int, hot: int):
 
 
 _ROUND_2 = T.StructType([
-    T.StructField("rank", T.LongType()), T.StructField("next", T.LongType()),
-    T.StructField("_d", T.LongType()), T.StructField("_t", T.IntegerType()),
-    T.StructField("place", T.LongType()), T.StructField("kind", T.IntegerType())])
+    T.StructField("rank", T.LongType()), T.StructField("_d", T.LongType()),
+    T.StructField("_t", T.IntegerType()), T.StructField("place", T.LongType()),
+    T.StructField("kind", T.IntegerType())])
 
 
 def _round_2(threshold: int, chunk: int):
@@ -172,12 +174,14 @@ def _round_2(threshold: int, chunk: int):
         held: list[tuple] = []
 
         def flush() -> pa.RecordBatch:
-            rank, nxt, d, t, q = (np.concatenate(x) for x in zip(*held, strict=True))
+            rank, d, t, q = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            keep, again = _first_of([rank, nxt], [d, t, q])
+            keep, again = _first_of([rank], [d, t, q])
             rows = np.concatenate([keep, again])
+            dealt = rank.copy()
+            dealt[again] = pair(rank[again].view(U), (d[again] + q[again]).astype(U)).view(np.int64)
             return pa.RecordBatch.from_arrays([
-                pa.array(x[rows]) for x in (rank, nxt, d, t, q * threshold)
+                pa.array(x[rows]) for x in (dealt, d, t, q * threshold)
             ] + [pa.array((np.arange(len(rows)) >= len(keep)).astype(np.int32) * _REPEAT)],
                 names=_ROUND_2.names)
 
@@ -195,11 +199,11 @@ def _round_2(threshold: int, chunk: int):
                 for part in np.split(q, np.flatnonzero(np.diff(q) > threshold) + 1):
                     for some in np.array_split(part, len(part) // chunk + 1):
                         base = int(some[0])
-                        ranks = prefix_ranks(data[base:int(some[-1]) + threshold], half).view(np.int64)
+                        ranks = prefix_ranks(data[base:int(some[-1]) + threshold], half)
                         w = some - base
                         n = len(w)
-                        held.append((ranks[w], ranks[w + threshold - half], np.full(n, d.as_py()),
-                                     np.full(n, t.as_py(), np.int32), some))
+                        held.append((pair(ranks[w], ranks[w + threshold - half]).view(np.int64),
+                                     np.full(n, d.as_py()), np.full(n, t.as_py(), np.int32), some))
                         size += n
                         if size >= chunk // 4:
                             yield flush()
@@ -290,7 +294,7 @@ def repeated_spans(docs: DataFrame, keep: Sequence[str] = ("doc_id",), doc_id: s
     opened = found.where("NOT repeat").groupBy("_d", "_t").agg(F.collect_list("place").alias("_open"))
     pairs = rows.join(opened, ["_d", "_t"], "left").select(*ids, "_x", "_d", "_t", "_open").mapInArrow(
         _round_2(threshold, chunk), _ROUND_2)
-    equal = Window.partitionBy("rank", "next").orderBy("_d", "_t", "place")
+    equal = Window.partitionBy("rank").orderBy("_d", "_t", "place")
     hits = pairs.select("*", F.first(_place()).over(equal).alias("_head")).where(
         (F.col("kind") == _REPEAT) | (F.col("_head") != _place())).select("_d", "_t", "place")
     runs = found.where("repeat").select("_d", "_t", "place").unionByName(hits).groupBy(
