@@ -284,10 +284,11 @@ def reshape_codes(spark, sf):
 
 # An image is a vector, its patches are the slices.
 @query("codebook_codes", with_tables(VECTORS, ELEMENTS, CENTROIDS, f"""code AS (
-  SELECT v.row_index AS image_id, p AS pos, c.centroid_id AS code
-  FROM vec v, range({PARTS}) r(p), cen c
+  SELECT v.row_index AS image_id, p AS pos, c.code
+  FROM vec v, range({PARTS}) r(p), (SELECT centroid_id * {PARTS} + s AS code,
+    center[s * {STEP} + 1:s * {STEP} + {STEP}] AS center FROM cen, range({PARTS}) t(s)) c
   QUALIFY row_number() OVER (PARTITION BY v.row_index, p ORDER BY list_distance(
-    v.embedding[p * {STEP} + 1:p * {STEP} + {STEP}], c.center[1:{STEP}])::FLOAT, c.centroid_id) = 1)""")
+    v.embedding[p * {STEP} + 1:p * {STEP} + {STEP}], c.center)::FLOAT, c.code) = 1)""")
        + """
 SELECT image_id, string_agg(code::VARCHAR, ',' ORDER BY pos) AS codes FROM code
 GROUP BY image_id""")
@@ -296,8 +297,10 @@ def codebook_codes(spark, sf):
     patches = vectors(spark, sf).select(
         F.col("row_index").alias("image_id"), "embedding", parts).withColumn(
         "embedding", F.slice("embedding", F.col("pos") * STEP + 1, F.lit(STEP)))
-    book = stage(centroids(spark, sf).select(
-        "centroid_id", F.slice("center", 1, STEP).alias("center")))
+    # Every slice of every centre is an entry.
+    book = stage(centroids(spark, sf).select("centroid_id", "center", parts).select(
+        (F.col("centroid_id") * PARTS + F.col("pos")).alias("centroid_id"),
+        F.slice("center", F.col("pos") * STEP + 1, F.lit(STEP)).alias("center")))
     coded = quantize.codebook_codes(patches, book, PARTS)
     return coded.select("image_id", F.array_join(F.col("codes").cast("array<string>"), ",").alias(
         "codes"))
