@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.functions.vectors import NORM_FLOOR
+from corpusloom.functions.vectors import NORM_FLOOR, cosine, dot, l2_distance
 from corpusloom.operators.batches import (
     BLOCK_BYTES,
     BROADCAST_BYTES,
@@ -430,3 +430,58 @@ def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
     hits = exact.select("query_id", "doc_id").join(
         found.select("query_id", "doc_id", F.lit(1).alias("_hit")), ["query_id", "doc_id"], "left")
     return hits.agg((F.count("_hit") / F.count(F.lit(1))).alias("recall"))
+
+
+def recall_by_nprobe(
+    docs: DataFrame,
+    sample: DataFrame,
+    centroids: DataFrame,
+    k: int = 5,
+    metric: str = "inner_product",
+    doc_id: str = "doc_id",
+    query_id: str = "query_id",
+    vector: str = "embedding",
+    cell: str = "cell",
+) -> list[float]:
+    """The recall of ``knn_ivf`` against brute force with 1, 2, ... all cells probed.
+
+    A pruned search finds exactly those of the exact neighbours whose cell it probes, so
+    one exact search over the sampled queries gives the recall of every ``nprobe``.
+    """
+    exact = knn_exact(docs, sample, k, metric, doc_id, query_id, vector)
+    cells = centroids.count()
+    near = nearest_targets(sample, centroids, cells, [query_id], "l2", vector=vector).select(
+        F.col(query_id).alias("query_id"), "target_ids")
+    placed = exact.select("query_id", "doc_id").join(
+        docs.select(F.col(doc_id).alias("doc_id"), cell), "doc_id").join(near, "query_id")
+    counts = dict(placed.groupBy(
+        F.array_position("target_ids", F.col(cell)).cast("int").alias("place")).count().collect())
+    found = np.cumsum([counts.get(n, 0) for n in range(1, cells + 1)])
+    return [float(n) / max(1, sum(counts.values())) for n in found]
+
+
+def nprobe_for_recall(docs: DataFrame, sample: DataFrame, centroids: DataFrame, k: int = 5,
+                      target: float = 0.9, **options) -> int:
+    """The fewest cells to probe for a recall of ``target`` on the sampled queries."""
+    shares = recall_by_nprobe(docs, sample, centroids, k, **options)
+    return next((n for n, share in enumerate(shares, 1) if share >= target), len(shares))
+
+
+def rerank(
+    found: DataFrame,
+    docs: DataFrame,
+    queries: DataFrame,
+    k: int = 5,
+    metric: str = "inner_product",
+    doc_id: str = "doc_id",
+    query_id: str = "query_id",
+    vector: str = "embedding",
+) -> DataFrame:
+    """The best ``k`` of a longer list of candidates, such as that of ``pq_search``, by exact score."""
+    _check_metric(metric)
+    score = {"inner_product": dot, "cosine": cosine, "l2": l2_distance}[metric]
+    pairs = found.select("query_id", "doc_id").join(
+        docs.select(F.col(doc_id).alias("doc_id"), F.col(vector).alias("_d")), "doc_id").join(
+        queries.select(F.col(query_id).alias("query_id"), F.col(vector).alias("_q")), "query_id")
+    scored = pairs.select("query_id", "doc_id", score(F.col("_q"), F.col("_d")).cast("float").alias("score"))
+    return topk_merge(scored, k, descending=metric != "l2")
