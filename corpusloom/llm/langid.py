@@ -3,8 +3,10 @@
 Counts of hashed byte trigrams, over all documents that may be learned from, give one
 distribution for each language. A document is a mixture of languages: expectation
 maximisation estimates its proportions. Sets of the one, two, ... likeliest languages are
-fitted in turn, and the set with the best log-likelihood less a penalty for each language
-is selected; its largest share names the language, and that share is the score.
+fitted in turn, up to all that were learned, and the set with the best log-likelihood less
+a penalty for each language is selected; its largest share names the language, and that
+share is the score. A text leaves the search when no larger set can win: an upper bound of
+the likelihood of any mixture, less the penalty of one language more, is under its best.
 
 Counting sums arrays inside each task, so it shuffles at most one row for each language,
 trigram bucket and task. The model has ``buckets`` numbers for each language and is
@@ -36,7 +38,6 @@ BUCKETS = 1 << 16
 MAX_LANGUAGES = 128
 #: Log-likelihood that a further language must add, for each log of the number of trigrams.
 PENALTY = 2.0
-LARGEST_SET = 3
 ROUNDS = 8
 UNKNOWN = "und"
 _SMOOTH = 0.05
@@ -106,30 +107,52 @@ class Mixture:
         begin = np.searchsorted(own, np.arange(texts))  # every text has a trigram
         total = np.add.reduceat(count, begin)
 
-        def improve(share: np.ndarray, rounds: int) -> np.ndarray:
+        def part_of(share: np.ndarray, held: tuple) -> np.ndarray:
+            """For each text and language: what the share is multiplied by in the next round."""
+            own, chance, count, begin, total = held
+            mixed = count / np.einsum("ij,ij->i", share[own], chance)
+            return np.add.reduceat(chance * mixed[:, None], begin, axis=0) / total[:, None]
+
+        def improve(share: np.ndarray, rounds: int, held: tuple) -> np.ndarray:
+            own, chance, count, begin, total = held
             for _ in range(rounds):
                 part = share[own] * chance
                 part *= (count / part.sum(1))[:, None]
                 share = np.add.reduceat(part, begin, axis=0) / total[:, None]
             return share
 
-        def likelihood(share: np.ndarray) -> np.ndarray:
+        def likelihood(share: np.ndarray, held: tuple) -> np.ndarray:
+            own, chance, count, begin, _ = held
             return np.add.reduceat(count * np.log((share[own] * chance).sum(1)), begin)
 
-        free = improve(np.full((texts, width), 1 / width), ROUNDS)
+        def narrowed(held: tuple, stay: np.ndarray) -> tuple:
+            own, chance, count, _, total = held
+            rows = stay[own]
+            own = (np.cumsum(stay) - 1)[own[rows]]
+            return own, chance[rows], count[rows], np.searchsorted(own, np.arange(stay.sum())), total[stay]
+
+        held = (own, chance, count, begin, total)
+        free = improve(np.full((texts, width), 1 / width), ROUNDS, held)
         order = np.argsort(-free, axis=1, kind="stable")
-        best, best_value = None, np.full(texts, -np.inf)
-        for size in range(1, min(LARGEST_SET, width) + 1):
-            share = np.zeros_like(free)
-            chosen = order[:, :size]
-            np.put_along_axis(share, chosen, np.maximum(np.take_along_axis(free, chosen, 1), 1e-6), 1)
+        # By Jensen's inequality no mixture of any set is likelier than this.
+        bound = likelihood(free, held) + total * np.log(part_of(free, held).max(1))
+        best, best_value = np.zeros_like(free), np.full(texts, -np.inf)
+        left = np.arange(texts)
+        for size in range(1, width + 1):
+            share = np.zeros((len(left), width))
+            chosen = order[left, :size]
+            np.put_along_axis(share, chosen, np.maximum(np.take_along_axis(free[left], chosen, 1), 1e-6), 1)
             share /= share.sum(1, keepdims=True)
             if size > 1:
-                share = improve(share, ROUNDS // 2)
-            value = likelihood(share) - PENALTY * size * np.log(total + 1)
-            better = value > best_value
-            best = share if best is None else np.where(better[:, None], share, best)
-            best_value = np.maximum(best_value, value)
+                share = improve(share, ROUNDS // 2, held)
+            value = likelihood(share, held) - PENALTY * size * np.log(held[-1] + 1)
+            better = value > best_value[left]
+            best[left[better]], best_value[left[better]] = share[better], value[better]
+            stay = bound[left] - PENALTY * (size + 1) * np.log(held[-1] + 1) > best_value[left]
+            if not stay.any():
+                break
+            if not stay.all():
+                left, held = left[stay], narrowed(held, stay)
         return best
 
 
