@@ -24,9 +24,6 @@ from corpusloom.llm.packing import pack
 from corpusloom.llm.suffix_dedup import repeated_spans
 from corpusloom.storage import stage
 
-#: The main language's least share of a document that stays.
-MIN_SHARE = 0.5
-
 ORACLE_SQL = None
 
 
@@ -37,11 +34,11 @@ def _renamed(docs: DataFrame) -> tuple[DataFrame, list[str], dict[str, str]]:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents with a main language; drops those without a letter or without one."""
+    """Keeps documents with a language, in however many they are; drops those without one."""
     own, names, of = _renamed(docs)
     model = train(learned_from(own, of["doc_id"]), of["text"], of["lang"])
     found = identify(own, model, names, of["text"])
-    kept = found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= MIN_SHARE))
+    kept = found.where(F.col("lang_pred") != UNKNOWN)
     return kept.select(*names).toDF(*docs.columns)
 
 

@@ -43,3 +43,21 @@ def test_sets_of_any_size_match_a_search_of_all_sizes():
     assert np.allclose(share.sum(1), 1)
     for row, n in zip(share, sizes, strict=True):
         assert np.allclose(row[:n], 1 / n, atol=0.06)
+
+
+def test_pipeline_keeps_documents_of_several_languages(spark, tmp_path):
+    docs, one = _prose(spark)
+    a, b, c, d = (one[lang] for lang in sorted(one))
+    new = "Ma ka hale o ke kumu e noho ana na keiki a pau i ke ahiahi. " * 40
+    odd = spark.createDataFrame([
+        (90_001, a[:1600] + "\n" + b[:1200] + "\n" + c[:1200], None, "s", 4002),
+        (90_002, "\n".join(t[:1500] for t in (a, b, c, d)), None, "s", 6003),
+        (90_003, new, None, "s", len(new)),
+        (90_004, "12 34 ...", None, "s", 9), (90_005, None, None, "s", None),
+    ], docs.schema)
+    docs.unionByName(odd).write.parquet(f"{tmp_path}/documents.parquet")
+    read = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    found = langid.identify(read, langid.train(langid.learned_from(read)))
+    assert {r.doc_id for r in found.where("score < 0.5 AND lang_pred <> 'und'").collect()} >= {90_001, 90_002}
+    kept = corpus_pipeline.language(spark, read, str(tmp_path)).where("doc_id > 90000").collect()
+    assert {r.doc_id for r in kept} == {90_001, 90_002, 90_003}
