@@ -19,15 +19,16 @@ reaches the threshold.
   rank of the pair (rank at p, rank at p + half): the pair covers the threshold, so equal
   neighbours are repeats.
 
-Each task keeps the first of equal stretches or windows before rows are shuffled, so a
-passage in a third of all documents sends one row for each batch of text; a rank with many
-different stretches is dealt out stretch by stretch. No round looks at pairs of documents. Ranks are 64-bit fingerprints: two different strings share one with a
-chance of 2^-64.
+Each task finds the first of equal stretches or windows in 16 MB of text before rows are
+shuffled; those that repeat it are settled and dealt by place, so a passage in a third of
+all documents sends its rank one row for 16 MB. A rank with many different stretches is dealt
+out stretch by stretch. No round looks at pairs of documents. Ranks are 64-bit fingerprints:
+two different strings share one with a chance of 2^-64.
 
 Edge cases: null text is empty; texts shorter than the threshold keep all bytes; a null
 ``doc_id`` comes before all others; rows with equal id and text are one document seen
 several times and all get its result; rows with equal id and different texts follow each
-other in the order of their text hash; an empty table gives an empty result. Ids are
+other in the order of a 64-bit hash of text and length; an empty table gives an empty result. Ids are
 integers. Further columns are not read.
 """
 
@@ -42,14 +43,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.llm.registry import query, table
-from corpusloom.llm.textgrams import U, pair, prefix_ranks, ranges, text_bytes, window_min
+from corpusloom.llm.textgrams import U, pair, prefix_ranks, ranges, slices, text_bytes, window_min
 from corpusloom.storage import stage
 
 THRESHOLD = 100
 #: Bytes of text whose ranks a task holds at once (about 20 arrays of 8 bytes each).
-CHUNK = 1 << 21
+CHUNK = 1 << 18
+#: Bytes of text whose stretches are compared before they are sent (48 bytes for each).
+COMBINED = 1 << 24
 
-#: Stretches of one rank in a chunk of text beyond which they are dealt one by one.
+#: Stretches of one rank in so much text beyond which they are dealt one by one.
 HOT = 16
 
 _POS = 24  # bits of a place inside a chunk
@@ -59,7 +62,7 @@ _NULL_ID = -(1 << 63)
 def _keys(docs: DataFrame, doc_id: str, text: str, keep: Sequence[str]) -> DataFrame:
     raw = F.coalesce(F.col(text), F.lit(""))
     return docs.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)], F.coalesce(F.col(doc_id).cast("long"), F.lit(_NULL_ID)).alias("_d"),
-                       F.hash(raw).alias("_t"), raw.cast("binary").alias("_x"))
+                       F.xxhash64(raw, F.octet_length(raw)).alias("_t"), raw.cast("binary").alias("_x"))
 
 
 def _sampled(data: np.ndarray, begin: int, end: int, threshold: int):
@@ -94,7 +97,7 @@ def _first_of(keys: list[np.ndarray], order: list[np.ndarray]) -> tuple[np.ndarr
 #: place is first * threshold + number of further windows: one number sorts and holds both.
 _ROUND_1 = T.StructType([
     T.StructField("rank", T.LongType()), T.StructField("stretch", T.LongType()),
-    T.StructField("_d", T.LongType()), T.StructField("_t", T.IntegerType()),
+    T.StructField("_d", T.LongType()), T.StructField("_t", T.LongType()),
     T.StructField("place", T.LongType()), T.StructField("kind", T.IntegerType())])
 _ORDINARY, _REPEAT, _SPREAD = 0, 1, 2
 
@@ -109,8 +112,50 @@ def _windows_of(offsets: np.ndarray, threshold: int, chunk: int):
     return which, lo, np.minimum(lo + chunk, stop[which])
 
 
-def _round_1(threshold: int, chunk: int, hot: int):
+def _stretches(data, base, end, doc, lo, hi, threshold):
+    """Stretches of the windows ``base .. end``: document, first window, width, rank and own rank."""
+    ranks, least = _sampled(data, base, end, threshold)
+    # Windows that lie inside one document, in order.
+    start, count = lo - base, hi - lo
+    windows = np.repeat(start, count) + ranges(count)
+    owner = np.repeat(doc, count)
+    sample = least[windows]
+    new = np.ones(len(windows), bool)
+    new[1:] = (sample[1:] != sample[:-1]) | (owner[1:] != owner[:-1])
+    heads = np.flatnonzero(new)
+    tails = np.append(heads[1:], len(windows)) - 1
+    a, b, p = windows[heads], windows[tails], sample[heads]
+    rest = threshold - threshold // 2
+    shape = (p - a) * threshold + (b - a)
+    stretch = pair(pair(ranks[a], ranks[a + rest]), pair(ranks[b + rest], shape.astype(U)))
+    return owner[heads], a + base, b - a, ranks[p].view(np.int64), stretch.view(np.int64)
+
+
+def _round_1(threshold: int, chunk: int, hot: int, combined: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def flush() -> pa.RecordBatch:
+            d, t, first, more, rank, stretch = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            keep, again = _first_of([rank, stretch], [d, t, first])
+            rows = np.concatenate([keep, again])
+            # A rank with many stretches here: two stay with it, the others are dealt by
+            # their own rank. They have company for certain, so they stay open.
+            run = np.flatnonzero(np.diff(rank[keep], prepend=rank[keep][:1] - 1))
+            size = np.diff(np.append(run, len(keep)))
+            kind = np.full(len(rows), _REPEAT, np.int32)
+            kind[:len(keep)] = np.where((np.repeat(size, size) > hot) & (ranges(size) > 1),
+                                        _SPREAD, _ORDINARY)
+            d, t, first, more, rank, stretch = (x[rows] for x in (d, t, first, more, rank, stretch))
+            # Repeats are settled here; their place spreads them.
+            alone = pair(stretch.view(U), np.where(kind == _REPEAT, first + d, 0).astype(U))
+            dealt = np.where(kind != _ORDINARY, alone.view(np.int64), rank)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(x) for x in (dealt, stretch, d, t, first * threshold + more, kind)],
+                names=_ROUND_1.names)
+
+        size = 0
         for batch in batches:
             data, offsets = text_bytes(batch.column("_x"))
             ids = batch.column("_d").to_numpy()
@@ -120,50 +165,22 @@ def _round_1(threshold: int, chunk: int, hot: int):
             while at < len(doc):
                 stop = max(at + 1, int(np.searchsorted(hi, lo[at] + chunk, "right")))
                 base, end = int(lo[at]), int(hi[stop - 1])
-                ranks, least = _sampled(data, base, end, threshold)
-                # Windows that lie inside one document, in order.
-                d, start, count = doc[at:stop], lo[at:stop] - base, hi[at:stop] - lo[at:stop]
-                windows = np.repeat(start, count) + ranges(count)
-                owner = np.repeat(d, count)
-                sample = least[windows]
-                new = np.ones(len(windows), bool)
-                new[1:] = (sample[1:] != sample[:-1]) | (owner[1:] != owner[:-1])
-                heads = np.flatnonzero(new)
-                tails = np.append(heads[1:], len(windows)) - 1
-                a, b, p, own = windows[heads], windows[tails], sample[heads], owner[heads]
-                half = threshold // 2
-                rest = threshold - half
-                shape = (p - a) * threshold + (b - a)
-                stretch = pair(pair(ranks[a], ranks[a + rest]),
-                               pair(ranks[b + rest], shape.astype(U)))
-                rank = ranks[p].view(np.int64)
-                stretch = stretch.view(np.int64)
-                first = a + base - offsets[own]
-                keep, again = _first_of([rank, stretch], [ids[own], ties[own], first])
-                rows = np.concatenate([keep, again])
-                # A rank with many stretches here: two stay with it, the others are dealt by
-                # their own rank. They have company for certain, so they stay open.
-                run = np.flatnonzero(np.diff(rank[keep], prepend=rank[keep][:1] - 1))
-                size = np.diff(np.append(run, len(keep)))
-                kind = np.full(len(rows), _REPEAT, np.int32)
-                kind[:len(keep)] = np.where((np.repeat(size, size) > hot) & (ranges(size) > 1),
-                                            _SPREAD, _ORDINARY)
-                # Repeats are settled here; their place spreads them.
-                alone = pair(stretch.view(U)[rows], np.where(kind == _REPEAT, first[rows], 0).astype(U)
-                             + np.where(kind == _REPEAT, ids[own[rows]], 0).astype(U))
-                dealt = np.where(kind != _ORDINARY, alone.view(np.int64), rank[rows])
-                if len(rows):
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(dealt), pa.array(stretch[rows]), pa.array(ids[own[rows]]),
-                        pa.array(ties[own[rows]]), pa.array(first[rows] * threshold + (b - a)[rows]),
-                        pa.array(kind)], names=_ROUND_1.names)
+                own, first, more, rank, stretch = _stretches(
+                    data, base, end, doc[at:stop], lo[at:stop], hi[at:stop], threshold)
+                held.append((ids[own], ties[own], first - offsets[own], more, rank, stretch))
+                size += end - base
+                if size >= combined:
+                    yield flush()
+                    size = 0
                 at = stop
+        if held:
+            yield flush()
     return run
 
 
 _ROUND_2 = T.StructType([
     T.StructField("rank", T.LongType()), T.StructField("_d", T.LongType()),
-    T.StructField("_t", T.IntegerType()), T.StructField("place", T.LongType()),
+    T.StructField("_t", T.LongType()), T.StructField("place", T.LongType()),
     T.StructField("kind", T.IntegerType())])
 
 
@@ -203,7 +220,7 @@ def _round_2(threshold: int, chunk: int):
                         w = some - base
                         n = len(w)
                         held.append((pair(ranks[w], ranks[w + threshold - half]).view(np.int64),
-                                     np.full(n, d.as_py()), np.full(n, t.as_py(), np.int32), some))
+                                     np.full(n, d.as_py()), np.full(n, t.as_py()), some))
                         size += n
                         if size >= chunk // 4:
                             yield flush()
@@ -218,6 +235,7 @@ _RESULT = T.StructType([
     T.StructField("spans", T.ArrayType(T.StructType([
         T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))),
     T.StructField("kept", T.BinaryType()), T.StructField("kept_text", T.StringType())])
+_SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 
 
 def merged(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -230,37 +248,34 @@ def merged(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return lo[heads], hi[np.append(heads[1:], len(lo)) - 1]
 
 
-def _cut(threshold: int, ids: list[str], with_text: bool):
-    def whole(parts: list[bytes]) -> str | None:
-        # A cut inside a character takes the rest of the character with it.
-        return "".join(p.decode(errors="ignore") for p in parts) if with_text else None
-
+def _cut(threshold: int, ids: list[str], with_text: bool, chunk: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            removed, spans, kept, size, texts = [], [], [], [], []
-            for x, runs in zip(batch.column("_x"), batch.column("_runs"), strict=True):
-                data = x.as_py()
-                size.append(len(data))
-                if not runs.is_valid:
-                    removed.append(0)
-                    spans.append([])
-                    kept.append(data)
-                    texts.append(whole([data]))
-                    continue
-                place = runs.values.to_numpy()
-                lo = place // threshold
-                a, b = merged(lo, lo + place % threshold + threshold)
-                removed.append(int((b - a).sum()))
-                spans.append([{"start": int(i), "end": int(j)} for i, j in zip(a, b, strict=True)])
-                edges = [0, *np.stack([a, b], 1).ravel().tolist(), len(data)]
-                parts = [data[i:j] for i, j in zip(edges[::2], edges[1::2], strict=True)]
-                kept.append(b"".join(parts))
-                texts.append(whole(parts))
-            kinds = [pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary()]
-            yield pa.RecordBatch.from_arrays([
-                *[batch.column(c) for c in ids], pa.array(size, pa.int64()),
-                pa.array(removed, pa.int64()), pa.array(spans, kinds[0]), pa.array(kept, kinds[1]),
-                pa.array(texts, pa.string())], names=[*ids, *_RESULT.names])
+            _, offsets = text_bytes(batch.column("_x"))
+            for lo, hi in slices(offsets, chunk):
+                part = batch.slice(lo, hi - lo)
+                spans, removed, kept = [], [], []
+                for x, runs in zip(part.column("_x"), part.column("_runs"), strict=True):
+                    data = x.as_buffer()
+                    a = b = np.empty(0, np.int64)
+                    if runs.is_valid:
+                        place = runs.values.to_numpy()
+                        start = place // threshold
+                        a, b = merged(start, start + place % threshold + threshold)
+                    removed.append(int((b - a).sum()))
+                    spans.append([{"start": int(i), "end": int(j)} for i, j in zip(a, b, strict=True)])
+                    edges = [0, *np.stack([a, b], 1).ravel().tolist(), len(data)]
+                    whole = memoryview(data)
+                    parts = [bytes(whole[i:j]) for i, j in zip(edges[::2], edges[1::2], strict=True)]
+                    # A cut inside a character takes the rest of the character with it.
+                    kept.append("".join([p.decode(errors="ignore") for p in parts]) if with_text
+                                else b"".join(parts))
+                size = np.diff(offsets[lo:hi + 1])
+                none = pa.nulls(hi - lo, pa.binary() if with_text else pa.string())
+                made = [none, pa.array(kept, pa.string())] if with_text else [pa.array(kept, pa.binary()), none]
+                yield pa.RecordBatch.from_arrays([
+                    *[part.column(c) for c in ids], pa.array(size, pa.int64()), pa.array(removed, pa.int64()),
+                    pa.array(spans, pa.list_(_SPAN)), *made], names=[*ids, *_RESULT.names])
     return run
 
 
@@ -270,17 +285,18 @@ def _place() -> Column:
 
 def repeated_spans(docs: DataFrame, keep: Sequence[str] = ("doc_id",), doc_id: str = "doc_id",
                    text: str = "text", threshold: int = THRESHOLD, chunk: int = CHUNK,
-                   hot: int = HOT, with_text: bool = False) -> DataFrame:
+                   hot: int = HOT, with_text: bool = False, combined: int = COMBINED) -> DataFrame:
     """``keep``, n_bytes, n_removed, spans (byte ranges to remove), kept (bytes) and kept_text.
 
-    One row for each row of ``docs``. ``kept_text`` is null unless ``with_text``; it lacks
-    what remains of a character that a span cuts.
+    One row for each row of ``docs``. Of ``kept`` and ``kept_text`` the one that
+    ``with_text`` asks for is made, the other is null; ``kept_text`` lacks what remains of a
+    character that a span cuts.
     """
     if threshold < 4 or threshold % 2:
         raise ValueError("the threshold must be even and at least 4")
     ids = [f"_k{i}" for i in range(len(keep))]
     rows = _keys(docs, doc_id, text, keep)
-    sampled = rows.select("_x", "_d", "_t").mapInArrow(_round_1(threshold, chunk, hot), _ROUND_1)
+    sampled = rows.select("_x", "_d", "_t").mapInArrow(_round_1(threshold, chunk, hot, combined), _ROUND_1)
     # Round 1: one shuffle by rank; equal stretches, and ranks with several stretches.
     same = Window.partitionBy("rank", "stretch").orderBy("_d", "_t", "place")
     alike = Window.partitionBy("rank")
@@ -301,7 +317,7 @@ def repeated_spans(docs: DataFrame, keep: Sequence[str] = ("doc_id",), doc_id: s
         "_d", "_t").agg(F.collect_list("place").alias("_runs"))
     # The same shuffle of the same columns as in round 2: Spark reuses it.
     cut = rows.join(runs, ["_d", "_t"], "left").select(*ids, "_x", "_d", "_t", "_runs").mapInArrow(
-        _cut(threshold, ids, with_text), T.StructType([*[rows.schema[i] for i in ids], *_RESULT.fields]))
+        _cut(threshold, ids, with_text, 4 * chunk), T.StructType([*[rows.schema[i] for i in ids], *_RESULT.fields]))
     return cut.select(*[F.col(i).alias(c) for c, i in zip(keep, ids, strict=True)], *_RESULT.names)
 
 

@@ -212,6 +212,21 @@ def test_repeated_strings(odd, threshold, chunk, hot):
     assert sorted(tuple(r) for r in got.collect()) == want
 
 
+def test_texts_of_one_id_whose_short_hashes_collide(spark):
+    """Two texts with equal 32-bit hashes under null ids are told apart."""
+    base = prose(21, 40)
+    hashed = spark.range(150_000).select("id", F.hash(F.concat(F.lit("row "), F.col("id"), F.lit(base))).alias("h"))
+    a, b = hashed.groupBy("h").agg(F.min("id"), F.max("id"), F.count("*").alias("n")).where("n > 1").first()[1:3]
+    texts = [f"row {a}{base}", f"row {b}{base}"]
+    docs = spark.createDataFrame([(None, t) for t in texts] + [(1, base + " end")], "doc_id long, text string")
+    got = {r.doc_id: r for r in suffix_dedup.repeated_spans(docs, ["doc_id", "text"]).collect() if r.doc_id}
+    assert got[1].n_removed == len(base)
+    found = [(r.text, r.n_removed) for r in suffix_dedup.repeated_spans(docs, ["doc_id", "text"]).where(
+        "doc_id IS NULL").collect()]
+    assert sorted(t for t, _ in found) == sorted(texts)
+    assert sorted(n > 0 for _, n in found) == [False, True] and max(n for _, n in found) >= len(base)
+
+
 def test_a_line_that_most_documents_share(spark):
     line = prose(9, 30)
     rows = [(i, f"{prose(100 + i, 6)} {line} {prose(500 + i, 6)}") for i in range(60)]
