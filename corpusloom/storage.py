@@ -45,13 +45,22 @@ def stage(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_staged(spark: SparkSession) -> int:
-    """Delete the tables staged by this process; frames that read them end with it."""
+def staged_count() -> int:
+    """How many tables this process has staged and not dropped."""
+    return len(_written)
+
+
+def drop_staged(spark: SparkSession, first: int = 0, last: int | None = None) -> int:
+    """Delete tables staged by this process; frames that read them end with it.
+
+    ``first`` and ``last`` choose them as a slice of the order in which they were staged.
+    """
     context = spark.sparkContext
     removed = 0
-    while _written:
-        path = context._jvm.org.apache.hadoop.fs.Path(_written.pop())
+    for name in _written[first:last]:
+        path = context._jvm.org.apache.hadoop.fs.Path(name)
         removed += path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    del _written[first:last]
     return removed
 
 
