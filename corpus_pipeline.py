@@ -14,7 +14,7 @@ result.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.decontaminate import benchmark_hits, contaminated
@@ -22,7 +22,7 @@ from corpusloom.llm.langid import UNKNOWN, identify, learned_from, train
 from corpusloom.llm.minhash import near_duplicates
 from corpusloom.llm.packing import pack
 from corpusloom.llm.suffix_dedup import repeated_spans
-from corpusloom.storage import stage
+from corpusloom.storage import drop_staged, stage, staged_count
 
 ORACLE_SQL = None
 
@@ -33,20 +33,33 @@ def _renamed(docs: DataFrame) -> tuple[DataFrame, list[str], dict[str, str]]:
     return docs.toDF(*names), names, dict(zip(docs.columns, names, strict=True))
 
 
+def _text_key(text: str) -> Column:
+    return F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("_h")
+
+
+def _without(own: DataFrame, text: str, rejected: DataFrame) -> DataFrame:
+    """Rows whose text isn't among the rejected keys.
+
+    A verdict on a text holds for all rows with it. Only keys go through Python and back, and the
+    written table of rejected ones tells Catalyst its size: a small one is broadcast.
+    """
+    gone = stage(rejected.select("_h").distinct())
+    return own.withColumn("_h", _text_key(text)).join(gone, "_h", "left_anti").select(*own.columns)
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents with a language, in however many they are; drops those without one."""
     own, names, of = _renamed(docs)
     model = train(learned_from(own, of["doc_id"]), of["text"], of["lang"])
-    found = identify(own, model, names, of["text"])
-    kept = found.where(F.col("lang_pred") != UNKNOWN)
-    return kept.select(*names).toDF(*docs.columns)
+    found = identify(own.select(_text_key(of["text"]), of["text"]), model, ["_h"], of["text"])
+    return _without(own, of["text"], found.where(F.col("lang_pred") == UNKNOWN)).toDF(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each class of near duplicates, the one with the smallest id."""
     own, names, of = _renamed(docs)
     doc_id, text = of["doc_id"], of["text"]
-    keyed = own.select("*", F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("_h"),
+    keyed = own.select("*", _text_key(text),
                        F.xxhash64(*[c for c in names if c != text]).alias("_o"))
     winners = near_duplicates(own, doc_id, text).where("first").select(
         F.col("text_md5").alias("_h")).distinct()
@@ -72,10 +85,10 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents of which a twentieth or more stands in benchmark passages."""
-    own, names, of = _renamed(docs)
+    own, _, of = _renamed(docs)
     benchmark = spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet")
-    found = benchmark_hits(own, benchmark, names, of["text"])
-    return found.where(~contaminated()).select(*names).toDF(*docs.columns)
+    found = benchmark_hits(own.select(_text_key(of["text"]), of["text"]), benchmark, ["_h"], of["text"])
+    return _without(own, of["text"], found.where(contaminated())).toDF(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -94,7 +107,8 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+    docs, first = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet"), staged_count()
     for _, step in STAGES[:-1]:
         docs = stage(step(spark, docs, sf_dir))
+        drop_staged(spark, first, -1)  # what the stage read and wrote on its way
     return STAGES[-1][1](spark, docs, sf_dir)
