@@ -34,7 +34,7 @@ from corpusloom.llm.textgrams import ranges, slices, text_bytes, word_bounds, wo
 
 WINDOW = 13
 BLOCK_BYTES = 16 << 20
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 SAMPLE = 8
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -107,12 +107,12 @@ class FMIndex:
         level = bwt
         for bit in range(self.bits - 1, -1, -1):
             one = (level >> bit) & 1
-            self.ones.append(np.append(0, np.cumsum(one)))
+            self.ones.append(np.append(0, np.cumsum(one)).astype(np.int32))
             self.zeros.append(n - int(self.ones[-1][-1]))
             level = np.concatenate([level[one == 0], level[one == 1]])
         # Every SAMPLE-th place, and the first of each run: no walk crosses a separator.
         marked = (order % SAMPLE == 0) | (bwt == 0)
-        self.marks = np.append(0, np.cumsum(marked))
+        self.marks = np.append(0, np.cumsum(marked)).astype(np.int32)
         self.samples = order[marked]
 
     def rank(self, symbol: np.ndarray, place: np.ndarray) -> np.ndarray:

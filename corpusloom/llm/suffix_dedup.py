@@ -19,9 +19,9 @@ reaches the threshold.
   rank of the pair (rank at p, rank at p + half): the pair covers the threshold, so equal
   neighbours are repeats.
 
-Each task finds the first of equal stretches or windows in 16 MB of text before rows are
+Each task finds the first of equal stretches or windows in 4 MB of text before rows are
 shuffled; those that repeat it are settled and dealt by place, so a passage in a third of
-all documents sends its rank one row for 16 MB. A rank with many different stretches is dealt
+all documents sends its rank one row for 4 MB. A rank with many different stretches is dealt
 out stretch by stretch. No round looks at pairs of documents. Ranks are 64-bit fingerprints:
 two different strings share one with a chance of 2^-64.
 
@@ -50,7 +50,7 @@ THRESHOLD = 100
 #: Bytes of text whose ranks a task holds at once (about 20 arrays of 8 bytes each).
 CHUNK = 1 << 18
 #: Bytes of text whose stretches are compared before they are sent (48 bytes for each).
-COMBINED = 1 << 24
+COMBINED = 1 << 22
 
 #: Stretches of one rank in so much text beyond which they are dealt one by one.
 HOT = 16
