@@ -27,8 +27,16 @@ from corpusloom.storage import drop_staged, stage, staged_count
 ORACLE_SQL = None
 
 
+#: Rows that go to Python at once, unless the session says otherwise: whole texts are wide, and
+#: the JVM holds a batch beside the worker that works on it.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def _renamed(docs: DataFrame) -> tuple[DataFrame, list[str], dict[str, str]]:
     """``docs`` under names that no operator uses, these names, and which is which."""
+    if docs.sparkSession.conf.get(_BATCH, None) is None:
+        docs.sparkSession.conf.set(_BATCH, str(BATCH_ROWS))
     names = [f"c{i}__" for i in range(len(docs.columns))]
     return docs.toDF(*names), names, dict(zip(docs.columns, names, strict=True))
 
