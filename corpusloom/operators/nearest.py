@@ -1,9 +1,11 @@
 """Nearest-neighbour search: exact, pruned by cells, and nearest centroids.
 
-Documents stay where they are. A block of queries of bounded size goes to
-every task, each task keeps its own best k per query, and one shuffle by
-query merges those. No pair of query and document ever becomes a row unless
-it is among the best k of its task.
+Queries and documents meet as blocks: documents are dealt to slices and queries to blocks of
+bounded bytes, both by hash, and every task works on one slice and one block at a time (of one
+cell, where the search is pruned). Neither side passes through the driver, and no pair of query
+and document becomes a row unless it is among the best k of its slice. A slice is sent once
+for each block of queries and a block once for each slice; a vector in a slice meets thousands of
+queries there, so arithmetic outweighs the bytes moved. One shuffle by query merges the best k.
 
 Scores are computed in double and reported as float. Rows rank by the float
 score, then by the lower document id, so the order doesn't depend on how the
@@ -14,11 +16,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.core.broadcast import Broadcast
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,11 +34,11 @@ from corpusloom.operators.batches import (
     bounded_blocks,
     map_batches,
     over_blocks,
+    to_lists,
     to_matrix,
 )
 from corpusloom.storage import stage
 
-TASK_WAVES = 4
 METRICS = ("inner_product", "cosine", "l2")
 Candidates = tuple[np.ndarray, np.ndarray, np.ndarray]  # query index, row index, likeness
 
@@ -115,79 +118,117 @@ def topk_merge(df: DataFrame, k: int, query: str = "query_id", item: str = "doc_
     return _rank(df, k, [*group, query], descending, item, score)
 
 
+#: Bytes of vectors, as doubles, on each side of a comparison.
+SLICE_BYTES = 64 * 1024 * 1024
+#: Documents that are worth a slice of their own while cores would be idle.
+SLICE_ROWS = 256
+_SLICE, _BLOCK = "_slice", "_block"
+
+
+def _width(df: DataFrame, column: str) -> int:
+    first = df.select(F.size(column)).first()
+    return max(1, (first[0] if first else None) or 1)
+
+
+def dealt(docs: DataFrame, queries: DataFrame, doc_columns: Sequence[str], query_columns: Sequence[str],
+          doc_vector: str, query_vector: str, cell: str | None = None,
+          max_bytes: int = SLICE_BYTES) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides with the numbers of slice and block, and the columns that name a comparison.
+
+    Rows of each side per slice or block follow from counts and widths. With ``cell`` every
+    cell is cut on its own, so a cell of any size spreads; cells without queries are
+    left out (and not read, where ``cell`` is a partition column).
+    """
+    wide = {"d": _width(docs, doc_vector) * 8, "q": _width(queries, query_vector) * 8}
+    context = docs.sparkSession.sparkContext
+    if cell is None:
+        n_docs, n_queries = docs.count(), queries.count()
+        slices = max(1, -(-n_docs * wide["d"] // max_bytes),
+                     min(context.defaultParallelism, -(-n_docs // SLICE_ROWS)))
+        blocks = max(1, -(-n_queries * wide["q"] // max_bytes))
+        left = docs.select(*doc_columns, F.lit(slices).alias("_s"), F.lit(blocks).alias("_b"))
+        right = queries.select(*query_columns, F.lit(slices).alias("_s"), F.lit(blocks).alias("_b"))
+        named = [_SLICE, _BLOCK]
+    else:
+        def counted(df: DataFrame, name: str) -> DataFrame:
+            pieces = F.ceil(F.count(F.lit(1)) * wide[name[-1]] / F.lit(max_bytes)).cast("int")
+            return df.groupBy(cell).agg(pieces.alias(name))
+
+        # One row for each cell: written, so that its true size decides how it is joined.
+        cut = stage(counted(queries, "_q").join(counted(docs, "_d"), cell).select(
+            F.col(cell), F.col("_d").alias("_s"), F.col("_q").alias("_b"))).where(F.col(cell) >= 0)
+        left = docs.select(cell, *doc_columns).join(cut, cell)
+        right = queries.select(cell, *query_columns).join(cut, cell)
+        named = [cell, _SLICE, _BLOCK]
+    keys = [cell] if cell else []
+
+    def each(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    left = left.select(*keys, *doc_columns, F.pmod(F.xxhash64(*doc_columns), F.col("_s")).cast("int").alias(
+        _SLICE), each("_b").alias(_BLOCK))
+    right = right.select(*keys, *query_columns, F.pmod(F.xxhash64(*query_columns), F.col("_b")).cast(
+        "int").alias(_BLOCK), each("_s").alias(_SLICE))
+    return left, right, named
+
+
 def scan_topk(
     docs: DataFrame,
-    queries: Iterator[Block],
-    scorer: Callable[[Block], Callable[[pa.RecordBatch, np.ndarray], Candidates]],
+    queries: DataFrame,
+    scorer: Callable[[np.ndarray, int | None], Callable[[pa.Table, np.ndarray], Candidates]],
     columns: Sequence[str],
     doc_id: str,
     k: int,
     metric: str,
+    query_id: str = "query_id",
+    vector: str = "embedding",
     group: str | None = None,
+    cell: str | None = None,
+    max_bytes: int = SLICE_BYTES,
 ) -> DataFrame:
-    """Run every query block over all documents and merge the best k of its queries.
+    """The best ``k`` documents of every query (per ``group``), compared block by block.
 
-    ``scorer(block)`` gives a function of a batch and the row numbers in it to
-    search, which returns at most k candidates per query. Each task holds the
-    running best k of the block per group, not the candidates of all batches.
+    ``scorer(matrix, cell)`` of a block of queries gives a function of a slice and the row
+    numbers in it to search, which returns at most k candidates per query. The first of
+    ``columns`` is the one whose width counts.
     """
-    context = docs.sparkSession.sparkContext
-    # Every task sends its best k of all queries, so a few waves of tasks beat many small ones.
-    tasks = max(TASK_WAVES * context.defaultParallelism,
-                int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    source = docs.select(
-        *dict.fromkeys([doc_id, *columns, *([group] if group else [])])).coalesce(tasks)
-    sign = -1.0 if metric == "l2" else 1.0
+    sign = np.float32(-1.0 if metric == "l2" else 1.0)
     fields = [T.StructField("query_id", T.LongType()), T.StructField("doc_id", T.LongType()),
               T.StructField("score", T.FloatType())]
     if group:
-        fields.insert(0, source.schema[group])
-    schema = T.StructType(fields)
-
-    def search(shared: Broadcast) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held = Block(*shared.value)
-            find = scorer(held)
-            best: dict = {}
-            for batch in batches:
-                if batch.num_rows == 0:
-                    continue
-                ids = batch.column(doc_id).to_numpy(zero_copy_only=False)
+        fields.insert(0, docs.schema[group])
+    names = [f.name for f in fields]
+    left, right, named = dealt(
+        docs, queries, list(dict.fromkeys([doc_id, *columns, *([group] if group else [])])),
+        [query_id, vector], columns[0], vector, cell, max_bytes)
+
+    def run(key: tuple, slice_: pa.Table, block: pa.Table) -> pa.Table:
+        found = []
+        if slice_.num_rows and block.num_rows:
+            asking = block.column(query_id).to_numpy()
+            find = scorer(to_matrix(block.column(vector)), key[0].as_py() if cell else None)
+            ids = slice_.column(doc_id).to_numpy()
+            parts = [(None, np.arange(slice_.num_rows))]
+            if group:
+                coded = slice_.column(group).combine_chunks().dictionary_encode()
+                codes = coded.indices.to_numpy(zero_copy_only=False)
+                parts = [(g, np.flatnonzero(codes == i)) for i, g in enumerate(coded.dictionary)]
+            for name, rows in parts:
+                qi, ri, like = find(slice_, rows)
+                made = [pa.array(asking[qi], pa.int64()), pa.array(ids[ri], pa.int64()),
+                        pa.array(sign * like, pa.float32())]
                 if group:
-                    coded = batch.column(group).dictionary_encode()
-                    codes = coded.indices.to_numpy(zero_copy_only=False)
-                    parts = [(g, np.flatnonzero(codes == i))
-                             for i, g in enumerate(coded.dictionary.to_pylist())]
-                else:
-                    parts = [(None, np.arange(batch.num_rows))]
-                for name, rows in parts:
-                    qi, ri, like = find(batch, rows)
-                    docs_found = ids[ri]
-                    if name in best:
-                        old = best[name]
-                        qi = np.concatenate([old[0], qi])
-                        docs_found = np.concatenate([old[1], docs_found])
-                        like = np.concatenate([old[2], like])
-                    best[name] = _first_k(qi, docs_found, like, docs_found, k)
-            for name, (qi, found, like) in best.items():
-                for a in range(0, len(qi), 100_000):
-                    part = slice(a, a + 100_000)
-                    out = [pa.array(held.ids[qi[part]], pa.int64()),
-                           pa.array(found[part], pa.int64()),
-                           pa.array(np.float32(sign) * like[part], pa.float32())]
-                    if group:
-                        kind = batch.schema.field(group).type
-                        out.insert(0, pa.array([name] * len(out[0]), kind))
-                    yield pa.RecordBatch.from_arrays(out, names=[f.name for f in fields])
-
-        return topk_merge(source.mapInArrow(run, schema), k, descending=metric != "l2",
-                          group=[group] if group else [])
-
-    pieces = over_blocks(docs.sparkSession, queries, search)
-    if not pieces:
-        empty = T.StructType([*schema.fields, T.StructField("rank", T.IntegerType())])
-        return docs.sparkSession.createDataFrame([], empty)
-    return reduce(DataFrame.unionByName, pieces)
+                    made.insert(0, pa.repeat(name, len(qi)))
+                found.append(pa.Table.from_arrays(made, names=names))
+        if not found:
+            kinds = [pa.int64(), pa.int64(), pa.float32()]
+            if group:
+                kinds.insert(0, slice_.schema.field(group).type if slice_.num_columns else pa.null())
+            return pa.table([pa.array([], x) for x in kinds], names=names)
+        return pa.concat_tables(found)
+
+    made = left.groupBy(*named).cogroup(right.groupBy(*named)).applyInArrow(run, T.StructType(fields))
+    return topk_merge(made, k, descending=metric != "l2", group=[group] if group else [])
 
 
 def knn_exact(
@@ -200,30 +241,33 @@ def knn_exact(
     vector: str = "embedding",
     group: str | None = None,
     negate_query: bool = False,
-    max_bytes: int = BROADCAST_BYTES,
+    max_bytes: int = SLICE_BYTES,
 ) -> DataFrame:
     """The best ``k`` documents per query: ``query_id, doc_id, score, rank``.
 
-    With ``group``, the best k per query in each group of documents. Queries
-    over ``max_bytes`` are searched in several blocks. ``negate_query`` turns
-    the query round, which under the inner product finds the least similar.
+    With ``group``, the best k per query in each group of documents.
+    ``negate_query`` turns the query round, which under the inner product
+    finds the least similar.
     """
     _check_metric(metric)
+    return scan_topk(docs, queries, _exact(doc_id, vector, k, metric, negate_query), [vector], doc_id, k,
+                     metric, query_id, vector, group, max_bytes=max_bytes)
 
-    def scorer(block: Block):
-        wanted = -block.matrix if negate_query else block.matrix
 
-        def find(batch: pa.RecordBatch, rows: np.ndarray) -> Candidates:
-            taken = pa.array(rows)
-            matrix = to_matrix(batch.column(vector).take(taken), wanted.shape[1])
-            ids = batch.column(doc_id).take(taken).to_numpy(zero_copy_only=False)
-            qi, di, like = best_in_block(wanted, matrix, ids, k, metric)
+def _exact(doc_id: str, vector: str, k: int, metric: str, negate: bool = False):
+    """The scorer of whole vectors."""
+    def scorer(matrix: np.ndarray, cell: int | None):
+        wanted = -matrix if negate else matrix
+
+        def find(slice_: pa.Table, rows: np.ndarray) -> Candidates:
+            some = slice_ if len(rows) == slice_.num_rows else slice_.take(pa.array(rows))
+            docs = to_matrix(some.column(vector), wanted.shape[1])
+            qi, di, like = best_in_block(wanted, docs, some.column(doc_id).to_numpy(), k, metric)
             return qi, rows[di], like
 
         return find
 
-    blocks = bounded_blocks(queries, query_id, vector, max_bytes=max_bytes)
-    return scan_topk(docs, blocks, scorer, [vector], doc_id, k, metric, group)
+    return scorer
 
 
 def nearest_targets(
@@ -341,41 +385,10 @@ def store_cells(docs: DataFrame, centroids: DataFrame, vector: str = "embedding"
 
 
 def probe_cells(queries: DataFrame, centroids: DataFrame, nprobe: int, query_id: str,
-                vector: str) -> DataFrame:
-    """Each query with its ``nprobe`` nearest cells, staged since it is read several times."""
+                vector: str, cell: str = "cell") -> DataFrame:
+    """A row for each query and one of its ``nprobe`` nearest cells; staged, as it is read twice."""
     near = nearest_targets(queries, centroids, nprobe, [query_id, vector], "l2", vector=vector)
-    return stage(near.select(query_id, vector, F.col("target_ids").alias("cells")))
-
-
-def rows_by_cell(batch: pa.RecordBatch, cell: str, rows: np.ndarray) -> Iterator[tuple]:
-    """The rows of a batch, one cell at a time."""
-    cells = batch.column(cell).to_numpy(zero_copy_only=False)[rows]
-    order = np.argsort(cells, kind="stable")
-    rows, cells = rows[order], cells[order]
-    for part in np.split(np.arange(len(cells)), np.flatnonzero(np.diff(cells)) + 1):
-        if len(part):
-            yield int(cells[part[0]]), rows[part]
-
-
-def queries_by_cell(block: Block) -> dict[int, np.ndarray]:
-    """For each cell the queries of a block that probe it."""
-    lists = block.extra["cells"]
-    cells = np.array([c for cells in lists for c in cells], dtype=np.int64)
-    owners = np.repeat(np.arange(len(lists)), [len(cells) for cells in lists])
-    order = np.argsort(cells, kind="stable")
-    cells, owners = cells[order], owners[order]
-    edges = np.flatnonzero(np.diff(cells)) + 1
-    return {int(c[0]): o for c, o in zip(np.split(cells, edges), np.split(owners, edges)) if len(c)}
-
-
-def in_probed_cells(docs: DataFrame, probes: DataFrame, cell: str) -> DataFrame:
-    """Documents in a probed cell.
-
-    Where ``cell`` is a partition column, Spark finds the probed cells first and reads
-    their folders only.
-    """
-    wanted = probes.select(F.explode("cells").alias(cell)).distinct()
-    return docs.join(stage(wanted).where(F.col(cell) >= 0), cell, "left_semi")
+    return stage(near.select(query_id, vector, F.explode("target_ids").alias(cell)))
 
 
 def knn_ivf(
@@ -389,40 +402,159 @@ def knn_ivf(
     query_id: str = "query_id",
     vector: str = "embedding",
     cell: str = "cell",
-    max_bytes: int = BROADCAST_BYTES,
+    max_bytes: int = SLICE_BYTES,
 ) -> DataFrame:
     """The best ``k`` documents per query among those in its ``nprobe`` nearest cells.
 
     ``docs`` carries the column ``cell`` from ``assign_cells``. A query with
-    fewer than k documents in its cells gets fewer rows. Documents aren't
-    shuffled, so a cell may hold any share of them.
+    fewer than k documents in its cells gets fewer rows.
     """
     _check_metric(metric)
-    probes = probe_cells(queries, centroids, nprobe, query_id, vector)
+    probes = probe_cells(queries, centroids, nprobe, query_id, vector, cell)
+    return scan_topk(docs, probes, _exact(doc_id, vector, k, metric), [vector], doc_id, k, metric,
+                     query_id, vector, cell=cell, max_bytes=max_bytes)
 
-    def scorer(block: Block):
-        probing = queries_by_cell(block)
 
-        def find(batch: pa.RecordBatch, rows: np.ndarray) -> Candidates:
-            found = []
-            for number, members in rows_by_cell(batch, cell, rows):
-                wanted = probing.get(number)
-                if wanted is None:
-                    continue
-                taken = pa.array(members)
-                matrix = to_matrix(batch.column(vector).take(taken), block.matrix.shape[1])
-                ids = batch.column(doc_id).take(taken).to_numpy(zero_copy_only=False)
-                qi, di, like = best_in_block(block.matrix[wanted], matrix, ids, k, metric)
-                found.append((wanted[qi], members[di], like))
-            if not found:
-                return np.empty(0, int), np.empty(0, int), np.empty(0, np.float32)
-            return tuple(np.concatenate(c) for c in zip(*found))
+class PrunedSearch(NamedTuple):
+    """Neighbours, and the cells that were read for each query (``query_id``, ``cell``)."""
+
+    found: DataFrame
+    read: DataFrame
 
-        return find
 
-    blocks = bounded_blocks(probes, query_id, vector, ["cells"], max_bytes)
-    return scan_topk(in_probed_cells(docs, probes, cell), blocks, scorer, [vector, cell],
-                     doc_id, k, metric)
+def cell_bounds(docs: DataFrame, centroids: DataFrame, metric: str = "inner_product",
+                vector: str = "embedding", cell: str = "cell") -> DataFrame:
+    """``centroid_id, center``, rows, radius and largest norm of each cell with documents.
+
+    The radius is the largest distance of a document to the centroid (of the unit vectors
+    of both for ``cosine``). Every task sends one row for each cell it met.
+    """
+    _check_metric(metric)
+    block = bounded_block(centroids, "centroid_id", "center")
+    shared = docs.sparkSession.sparkContext.broadcast(block.parts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, centers, _ = shared.value
+        centers = _unit(centers) if metric == "cosine" else centers
+        rows, far, norm = np.zeros(len(ids), np.int64), np.zeros(len(ids)), np.zeros(len(ids))
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            matrix = to_matrix(batch.column(vector), centers.shape[1])
+            matrix = _unit(matrix) if metric == "cosine" else matrix
+            at = np.searchsorted(ids, batch.column(cell).to_numpy(zero_copy_only=False))
+            gap = matrix - centers[at]
+            rows += np.bincount(at, minlength=len(ids))
+            np.maximum.at(far, at, np.sqrt(np.einsum("ij,ij->i", gap, gap)))
+            np.maximum.at(norm, at, np.sqrt(np.einsum("ij,ij->i", matrix, matrix)))
+        met = np.flatnonzero(rows)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(ids[met], pa.int64()), pa.array(rows[met]), pa.array(far[met]), pa.array(norm[met])],
+            names=["centroid_id", "rows", "radius", "norm"])
+
+    parts = docs.select(cell, vector).mapInArrow(
+        run, "centroid_id bigint, rows bigint, radius double, norm double")
+    return parts.groupBy("centroid_id").agg(
+        F.sum("rows").alias("rows"), F.max("radius").alias("radius"), F.max("norm").alias("norm")).join(
+        centroids.select("centroid_id", "center"), "centroid_id")
+
+
+def best_likeness(queries: np.ndarray, centers: np.ndarray, radius: np.ndarray, norm: np.ndarray,
+                  metric: str) -> tuple[np.ndarray, np.ndarray]:
+    """What the best document of each cell can reach at most (queries x cells), and the rounding slack.
+
+    By the triangle inequality a document is no nearer than the centroid less the radius;
+    by that of Cauchy and Schwarz its product exceeds the centroid's by the query's norm times the
+    radius at most, and is no greater than the product of the norms.
+    """
+    if metric == "cosine":
+        queries, centers = _unit(queries), _unit(centers)
+    own = np.sqrt(np.einsum("ij,ij->i", queries, queries))[:, None]
+    far = np.sqrt(np.einsum("ij,ij->i", centers, centers))[None, :]
+    product = queries @ centers.T
+    if metric == "l2":
+        gap = np.sqrt(np.maximum(own ** 2 + far ** 2 - 2 * product, 0))
+        # The square root of a small difference of large squares is off by more.
+        return -np.maximum(gap - radius[None, :], 0), 1e-6 * (own + far + radius[None, :])
+    return (np.minimum(product + own * radius[None, :], own * norm[None, :]),
+            1e-6 * own * (far + radius[None, :]))
+
+
+def knn_pruned(
+    docs: DataFrame,
+    queries: DataFrame,
+    centroids: DataFrame,
+    k: int = 5,
+    metric: str = "inner_product",
+    doc_id: str = "doc_id",
+    query_id: str = "query_id",
+    vector: str = "embedding",
+    cell: str = "cell",
+    first: int = 1,
+    max_bytes: int = SLICE_BYTES,
+) -> PrunedSearch:
+    """The best ``k`` documents per query, the same as ``knn_exact``, from as few cells as its bounds allow.
+
+    Each query takes its cells in the order of what their best document can reach, ``first``
+    of them in the first round and twice as many in each further one, and stops at the cell
+    that can't beat its k-th best so far. ``docs`` carries ``cell`` from ``assign_cells``
+    or ``store_cells``; ``query_id`` must be unique.
+    """
+    _check_metric(metric)
+    spark = docs.sparkSession
+    known = stage(cell_bounds(docs, centroids, metric, vector, cell))
+    block = bounded_block(known, "centroid_id", "center", ["radius", "norm"])
+    shared = spark.sparkContext.broadcast(block.parts)
+    asked = stage(queries.select(F.col(query_id).alias("query_id"), F.col(vector).alias("_v")))
+    schema = T.StructType([T.StructField("query_id", T.LongType()),
+                           T.StructField("_v", T.ArrayType(T.DoubleType())), T.StructField(cell, T.LongType())])
+    turn = -1.0 if metric == "l2" else 1.0
+
+    def probes(state: DataFrame, low: int, high: int) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, centers, extra = shared.value
+            radius, norm = np.array(extra["radius"]), np.array(extra["norm"])
+            for batch in batches:
+                if batch.num_rows == 0:
+                    continue
+                matrix = to_matrix(batch.column("_v"), centers.shape[1])
+                kth = batch.column("_kth").to_numpy(zero_copy_only=False).astype(np.float64)
+                names = batch.column("query_id").to_numpy(zero_copy_only=False)
+                step = max(1, BLOCK_BYTES // (8 * len(ids)))
+                for a in range(0, len(matrix), step):
+                    part = matrix[a:a + step]
+                    reach, slack = best_likeness(part, centers, radius, norm, metric)
+                    order = np.argsort(-reach, axis=1, kind="stable")[:, low:high]
+                    can = np.take_along_axis(reach + slack, order, 1)
+                    beaten = can < turn * kth[a:a + step, None]  # never with fewer than k so far
+                    qi, at = np.nonzero(~beaten)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(names[a:a + step][qi], pa.int64()), to_lists(part[qi], pa.float64()),
+                         pa.array(ids[order[qi, at]], pa.int64())], names=schema.names)
+
+        return stage(state.select("query_id", "_v", "_kth").mapInArrow(run, schema))
+
+    cells, low, high = len(block.ids), 0, first
+    state = asked.withColumn("_kth", F.lit(None).cast("float"))
+    best, read = None, []
+    while low < cells:
+        probed = probes(state, low, high)
+        if probed.isEmpty():
+            break
+        read.append(probed.select("query_id", cell))
+        found = scan_topk(docs, probed, _exact(doc_id, vector, k, metric), [vector], doc_id, k,
+                          metric, "query_id", "_v", cell=cell, max_bytes=max_bytes)
+        if best is not None:
+            found = topk_merge(best.drop("rank").unionByName(found.drop("rank")), k, descending=metric != "l2")
+        best = stage(found)
+        kth = best.where(F.col("rank") == k).select("query_id", F.col("score").alias("_kth"))
+        state = asked.join(kth, "query_id", "left")
+        low, high = high, high + 2 * (high - low)
+    if best is None:
+        empty = "query_id bigint, doc_id bigint, score float, rank int"
+        return PrunedSearch(spark.createDataFrame([], empty),
+                            spark.createDataFrame([], f"query_id bigint, {cell} bigint"))
+    return PrunedSearch(best, reduce(DataFrame.unionByName, read))
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ of its nearest codebook entry. Codebooks are a table
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -19,24 +20,25 @@ from pyspark.sql import types as T
 
 from corpusloom.operators.batches import (
     BROADCAST_BYTES,
-    Block,
     bounded_blocks,
     map_batches,
     to_lists,
     to_matrix,
 )
 from corpusloom.operators.nearest import (
+    SLICE_BYTES,
     Candidates,
     _first_k,
     assign_nearest,
     best_in_block,
-    in_probed_cells,
+    dealt,
     probe_cells,
-    queries_by_cell,
-    rows_by_cell,
+    rerank,
     scan_topk,
+    topk_merge,
 )
 from corpusloom.operators.split import sample_n
+from corpusloom.storage import stage
 
 MAX_CODES = 1 << 15  # a code is a signed 16-bit number
 
@@ -155,6 +157,11 @@ def encode(matrix: np.ndarray, books: Books) -> np.ndarray:
     return coded
 
 
+def decode(coded: np.ndarray, books: Books) -> np.ndarray:
+    """The vectors that codes stand for."""
+    return np.concatenate([centers[at] for centers, at in zip(books[1], _positions(coded, books))], axis=1)
+
+
 def _coarse(centroids: DataFrame | None) -> tuple[np.ndarray, np.ndarray] | None:
     if centroids is None:
         return None
@@ -170,11 +177,12 @@ def _residual(matrix: np.ndarray, cells: np.ndarray, coarse) -> np.ndarray:
 
 
 def pq_encode(df: DataFrame, codebooks: DataFrame, keep: list[str], vector: str = "embedding",
-              centroids: DataFrame | None = None, cell: str = "cell") -> DataFrame:
+              centroids: DataFrame | None = None, cell: str = "cell", with_error: bool = False) -> DataFrame:
     """Append ``codes array<smallint>`` to ``keep``.
 
     With coarse ``centroids`` the difference to the centroid of the row's
-    ``cell`` is encoded.
+    ``cell`` is encoded. ``with_error`` adds ``error double``, the distance of the vector to
+    what its codes stand for.
     """
     context = df.sparkSession.sparkContext
     shared = context.broadcast((_codebooks(codebooks), _coarse(centroids)))
@@ -185,9 +193,15 @@ def pq_encode(df: DataFrame, codebooks: DataFrame, keep: list[str], vector: str
         matrix = to_matrix(batch.column(vector), sum(c.shape[1] for c in books[1]))
         if coarse is not None:
             matrix = _residual(matrix, batch.column(cell).to_numpy(zero_copy_only=False), coarse)
-        return {"codes": to_lists(encode(matrix, books), pa.int16())}
-
-    new = T.StructType([T.StructField("codes", T.ArrayType(T.ShortType()))])
+        coded = encode(matrix, books)
+        made = {"codes": to_lists(coded, pa.int16())}
+        if with_error:
+            gap = matrix - decode(coded, books)
+            made["error"] = pa.array(np.sqrt(np.einsum("ij,ij->i", gap, gap)))
+        return made
+
+    new = T.StructType([T.StructField("codes", T.ArrayType(T.ShortType())),
+                        *([T.StructField("error", T.DoubleType())] if with_error else [])])
     return map_batches(df, columns, vector, new, compute)
 
 
@@ -239,7 +253,7 @@ def pq_search(
     centroids: DataFrame | None = None,
     nprobe: int = 3,
     cell: str = "cell",
-    max_bytes: int = BROADCAST_BYTES,
+    max_bytes: int = SLICE_BYTES,
 ) -> DataFrame:
     """The best ``k`` documents per query by the distance of the query to their codes.
 
@@ -248,43 +262,123 @@ def pq_search(
     """
     shared = codes.sparkSession.sparkContext.broadcast((_codebooks(codebooks), _coarse(centroids)))
 
-    def decode(batch: pa.RecordBatch, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        taken = pa.array(rows)
-        coded = to_matrix(batch.column("codes").take(taken), len(shared.value[0][0]))
-        ids = batch.column(doc_id).take(taken).to_numpy(zero_copy_only=False)
-        return coded.astype(np.int64), ids
-
-    def flat(block: Block) -> Callable[[pa.RecordBatch, np.ndarray], Candidates]:
-        def find(batch: pa.RecordBatch, rows: np.ndarray) -> Candidates:
-            coded, ids = decode(batch, rows)
-            qi, di, like = _code_scan(block.matrix, coded, ids, shared.value[0], k)
-            return qi, rows[di], like
-        return find
-
-    def pruned(block: Block) -> Callable[[pa.RecordBatch, np.ndarray], Candidates]:
-        probing = queries_by_cell(block)
+    def scorer(matrix: np.ndarray, number: int | None) -> Callable[[pa.Table, np.ndarray], Candidates]:
         books, coarse = shared.value
+        wanted = matrix if coarse is None else _residual(matrix, np.full(len(matrix), number), coarse)
 
-        def find(batch: pa.RecordBatch, rows: np.ndarray) -> Candidates:
-            found = [(np.empty(0, int), np.empty(0, int), np.empty(0, np.float32))]
-            for number, members in rows_by_cell(batch, cell, rows):
-                wanted = probing.get(number)
-                if wanted is None:
-                    continue
-                coded, ids = decode(batch, members)
-                shifted = _residual(block.matrix[wanted], np.full(len(wanted), number), coarse)
-                qi, di, like = _code_scan(shifted, coded, ids, books, k)
-                found.append((wanted[qi], members[di], like))
-            return tuple(np.concatenate(c) for c in zip(*found))
+        def find(slice_: pa.Table, rows: np.ndarray) -> Candidates:
+            coded = to_matrix(slice_.column("codes"), len(books[0])).astype(np.int64)
+            return _code_scan(wanted, coded, slice_.column(doc_id).to_numpy(), books, k)
         return find
 
     if centroids is None:
-        blocks: Iterator[Block] = bounded_blocks(queries, query_id, vector, max_bytes=max_bytes)
-        return scan_topk(codes, blocks, flat, ["codes"], doc_id, k, "l2")
-    probes = probe_cells(queries, centroids, nprobe, query_id, vector)
-    blocks = bounded_blocks(probes, query_id, vector, ["cells"], max_bytes)
-    return scan_topk(in_probed_cells(codes, probes, cell), blocks, pruned, ["codes", cell],
-                     doc_id, k, "l2")
+        return scan_topk(codes, queries, scorer, ["codes"], doc_id, k, "l2", query_id, vector,
+                         max_bytes=max_bytes)
+    probes = probe_cells(queries, centroids, nprobe, query_id, vector, cell)
+    return scan_topk(codes, probes, scorer, ["codes"], doc_id, k, "l2", query_id, vector, cell=cell,
+                     max_bytes=max_bytes)
+
+
+class BoundedSearch(NamedTuple):
+    """Neighbours, and the pairs that were scored exactly (``query_id``, ``doc_id``, ``low``, ``high``)."""
+
+    found: DataFrame
+    candidates: DataFrame
+
+
+def _code_bounds(queries: np.ndarray, shift: np.ndarray, coded: np.ndarray, error: np.ndarray, books: Books,
+                 k: int, metric: str) -> tuple[np.ndarray, ...]:
+    """(query, row, low, high) of the rows whose lowest cost may be among the k least.
+
+    The cost is the distance or the negated product. That of the codes is off by the row's
+    error at most, times the query's norm for the product; a row stays if its low end is under the
+    k-th least high end. ``shift`` is what the coarse centroid adds to the cost.
+    """
+    places = _positions(coded, books)
+    entries = max(centers.size for centers in books[1])
+    step = max(1, (1 << 22) // max(1, len(coded), entries))
+    found = []
+    for start in range(0, len(queries), step):
+        part = queries[start:start + step]
+        norm = np.sqrt(np.einsum("ij,ij->i", part, part))[:, None]
+        total, at = np.zeros((len(part), len(coded))), 0
+        if metric == "l2":
+            for table, where in zip(_tables(part, books), places):
+                total += table[:, where]
+            cost, off = np.sqrt(total), np.broadcast_to(error[None, :], total.shape)
+        else:
+            for centers, where in zip(books[1], places):
+                total -= (part[:, at:at + centers.shape[1]] @ centers.T)[:, where]
+                at += centers.shape[1]
+            cost, off = total + shift[start:start + step, None], norm * error[None, :]
+        # Rounding, also that of the float scores that decide in the end.
+        off = off + 1e-6 * (np.abs(cost) + norm)
+        low, high = cost - off, cost + off
+        kth = np.partition(high, k - 1, axis=1)[:, k - 1] if k <= len(coded) else np.full(len(part), np.inf)
+        qi, di = np.nonzero(low <= kth[:, None])
+        found.append((qi + start, di, low[qi, di], high[qi, di]))
+    return tuple(np.concatenate(c) for c in zip(*found))
+
+
+def pq_search_bounded(
+    codes: DataFrame,
+    docs: DataFrame,
+    queries: DataFrame,
+    codebooks: DataFrame,
+    k: int = 5,
+    metric: str = "l2",
+    doc_id: str = "doc_id",
+    query_id: str = "query_id",
+    vector: str = "embedding",
+    centroids: DataFrame | None = None,
+    nprobe: int = 3,
+    cell: str = "cell",
+    max_bytes: int = SLICE_BYTES,
+) -> BoundedSearch:
+    """The best ``k`` documents per query, exactly, from codes with their errors and few whole vectors.
+
+    ``codes`` comes from ``pq_encode(..., with_error=True)``. Every row's cost lies within its error
+    of the cost of its codes. Rows whose low end is over the k-th least high end can't be among
+    the best; the others are scored on the vectors in ``docs``. So no neighbour is lost,
+    whatever the codebooks are; better ones leave fewer candidates. With coarse ``centroids``
+    the same holds within the ``nprobe`` nearest cells.
+    """
+    if metric not in ("l2", "inner_product"):
+        raise ValueError("metric is 'l2' or 'inner_product'")
+    shared = codes.sparkSession.sparkContext.broadcast((_codebooks(codebooks), _coarse(centroids)))
+    asked = queries.select(query_id, vector) if centroids is None else probe_cells(
+        queries, centroids, nprobe, query_id, vector, cell)
+    keyed = None if centroids is None else cell
+    left, right, named = dealt(codes, asked, [doc_id, "codes", "error"], [query_id, vector], "codes", vector,
+                               keyed, max_bytes)
+    names = ["query_id", "doc_id", "low", "high"]
+
+    def run(key: tuple, slice_: pa.Table, block: pa.Table) -> pa.Table:
+        if not (slice_.num_rows and block.num_rows):
+            return pa.table([pa.array([], x) for x in (pa.int64(), pa.int64(), pa.float64(), pa.float64())],
+                            names=names)
+        books, coarse = shared.value
+        matrix = to_matrix(block.column(vector))
+        shift = np.zeros(len(matrix))
+        if coarse is not None:
+            center = coarse[1][np.searchsorted(coarse[0], key[0].as_py())]
+            if metric == "l2":
+                matrix = matrix - center
+            else:
+                shift = -(matrix @ center)
+        coded = to_matrix(slice_.column("codes"), len(books[0])).astype(np.int64)
+        qi, di, low, high = _code_bounds(matrix, shift, coded, slice_.column("error").to_numpy(), books, k, metric)
+        return pa.table([pa.array(block.column(query_id).to_numpy()[qi], pa.int64()),
+                         pa.array(slice_.column(doc_id).to_numpy()[di], pa.int64()), pa.array(low),
+                         pa.array(high)], names=names)
+
+    near = stage(left.groupBy(*named).cogroup(right.groupBy(*named)).applyInArrow(
+        run, "query_id bigint, doc_id bigint, low double, high double"))
+    kth = topk_merge(near, k, score="high", descending=False).where(F.col("rank") == k).select(
+        "query_id", F.col("high").alias("_kth"))
+    candidates = stage(near.join(kth, "query_id", "left").where(
+        F.col("_kth").isNull() | (F.col("low") <= F.col("_kth"))).drop("_kth"))
+    return BoundedSearch(rerank(candidates, docs, queries, k, metric, doc_id, query_id, vector), candidates)
 
 
 def reshape_codes(df: DataFrame, width: int = 1024, code: str = "code", batch: str = "batch",

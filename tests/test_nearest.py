@@ -3,7 +3,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.operators import cluster, nearest
+from corpusloom.operators import cluster, nearest, quantize
 from corpusloom.operators.batches import bounded_block, bounded_blocks
 
 RNG = np.random.default_rng(5)
@@ -148,13 +148,70 @@ def test_a_stored_cell_column_prunes_partitions(spark, tmp_path, data):
     stored = spark.read.parquet(str(tmp_path / "cells"))
     q = frame(spark, [0], queries[:1], "query_id")
     probes = nearest.probe_cells(q, cells, 2, "query_id", "embedding")
-    pruned = nearest.in_probed_cells(stored, probes, "cell")
-    plan = pruned._jdf.queryExecution().executedPlan().toString()
-    assert "dynamicpruning" in plan
+    sliced, _, _ = nearest.dealt(stored, probes, ["doc_id", "embedding"], ["query_id", "embedding"],
+                                 "embedding", "embedding", "cell")
+    assert "dynamicpruning" in sliced._jdf.queryExecution().executedPlan().toString()
     stored = stored.withColumn("cell", F.col("cell").cast("bigint"))
     assert nearest.knn_ivf(stored, q, cells, 5, 2).count() == 5
 
 
+@pytest.mark.parametrize("metric", nearest.METRICS)
+def test_bounded_cells_lose_nothing(spark, data, metric):
+    docs, queries = data
+    d = frame(spark, range(len(docs)), docs)
+    q = frame(spark, range(len(queries)), queries, "query_id")
+    cells = cluster.stage(cluster.fit_cells(d, 12, max_iter=3))
+    placed = nearest.store_cells(d, cells)
+    for k, first, bound in ((6, 3, 4_000), (800, 1, 1 << 20)):
+        made = nearest.knn_pruned(placed, q, cells, k, metric, first=first, max_bytes=bound)
+        assert ranked(made.found) == brute(queries, docs, k, metric)
+        pairs = made.read.count()
+        assert made.read.distinct().count() == pairs <= len(queries) * 12
+        assert k < 800 or pairs == len(queries) * placed.select("cell").distinct().count()
+
+
+def test_far_cells_are_not_read(spark):
+    """Tight clusters: a query reads its own and few others."""
+    centers = RNG.normal(size=(20, 6)) * 50
+    docs = np.repeat(centers, 30, axis=0) + RNG.normal(size=(600, 6))
+    d = frame(spark, range(600), docs)
+    q = frame(spark, range(40), docs[::15] + 0.1, "query_id")
+    cells = frame(spark, range(20), centers, "centroid_id", "center")
+    made = nearest.knn_pruned(nearest.store_cells(d, cells), q, cells, 5, "l2")
+    assert ranked(made.found) == brute(docs[::15] + 0.1, docs, 5, "l2")
+    assert made.read.count() <= 2 * 40
+
+
+def test_bounded_cells_without_rows(spark, data):
+    docs, queries = data
+    d, q = frame(spark, range(700), docs), frame(spark, range(22), queries, "query_id")
+    cells = cluster.stage(cluster.fit_cells(d, 3, max_iter=1))
+    placed = nearest.assign_cells(d, cells)
+    assert nearest.knn_pruned(placed, q.where("false"), cells).found.count() == 0
+    empty = nearest.knn_pruned(placed.where("false"), q, cells)
+    assert empty.found.count() == 0 and empty.read.count() == 0
+
+
+@pytest.mark.parametrize("metric", ["l2", "inner_product"])
+def test_bounded_codes_lose_nothing(spark, data, metric):
+    docs, queries = data
+    d, q = frame(spark, range(len(docs)), docs), frame(spark, range(len(queries)), queries, "query_id")
+    exact = brute(queries, docs, 5, metric)
+    for bits, bound in ((2, 1 << 20), (5, 3_000)):
+        books = cluster.stage(quantize.pq_fit(d, m=4, nbits=bits, max_iter=3))
+        codes = cluster.stage(quantize.pq_encode(d, books, ["doc_id"], with_error=True))
+        made = quantize.pq_search_bounded(codes, d, q, books, 5, metric, max_bytes=bound)
+        assert ranked(made.found) == exact
+        few = quantize.pq_search_bounded(codes.where("doc_id < 3"), d, q, books, 5, metric)
+        assert few.found.count() == 3 * len(queries)
+    cells = cluster.stage(cluster.fit_cells(d, 4, max_iter=2))
+    placed = nearest.store_cells(d, cells)
+    books = cluster.stage(quantize.pq_fit(quantize.residuals(placed, cells, ["doc_id"]), m=4, nbits=4, max_iter=3))
+    codes = quantize.pq_encode(placed, books, ["doc_id", "cell"], centroids=cells, with_error=True)
+    made = quantize.pq_search_bounded(codes, d, q, books, 5, metric, centroids=cells, nprobe=4)
+    assert ranked(made.found) == exact
+
+
 def test_merge_cuts_in_each_task_before_the_shuffle(spark):
     df = spark.createDataFrame([(1, 2, 0.5)], "query_id bigint, doc_id bigint, score float")
     plan = nearest.topk_merge(df, 5)._jdf.queryExecution().executedPlan().toString()
@@ -166,8 +223,31 @@ def test_search_plan_has_no_pairs(spark, data):
     docs, queries = data
     d, q = frame(spark, range(700), docs), frame(spark, range(22), queries, "query_id")
     plan = nearest.knn_exact(d, q)._jdf.queryExecution().executedPlan().toString()
-    assert "Join" not in plan and "Cartesian" not in plan
-    assert plan.count("Exchange hashpartitioning") == 1
+    assert "Join" not in plan and "Cartesian" not in plan and "FlatMapCoGroupsInArrow" in plan
+    # One shuffle for each side, one to merge.
+    assert plan.count("Exchange hashpartitioning") == 3
+
+
+def test_queries_stay_off_the_driver(spark, data, monkeypatch):
+    """Neither search collects rows: only counts and single rows reach the driver."""
+    docs, queries = data
+    d, q = frame(spark, range(700), docs), frame(spark, range(22), queries, "query_id")
+    cells = cluster.stage(cluster.fit_cells(d, 4, max_iter=1))
+    placed = nearest.store_cells(d, cells)
+    seen = []
+    kind = type(d)
+    plain = kind.toArrow
+
+    def watched(df):
+        seen.append(df.columns)
+        return plain(df)
+
+    monkeypatch.setattr(kind, "toArrow", watched)
+    monkeypatch.setattr(kind, "toPandas", lambda df: pytest.fail("collected"))
+    exact = nearest.knn_exact(d, q, 5, "l2", max_bytes=1000)
+    pruned = nearest.knn_ivf(placed, q, cells, 5, 4, "l2", max_bytes=1000)
+    assert all("query_id" not in c and "doc_id" not in c for c in seen)
+    assert ranked(exact) == ranked(pruned)
 
 
 def test_bounds_are_checked(spark, data):
