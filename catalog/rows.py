@@ -153,7 +153,7 @@ def split_contiguous(spark, sf):
 
 @query("bootstrap", f"""
 WITH numbered AS (SELECT *, row_number() OVER (ORDER BY vec_id) - 1 AS r FROM embeddings),
-draws AS (SELECT i AS draw, ('0x' || left({_DIGEST.format(seed=11, key='i')}, 8))::BIGINT
+draws AS (SELECT i AS draw, ('0x' || left({_DIGEST.format(seed=11, key='i')}, 15))::BIGINT
             % (SELECT count(*) FROM embeddings) AS r
           FROM range((SELECT count(*) FROM embeddings)) u(i))
 SELECT draw, vec_id, label FROM draws JOIN numbered USING (r)""")

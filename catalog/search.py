@@ -23,7 +23,8 @@ from catalog.inputs import (
     vectors,
 )
 from catalog.registry import QUERIES, query, r4, sql_r4, with_tables  # noqa: F401
-from corpusloom.operators import cluster, embed, ensemble, nearest, numbering, quantize, reduce, take
+from corpusloom.operators import (
+    cluster, embed, ensemble, minibatch, nearest, numbering, quantize, reduce, take)
 from corpusloom.storage import stage
 
 
@@ -335,6 +336,32 @@ def kmeans_shard(spark, sf):
     return _long(cluster.kmeans_shard(vectors(spark, sf), 8, max_iter=2), "shard")
 
 
+def _minibatch_sql(k: int, batches: int) -> list[str]:
+    """Tables ``mb0 .. mb{batches}`` of centres and the rows they have won so far."""
+    parts = [f"""mbp AS (SELECT shard AS s, row_index::VARCHAR AS key, embedding,
+  md5('0:' || row_index) AS digest, ('0x' || left(md5('0:' || row_index), 8))::BIGINT % {batches} AS batch FROM vec)""",
+             f"""mb0 AS (SELECT s, row_number() OVER (PARTITION BY s ORDER BY digest, key) - 1 AS id,
+  embedding AS center, 0::DOUBLE AS weight FROM mbp QUALIFY id < {k})"""]
+    for i in range(batches):
+        parts += [f"""mba{i} AS (SELECT p.s, p.key, c.id, p.embedding FROM mbp p JOIN mb{i} c ON p.s = c.s
+  WHERE p.batch = {i} QUALIFY row_number() OVER (PARTITION BY p.s, p.key ORDER BY
+    list_distance(p.embedding, c.center)::FLOAT, c.id) = 1)""",
+                  f"""mbm{i} AS (SELECT s, id, any_value(n) AS n, list(t ORDER BY pos) AS total FROM (
+  SELECT s, id, pos, count(*) AS n, sum(embedding[pos]) AS t FROM mba{i}, unnest(range(1, 65)) AS u(pos)
+  GROUP BY ALL) GROUP BY s, id)""",
+                  f"""mb{i + 1} AS (SELECT c.s, c.id, c.weight + coalesce(m.n, 0) AS weight,
+  CASE WHEN m.n IS NULL THEN c.center ELSE list_transform(range(1, 65), lambda j:
+    c.center[j] + (m.total[j] - m.n * c.center[j]) / (c.weight + m.n)) END AS center
+  FROM mb{i} c LEFT JOIN mbm{i} m ON c.s = m.s AND c.id = m.id)"""]
+    return parts
+
+
+@query("kmeans_minibatch", with_tables(VECTORS, *_minibatch_sql(8, 4)) + f"""
+SELECT s AS shard, {_LONG} FROM mb4, range(64) r(i)""")
+def kmeans_minibatch(spark, sf):
+    return _long(minibatch.kmeans_minibatch(vectors(spark, sf), 8, batches=4, seeding="digest"), "shard")
+
+
 @query("kmeans_final", with_tables(VECTORS, *_ALL) + f"""
 SELECT {_LONG} FROM al3, range(64) r(i)""")
 def kmeans_final(spark, sf):
@@ -406,7 +433,7 @@ _register_pruned("knn_pruned_cosine", "cosine")
 _register_pruned("knn_pruned_l2", "l2")
 
 #: Codebooks of the registered searches: a slice for each dimension, 64 entries each.
-BOOKS = {"m": 64, "nbits": 6, "max_iter": 5}
+BOOKS = {"m": 64, "nbits": 6, "max_iter": 2}
 
 
 # Errors bound what the codes leave open, so the SQL is that of the exact search.

@@ -60,14 +60,30 @@ def _sliced(df: DataFrame, counts: DataFrame, shard: str, row: str) -> DataFrame
 
 
 def _start(df: DataFrame, k: int, shard: str, key: list[str], vector: str, seed: int) -> DataFrame:
-    """The rows with the k lowest key digests of each shard as its first centres."""
+    """The rows with the k lowest key digests of each shard as its first centres.
+
+    The sizes of the shards tell below which digest k rows are expected: only some
+    ``sqrt(k)`` rows more than that are ranked. Where that falls short, the band is widened.
+    """
     digest = hash_key(F.concat_ws("/", *key), seed)
     keyed = df.select(shard, *key, digest.alias("_digest"))
-    # The rank is cut to k in each task before the shuffle; vectors follow afterwards.
+    sizes = stage(keyed.groupBy(shard).agg(F.count(F.lit(1)).alias("_size")))
+    place = F.conv(F.left("_digest", F.lit(15)), 16, 10).cast("bigint")
     order = Window.partitionBy(shard).orderBy("_digest", *key)
-    chosen = keyed.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k)
-    found = chosen.select(shard, *key, (F.col("_n") - 1).cast("bigint").alias("centroid_id"))
-    return df.join(stage(found), [shard, *key]).select(
+    slack = 6 * k ** 0.5 + 16
+    while True:
+        edge = F.lit((k + slack) * float(1 << 60)) / F.col("_size")
+        band = keyed.join(sizes, shard).where(place <= edge)
+        # The rank is cut to k in each task before the shuffle; vectors follow afterwards.
+        ranked = band.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k)
+        found = stage(ranked.select(shard, *key, (F.col("_n") - 1).cast("bigint").alias("centroid_id")))
+        have = found.groupBy(shard).agg(F.count(F.lit(1)).alias("_have"))
+        short = sizes.join(have, shard, "left").where(
+            F.coalesce("_have", F.lit(0)) < F.least("_size", F.lit(k)))
+        if short.isEmpty():
+            break
+        slack = 4 * slack + k
+    return df.join(found, [shard, *key]).select(
         shard, "centroid_id", as_double(F.col(vector)).alias("center"))
 
 

@@ -99,8 +99,10 @@ def bootstrap(df: DataFrame, key: str, n: int | None = None, seed: int = 0,
     total = rows.count()
     if total == 0:
         return rows.select(*df.columns, F.col("_row").alias(name))
+    # 60 bits: every row of a table of any size can be drawn.
+    digest = F.conv(F.left(hash_key("id", seed), F.lit(15)), 16, 10).cast("bigint")
     draws = df.sparkSession.range(total if n is None else n).select(
-        F.col("id").alias(name), (_hash_number(hash_key("id", seed)) % total).alias("_row"))
+        F.col("id").alias(name), (digest % total).alias("_row"))
     return draws.join(rows, "_row").select(*df.columns, name)
 
 
