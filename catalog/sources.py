@@ -8,7 +8,7 @@ from catalog.inputs import ELEMENTS, INDEX, KEYWORDS, VECTORS, index, keywords,
 from catalog.registry import query, r4, sql_r4, with_tables
 from corpusloom.functions.vectors import to_codes, to_float
 from corpusloom.operators.numbering import chunk_fixed
-from corpusloom.sources import tables
+from corpusloom.sources import matrix, tables
 from corpusloom.storage import new_path
 
 
@@ -75,3 +75,62 @@ def vec_cast(spark, sf):
     return both.select("row_index", F.posexplode(F.arrays_zip("f", "c")).alias("pos", "e")).select(
         "row_index", F.col("pos").cast("bigint").alias("pos"), r4("e.f").alias("single"),
         F.col("e.c").alias("code"))
+
+
+@query("file_positions", """
+SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS position, length(text)::BIGINT AS n FROM documents""")
+def file_positions(spark, sf):
+    """Documents written in order, numbered by their places in the files alone."""
+    path = new_path(spark)
+    table(spark, sf, "documents").select("doc_id", "text").repartitionByRange(
+        4, "doc_id").sortWithinPartitions("doc_id").write.parquet(path)
+    return tables.read_positions(spark, path, ["doc_id", "text"]).select(
+        "doc_id", "position", F.length("text").cast("bigint").alias("n"))
+
+
+def _written(spark, sf, files):
+    path = new_path(spark)
+    matrix.write_vectors(vectors(spark, sf).select("row_index", "embedding"), path, order_by="row_index",
+                         files=files)
+    return path
+
+
+_TOTAL = sql_r4("list_sum(list_transform(embedding, lambda x: x::FLOAT::DOUBLE))")
+
+
+def _total():
+    return r4(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double"))).alias("total")
+
+
+@query("matrix_positions", with_tables(VECTORS) + f"""
+SELECT row_number() OVER (ORDER BY row_index) - 1 AS position, {_TOTAL} AS total FROM vec""")
+def matrix_positions(spark, sf):
+    """Vectors written as matrix files and numbered by the manifest when read again."""
+    path = _written(spark, sf, 4)
+    placed = matrix.with_position(matrix.read_vectors(spark, path), matrix.manifest(spark, path))
+    return placed.select("position", _total())
+
+
+@query("matrix_row_range", with_tables(VECTORS) + f"""
+SELECT row_index, total FROM (
+  SELECT row_number() OVER (ORDER BY row_index) - 1 AS row_index, {_TOTAL} AS total FROM vec)
+WHERE row_index >= 60 AND row_index < 260""")
+def matrix_row_range(spark, sf):
+    """A range of rows of a matrix file; only its bytes are read."""
+    read = matrix.read_vectors(spark, _written(spark, sf, 1), rowsPerPartition="50")
+    return read.where("row_index >= 60 AND row_index < 260").select("row_index", _total())
+
+
+@query("matrix_manifest", """
+SELECT vec_id % 4 AS shard, count(*) AS n_rows, any_value(len(embedding))::BIGINT AS dim,
+  coalesce(sum(count(*)) OVER (ORDER BY vec_id % 4 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT
+    AS row_offset FROM embeddings GROUP BY vec_id % 4""")
+def matrix_manifest(spark, sf):
+    """A folder for each shard, found again by a search below their root."""
+    path = new_path(spark)
+    docs = vectors(spark, sf)
+    for shard in range(4):
+        matrix.write_vectors(docs.where(F.col("shard") == shard).select("embedding"), f"{path}/{shard}", files=1)
+    found = matrix.manifest(spark, path, recursive="true")
+    return found.select(F.substring_index("shard", "/", 1).cast("bigint").alias("shard"),
+                        F.col("rows").alias("n_rows"), "dim", F.col("offset").alias("row_offset"))

@@ -1,43 +1,67 @@
 """Dense matrix files as a data source: ``.npy`` shards and raw memory dumps.
 
 ``spark.read.format("matrix")`` splits every file into row ranges, so a large
-file is read by many tasks and no task loads a whole one. Options:
+file is read by many tasks and no task loads a whole one: a task reads the bytes of its
+range. Files are reached by URI through ``pyarrow.fs`` (``s3://``, ``gs://``, ``hdfs://``,
+``file:`` or a plain path), by the driver and by executors alike. Options:
 
-``path``       a file or a folder, on a file system that all executors mount
+``path``       a file or a folder that all executors reach
 ``kind``       ``npy`` (default) or ``raw``
 ``dtype, dim`` element type and width of a raw file
 ``glob``       file name pattern, ``*.npy`` by default (``*`` for raw)
 ``recursive``  ``true`` to search sub-folders
 ``rowsPerPartition``  rows of one read task, 65536 by default
 ``as``         ``float`` (default) or ``smallint`` elements
+``columns``    the columns to read, ``shard,row_index,embedding`` by default; without the
+               last no vector is read
 
 Each row is ``shard`` (file name without its last extension, or the path below
-the folder in a recursive read), ``row_index`` and ``embedding``. Writing gives
-one ``.npy`` file per task.
+the folder in a recursive read), ``row_index`` and ``embedding``. Conditions on ``shard`` and
+``row_index`` are pushed down: files of other shards aren't opened, other rows aren't read.
+
+Writing gives one ``.npy`` file per task and a manifest: a table of the files with their rows,
+width and bytes. A folder with a manifest is read by it, without opening headers; files
+that don't agree with it are an error.
 """
 
 from __future__ import annotations
 
 import fnmatch
-import os
+import json
+import posixpath
 import time
 import uuid
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import asdict, dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import (
     DataSource,
     DataSourceArrowWriter,
     DataSourceReader,
+    EqualTo,
+    Filter,
+    GreaterThan,
+    GreaterThanOrEqual,
+    In,
     InputPartition,
+    IsNotNull,
+    LessThan,
+    LessThanOrEqual,
     WriterCommitMessage,
 )
 from pyspark.sql.types import StructType
 
 BATCH_ROWS = 8192
+#: Headers that are opened at the same time.
+HEADERS = 32
+MANIFEST = "_manifest.json"
+_COLUMNS = ("shard", "row_index", "embedding")
 
 
 def _lowered(options: dict[str, str]) -> dict[str, str]:
@@ -45,22 +69,74 @@ def _lowered(options: dict[str, str]) -> dict[str, str]:
     return {k.lower(): v for k, v in options.items()}
 
 
-def _open(path: str, options: dict[str, str]) -> np.ndarray:
-    if options.get("kind", "npy") == "npy":
-        matrix = np.load(path, mmap_mode="r", allow_pickle=False)
-        if matrix.ndim != 2:
-            raise ValueError(f"{path} has {matrix.ndim} dimensions, not 2")
-        return matrix
-    dtype, dim = np.dtype(options["dtype"]), int(options["dim"])
-    size = os.path.getsize(path)
-    if size % (dtype.itemsize * dim):
-        raise ValueError(f"{path} isn't a whole number of rows of {dim} {dtype}")
-    return np.memmap(path, dtype=dtype, mode="r", shape=(size // (dtype.itemsize * dim), dim))
+def file_system(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path or URI, and the path on it."""
+    if path.startswith("file:"):
+        return pafs.LocalFileSystem(), "/" + path[len("file:"):].lstrip("/")
+    if "://" in path:
+        return pafs.FileSystem.from_uri(path)
+    return pafs.LocalFileSystem(), path
+
+
+@dataclass(frozen=True)
+class MatrixFile:
+    """Where the rows of a file lie: what its header or the manifest says."""
+
+    name: str  # below the folder
+    rows: int
+    dim: int
+    dtype: str
+    offset: int
+    by_column: bool
+    size: int
+
+    @property
+    def shard(self) -> str:
+        return posixpath.splitext(self.name)[0]
+
+
+def _described(files: pafs.FileSystem, path: str, name: str, size: int, options: dict[str, str]) -> MatrixFile:
+    if options.get("kind", "npy") != "npy":
+        dtype, dim = np.dtype(options["dtype"]), int(options["dim"])
+        if size % (dtype.itemsize * dim):
+            raise ValueError(f"{path} isn't a whole number of rows of {dim} {dtype}")
+        return MatrixFile(name, size // (dtype.itemsize * dim), dim, dtype.str, 0, False, size)
+    with files.open_input_file(path) as stream:
+        version = np.lib.format.read_magic(stream)
+        read = np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0
+        shape, by_column, dtype = read(stream)
+        offset = stream.tell()
+    if dtype.hasobject:
+        raise ValueError(f"{path} holds objects, which would need allow_pickle")
+    if len(shape) != 2:
+        raise ValueError(f"{path} has {len(shape)} dimensions, not 2")
+    if size < offset + shape[0] * shape[1] * dtype.itemsize:
+        raise ValueError(f"{path} is shorter than its header says")
+    return MatrixFile(name, *shape, dtype.str, offset, by_column, size)
+
+
+def read_rows(file: MatrixFile, root: str, start: int, end: int) -> np.ndarray:
+    """The rows ``start .. end`` of a file; only their bytes are read."""
+    files, folder = file_system(root)
+    path = posixpath.join(folder, file.name) if file.name else folder
+    dtype = np.dtype(file.dtype)
+
+    def piece(stream, first: int, count: int) -> np.ndarray:
+        stream.seek(file.offset + first * dtype.itemsize)
+        raw = stream.read(count * dtype.itemsize)
+        if len(raw) != count * dtype.itemsize:
+            raise ValueError(f"{path} ended before row {end}")
+        return np.frombuffer(raw, dtype)
+
+    with files.open_input_file(path) as stream:
+        if not file.by_column:
+            return piece(stream, start * file.dim, (end - start) * file.dim).reshape(-1, file.dim)
+        return np.stack([piece(stream, c * file.rows + start, end - start) for c in range(file.dim)], 1)
 
 
 @dataclass
 class RowRange(InputPartition):
-    path: str
+    file: MatrixFile
     shard: str
     start: int
     end: int
@@ -69,66 +145,140 @@ class RowRange(InputPartition):
 class MatrixReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.options = options
-
-    def _files(self) -> list[tuple[str, str]]:
-        root = self.options["path"]
-        if os.path.isfile(root):
-            return [(root, os.path.splitext(os.path.basename(root))[0])]
+        self.columns = [c.strip() for c in options.get("columns", ",".join(_COLUMNS)).split(",")]
+        self.shards: set[str] | None = None
+        self.low, self.high = 0, None
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        for f in filters:
+            name = f.attribute[0] if len(getattr(f, "attribute", ())) == 1 else None
+            if name in _COLUMNS[:2] and isinstance(f, IsNotNull):
+                continue  # neither is ever null
+            if name == "shard" and isinstance(f, (EqualTo, In)):
+                wanted = {f.value} if isinstance(f, EqualTo) else set(f.value)
+                self.shards = wanted if self.shards is None else self.shards & wanted
+            elif name == "row_index" and isinstance(f, (EqualTo, GreaterThanOrEqual, GreaterThan)):
+                self.low = max(self.low, f.value + isinstance(f, GreaterThan))
+                if isinstance(f, EqualTo):
+                    self._below(f.value + 1)
+            elif name == "row_index" and isinstance(f, (LessThan, LessThanOrEqual)):
+                self._below(f.value + isinstance(f, LessThanOrEqual))
+            else:
+                yield f
+
+    def _below(self, end: int) -> None:
+        self.high = end if self.high is None else min(self.high, end)
+
+    def files(self) -> list[MatrixFile]:
+        """The files of the wanted shards in the order of their names."""
+        files, root = file_system(self.options["path"])
+        if files.get_file_info(root).type == pafs.FileType.File:
+            folder, name = posixpath.split(root)
+            if self.shards is not None and posixpath.splitext(name)[0] not in self.shards:
+                return []
+            return [_described(files, root, name, files.get_file_info(root).size, self.options)]
         kind = self.options.get("kind", "npy")
         pattern = self.options.get("glob", "*.npy" if kind == "npy" else "*")
         deep = self.options.get("recursive", "false").lower() == "true"
-        found = []
-        for folder, folders, names in os.walk(root):
-            folders.sort()
-            for name in names:
-                if fnmatch.fnmatch(name, pattern) and not name.startswith(("_", ".")):
-                    path = os.path.join(folder, name)
-                    found.append((path, os.path.splitext(os.path.relpath(path, root))[0]))
-            if not deep:
-                break
+        found = {}
+        for info in files.get_file_info(pafs.FileSelector(root, recursive=deep, allow_not_found=True)):
+            name = posixpath.relpath(info.path, root.rstrip("/") or "/")
+            base = posixpath.basename(name)
+            if info.type == pafs.FileType.File and fnmatch.fnmatch(base, pattern) and base[0] not in "_.":
+                found[name] = info.size
         if not found:
             raise FileNotFoundError(f"no {pattern} under {root}")
-        return sorted(found)
+        listed = read_manifest(self.options["path"])
+        if listed is not None:
+            stale = {f.name: f.size for f in listed} != found
+            if stale and not deep and "glob" not in self.options:
+                raise ValueError(f"the manifest of {root} doesn't agree with its files")
+            if not stale:
+                return [f for f in listed if self.shards is None or f.shard in self.shards]
+        names = sorted(n for n in found if self.shards is None or posixpath.splitext(n)[0] in self.shards)
+        with ThreadPoolExecutor(HEADERS) as pool:
+            return list(pool.map(lambda n: _described(
+                files, posixpath.join(root, n), n, found[n], self.options), names))
 
     def partitions(self) -> list[RowRange]:
         step = int(self.options.get("rowsperpartition", "65536"))
         ranges, width = [], None
-        for path, shard in self._files():
-            rows, dim = _open(path, self.options).shape  # only the header is read
-            if width is not None and dim != width:
-                raise ValueError(f"{path} is {dim} wide, the files before are {width}")
-            width = dim
-            ranges += [RowRange(path, shard, a, min(a + step, rows)) for a in range(0, rows, step)]
-        return ranges
+        for file in self.files():
+            if width is not None and file.dim != width:
+                raise ValueError(f"{file.name} is {file.dim} wide, the files before are {width}")
+            width = file.dim
+            end = file.rows if self.high is None else min(file.rows, self.high)
+            ranges += [RowRange(file, file.shard, a, min(a + step, end)) for a in range(self.low, end, step)]
+        # Spark asks for a partition at least.
+        return ranges or [RowRange(MatrixFile("", 0, 0, "<f4", 0, False, 0), "", 0, 0)]
 
     def read(self, partition: RowRange) -> Iterator[pa.RecordBatch]:
         target, kind = ((np.int16, pa.int16()) if self.options.get("as") == "smallint"
                         else (np.float32, pa.float32()))
-        matrix = _open(partition.path, self.options)
+        files, root = file_system(self.options["path"])
+        folder = self.options["path"]
+        if partition.file.name and files.get_file_info(root).type == pafs.FileType.File:
+            folder = folder.rsplit("/", 1)[0] if "/" in folder else "."
         for a in range(partition.start, partition.end, BATCH_ROWS):
             b = min(a + BATCH_ROWS, partition.end)
-            part = np.ascontiguousarray(matrix[a:b])
-            cast = part.astype(target)
-            if target is np.int16 and not np.array_equal(cast, part):
-                raise ValueError(f"{partition.path} holds values that aren't 16-bit integers")
-            offsets = np.arange(b - a + 1, dtype=np.int32) * matrix.shape[1]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([partition.shard] * (b - a)), pa.array(np.arange(a, b)),
-                 pa.ListArray.from_arrays(offsets, pa.array(cast.ravel(), type=kind))],
-                names=["shard", "row_index", "embedding"])
+            made = {"shard": pa.array([partition.shard] * (b - a)), "row_index": pa.array(np.arange(a, b))}
+            if "embedding" in self.columns:
+                part = read_rows(partition.file, folder, a, b)
+                cast = part.astype(target)
+                if target is np.int16 and not np.array_equal(cast, part):
+                    raise ValueError(f"{partition.file.name} holds values that aren't 16-bit integers")
+                offsets = np.arange(b - a + 1, dtype=np.int32) * partition.file.dim
+                made["embedding"] = pa.ListArray.from_arrays(offsets, pa.array(cast.ravel(), type=kind))
+            yield pa.RecordBatch.from_arrays([made[c] for c in self.columns], names=self.columns)
+
+
+def read_manifest(path: str) -> list[MatrixFile] | None:
+    """The files that a folder's manifest lists, by name; None without one."""
+    files, folder = file_system(path)
+    name = posixpath.join(folder, MANIFEST)
+    if files.get_file_info(name).type != pafs.FileType.File:
+        return None
+    with files.open_input_file(name) as stream:
+        return [MatrixFile(**row) for row in json.loads(stream.read())]
+
+
+def manifest(spark: SparkSession, path: str, **options: str) -> DataFrame:
+    """``shard``, rows, dim, dtype, size and offset (rows of the files before) of each file.
+
+    From the manifest where the folder has one, else from the headers; no row is read.
+    """
+    found = MatrixReader(_lowered({"path": path, **options})).files()
+    rows = np.array([f.rows for f in found], np.int64)
+    before = np.cumsum(rows) - rows
+    table = pa.table({
+        "shard": pa.array([f.shard for f in found], pa.string()), "rows": pa.array(rows),
+        "dim": pa.array([f.dim for f in found], pa.int64()),
+        "dtype": pa.array([f.dtype for f in found], pa.string()),
+        "size": pa.array([f.size for f in found], pa.int64()), "offset": pa.array(before)})
+    return spark.createDataFrame(table)
+
+
+def with_position(vectors: DataFrame, files: DataFrame, name: str = "position") -> DataFrame:
+    """Vectors numbered over all files in the order of the shards, from the manifest alone.
+
+    ``row_index`` is the place in the file and ``files`` says how many rows come before, so
+    nothing is sorted, counted or shuffled (the manifest is a small side of the join).
+    """
+    return vectors.join(files.select("shard", "offset"), "shard").select(
+        *vectors.columns, (F.col("offset") + F.col("row_index")).alias(name))
 
 
 @dataclass
 class Written(WriterCommitMessage):
     staged: str | None
-    final: str | None
+    file: MatrixFile | None
 
 
 class MatrixWriter(DataSourceArrowWriter):
-    """Writes under temporary names; files get their final names on commit."""
+    """Writes under temporary names; files get their final names and the manifest on commit."""
 
     def __init__(self, options: dict[str, str], overwrite: bool):
-        self.folder, self.overwrite = options["path"], overwrite
+        self.path, self.overwrite = options["path"], overwrite
         self.dtype = np.dtype(options.get("dtype", "float32"))
         self.run = uuid.uuid4().hex
         # Later runs sort after earlier ones, so an append adds rows at the end.
@@ -138,11 +288,12 @@ class MatrixWriter(DataSourceArrowWriter):
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        staged = os.path.join(self.folder, f"_{self.run}-{uuid.uuid4().hex}")
+        files, folder = file_system(self.path)
+        files.create_dir(folder, recursive=True)
+        staged = posixpath.join(folder, f"_{self.run}-{uuid.uuid4().hex}")
         rows, width = 0, None
         body = staged + ".body"
-        os.makedirs(self.folder, exist_ok=True)
-        with open(body, "wb") as out:
+        with files.open_output_stream(body) as out:
             for batch in batches:
                 if batch.num_rows == 0:
                     continue
@@ -155,36 +306,59 @@ class MatrixWriter(DataSourceArrowWriter):
                 out.write(np.ascontiguousarray(flat, dtype=self.dtype).tobytes())
                 rows += batch.num_rows
         if rows == 0:
-            os.remove(body)
+            files.delete_file(body)
             return Written(None, None)
         # The row count is known only now, so the header goes in front at the end.
-        with open(staged, "wb") as out, open(body, "rb") as data:
-            np.lib.format.write_array_header_1_0(out, {
+        with files.open_output_stream(staged) as out, files.open_input_stream(body) as data:
+            head = pa.BufferOutputStream()
+            np.lib.format.write_array_header_1_0(head, {
                 "descr": np.lib.format.dtype_to_descr(self.dtype), "fortran_order": False,
                 "shape": (rows, width)})
+            head = head.getvalue().to_pybytes()
+            out.write(head)
             while piece := data.read(1 << 24):
                 out.write(piece)
-        os.remove(body)
-        return Written(staged, os.path.join(self.folder, f"part_{self.stamp}_{part:05d}.npy"))
+        files.delete_file(body)
+        name = f"part_{self.stamp}_{part:05d}.npy"
+        size = len(head) + rows * width * self.dtype.itemsize
+        return Written(staged, MatrixFile(name, rows, width, self.dtype.str, len(head), False, size))
+
+    def _own(self, files: pafs.FileSystem, folder: str) -> list[str]:
+        infos = files.get_file_info(pafs.FileSelector(folder, allow_not_found=True))
+        return [posixpath.basename(i.path) for i in infos if i.type == pafs.FileType.File]
 
     def commit(self, messages: list[Written | None]) -> None:
-        # New files first, so that a failure in between loses nothing.
-        kept = {m.final for m in messages if m and m.final}
+        files, folder = file_system(self.path)
+        files.create_dir(folder, recursive=True)
+        names = self._own(files, folder)
+        plain = {n for n in names if n[0] not in "_."}
+        listed = [] if self.overwrite else read_manifest(self.path)
+        made = [m.file for m in messages if m and m.file]
+        # Rows of files written by others aren't known: such a folder gets no manifest.
+        known = listed is not None and {f.name for f in listed} == plain or not plain or self.overwrite
+        # New files first, so that a failure in between loses nothing; a manifest that a
+        # failure leaves behind is stale, and reading says so.
         for m in messages:
             if m and m.staged:
-                os.replace(m.staged, m.final)
-        if os.path.isdir(self.folder):
-            for name in os.listdir(self.folder):
-                path = os.path.join(self.folder, name)
-                old = self.overwrite and fnmatch.fnmatch(name, "part_*.npy") and path not in kept
-                if old or name.startswith(f"_{self.run}"):
-                    os.remove(path)
+                files.move(m.staged, posixpath.join(folder, m.file.name))
+        old = [n for n in plain if self.overwrite and fnmatch.fnmatch(n, "part_*.npy")]
+        for name in [*old, *(n for n in names if n.startswith(f"_{self.run}") and n not in {
+                posixpath.basename(m.staged) for m in messages if m and m.staged})]:
+            files.delete_file(posixpath.join(folder, name))
+        rest = plain - set(old)
+        target = posixpath.join(folder, MANIFEST)
+        if known and rest == {f.name for f in listed or []}:
+            rows = sorted([*(listed or []), *made], key=lambda f: f.name)
+            with files.open_output_stream(target) as out:
+                out.write(json.dumps([asdict(f) for f in rows]).encode())
+        elif MANIFEST in names:
+            files.delete_file(target)
 
     def abort(self, messages: list[Written | None]) -> None:
-        if os.path.isdir(self.folder):
-            for name in os.listdir(self.folder):
-                if name.startswith(f"_{self.run}"):
-                    os.remove(os.path.join(self.folder, name))
+        files, folder = file_system(self.path)
+        for name in self._own(files, folder):
+            if name.startswith(f"_{self.run}"):
+                files.delete_file(posixpath.join(folder, name))
 
 
 class MatrixDataSource(DataSource):
@@ -193,8 +367,10 @@ class MatrixDataSource(DataSource):
         return "matrix"
 
     def schema(self) -> str:
-        kind = "smallint" if self.options.get("as") == "smallint" else "float"
-        return f"shard string, row_index bigint, embedding array<{kind}>"
+        kind = "smallint" if _lowered(self.options).get("as") == "smallint" else "float"
+        kinds = {"shard": "string", "row_index": "bigint", "embedding": f"array<{kind}>"}
+        columns = _lowered(self.options).get("columns", ",".join(_COLUMNS)).split(",")
+        return ", ".join(f"{c.strip()} {kinds[c.strip()]}" for c in columns)
 
     def reader(self, schema: StructType) -> MatrixReader:
         return MatrixReader(_lowered(self.options))
@@ -204,6 +380,8 @@ class MatrixDataSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    """Make the source known; it needs Spark to offer it the filters of a query."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(MatrixDataSource)
 
 

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom import schemas
-from corpusloom.operators.numbering import group_number, image_number
+from corpusloom.operators.numbering import group_number, image_number, shard_offsets
+from corpusloom.storage import stage
 
 CSV_OPTIONS = {"header": True, "quote": '"', "escape": '"', "multiLine": True}
 
@@ -28,6 +29,34 @@ def read_captions(spark: SparkSession, path: str | Sequence[str],
         F.col("_metadata.file_name").alias("shard"), *columns)
 
 
+def read_positions(spark: SparkSession, path: str | Sequence[str], columns: Sequence[str],
+                   chunk: int | None = None, over_all: bool = True, recursive: bool = False,
+                   glob: str = "*.parquet") -> DataFrame:
+    """Columns of parquet files with the position of each row, taken from the files themselves.
+
+    Appends ``shard`` (file name), ``row_index`` (place in the file), ``position`` over all files in
+    the order of their paths (with ``over_all``), and the number of the ``chunk`` of so many
+    consecutive rows of the file. Rows aren't sorted or shuffled: files are counted from
+    their footers, and the counts are a small side of a join.
+    """
+    if chunk is not None and chunk <= 0:
+        raise ValueError("chunk size must be positive")
+    reader = spark.read.option("recursiveFileLookup", recursive).option("pathGlobFilter", glob)
+    read = reader.parquet(*([path] if isinstance(path, str) else path))
+    file, place = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+    rows = read.select(*columns, file.alias("_file"), F.col("_metadata.file_name").alias("shard"),
+                       place.alias("row_index"))
+    made = [*columns, "shard", "row_index"]
+    if over_all:
+        offsets = stage(shard_offsets(read.select(file.alias("_file")), "_file"))
+        rows = rows.join(offsets, "_file").withColumn("position", F.col("row_offset") + F.col("row_index"))
+        made.append("position")
+    if chunk is not None:
+        rows = rows.withColumn("chunk", F.floor(F.col("row_index") / chunk).cast("bigint"))
+        made.append("chunk")
+    return rows.select(*made)
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """A CSV file with a header and doubled quotes; empty fields are null."""
     return spark.read.schema(schema).options(**CSV_OPTIONS).csv(path)
@@ -80,8 +109,12 @@ def write_chunks(df: DataFrame, path: str, shard: str = "shard", chunk: str = "c
 
 
 def write_batches(df: DataFrame, path: str, batch: str = "batch", max_records: int = 0) -> None:
-    """Parquet, a folder per batch; ``max_records`` limits the rows of a file."""
-    df.write.mode("overwrite").option("maxRecordsPerFile", max_records).partitionBy(
+    """Parquet, a folder per batch; ``max_records`` limits the rows of a file.
+
+    Rows are gathered by batch first, so that a task doesn't write a file for every batch; a
+    batch of any size spreads over several tasks.
+    """
+    df.hint("rebalance", batch).write.mode("overwrite").option("maxRecordsPerFile", max_records).partitionBy(
         batch).parquet(path)
 
 

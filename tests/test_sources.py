@@ -72,7 +72,7 @@ def test_npy_round_trip(spark, tmp_path):
     out = tmp_path / "out"
     matrix.write_vectors(df, str(out), order_by="row_index", files=4)
     parts = sorted(out.glob("*.npy"))
-    assert 1 < len(parts) <= 4 and len(list(out.iterdir())) == len(parts)
+    assert 1 < len(parts) <= 4 and len(list(out.iterdir())) == len(parts) + 1  # and the manifest
     assert (np.concatenate([np.load(p) for p in parts]) == x).all()
     matrix.write_vectors(df, str(out), files=1, dtype="float16")
     (only,) = out.glob("*.npy")
@@ -139,6 +139,25 @@ def test_captions_read_named_columns_only(spark, tmp_path):
     assert "ReadSchema: struct<row_index:bigint,caption:string>" in plan
 
 
+def test_positions_come_from_the_files(spark, tmp_path):
+    path = str(tmp_path / "p")
+    spark.range(1000).repartitionByRange(4, "id").sortWithinPartitions("id").write.parquet(path)
+    read = tables.read_positions(spark, path, ["id"], chunk=100)
+    rows = read.collect()
+    assert len(rows) == 1000 and all(r["position"] == r["id"] for r in rows)
+    assert all(r["chunk"] == r["row_index"] // 100 for r in rows)
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "rangepartitioning" not in plan
+    files = {r["shard"] for r in rows}
+    assert len(files) > 1
+    # Without a position over all files there isn't even a join.
+    alone = tables.read_positions(spark, path, ["id"], chunk=100, over_all=False)
+    plan = alone._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan and alone.columns == ["id", "shard", "row_index", "chunk"]
+    with pytest.raises(ValueError):
+        tables.read_positions(spark, path, ["id"], chunk=0)
+
+
 def test_chunk_and_batch_folders(spark, tmp_path):
     df = spark.range(25).select(F.lit("s0").alias("shard"), F.col("id").alias("row_index"))
     tables.write_chunks(chunk_fixed(df, 10), str(tmp_path / "c"))
@@ -153,3 +172,77 @@ def test_keywords(spark, tmp_path):
     spark.createDataFrame([("medium", 1, "oil", [0.5])], schemas.KEYWORDS).write.parquet(
         str(tmp_path / "k"))
     assert tables.read_keywords(spark, str(tmp_path / "k")).first()["label"] == "oil"
+
+
+def test_filters_choose_files_and_ranges(spark, tmp_path):
+    x = RNG.normal(size=(1000, 6)).astype("float32")
+    np.save(tmp_path / "a.npy", x)
+    np.save(tmp_path / "b.npy", x + 1)
+    (tmp_path / "broken.npy").write_bytes(b"not a matrix")
+    df = matrix.read_vectors(spark, str(tmp_path), rowsPerPartition="100")
+    with pytest.raises(Exception, match="(?i)magic"):
+        df.count()
+    # Files of other shards aren't opened, and no task reads rows outside the range.
+    some = df.where("shard IN ('a', 'b') AND row_index >= 250 AND row_index < 420")
+    assert some.rdd.getNumPartitions() == 4
+    shard, row, found = collected(some)
+    assert shard == ["a"] * 170 + ["b"] * 170 and row == [*range(250, 420)] * 2
+    assert (found == np.concatenate([x[250:420], x[250:420] + 1])).all()
+    assert df.where("shard = 'b' AND row_index = 7").rdd.getNumPartitions() == 1
+    assert [r[1] for r in df.where("shard = 'b' AND row_index > 997 AND row_index <= 998").collect()] == [998]
+    assert df.where("shard = 'a' AND row_index > 2000").count() == 0
+    assert df.where("shard = 'none'").count() == 0
+    assert df.where("shard = 'a' AND (row_index < 2 OR row_index = 9)").count() == 3
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "Filter (" not in plan  # nothing is left for Spark to test
+
+
+def test_columns_without_vectors(spark, tmp_path):
+    np.save(tmp_path / "a.npy", np.zeros((5, 3)))
+    df = matrix.read_vectors(spark, f"file:{tmp_path}", columns="row_index,shard")
+    assert df.columns == ["row_index", "shard"]
+    assert sorted(tuple(r) for r in df.collect()) == [(i, "a") for i in range(5)]
+
+
+def test_column_major_files(spark, tmp_path):
+    x = RNG.normal(size=(20, 3))
+    np.save(tmp_path / "f.npy", np.asfortranarray(x))
+    assert np.allclose(collected(matrix.read_vectors(spark, str(tmp_path), rowsPerPartition="7"))[2], x)
+
+
+def test_manifest_in_place_of_counting(spark, tmp_path):
+    out = tmp_path / "m"
+    df = spark.range(100).select("id", F.array(F.col("id").cast("float"), F.lit(1.0).cast("float")).alias("embedding"))
+    matrix.write_vectors(df, str(out), order_by="id", files=3)
+    files = matrix.manifest(spark, str(out))
+    listed = matrix.read_manifest(str(out))
+    assert [f.name for f in listed] == sorted(f.name for f in out.glob("part_*"))
+    rows = files.orderBy("shard").collect()
+    assert sum(r["rows"] for r in rows) == 100
+    assert [r["offset"] for r in rows] == [sum(r["rows"] for r in rows[:i]) for i in range(len(rows))]
+    placed = matrix.with_position(matrix.read_vectors(spark, str(out)), files)
+    assert all(r["position"] == r["embedding"][0] for r in placed.collect()) and placed.count() == 100
+    plan = placed._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "Window" not in plan
+    # An append keeps the manifest true.
+    df.limit(5).write.format("matrix").mode("append").save(str(out))
+    assert matrix.manifest(spark, str(out)).agg(F.sum("rows")).first()[0] == 105
+    # Files that the manifest doesn't know, or that changed, are an error.
+    np.save(out / "more.npy", np.zeros((2, 2), "float32"))
+    with pytest.raises(Exception, match="manifest"):
+        matrix.read_vectors(spark, str(out)).count()
+    (out / "more.npy").unlink()
+    assert matrix.read_vectors(spark, str(out)).count() == 105
+    first = out / listed[0].name
+    first.write_bytes(first.read_bytes()[:-8])
+    with pytest.raises(Exception, match="manifest"):
+        matrix.read_vectors(spark, str(out)).count()
+
+
+def test_folders_of_others_get_no_manifest(spark, tmp_path):
+    np.save(tmp_path / "a.npy", np.zeros((2, 1), "float32"))
+    matrix.register(spark)
+    one = spark.createDataFrame([([1.0],)], "embedding array<float>").coalesce(1)
+    one.write.format("matrix").mode("append").save(str(tmp_path))
+    assert matrix.read_manifest(str(tmp_path)) is None
+    assert matrix.read_vectors(spark, str(tmp_path)).count() == 3
