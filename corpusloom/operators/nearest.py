@@ -15,6 +15,7 @@ data was partitioned.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 from functools import reduce
 from typing import NamedTuple
 
@@ -24,6 +25,7 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from corpusloom.functions.vectors import NORM_FLOOR, cosine, dot, l2_distance
 from corpusloom.operators.batches import (
@@ -32,7 +34,6 @@ from corpusloom.operators.batches import (
     Block,
     bounded_block,
     bounded_blocks,
-    map_batches,
     over_blocks,
     to_lists,
     to_matrix,
@@ -270,6 +271,72 @@ def _exact(doc_id: str, vector: str, k: int, metric: str, negate: bool = False):
     return scorer
 
 
+_GATHERED = "_gathered"
+
+
+@dataclass(frozen=True)
+class GroupedCenters:
+    """Centres gathered under coarse points, so that far groups can be left out.
+
+    ``order`` lists the centres group by group, ``starts`` the edges of the groups in it;
+    ``radius`` is the largest distance of a group's centre to its coarse point.
+    """
+
+    coarse: np.ndarray
+    radius: np.ndarray
+    order: np.ndarray
+    starts: np.ndarray
+
+    @classmethod
+    def of(cls, centers: np.ndarray, steps: int = 3) -> GroupedCenters:
+        """About as many groups as the root of the number of centres, after a few full steps."""
+        groups = max(1, int(round(len(centers) ** 0.5)))
+        coarse = centers[np.linspace(0, len(centers) - 1, groups).astype(int)].copy()
+
+        def owners() -> np.ndarray:
+            return best_in_block(centers, coarse, np.arange(groups), 1, "l2")[1]
+
+        for _ in range(steps):
+            owner = owners()
+            count = np.bincount(owner, minlength=groups)
+            total = np.zeros_like(coarse)
+            np.add.at(total, owner, centers)
+            coarse[count > 0] = total[count > 0] / count[count > 0, None]
+        owner = owners()
+        gap = centers - coarse[owner]
+        radius = np.zeros(groups)
+        np.maximum.at(radius, owner, np.sqrt(np.einsum("ij,ij->i", gap, gap)))
+        order = np.argsort(owner, kind="stable")
+        return cls(coarse, radius, order, np.searchsorted(owner[order], np.arange(groups + 1)))
+
+    def nearest(self, x: np.ndarray, centers: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+        """The nearest centre of each row (the lower id on a tie), its likeness, and the distances computed.
+
+        A centre is no nearer than its coarse point less the radius of the group (the triangle
+        inequality). Each row visits its likeliest group first and then only those whose bound
+        doesn't exceed the best distance found.
+        """
+        reach, slack = best_likeness(x, self.coarse, self.radius, np.full(len(self.coarse), np.inf), "l2")
+        bound = -(reach + slack)
+        best = np.full(len(x), -1)
+        like = np.full(len(x), -np.inf, np.float32)
+        computed = x.shape[0] * len(self.coarse)
+        first = bound.argmin(axis=1)
+        for own in (True, False):
+            for g in range(len(self.coarse)):
+                members = self.order[self.starts[g]:self.starts[g + 1]]
+                rows = np.flatnonzero(first == g if own else (first != g) & (bound[:, g] <= -like.astype(np.float64)))
+                if len(members) == 0 or len(rows) == 0:
+                    continue
+                computed += len(rows) * len(members)
+                _, at, found = best_in_block(x[rows], centers[members], ids[members], 1, "l2")
+                at = members[at]
+                better = (found > like[rows]) | ((found == like[rows]) & (ids[at] < ids[best[rows]]))
+                better |= best[rows] < 0
+                best[rows[better]], like[rows[better]] = at[better], found[better]
+        return best, like, computed
+
+
 def nearest_targets(
     df: DataFrame,
     targets: DataFrame,
@@ -300,23 +367,29 @@ def nearest_targets(
     source = df.select(*dict.fromkeys([*keep, vector]))
     schema = T.StructType([source.schema[c] for c in keep] + list(new.fields))
     names = [f.name for f in schema.fields]
+    named = to_arrow_type(targets.schema[category].dataType) if category else None
+
     def assign(shared: Broadcast) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held = Block(*shared.value)
             labels = np.array(held.extra[category]) if category else np.zeros(len(held.ids))
             groups = [(g, np.flatnonzero(labels == g)) for g in np.unique(labels)]
+            gathered = [GroupedCenters(*parts) for parts in held.extra.get(_GATHERED, [])]
             for batch in batches:
                 if batch.num_rows == 0:
                     continue
                 matrix = to_matrix(batch.column(vector), held.matrix.shape[1])
-                for name, members in groups:
+                for place, (name, members) in enumerate(groups):
                     ids = held.ids[members]
-                    _, ti, like = best_in_block(matrix, held.matrix[members], ids, k, metric)
+                    if gathered:
+                        ti, like, _ = gathered[place].nearest(matrix, held.matrix[members], ids)
+                    else:
+                        _, ti, like = best_in_block(matrix, held.matrix[members], ids, k, metric)
                     width = min(k, len(members))
                     offsets = np.arange(batch.num_rows + 1, dtype=np.int32) * width
                     columns = [batch.column(c) for c in keep]
                     if category:
-                        columns.append(pa.array([name.item()] * batch.num_rows))
+                        columns.append(pa.array([name.item()] * batch.num_rows, named))
                     columns.append(pa.ListArray.from_arrays(offsets, pa.array(ids[ti], pa.int64())))
                     columns.append(pa.ListArray.from_arrays(
                         offsets, pa.array(sign * like, pa.float32())))
@@ -324,8 +397,18 @@ def nearest_targets(
 
         return source.mapInArrow(run, schema)
 
-    pieces = over_blocks(
-        df.sparkSession, bounded_blocks(targets, target_id, target_vector, extra, max_bytes), assign)
+    def gathered(block: Block) -> Block:
+        """The block with its targets under coarse points, found once and sent along."""
+        labels = np.array(block.extra[category]) if category else np.zeros(len(block.ids))
+        found = [GroupedCenters.of(block.matrix[labels == g]) for g in np.unique(labels)]
+        return Block(block.ids, block.matrix, {**block.extra, _GATHERED: [
+            (c.coarse, c.radius, c.order, c.starts) for c in found]})
+
+    blocks = bounded_blocks(targets, target_id, target_vector, extra, max_bytes)
+    if k == 1 and metric == "l2":
+        # One nearest target: far groups of targets are skipped, with the same result.
+        blocks = map(gathered, blocks)
+    pieces = over_blocks(df.sparkSession, blocks, assign)
     if not pieces:
         return df.sparkSession.createDataFrame([], schema)
     if len(pieces) == 1:
@@ -354,23 +437,14 @@ def assign_nearest(df: DataFrame, centroids: DataFrame, keep: Sequence[str],
 
 
 def assign_cells(docs: DataFrame, centroids: DataFrame, vector: str = "embedding",
-                 name: str = "cell") -> DataFrame:
+                 name: str = "cell", max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Append the number of the nearest coarse centroid to each document.
 
     Write the result with ``partitionBy(cell)`` and ``knn_ivf`` reads the
     probed cells only.
     """
-    block = bounded_block(centroids, "centroid_id", "center")
-    shared = docs.sparkSession.sparkContext.broadcast(block.parts)
-    new = T.StructType([T.StructField(name, T.LongType())])
-
-    def compute(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-        held = Block(*shared.value)
-        matrix = to_matrix(batch.column(vector), held.matrix.shape[1])
-        _, ti, _ = best_in_block(matrix, held.matrix, held.ids, 1, "l2")
-        return {name: pa.array(held.ids[ti], pa.int64())}
-
-    return map_batches(docs, docs.columns, vector, new, compute)
+    near = nearest_targets(docs, centroids, 1, docs.columns, "l2", vector=vector, max_bytes=max_bytes)
+    return near.select(*docs.columns, F.get("target_ids", F.lit(0)).alias(name))
 
 
 def store_cells(docs: DataFrame, centroids: DataFrame, vector: str = "embedding",

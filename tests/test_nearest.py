@@ -113,6 +113,39 @@ def test_nearest_centroid(spark, max_bytes):
     assert np.allclose(got["distance"], distance.min(axis=1), atol=1e-6)
 
 
+def test_grouped_centers_skip_most_distances():
+    rng = np.random.default_rng(8)
+    spots = rng.normal(size=(60, 16)) * 20
+    centers = np.repeat(spots, 50, axis=0) + rng.normal(size=(3000, 16))
+    centers[77] = centers[2000]  # a tie goes to the lower id
+    x = centers[rng.integers(0, 3000, 900)] + rng.normal(size=(900, 16)) * 0.3
+    x[0] = centers[77]
+    ids = rng.permutation(3000)
+    ids[[77, 2000]] = [2999 + 5, 4]
+    order = np.argsort(ids)
+    at, like, computed = nearest.GroupedCenters.of(centers).nearest(x, centers, ids)
+    gap = np.sqrt(((x[:, None] - centers[order][None]) ** 2).sum(axis=2)).astype(np.float32)
+    assert (ids[at] == ids[order][gap.argmin(axis=1)]).all()
+    assert np.allclose(-like, gap.min(axis=1), atol=1e-5)
+    assert computed < 900 * 3000 / 5
+    # Without any structure the result is the same.
+    centers, x = rng.normal(size=(200, 4)), rng.normal(size=(300, 4))
+    at, _, _ = nearest.GroupedCenters.of(centers).nearest(x, centers, np.arange(200))
+    gap = np.sqrt(((x[:, None] - centers[None]) ** 2).sum(axis=2)).astype(np.float32)
+    assert (at == gap.argmin(axis=1)).all()
+    one = nearest.GroupedCenters.of(centers[:1]).nearest(x, centers[:1], np.array([9]))
+    assert (one[0] == 0).all()
+
+
+def test_cells_of_any_number_of_centroids(spark, data):
+    docs, _ = data
+    d = frame(spark, range(700), docs)
+    cells = cluster.stage(cluster.fit_cells(d, 9, max_iter=1))
+    whole = nearest.assign_cells(d, cells).select("doc_id", "cell")
+    parts = nearest.assign_cells(d, cells, max_bytes=3 * 12 * 8).select("doc_id", "cell")
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, parts.collect()))
+
+
 def test_pruned_search(spark, data):
     docs, queries = data
     d = frame(spark, range(len(docs)), docs)

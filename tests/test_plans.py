@@ -75,7 +75,7 @@ def test_weighted_mean_is_combined_before_the_shuffle(spark):
     assert re.search(r"ObjectHashAggregate\(keys=\[label[^\n]*partial_", pooled)
 
 
-@pytest.mark.parametrize("name", ["knn_ivf", "knn_ivf_fitted", "pq_search_ivf", "search_images"])
+@pytest.mark.parametrize("name", ["knn_ivf", "knn_ivf_fitted", "search_images"])
 def test_pruned_searches_read_probed_cells_only(spark, name):
     plan = plan_of(entry_module.queries()[name](spark, SF))
     assert re.search(r"PartitionFilters: \[[^\n]*dynamicpruning", plan)
