@@ -9,8 +9,10 @@ with two rank queries each; occurrences are located by walking back to a sampled
 position, and overlapping ones are merged to spans.
 
 Documents never move: one map over them, no shuffle. The phrases are broadcast in blocks
-of at most ``block_bytes`` of benchmark text (measured before they are collected); with
-more blocks the map is repeated for each, adding to what is found so far.
+of at most ``block_bytes`` of benchmark text (measured before they are collected; the
+phrases of a block take about ten times as much); with more blocks the map is repeated for each,
+adding to what is found so far. What is found is written before the next block, so a task
+holds the phrases of one block whatever the size of the benchmark.
 
 Edge cases: a null text has no words; an item without words is dropped; a null item id is
 the empty string, repeated items count once; rows are searched one by one, so repeated
@@ -31,9 +33,10 @@ from pyspark.sql import types as T
 from corpusloom.llm.registry import query, table
 from corpusloom.llm.share import opened, shared
 from corpusloom.llm.textgrams import ranges, slices, text_bytes, word_bounds, word_ranks
+from corpusloom.storage import stage
 
 WINDOW = 13
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 SHARD_BYTES = 2 << 20
 SAMPLE = 8
 
@@ -64,7 +67,7 @@ class Phrases:
         per = np.where(count >= window, count - window + 1, np.minimum(count, 1))
         item = np.repeat(np.arange(len(items)), per)
         size = np.minimum(count[item], window)
-        rows = np.zeros((len(item), window), np.int64)
+        rows = np.zeros((len(item), window), np.int32)
         for k in range(window):
             have = size > k
             rows[have, k] = number[(first[item] + ranges(per))[have] + k]
@@ -257,7 +260,11 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, keep: Sequence[str] =
         F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"),
         F.lit(None).cast(_SPAN).alias("spans"), F.lit(None).cast(_SPAN).alias("cuts"),
         F.lit(None).cast("array<string>").alias("items"))
+    held = None
     for block in range(blocks):
+        if held is not None:
+            rows = stage(rows)
+            held.destroy()
         part = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block).distinct().collect()
         held = shared(spark, Phrases([(r.i, r.t) for r in part], window))
         rows = rows.mapInArrow(_search(held, shard_bytes, rows.columns, own), rows.schema)
