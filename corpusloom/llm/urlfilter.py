@@ -46,9 +46,8 @@ RULES = (
     HostRule("block", "example.org", "/en/1"), HostRule("allow", "com", "/fr/"),
     HostRule("block", "com", "/de/"),
 )
-#: Hosts whose URLs make up the list of the registered query, with their subdomains.
-LISTED_HOSTS = ("spam-farm.example.com", "cheap-pills.example.com", "casino-win.example.com",
-                "free-bets.example.com", "ads-track.example.com", "adult-x.example.net")
+#: Pages whose html holds three such symbols in a row make up the list of the registered query.
+JUNK = "[#$%*]{3}"
 
 
 def _lower(c: Column) -> Column:
@@ -134,12 +133,11 @@ def url_filter(pages: DataFrame, listed: DataFrame, rules: Sequence[HostRule] =
         F.coalesce("_ruled", F.when(F.col("_listed"), "block").otherwise("allow")).alias("verdict"))
 
 
-_SQL_LISTED = ", ".join(f"'{h}'" for h in LISTED_HOSTS)
 _SQL = rf"""
-WITH p AS (SELECT page_id,
+WITH p AS (SELECT page_id, html,
     coalesce(regexp_extract(url, '^(?s).*?://([^/?#]*)', 1), '') AS h0,
     coalesce(regexp_extract(url, '^(?s).*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
-h AS (SELECT page_id, path, translate(h0, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host FROM p),
+h AS (SELECT page_id, html, path, translate(h0, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host FROM p),
 c AS (SELECT *, regexp_replace(host, '^www\.', '') || regexp_replace(path, '/$', '') AS url,
     CASE WHEN (host = 'example.org' OR host LIKE '%.example.org') AND path LIKE '/en/1%' THEN 'example.org/en/1'
          WHEN (host = 'example.org' OR host LIKE '%.example.org') AND path LIKE '/es/%' THEN 'example.org/es/'
@@ -147,7 +145,7 @@ c AS (SELECT *, regexp_replace(host, '^www\.', '') || regexp_replace(path, '/$',
          WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/fr/%' THEN 'com/fr/'
          WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/%' THEN 'org/' END AS rule FROM h),
 listed AS (SELECT DISTINCT url FROM c
-    WHERE url <> '' AND len(list_filter([{_SQL_LISTED}], lambda x: host = x OR ends_with(host, '.' || x))) > 0)
+    WHERE url <> '' AND regexp_matches(html, '{JUNK}'))
 SELECT page_id, host, path, rule,
   CASE rule WHEN 'example.org/en/1' THEN 'block' WHEN 'example.org/es/' THEN 'block'
     WHEN 'com/de/' THEN 'block' WHEN 'com/fr/' THEN 'allow' WHEN 'org/' THEN 'allow'
@@ -156,12 +154,13 @@ FROM c"""
 
 
 def listed_pages(pages: DataFrame) -> DataFrame:
-    """The canonical URLs of pages on the listed hosts: the list of the registered query."""
+    """The canonical URLs of pages full of symbols: the list of the registered query.
+
+    No host is named, so it takes the join to tell listed pages from others of their host.
+    """
     host, path = host_of(F.col("url")), path_of(F.col("url"))
-    on_list = F.lit(False)
-    for name in LISTED_HOSTS:
-        on_list = on_list | (host == name) | host.endswith("." + name)
-    return pages.where(on_list).select(canonical(host, path).alias("canonical_url"))
+    return pages.where(F.col("html").rlike(JUNK)).select(
+        F.nullif(canonical(host, path), F.lit("")).alias("canonical_url"))
 
 
 @query("op9_url_filter", _SQL)
