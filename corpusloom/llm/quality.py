@@ -248,9 +248,11 @@ def train(figured: DataFrame, labels: DataFrame, doc_id: str = "doc_id", label:
         F.col("_i").isNotNull() & ~held_out("_i"))
     learned = stage(figured.select(F.col(doc_id).alias("_d"), "figures").join(
         known, F.col("_d") == F.col("_i")).select("_i", "figures", "_y"))
-    sample = sample_n(learned, sample_rows, "_i", 1).toArrow()
+    # Rows of one id differ in label or figures; what is equal in all of them is interchangeable.
+    learned = learned.withColumn("_key", F.concat_ws(":", "_i", "_y", F.xxhash64("figures")))
+    sample = sample_n(learned, sample_rows, "_key", 1).toArrow()
     # In one order, so that sums are the same on every run.
-    sample = sample.sort_by([("_y", "ascending"), ("_i", "ascending")])
+    sample = sample.sort_by([("_y", "ascending"), ("_key", "ascending")])
     flat = sample.column("figures").combine_chunks().flatten().to_numpy(zero_copy_only=False)
     return fit(flat.reshape(-1, len(FIGURES)), sample.column("_y").to_numpy().astype(float))
 

@@ -194,6 +194,15 @@ def test_false_positives_are_removed(spark):
     assert got.where("listed").agg(F.max("page_id")).first()[0] == 3_999
 
 
+def test_the_list_tells_pages_of_one_host_apart(spark):
+    rows = [(1, "http://www.h.com/a/", "buy ### now"), (2, "https://h.com/a?q", "plain"), (3, "http://h.com/b", "plain"),
+            (4, None, "$$$"), (5, "http://h.com/c", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = urlfilter.url_filter(pages, urlfilter.listed_pages(pages))
+    assert {r.page_id: r.verdict for r in got.collect()} == {
+        1: "block", 2: "block", 3: "allow", 4: "allow", 5: "allow"}
+
+
 # Repeated strings
 
 @pytest.mark.parametrize(("threshold", "chunk", "hot"), [(100, 1 << 21, 16), (100, 333, 1), (20, 500, 2)])
@@ -482,6 +491,10 @@ def test_quality_of_held_out_documents(spark):
 
 def test_quality_of_odd_rows(spark, odd):
     figured = quality.measured(odd)
+    several = spark.createDataFrame([(10 + i % 17, i % 2) for i in range(60) if i % 3], "doc_id long, quality int")
+    models = [quality.train(figured.repartition(n), several.repartition(n), sample_rows=5) for n in (1, 4)]
+    assert (models[0].base, models[0].pairs) == (models[1].base, models[1].pairs)
+    assert all((x == y).all() for x, y in zip(models[0].tables, models[1].tables, strict=True))
     labels = spark.createDataFrame([(10, 1), (10, 0), (12, None), (None, 1), (99, 1), (13, 0), (15, 1), (18, 0)],
                                    "doc_id long, quality int")
     got = quality.scored(figured, quality.train(figured, labels)).toPandas()
