@@ -22,7 +22,7 @@ from corpusloom.llm.langid import UNKNOWN, identify, learned_from, train
 from corpusloom.llm.minhash import near_duplicates
 from corpusloom.llm.packing import pack
 from corpusloom.llm.suffix_dedup import repeated_spans
-from corpusloom.storage import drop_staged, stage, staged_count
+from corpusloom.storage import drop_staged, release, stage, staged_count
 
 ORACLE_SQL = None
 
@@ -35,6 +35,7 @@ _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 def _renamed(docs: DataFrame) -> tuple[DataFrame, list[str], dict[str, str]]:
     """``docs`` under names that no operator uses, these names, and which is which."""
+    release(docs.sparkSession)  # shuffle files of the stage before
     if docs.sparkSession.conf.get(_BATCH, None) is None:
         docs.sparkSession.conf.set(_BATCH, str(BATCH_ROWS))
     names = [f"c{i}__" for i in range(len(docs.columns))]
