@@ -151,6 +151,7 @@ def _round_1(threshold: int, chunk: int, hot: int, combined: int):
             # Repeats are settled here; their place spreads them.
             alone = pair(stretch.view(U), np.where(kind == _REPEAT, first + d, 0).astype(U))
             dealt = np.where(kind != _ORDINARY, alone.view(np.int64), rank)
+            stretch = np.where(kind == _REPEAT, 0, stretch)  # settled: one number less to shuffle
             return pa.RecordBatch.from_arrays(
                 [pa.array(x) for x in (dealt, stretch, d, t, first * threshold + more, kind)],
                 names=_ROUND_1.names)
