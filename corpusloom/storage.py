@@ -8,6 +8,8 @@ between a broadcast and a shuffled join.
 from __future__ import annotations
 
 import atexit
+import gc
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -64,6 +66,20 @@ def drop_staged(spark: SparkSession, first: int = 0, last: int | None = None) ->
     return removed
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of frames that nothing refers to any more.
+
+    It does so once the driver's collector has met them, which may be long after the last
+    use: until then a next step's files come on top. Spark remembers its last query until the
+    next one has run, and hears of what Python dropped a moment later; hence the tiny query
+    and the pause before the collector runs.
+    """
+    gc.collect()
+    spark.range(1).count()
+    time.sleep(0.3)
+    spark.sparkContext._jvm.System.gc()
+
+
 @atexit.register
 def _drop_at_exit() -> None:
     spark = SparkSession.getActiveSession() if _written else None
