@@ -44,7 +44,7 @@ from pyspark.sql import types as T
 
 from corpusloom.llm.registry import query, table
 from corpusloom.llm.textgrams import U, pair, prefix_ranks, ranges, slices, text_bytes, window_min
-from corpusloom.storage import stage
+from corpusloom.storage import release, stage
 
 THRESHOLD = 100
 #: Bytes of text whose ranks a task holds at once (about 20 arrays of 8 bytes each).
@@ -307,6 +307,8 @@ def repeated_spans(docs: DataFrame, keep: Sequence[str] = ("doc_id",), doc_id: s
     found = stage(judged.select("_d", "_t", "place", repeat.alias("repeat"), "_many", "kind").where(
         (F.col("kind") == _SPREAD) | F.col("repeat") | F.col("_many")).select(
         "_d", "_t", "place", "repeat"))
+    del sampled, judged
+    release(docs.sparkSession)  # the shuffle of round 1
     # Round 2: windows of the open stretches, by rank pairs.
     opened = found.where("NOT repeat").groupBy("_d", "_t").agg(F.collect_list("place").alias("_open"))
     pairs = rows.join(opened, ["_d", "_t"], "left").select(*ids, "_x", "_d", "_t", "_open").mapInArrow(
