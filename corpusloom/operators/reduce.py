@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -17,6 +18,7 @@ from pyspark.sql import types as T
 from corpusloom.functions.vectors import as_double
 from corpusloom.operators.batches import BROADCAST_BYTES, map_batches, to_lists, to_matrix
 from corpusloom.operators.split import hash_key
+from corpusloom.storage import exists, new_path, remove
 
 # Hidden widths of the two encoder sizes.
 HIDDEN = (512,)
@@ -72,13 +74,14 @@ def split_by_width(df: DataFrame, dim: int, vector: str = "embedding") -> tuple[
 
 def _fitting(column: pa.Array, width: int) -> pa.Array:
     """Which lists have ``width`` numbers, none of them null."""
-    fits = np.zeros(len(column), bool)
-    for i, size in enumerate(column.value_lengths().to_pylist()):
-        fits[i] = size == width
-    if column.flatten().null_count:
-        whole = [v is not None and None not in v for v in column.to_pylist()]
-        fits &= np.array(whole, bool)
-    return pa.array(fits)
+    fits = pc.fill_null(pc.equal(pc.list_value_length(column), width), False)
+    values = column.flatten()
+    if values.null_count:
+        owner = pc.list_parent_indices(column).filter(values.is_null()).to_numpy()
+        whole = np.ones(len(column), bool)
+        whole[owner] = False
+        fits = pc.and_(fits, pa.array(whole))
+    return fits
 
 
 def _spread(values: pa.Array, fits: pa.Array) -> pa.Array:
@@ -170,46 +173,152 @@ def _gradients(x: np.ndarray, layers: Sequence[Layer]) -> tuple[float, list[np.n
     return float((gap ** 2).mean(axis=1).sum()), grads[::-1]
 
 
-GRADIENT_ROW = 65_536
+#: Copies of the weights that are trained at the same time, and the numbers in a row of weights.
+LANES = 8
+PIECE = 16_384
 
+_EPOCH = "piece int, total array<double>, rows long, steps long, loss double"
+_ERRORS = "error double, loss double, steps long, widths array<int>"
 
-def _summed_gradients(batch: DataFrame, layers: Sequence[Layer],
-                      vector: str) -> tuple[float, int, list[np.ndarray]]:
-    """Gradients per task, cut in pieces and summed by Spark; only the sum reaches the driver."""
-    shared = _share(batch.sparkSession, layers)
-    width = layers[0].weight.shape[1]
+
+def _flat(layers: Sequence[Layer]) -> np.ndarray:
+    return np.concatenate([p.ravel() for la in layers for p in (la.weight, la.bias)])
+
+
+def _filled(flat: np.ndarray, layers: Sequence[Layer]) -> list[Layer]:
+    """Layers of the same shapes over the numbers of ``flat``, which they share."""
+    made, at = [], 0
+    for la in layers:
+        end = at + la.weight.size
+        made.append(Layer(flat[at:end].reshape(la.weight.shape), flat[end:end + la.bias.size], la.relu))
+        at = end + la.bias.size
+    return made
+
+
+class _Lane:
+    """Weights and Adam's moments in one array, moved in place."""
+
+    def __init__(self, state: np.ndarray, steps: int, layers: Sequence[Layer], rate: float):
+        self.state, self.steps, self.rate = state.copy(), steps, rate
+        self.weights, self.first, self.second = self.state.reshape(3, -1)
+        self.layers = _filled(self.weights, layers)
+        self.rows, self.loss = 0, 0.0
+        self._sum, self._count = None, 0
+
+    def add(self, x: np.ndarray) -> None:
+        """Gradients of some rows of the current step."""
+        loss, grads = _gradients(x, self.layers)
+        flat = np.concatenate([g.ravel() for g in grads])
+        self._sum = flat if self._sum is None else self._sum + flat
+        self._count += len(x)
+        self.loss += loss
+
+    def move(self) -> None:
+        """One step of Adam with the mean gradient of what was added."""
+        if not self._count:
+            return
+        g = self._sum / self._count
+        self.rows, self.steps = self.rows + self._count, self.steps + 1
+        self.first[:] = 0.9 * self.first + 0.1 * g
+        self.second[:] = 0.999 * self.second + 0.001 * g * g
+        self.weights -= self.rate * (self.first / (1 - 0.9 ** self.steps)) / (
+            np.sqrt(self.second / (1 - 0.999 ** self.steps)) + 1e-8)
+        self._sum, self._count = None, 0
+
+
+def _dealt(train: DataFrame, n_train: int, key: str, vector: str, lanes: int, steps: int,
+           batch_size: int, seed: int) -> DataFrame:
+    """Rows of one epoch, drawn in one pass, each lane's in one partition by step.
+
+    A row takes part as often as its share of the epoch says; the rest of the share is a chance.
+    """
+    share = lanes * steps * batch_size / n_train
+    digest = F.conv(F.left("_d", F.lit(8)), 16, 10).cast("bigint")
+    uses = F.lit(int(share)) + (digest < int((share - int(share)) * (1 << 32))).cast("int")
+    place = F.pmod(F.xxhash64("_d", "_use", "_v"), F.lit(lanes * steps))
+    return (
+        train.select(vector, hash_key(key, seed).alias("_d"), F.xxhash64(vector).alias("_v"))
+        .withColumn("_uses", uses).where("_uses > 0")
+        .withColumn("_use", F.explode(F.sequence(F.lit(1), F.col("_uses"))))
+        .withColumn("_place", place)
+        .select(vector, F.floor(F.col("_place") / steps).cast("int").alias("lane"),
+                (F.col("_place") % steps).cast("int").alias("step"), "_d", "_use", "_v")
+        .repartitionById(lanes, F.col("lane"))
+        .sortWithinPartitions("lane", "step", "_d", "_use", "_v")
+        .select("lane", "step", vector))
+
+
+def _trained(dealt: DataFrame, state: np.ndarray, steps: int, layers: Sequence[Layer], rate: float,
+             vector: str) -> DataFrame:
+    """Pieces of the weights and moments after an epoch, the mean of all lanes.
+
+    A lane starts from the same weights and takes its own steps on its own rows; lanes count
+    by their rows. A task holds one lane's weights and one Arrow batch, whatever a step's size.
+    """
+    shared = dealt.sparkSession.sparkContext.broadcast(
+        (state, [(la.weight.shape, la.relu) for la in layers]))
+
+    def sent(lane: int, done: _Lane) -> Iterator[pa.RecordBatch]:
+        done.move()
+        for piece, at in enumerate(range(0, len(done.state), PIECE)):
+            yield pa.RecordBatch.from_arrays([
+                pa.array([lane], pa.int32()), pa.array([piece], pa.int32()),
+                to_lists(done.state[at:at + PIECE][None, :], pa.float64()),
+                pa.array([done.rows], pa.int64()), pa.array([done.steps], pa.int64()),
+                pa.array([done.loss], pa.float64())],
+                names=["lane", "piece", "total", "rows", "steps", "loss"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
+        begun, shapes = shared.value
+        blank = [Layer(np.empty(shape), np.empty(shape[0]), relu) for shape, relu in shapes]
+        width, held, lane = shapes[0][0][1], None, None
         for b in batches:
             if b.num_rows == 0:
                 continue
-            loss, grads = _gradients(to_matrix(b.column(vector), width), _layers(shared))
-            flat = np.concatenate([[loss, b.num_rows], *[g.ravel() for g in grads]])
-            total = flat if total is None else total + flat
-        if total is None:
-            return
-        for piece, at in enumerate(range(0, len(total), GRADIENT_ROW)):
-            part = total[at:at + GRADIENT_ROW][None, :]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([piece], pa.int32()), to_lists(part, pa.float64())],
-                names=["piece", "total"])
-
-    pieces = batch.select(vector).mapInArrow(run, "piece int, total array<double>")
-    summed = pieces.groupBy("piece").agg(
-        vector_to_array(Summarizer.sum(array_to_vector(F.col("total")))).alias("total"))
-    flat = np.concatenate([np.asarray(r[1]) for r in summed.orderBy("piece").collect()] or [[0, 0]])
-    shared.destroy()
-    loss, rows, flat = flat[0], int(flat[1]), flat[2:]
-    if rows == 0:
-        return 0.0, 0, []
-    grads, at = [], 0
-    for layer in layers:
-        for shape in (layer.weight.shape, layer.bias.shape):
-            size = int(np.prod(shape))
-            grads.append(flat[at:at + size].reshape(shape))
-            at += size
-    return loss, rows, grads
+            x = to_matrix(b.column(vector), width)
+            at = np.stack([b.column("lane").to_numpy(), b.column("step").to_numpy()], axis=1)
+            cuts = [0, *(np.flatnonzero((at[1:] != at[:-1]).any(axis=1)) + 1), len(at)]
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                own = (int(at[i, 0]), int(at[i, 1]))
+                if held is None or own[0] != held[0]:
+                    if held is not None:
+                        yield from sent(held[0], lane)
+                    lane = _Lane(begun, steps, blank, rate)
+                elif own != held:
+                    lane.move()
+                held = own
+                lane.add(x[i:j])
+        if held is not None:
+            yield from sent(held[0], lane)
+
+    def mean(table: pa.Table) -> pa.Table:
+        order = np.argsort(table.column("lane").to_numpy())
+        rows = table.column("rows").to_numpy()[order]
+        total = rows @ to_matrix(table.column("total"))[order] / rows.sum()
+        return pa.table({
+            "piece": table.column("piece")[:1], "total": to_lists(total[None, :], pa.float64()),
+            "rows": pa.array([rows.sum()], pa.int64()),
+            "steps": pa.array([table.column("steps").to_numpy().max()], pa.int64()),
+            "loss": pa.array([table.column("loss").to_numpy()[order].sum()], pa.float64())})
+
+    made = dealt.mapInArrow(run, "lane int, " + _EPOCH)
+    return made.groupBy("piece").applyInArrow(mean, _EPOCH)
+
+
+def _read_epoch(spark: SparkSession, folder: str, epoch: int) -> tuple[np.ndarray, int, float]:
+    """Weights and moments, the steps so far, and the mean loss of an epoch's rows."""
+    rows = spark.read.schema(_EPOCH).parquet(f"{folder}/weights/epoch={epoch}").orderBy("piece").collect()
+    return np.concatenate([r["total"] for r in rows]), rows[0]["steps"], rows[0]["loss"] / rows[0]["rows"]
+
+
+def _history(spark: SparkSession, folder: str, widths: list[int]) -> list[tuple[float, int]]:
+    """Error and steps of each epoch that a folder holds whole."""
+    if not exists(spark, f"{folder}/errors"):
+        return []
+    rows = spark.read.schema(_ERRORS + ", epoch int").parquet(f"{folder}/errors").orderBy("epoch").collect()
+    if any(r["widths"] != widths for r in rows):
+        raise ValueError(f"{folder} holds a model of widths {rows[0]['widths']}, not {widths}")
+    return [(r["error"], r["steps"]) for r in rows]
 
 
 def fit_mlp(
@@ -228,61 +337,87 @@ def fit_mlp(
     final_relu: bool = False,
     seed: int = 0,
     start: Autoencoder | None = None,
+    lanes: int = LANES,
+    folder: str | None = None,
+    keep_epochs: int = 5,
 ) -> Autoencoder:
-    """Train an autoencoder with Adam on distributed gradients; the best weights win.
+    """Train an autoencoder by epochs; the weights with the best validation error win.
+
+    An epoch reads the training rows once and the validation rows once. It draws rows by
+    hash and deals them to ``lanes`` copies of the weights; each takes ``epoch_length`` steps of Adam,
+    on about ``batch_size`` rows each, and the epoch ends with the mean of the copies, so only one
+    set of weights a lane crosses the network. ``lanes`` is part of the result, the cluster isn't:
+    the same call gives the same weights on any number of executors.
 
-    Each step draws about ``batch_size`` rows by hash. Training stops after
-    ``patience`` epochs without a better validation error. ``start`` resumes
-    from earlier weights. The model's size alone bounds what the driver holds.
+    Weights and moments are written to ``folder/weights/epoch=N`` by the tasks, then the error to
+    ``folder/errors``. A call with a folder that holds epochs goes on after the last whole one
+    (``epochs`` counts these too). The last epoch and the ``keep_epochs`` latest that improved stay.
+    Training stops after ``patience`` epochs without a better error. ``start`` gives the first weights.
+
+    Vectors must have ``input_dim`` numbers (see ``split_by_width``), others are an error. Without training rows
+    the first weights come back; without validation rows the training error of an epoch decides.
     """
+    spark = train.sparkSession
     rng = np.random.default_rng(seed)
-    n_train = train.count()
     if start is None:
         enc = _start([input_dim, *hidden, output_dim], rng, True)
         dec = _start([output_dim, *reversed(hidden), input_dim], rng, final_relu)
     else:
         enc, dec = list(start.encoder), list(start.decoder)
-    cut = len(enc)
     layers = [*enc, *dec]
-    _check_size(layers)
-    first = [np.zeros_like(p) for la in layers for p in (la.weight, la.bias)]
-    second = [np.zeros_like(p) for p in first]
-    best, best_error, waited, step = None, np.inf, 0, 0
-    share = min(1.0, batch_size / max(1, n_train))
-    for _ in range(epochs):
-        for _ in range(epoch_length):
-            step += 1
-            drawn = train
-            if share < 1.0:
-                digest = F.conv(F.left(hash_key(key, seed + step), F.lit(8)), 16, 10)
-                drawn = train.where(digest.cast("bigint") < int(share * (1 << 32)))
-            _, rows, grads = _summed_gradients(drawn, layers, vector)
-            if not rows:
-                continue
-            params = [p for la in layers for p in (la.weight, la.bias)]
-            for i, g in enumerate(grads):
-                g = g / rows
-                first[i] = 0.9 * first[i] + 0.1 * g
-                second[i] = 0.999 * second[i] + 0.001 * g * g
-                move = (first[i] / (1 - 0.9 ** step)) / (
-                    np.sqrt(second[i] / (1 - 0.999 ** step)) + 1e-8)
-                params[i] = params[i] - learning_rate * move
-            layers = [Layer(params[2 * i], params[2 * i + 1], la.relu)
-                      for i, la in enumerate(layers)]
-        model = Autoencoder(tuple(layers[:cut]), tuple(layers[cut:]))
-        error = reconstruction_mse(validation, model, [key], vector).first()[0]
-        if error < best_error:
-            best, best_error, waited = model, error, 0
-        else:
-            waited += 1
-            if waited >= patience:
-                break
-    return best
+    widths = [layers[0].weight.shape[1], *[len(la.bias) for la in layers]]
+
+    def model(state: np.ndarray) -> Autoencoder:
+        made = _filled(state[:len(state) // 3], layers)
+        return Autoencoder(tuple(made[:len(enc)]), tuple(made[len(enc):]))
+
+    state = np.concatenate([_flat(layers), np.zeros(2 * len(_flat(layers)))])
+    if 8 * len(state) > BROADCAST_BYTES:
+        raise ValueError(f"{8 * len(state)} bytes of weights are over the bound of {BROADCAST_BYTES}")
+    folder = folder.rstrip("/") if folder else new_path(spark)
+    history, steps = _history(spark, folder, widths), 0
+    if history:
+        state, steps, _ = _read_epoch(spark, folder, len(history) - 1)
+    n_train = train.count()
+    if n_train == 0:
+        return model(state)
+    while len(history) < epochs:
+        errors = [e for e, _ in history]
+        if errors and len(errors) - 1 - int(np.argmin(errors)) >= patience:
+            break
+        epoch = len(history)
+        dealt = _dealt(train, n_train, key, vector, lanes, epoch_length, batch_size, seed + epoch + 1)
+        _trained(dealt, state, steps, layers, learning_rate, vector).write.mode(
+            "overwrite").parquet(f"{folder}/weights/epoch={epoch}")
+        state, steps, loss = _read_epoch(spark, folder, epoch)
+        error = reconstruction_mse(validation, model(state), [], vector).first()[0]
+        error = loss if error is None else error
+        spark.createDataFrame([(error, loss, steps, widths)], _ERRORS).coalesce(1).write.mode(
+            "overwrite").parquet(f"{folder}/errors/epoch={epoch}")
+        history.append((error, steps))
+        _forget(spark, folder, [e for e, _ in history], keep_epochs)
+    if not history:
+        return model(state)
+    best = int(np.argmin([e for e, _ in history]))
+    return model(_read_epoch(spark, folder, best)[0])
+
+
+def _improved(errors: Sequence[float]) -> list[int]:
+    return [i for i, e in enumerate(errors) if e < min(errors[:i], default=np.inf)]
+
+
+def _forget(spark: SparkSession, folder: str, errors: Sequence[float], keep_epochs: int) -> None:
+    """Delete the weights that the newest epoch has made superfluous."""
+    def kept(upto: int) -> set[int]:
+        return {upto - 1, *_improved(errors[:upto])[-max(1, keep_epochs):]}
+
+    for epoch in kept(len(errors) - 1) - kept(len(errors)) if len(errors) > 1 else ():
+        remove(spark, f"{folder}/weights/epoch={epoch}")
 
 
 def fit_reducer(train: DataFrame, validation: DataFrame, input_dim: int, output_dim: int, key: str,
                 method: str = "pca", vector: str = "embedding", **options) -> Autoencoder:
-    """``'pca'`` fits in one pass; ``'mlp'`` trains an autoencoder step by step."""
+    """``'pca'`` fits in one pass; ``'mlp'`` trains an autoencoder by epochs."""
     if method == "pca":
         return fit_pca(train, output_dim, vector)
     if method == "mlp":

@@ -47,6 +47,23 @@ def stage(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _on_files(spark: SparkSession, name: str):
+    """A Hadoop path and the file system that it lies on."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, name: str) -> bool:
+    path, files = _on_files(spark, name)
+    return files.exists(path)
+
+
+def remove(spark: SparkSession, name: str) -> bool:
+    """Delete a folder this library has written."""
+    path, files = _on_files(spark, name)
+    return files.delete(path, True)
+
+
 def staged_count() -> int:
     """How many tables this process has staged and not dropped."""
     return len(_written)
@@ -57,11 +74,7 @@ def drop_staged(spark: SparkSession, first: int = 0, last: int | None = None) ->
 
     ``first`` and ``last`` choose them as a slice of the order in which they were staged.
     """
-    context = spark.sparkContext
-    removed = 0
-    for name in _written[first:last]:
-        path = context._jvm.org.apache.hadoop.fs.Path(name)
-        removed += path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    removed = sum(remove(spark, name) for name in _written[first:last])
     del _written[first:last]
     return removed
 

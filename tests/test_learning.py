@@ -200,7 +200,7 @@ def test_pca_restores_rank_deficient_data(spark, flat_data):
 def test_mlp_training_lowers_the_error(flat_data):
     x, df = flat_data
     few = df.where("row_index < 200")
-    options = dict(hidden=(16,), batch_size=100, learning_rate=0.01, epoch_length=6, seed=3)
+    options = dict(hidden=(16,), batch_size=50, learning_rate=0.01, epoch_length=12, seed=3, lanes=2)
     short = reduce.fit_reducer(few, few, 10, 4, "row_index", "mlp", epochs=1, **options)
     start = reduce.reconstruction_mse(few, short, ["row_index"]).first()[0]
     more = reduce.fit_reducer(few, few, 10, 4, "row_index", "mlp", epochs=4, start=short, **options)
@@ -209,6 +209,72 @@ def test_mlp_training_lowers_the_error(flat_data):
         reduce.fit_reducer(few, few, 10, 4, "row_index", "svd")
 
 
+@pytest.fixture(scope="module")
+def curve(spark):
+    """Vectors on a bent line in a space of eight dimensions; a third of the rows share one key."""
+    t = RNG.uniform(-1, 1, size=600)
+    x = np.stack([t, t ** 2, np.abs(t), np.sin(3 * t), np.cos(3 * t), t ** 3, 1 - t, np.cos(2 * t)], axis=1)
+    keys = [0 if i < 200 else i for i in range(600)]
+    return cluster.stage(frame(spark, keys, x, "row_index"))
+
+
+CURVED = dict(hidden=(32,), batch_size=32, learning_rate=0.01, epoch_length=40, seed=4, lanes=3)
+
+
+def _weights(model):
+    return np.concatenate([p.ravel() for la in (*model.encoder, *model.decoder)
+                           for p in (la.weight, la.bias)])
+
+
+def test_mlp_beats_pca_on_a_curve_with_two_reads_an_epoch(spark, curve):
+    read = {"train": spark.sparkContext.accumulator(0), "validation": spark.sparkContext.accumulator(0)}
+
+    def counted(name):
+        def run(batches):
+            for b in batches:
+                read[name].add(b.num_rows)
+                yield b
+        return curve.mapInArrow(run, curve.schema)
+
+    model = reduce.fit_mlp(counted("train"), counted("validation"), 8, 2, "row_index", epochs=5, **CURVED)
+    assert read["validation"].value == 5 * 600
+    assert read["train"].value == 6 * 600  # and once to count the rows
+    linear = reduce.fit_pca(curve, 2)
+    errors = [reduce.reconstruction_mse(curve, m, []).first()[0] for m in (model, linear)]
+    assert errors[0] < 0.5 * errors[1]
+
+
+def test_training_goes_on_from_written_epochs(spark, curve, tmp_path):
+    def fit(folder, epochs, data=curve, **more):
+        return reduce.fit_mlp(data, curve, 8, 2, "row_index", epochs=epochs, folder=str(tmp_path / folder),
+                              **{**CURVED, "epoch_length": 8, **more})
+
+    whole = fit("whole", 4, keep_epochs=1)
+    fit("parts", 2)
+    (tmp_path / "parts" / "weights" / "epoch=2").mkdir()  # an epoch that was cut off
+    again = fit("parts", 4, curve.repartition(5))
+    assert (_weights(whole) == _weights(again)).all()
+    assert len(list((tmp_path / "whole" / "weights").glob("epoch=*"))) <= 2
+    errors = spark.read.parquet(str(tmp_path / "parts" / "errors")).orderBy("epoch").collect()
+    assert [r["epoch"] for r in errors] == [0, 1, 2, 3] and errors[-1]["steps"] == 32
+    # Nothing is left to do, so nothing but the weights is read.
+    assert (_weights(fit("parts", 4)) == _weights(whole)).all()
+    with pytest.raises(ValueError, match="widths"):
+        fit("parts", 5, hidden=(7,))
+
+
+def test_training_without_rows_and_with_wrong_rows(spark, curve):
+    none = curve.where("false")
+    start = reduce.fit_pca(curve, 2)
+    same = reduce.fit_mlp(none, curve, 8, 2, "row_index", start=start, epochs=2)
+    assert (_weights(same) == _weights(start)).all()
+    made = reduce.fit_mlp(curve, none, 8, 2, "row_index", epochs=1, **{**CURVED, "epoch_length": 2})
+    assert np.isfinite(_weights(made)).all()
+    wrong = frame(spark, [1], [[1.0, 2.0]], "row_index")
+    with pytest.raises(Exception, match="width"):
+        reduce.fit_mlp(wrong, curve, 8, 2, "row_index", epochs=1, **{**CURVED, "epoch_length": 2})
+
+
 def test_whole_reduction(spark, flat_data):
     _, df = flat_data
     extra = frame(spark, [900], [[1.0, 2.0]], "row_index", shard=pa.array(["s"]))
