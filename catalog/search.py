@@ -384,11 +384,30 @@ def cluster_two_level(spark, sf):
 FITTED_CELLS = (*_CELLS, """cen AS (SELECT id AS centroid_id, center FROM fc2)""")
 
 
-@query("pq_fit")
+def _books_sql(m: int, width: int, entries: int, steps: int) -> list[str]:
+    """Tables ``bk0 .. bk{steps}``: the slices of the rows with the lowest digests, then Lloyd steps."""
+    parts = [f"""bkp AS MATERIALIZED (SELECT p, row_index AS key, md5('0:' || row_index) AS digest,
+  embedding[p * {width} + 1 : (p + 1) * {width}] AS slice FROM vec, range({m}) r(p))""",
+             f"""bk0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY slice) - 1 AS code, slice AS center
+  FROM (SELECT DISTINCT p, slice FROM (SELECT p, slice FROM bkp
+    QUALIFY row_number() OVER (PARTITION BY p ORDER BY digest, key) <= {entries})))"""]
+    for i in range(steps):
+        parts += [f"""bka{i} AS MATERIALIZED (SELECT bkp.p, code, slice FROM bkp JOIN bk{i} ON bkp.p = bk{i}.p
+  QUALIFY row_number() OVER (PARTITION BY bkp.p, key ORDER BY list_distance(slice, center)::FLOAT, code) = 1)""",
+                  f"""bkm{i} AS MATERIALIZED (SELECT p, code, list(v ORDER BY pos) AS center FROM (
+  SELECT p, code, pos, avg(slice[pos]) AS v FROM bka{i}, unnest(range(1, {width + 1})) AS u(pos)
+  GROUP BY ALL) GROUP BY p, code)""",
+                  f"""bk{i + 1} AS MATERIALIZED (SELECT b.p, b.code, coalesce(n.center, b.center) AS center
+  FROM bk{i} b LEFT JOIN bkm{i} n ON b.p = n.p AND b.code = n.code)"""]
+    return parts
+
+
+@query("pq_fit", with_tables(VECTORS, *_books_sql(8, 8, 32, 5)) + f"""
+SELECT p::INT AS part, code, i AS pos, {sql_r4('center[i + 1]')} AS val FROM bk5, range(8) r(i)""")
 def pq_fit(spark, sf):
-    return quantize.pq_fit(
-        vectors(spark, sf), m=8, nbits=5, key="row_index", max_iter=5).select(
-        "part", "code", F.size("center").cast("bigint").alias("dim"))
+    books = quantize.pq_fit(vectors(spark, sf), m=8, nbits=5, key="row_index", max_iter=5)
+    return books.select("part", "code", F.posexplode("center").alias("pos", "val")).select(
+        "part", "code", F.col("pos").cast("bigint").alias("pos"), r4("val").alias("val"))
 
 
 _PROBED = ("vec q JOIN probe USING (row_index) JOIN cell USING (cell) JOIN vec d "
@@ -462,3 +481,20 @@ def fit_reducer(spark, sf):
     data = vectors(spark, sf)
     model = reduce.fit_reducer(data, data, 64, 16, "row_index")
     return reduce.reconstruction_mse(data, model, ["row_index"])
+
+
+# The trained weights have no SQL; that they beat the best constant has: rows, and their mean
+# variance, which the error must be under.
+@query("fit_reducer_epochs", with_tables(VECTORS) + f"""
+SELECT (SELECT count(*) FROM vec) AS n_rows, 0::BIGINT AS n_rejected, {sql_r4('avg(v)')} AS variance,
+  TRUE AS below_variance
+FROM (SELECT pos, var_pop(embedding[pos]) AS v FROM vec, unnest(range(1, 65)) AS u(pos) GROUP BY pos)""")
+def fit_reducer_epochs(spark, sf):
+    data = vectors(spark, sf)
+    model = reduce.fit_reducer(data, data, 64, 16, "row_index", "mlp", hidden=(48,), epochs=3,
+                               epoch_length=40, batch_size=64, learning_rate=0.01, lanes=4)
+    error = reduce.reconstruction_mse(data, model, ["row_index"])
+    variance = data.select(F.posexplode("embedding").alias("pos", "x")).groupBy("pos").agg(
+        F.var_pop("x").alias("v")).agg(F.avg("v")).first()[0]
+    return error.select("n_rows", "n_rejected", r4(F.lit(variance)).alias("variance"),
+                        (F.col("mse") < F.lit(variance)).alias("below_variance"))

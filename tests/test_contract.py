@@ -9,7 +9,7 @@ import catalog.registry
 SF = "/root/testdata/sf0.001"
 QUERIES, ORACLES = catalog.registry.QUERIES, catalog.registry.ORACLES
 # Results of fitted models and random draws: no SQL equivalent.
-FITTED = {"pq_fit", "fit_reducer", "reduce_corpus"}
+FITTED = {"fit_reducer", "reduce_corpus"}
 
 
 @pytest.fixture(scope="module")
