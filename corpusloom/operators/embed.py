@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.resource import ResourceProfile
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -15,6 +16,9 @@ from corpusloom.operators.batches import spread, to_lists
 
 Encoder = Callable[[pa.Array], np.ndarray]
 
+#: Text that a task holds to order it by length.
+WINDOW_BYTES = 32 * 1024 * 1024
+
 
 class HashingEncoder:
     """Every word adds +1 or -1 at a place given by its md5; then L2-normalised.
@@ -45,6 +49,39 @@ class HashingEncoder:
         return np.divide(out, length, out=np.zeros_like(out), where=length > 0)
 
 
+def text_lengths(texts: pa.Array) -> np.ndarray:
+    """Code points of each text; none for null."""
+    return pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _cuts(lengths: np.ndarray, batch_size: int, batch_cells: int | None) -> Iterator[tuple[int, int]]:
+    """Batches over ascending lengths: rows times the longest stay within ``batch_cells``."""
+    at = 0
+    while at < len(lengths):
+        end = min(at + batch_size, len(lengths))
+        if batch_cells is not None:
+            cells = lengths[at:end] * np.arange(1, end - at + 1)
+            end = at + max(1, int(np.searchsorted(cells, batch_cells, side="right")))
+        yield at, end
+        at = end
+
+
+def _windows(batches: Iterator[pa.RecordBatch], text: str, limit: int) -> Iterator[pa.Table]:
+    """Consecutive rows together, up to ``limit`` bytes; one batch at least."""
+    held, size = [], 0
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        own = batch.column(text).nbytes
+        if held and size + own > limit:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+        held.append(batch)
+        size += own
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def embed_text(
     df: DataFrame,
     keep: Sequence[str],
@@ -52,10 +89,22 @@ def embed_text(
     text: str = "caption",
     batch_size: int = 512,
     name: str = "embedding",
+    batch_cells: int | None = None,
+    lengths: Callable[[pa.Array], np.ndarray] = text_lengths,
+    window_bytes: int = WINDOW_BYTES,
+    profile: ResourceProfile | None = None,
 ) -> DataFrame:
     """Append ``name array<float>``; ``make_encoder`` runs once per task.
 
-    An encoder takes a string array and gives a matrix with a row per text.
+    An encoder takes a string array and gives a matrix with a row per text. Encoders that pad a
+    batch to its longest text work in proportion to rows times that length, so texts of a task are
+    ordered by ``lengths`` (code points, unless a tokenizer's count is given) within windows of
+    ``window_bytes`` of text, and a batch takes neighbours: at most ``batch_size`` of them and, if given, at
+    most ``batch_cells`` padded cells. A longer text is a batch of its own, never cut. Nothing is
+    shuffled for it, and a row's vector doesn't depend on its batch if the encoder masks padding.
+
+    ``profile`` asks for executors with the resources that the encoder needs, such as GPUs. Null
+    texts reach the encoder as null.
     """
     source = spread(df.select(*dict.fromkeys([*keep, text])))
     schema = T.StructType([source.schema[c] for c in keep]
@@ -63,10 +112,12 @@ def embed_text(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = None
-        for batch in batches:
-            for at in range(0, batch.num_rows, batch_size):
-                encoder = encoder or make_encoder()
-                part = batch.slice(at, batch_size)
+        for window in _windows(batches, text, window_bytes):
+            encoder = encoder or make_encoder()
+            sizes = np.concatenate([lengths(c) for c in window.column(text).chunks])
+            order = np.argsort(sizes, kind="stable")
+            for at, end in _cuts(sizes[order], batch_size, batch_cells):
+                part = window.take(pa.array(order[at:end])).combine_chunks().to_batches()[0]
                 vectors = np.asarray(encoder(part.column(text)), dtype=np.float32)
                 if len(vectors) != part.num_rows:
                     raise ValueError(f"{len(vectors)} vectors for {part.num_rows} texts")
@@ -74,4 +125,4 @@ def embed_text(
                     [part.column(c) for c in keep] + [to_lists(vectors, pa.float32())],
                     names=[*keep, name])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(run, schema, profile=profile)
