@@ -30,7 +30,7 @@ STOP_WORDS = (
 
 @dataclass(frozen=True)
 class Rule:
-    """Passes if ``scale * figure`` isn't beyond ``limit * base``."""
+    """Passes if ``scale * figure`` isn't beyond ``limit * base``, or if ``only`` doesn't pass."""
 
     name: str
     figure: str
@@ -38,26 +38,33 @@ class Rule:
     limit: int
     base: str | None = None
     scale: int = 1
+    only: Rule | None = None
 
     def failed(self) -> Column:
         left = F.lit(self.scale).cast("long") * F.col(self.figure)
         right = F.lit(self.limit).cast("long") * (F.col(self.base) if self.base else F.lit(1))
-        return left > right if self.side == "most" else left < right
+        beyond = left > right if self.side == "most" else left < right
+        return beyond if self.only is None else beyond & ~self.only.failed()
 
 
 BASE_RULES = (
     Rule("min_words", "n_words", "least", 50),
     Rule("repeated_words", "n_repeat_words", "most", 50, "n_words", 100),
 )
+#: Short texts repeat a line easily, so the strict ratio takes ten lines. Stop words are listed for
+#: languages in Latin letters: a text that is mostly beyond ASCII has none of them to show.
+MANY_LINES = Rule("many_lines", "n_lines", "least", 10)
+LISTED_SCRIPT = Rule("listed_script", "n_beyond_ascii", "most", 50, "word_chars", 100)
 METHOD_RULES = (
     Rule("symbols", "n_symbols", "most", 10, "n_words", 100),
     Rule("repeated_lines", "n_dup_lines", "most", 70, "n_lines", 100),
-    Rule("stop_words", "n_stop_words", "least", 2, "n_words", 100),
+    Rule("repeated_lines_of_many", "n_dup_lines", "most", 30, "n_lines", 100, MANY_LINES),
+    Rule("stop_words", "n_stop_words", "least", 2, "n_words", 100, LISTED_SCRIPT),
     Rule("short_words", "word_chars", "least", 2, "n_words"),
     Rule("long_words", "word_chars", "most", 20, "n_words"),
 )
 FIGURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-           "n_lines", "n_stop_words")
+           "n_lines", "n_stop_words", "n_beyond_ascii")
 
 _SPACE = r"[\\x20\\x09-\\x0D]+"
 
@@ -100,7 +107,8 @@ def figures(docs: DataFrame, keep: Sequence[str] = ("doc_id",), text: str = "tex
         "CAST(size(_l) - size(array_distinct(_l)) AS BIGINT) AS n_dup_lines",
         f"CAST({covered} AS BIGINT) AS n_repeat_words",
         "CAST(size(_l) AS BIGINT) AS n_lines",
-        f"CAST(size(filter(_w, x -> lower(x) IN ({stops}))) AS BIGINT) AS n_stop_words")
+        f"CAST(size(filter(_w, x -> lower(x) IN ({stops}))) AS BIGINT) AS n_stop_words",
+        "CAST(regexp_count(_t, '[^\\\\x00-\\\\x7F]') AS BIGINT) AS n_beyond_ascii")
 
 
 def quality_rules(docs: DataFrame, keep: Sequence[str] = ("doc_id",), text: str = "text",
@@ -128,13 +136,15 @@ f AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(list_aggregate(w, 'string
         len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
         (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
         coalesce(c.n, 0)::BIGINT AS n_repeat_words, len(l)::BIGINT AS n_lines,
-        len(list_filter(w, lambda x: lower(x) IN ({_SQL_STOPS})))::BIGINT AS n_stop_words
+        len(list_filter(w, lambda x: lower(x) IN ({_SQL_STOPS})))::BIGINT AS n_stop_words,
+        len(regexp_extract_all(t, '[^\x00-\x7F]'))::BIGINT AS n_beyond_ascii
       FROM w LEFT JOIN c USING (rid)),
 b AS (SELECT *, coalesce(wc, 0) AS word_chars,
         n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT (base_failed OR 100 * n_symbols > 10 * n_words OR 100 * n_dup_lines > 70 * n_lines
-       OR 100 * n_stop_words < 2 * n_words OR word_chars < 2 * n_words
+       OR (n_lines >= 10 AND 100 * n_dup_lines > 30 * n_lines)
+       OR (100 * n_beyond_ascii <= 50 * word_chars AND 100 * n_stop_words < 2 * n_words) OR word_chars < 2 * n_words
        OR word_chars > 20 * n_words) AS kept
 FROM b"""
 

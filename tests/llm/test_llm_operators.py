@@ -119,6 +119,21 @@ def test_rule_counts(odd):
     assert got == sorted(want, key=repr)
 
 
+def test_stop_words_and_line_ratios_apply_where_they_can_tell(spark):
+    russian = " ".join(f"слово{i} стоит{i % 7} здесь{i % 5}" for i in range(40))
+    latin = " ".join(f"wort{i} steht{i % 7} hier{i % 5}" for i in range(40))
+    line = "the p{0} q{0} of r{0} s{0} and t{0} u{0} is v{0}"
+    many = [line.format(i) for i in range(20)]
+    few = [line.format(i) for i in range(6)] + [line.format(i) for i in range(3)]
+    rows = [(1, russian), (2, latin), (3, "\n".join(many)), (4, "\n".join(many + ["the same"] * 12)),
+            (5, "\n".join(few)), (6, russian[:len(russian) // 8] + " " + latin)]
+    got = {r["doc_id"]: set(r["failed_rules"]) - {"repeated_words"} for r in rules.quality_rules(
+        spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    # Nine lines, three of them repeated, are too few to tell; a Latin text with a little Cyrillic is judged.
+    assert got == {1: set(), 2: {"stop_words"}, 3: set(), 4: {"repeated_lines_of_many"}, 5: set(),
+                   6: {"stop_words"}}
+
+
 def test_rules_keep_prose_and_drop_junk(spark):
     junk = " ".join(f"word{i}$$$" for i in range(80))
     rows = [(1, prose(5, 200)), (2, junk), (3, "\n".join(["the same line of the text"] * 30)),
