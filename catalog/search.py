@@ -25,7 +25,8 @@ from catalog.inputs import (
 from catalog.registry import QUERIES, query, r4, sql_r4, with_tables  # noqa: F401
 from corpusloom.operators import (
     cluster, embed, ensemble, minibatch, nearest, numbering, quantize, reduce, take)
-from corpusloom.storage import stage
+from corpusloom.operators.index import build_index, open_index
+from corpusloom.storage import new_path, stage
 
 
 def _docs(spark, sf):
@@ -451,6 +452,16 @@ _register_pruned("knn_pruned_ip", "inner_product")
 _register_pruned("knn_pruned_cosine", "cosine")
 _register_pruned("knn_pruned_l2", "l2")
 
+# Two parts, written one after the other, and reopened: together they are all vectors.
+@query("index_search", with_tables(VECTORS, _knn("l2")) + _TIDY)
+def index_search(spark, sf):
+    docs, folder = _docs(spark, sf), new_path(spark)
+    late = F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0
+    build_index(docs.where(~late), folder, 10, fit_steps=3)
+    open_index(spark, folder).add(docs.where(late))
+    return _tidy(open_index(spark, folder).search(_queries(spark, sf), 5, "l2"))
+
+
 #: Codebooks of the registered searches: a slice for each dimension, 64 entries each.
 BOOKS = {"m": 64, "nbits": 6, "max_iter": 2}
 

@@ -566,17 +566,19 @@ def knn_pruned(
     cell: str = "cell",
     first: int = 1,
     max_bytes: int = SLICE_BYTES,
+    bounds: DataFrame | None = None,
 ) -> PrunedSearch:
     """The best ``k`` documents per query, the same as ``knn_exact``, from as few cells as its bounds allow.
 
     Each query takes its cells in the order of what their best document can reach, ``first``
     of them in the first round and twice as many in each further one, and stops at the cell
     that can't beat its k-th best so far. ``docs`` carries ``cell`` from ``assign_cells``
-    or ``store_cells``; ``query_id`` must be unique.
+    or ``store_cells``; ``query_id`` must be unique. ``bounds`` are those of ``cell_bounds`` if they are
+    known already, which saves a scan of all documents.
     """
     _check_metric(metric)
     spark = docs.sparkSession
-    known = stage(cell_bounds(docs, centroids, metric, vector, cell))
+    known = stage(cell_bounds(docs, centroids, metric, vector, cell)) if bounds is None else bounds
     block = bounded_block(known, "centroid_id", "center", ["radius", "norm"])
     shared = spark.sparkContext.broadcast(block.parts)
     asked = stage(queries.select(F.col(query_id).alias("query_id"), F.col(vector).alias("_v")))
