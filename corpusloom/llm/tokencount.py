@@ -3,11 +3,16 @@
 A text is cut into pre-tokens before each run of spaces; no piece of the vocabulary has a
 space after another character, so no merge crosses a cut. The distinct pre-tokens of a
 batch that haven't been counted yet lie side by side in one ragged array of symbols. In
-each round every sequence finds its pair of lowest rank (leftmost among equal ones), all
-these pairs merge at once, and the array closes up; sequences without a mergeable pair
-leave. What survives are the tokens. A sequence beyond ``LONG`` symbols takes its merges
-from a heap instead, in the same order, since rounds over long arrays would cost the square
-of its length.
+each round every sequence finds its pairs of lowest rank, all these pairs merge at once
+(of overlapping ones every second, from the left), and the array closes up; sequences
+without a mergeable pair leave. What survives are the tokens.
+
+Where the table orders merges by growth, as trained ones do (a pair ranks after the merges that
+made its symbols), a long sequence isn't held up by one lowest pair: a pair that is lowest among the
+``reach`` pairs on both sides merges as well, ``reach`` being the length of the longest piece.
+Nothing can get at its symbols first: pairs between them and the edge of that window rank later, so
+only a symbol that grows in from beyond the edge could, and it would be longer than any piece. Nor do
+the pairs that it forms come before its turn. So rounds grow with the length of pieces, not of texts.
 
 Counts are those of the sentencepiece library with its default options: a space in front
 of the text, spaces as U+2581, pairs of highest score first, characters that no piece has
@@ -20,7 +25,6 @@ result. Further columns are not read.
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -31,10 +35,9 @@ from pyspark.sql import types as T
 
 from corpusloom.llm.registry import query, table
 from corpusloom.llm.textgrams import (
-    U, pair, ranges, slices, text_bytes, word_bounds, word_ranks)
+    U, pair, ranges, slices, text_bytes, window_min, word_bounds, word_ranks)
 
 TOKEN_LIMIT = 4096
-LONG = 512
 _CACHE_WORDS = 1_000_000
 _TEXT_CHUNK = 1 << 20
 _MARK = "▁"
@@ -79,7 +82,11 @@ class MergeTable:
         for c, i in symbol.items():
             if c not in score:
                 self.tokens[i] = len(c.encode())
-        self.pairs: dict[tuple[int, int], tuple[int, int]] | None = None
+        # The longest piece, if every pair ranks after the merges that made its symbols.
+        made_at = np.full(self.width, -1)
+        made_at[self.made] = self.rank
+        grows = (self.rank > made_at[self.key // self.width]) & (self.rank > made_at[self.key % self.width])
+        self.reach = max(map(len, symbol)) if grows.all() else None
 
     def symbols(self, points: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.points, points), len(self.points) - 1)
@@ -96,24 +103,14 @@ class MergeTable:
         out = np.zeros(len(size), np.int64)
         value = np.where(symbols == self.width - 1, unknown, 0)
         np.add.at(out, np.repeat(np.arange(len(size)), size), value)
-        long = np.flatnonzero(size > LONG)
-        first = np.cumsum(size) - size
-        for i in long:
-            out[i] += self._merge_one(symbols[first[i]:first[i] + size[i]].tolist())
-        short = np.repeat(size <= LONG, size)
-        names = np.flatnonzero(size <= LONG)
-        owner = np.repeat(names, size[names])
-        symbols = symbols[short]
+        owner = np.repeat(np.arange(len(size)), size)
         while len(symbols):
             rank, place = self.lookup(symbols[:-1], symbols[1:])
             rank = np.append(np.where(owner[1:] == owner[:-1], rank, _NO_RANK), _NO_RANK)
             begin = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
             length = np.diff(np.append(begin, len(symbols)))
             lowest = np.minimum.reduceat(rank, begin)
-            least = np.flatnonzero(rank == np.repeat(lowest, length))
-            least = least[rank[least] < _NO_RANK]
-            # The leftmost of each sequence merges.
-            merge = least[np.append(True, owner[least][1:] != owner[least][:-1])] if len(least) else least
+            merge = self._merging(rank, owner, np.repeat(lowest, length), int(length.max()))
             done = np.repeat(lowest == _NO_RANK, length)
             self._add(out, owner[done], symbols[done])
             symbols[merge] = self.made[place[merge]]
@@ -126,40 +123,23 @@ class MergeTable:
         known = symbols < self.width - 1
         np.add.at(out, owner[known], self.tokens[symbols[known]])
 
-    def _merge_one(self, symbols: list[int]) -> int:
-        """The same merges for one long sequence, from a heap of (rank, place)."""
-        if self.pairs is None:
-            names = zip((self.key // self.width).tolist(), (self.key % self.width).tolist(), strict=True)
-            self.pairs = dict(zip(names, zip(self.rank.tolist(), self.made.tolist(), strict=True),
-                                  strict=True))
-        after = [*range(1, len(symbols)), -1]
-        before = list(range(-1, len(symbols) - 1))
-        heap = []
-
-        def offer(i: int) -> None:
-            if i >= 0 and after[i] >= 0:
-                found = self.pairs.get((symbols[i], symbols[after[i]]))
-                if found:
-                    heap.append((found[0], i, symbols[i], symbols[after[i]]))
-
-        for i in range(len(symbols)):
-            offer(i)
-        heapq.heapify(heap)
-        while heap:
-            _, i, left, right = heapq.heappop(heap)
-            j = after[i]
-            if symbols[i] != left or j < 0 or symbols[j] != right:
-                continue
-            symbols[i], symbols[j] = self.pairs[left, right][1], -1
-            after[i] = after[j]
-            if after[j] >= 0:
-                before[after[j]] = i
-            for k in (before[i], i):
-                if k >= 0 and after[k] >= 0:
-                    found = self.pairs.get((symbols[k], symbols[after[k]]))
-                    if found:
-                        heapq.heappush(heap, (found[0], k, symbols[k], symbols[after[k]]))
-        return sum(int(self.tokens[s]) for s in symbols if 0 <= s < self.width - 1)
+    def _merging(self, rank: np.ndarray, owner: np.ndarray, lowest: np.ndarray, longest: int) -> np.ndarray:
+        """Places of the pairs that merge in this round; ``lowest`` is that of a pair's sequence."""
+        first = rank == lowest
+        if self.reach is not None and longest > self.reach:
+            edge = np.full(self.reach, _NO_RANK)
+            first |= rank == window_min(np.concatenate([edge, rank, edge]), 2 * self.reach + 1)
+        least = np.flatnonzero(first & (rank < _NO_RANK))
+        if len(least) == 0:
+            return least
+        if self.reach is None:  # the leftmost of each sequence: its merge may make a lower pair
+            return least[np.append(True, owner[least][1:] != owner[least][:-1])]
+        # Neighbours overlap, and rank the same: every second one merges. Where an equal pair before
+        # them waits for its own turn, they wait with it.
+        new = np.append(True, np.diff(least) != 1)
+        head = least[np.maximum.accumulate(np.where(new, np.arange(len(least)), 0))]
+        ready = (head == 0) | (rank[head - 1] != rank[head])
+        return least[((least - head) % 2 == 0) & ready]
 
 
 class Counter:

@@ -388,6 +388,44 @@ def test_token_counts_are_the_librarys(spark, odd):
     assert tokencount.token_counts(odd, _pieces()).count() == len(ODD)
 
 
+def _counted(texts, reach=True):
+    counter = tokencount.Counter(_pieces())
+    if not reach:
+        counter.merges.reach = None
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.cumsum([0, *[len(t.encode()) for t in texts]])
+    return counter(data, offsets).tolist()
+
+
+def test_long_sequences_merge_in_windows_as_the_library_does():
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=_pieces())
+    rng = np.random.default_rng(8)
+    letters = list("abcdeilnorstu")
+    texts = ["a" * 999, "ab" * 700, "aab" * 500, "=" * 333, "the" * 400, "中文字" * 300,
+             prose(9, 3_000).replace(" ", ""), prose(4, 400).replace(" ", "-")]
+    for n in (2, 5, 17, 40, 300, 3_000):
+        for few in (2, 4, len(letters)):
+            texts += ["".join(rng.choice(letters[-few:], size=n)) for _ in range(6)]
+    assert _counted(texts) == [len(library.encode(t)) for t in texts]
+    short = [t for t in texts if len(t) < 1_500]
+    assert _counted(short, reach=False) == [len(library.encode(t)) for t in short]
+
+
+def test_rounds_grow_with_pieces_and_not_with_texts(monkeypatch):
+    rounds = []
+    merging = tokencount.MergeTable._merging
+    monkeypatch.setattr(tokencount.MergeTable, "_merging", lambda *a: rounds.append(1) or merging(*a))
+    used = []
+    for n in (4_000, 40_000):
+        rounds.clear()
+        _counted([prose(3, n).replace(" ", "")])
+        used.append(len(rounds))
+    assert used[1] < 1.5 * used[0] + 10
+
+
+
 def test_token_counts_of_small_documents(spark):
     import sentencepiece
     library = sentencepiece.SentencePieceProcessor(model_file=_pieces())
