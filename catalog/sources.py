@@ -77,13 +77,19 @@ def vec_cast(spark, sf):
         F.col("e.c").alias("code"))
 
 
+#: Bytes of text that are worth a file, and so a task, of their own.
+FILE_BYTES = 64 * 1024 * 1024
+
+
 @query("file_positions", """
 SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS position, length(text)::BIGINT AS n FROM documents""")
 def file_positions(spark, sf):
     """Documents written in order, numbered by their places in the files alone."""
     path = new_path(spark)
-    table(spark, sf, "documents").select("doc_id", "text").repartitionByRange(
-        4, "doc_id").sortWithinPartitions("doc_id").write.parquet(path)
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    held = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    files = max(4, -(-held // FILE_BYTES))
+    docs.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id").write.parquet(path)
     return tables.read_positions(spark, path, ["doc_id", "text"]).select(
         "doc_id", "position", F.length("text").cast("bigint").alias("n"))
 

@@ -246,3 +246,19 @@ def test_folders_of_others_get_no_manifest(spark, tmp_path):
     one.write.format("matrix").mode("append").save(str(tmp_path))
     assert matrix.read_manifest(str(tmp_path)) is None
     assert matrix.read_vectors(spark, str(tmp_path)).count() == 3
+
+
+def test_file_positions_takes_more_files_for_more_text(spark, tmp_path, monkeypatch):
+    """A task sorts and writes a bounded share of the text, whatever the table's size is."""
+    import catalog.sources as sources
+    rows = [(i * 7919 % 4001, "x" * (i % 60)) for i in range(4001)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    folder = f"{tmp_path}/written"
+    monkeypatch.setattr(sources, "new_path", lambda spark: folder)
+    monkeypatch.setattr(sources, "FILE_BYTES", 10_000)
+    found = sources.file_positions(spark, str(tmp_path)).collect()
+    sizes = [r[0] for r in spark.read.parquet(folder).groupBy(F.input_file_name()).agg(
+        F.sum(F.length("text"))).select(F.col("sum(length(text))")).collect()]
+    assert len(sizes) == 12 and max(sizes) < 2 * 10_000
+    assert sorted((r["doc_id"], r["position"], r["n"]) for r in found) == [
+        (d, d, len(t)) for d, t in sorted(rows)]
