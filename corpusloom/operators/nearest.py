@@ -1,7 +1,7 @@
 """Nearest-neighbour search: exact, pruned by cells, and nearest centroids.
 
 Queries and documents meet as blocks: documents are dealt to slices and queries to blocks of
-bounded bytes, both by hash, and every task works on one slice and one block at a time (of one
+bounded bytes and rows, both by hash, and every task works on one slice and one block at a time (of one
 cell, where the search is pruned). Neither side passes through the driver, and no pair of query
 and document becomes a row unless it is among the best k of its slice. A slice is sent once
 for each block of queries and a block once for each slice; a vector in a slice meets thousands of
@@ -63,42 +63,81 @@ def _first_k(q: np.ndarray, d: np.ndarray, like: np.ndarray, ids: np.ndarray, k:
     return q[keep], d[keep], like[keep]
 
 
+#: Documents, and pairs, of one matrix product: it stays in a core's cache.
+TILE_DOCS, TILE_PAIRS = 1024, 1 << 18
+
+
+def raise_tops(tops: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
+    """Take further ``values`` of some ``rows`` into the greatest so far of each (rows x k)."""
+    order = np.lexsort((-values, rows))
+    rows, values = rows[order], values[order]
+    hit, starts, sizes = np.unique(rows, return_index=True, return_counts=True)
+    place = np.arange(len(rows)) - np.repeat(starts, sizes)
+    at, few = np.repeat(np.arange(len(hit)), sizes), place < tops.shape[1]
+    fresh = np.full((len(hit), tops.shape[1]), -np.inf)
+    fresh[at[few], place[few]] = values[few]
+    tops[hit] = np.partition(np.concatenate([tops[hit], fresh], axis=1), tops.shape[1], axis=1)[:, tops.shape[1]:]
+
+
+def likeness(queries: np.ndarray, docs: np.ndarray, qi: np.ndarray, di: np.ndarray, metric: str) -> np.ndarray:
+    """The likeness of each pair, one by one in double; unit vectors are given for the cosine."""
+    like = np.empty(len(qi))
+    pairs = max(1, BLOCK_BYTES // (24 * max(1, docs.shape[1])))
+    for a in range(0, len(qi), pairs):
+        x, y = queries[qi[a:a + pairs]], docs[di[a:a + pairs]]
+        if metric == "l2":
+            gap = x - y
+            like[a:a + pairs] = -np.sqrt(np.einsum("ij,ij->i", gap, gap))
+        else:
+            like[a:a + pairs] = np.einsum("ij,ij->i", x, y)
+    return like
+
+
 def best_in_block(queries: np.ndarray, docs: np.ndarray, ids: np.ndarray, k: int,
                   metric: str) -> Candidates:
     """The best ``k`` of ``docs`` for each of ``queries``.
 
-    A matrix product finds all rows within rounding error of the k-th best;
-    those are scored again pair by pair, so ties come out right.
+    Matrix products of a tile of queries and one of documents after another find all rows within
+    rounding error of the k-th best so far; those still within that of the k-th best of all
+    are scored again pair by pair, so ties come out right. A tile after the first costs little
+    more than its product: few of its documents reach the k-th best.
     """
     if metric == "cosine":
         queries, docs = _unit(queries), _unit(docs)
     q_sq = np.einsum("ij,ij->i", queries, queries)
     d_sq = np.einsum("ij,ij->i", docs, docs)
     top_sq = d_sq.max(initial=0.0)
+    right = docs if metric != "l2" else np.column_stack([docs, -d_sq, np.ones(len(docs))])
     found = []
-    step = max(1, BLOCK_BYTES // (8 * max(1, len(docs))))
+    step = max(1, TILE_PAIRS // max(1, min(len(docs), TILE_DOCS)))
     for start in range(0, len(queries), step):
-        part = queries[start:start + step]
-        near = part @ docs.T
-        scale = np.sqrt(q_sq[start:start + step] * top_sq)
-        if metric == "l2":
-            near = 2 * near - d_sq[None, :] - q_sq[start:start + step, None]
-            scale = q_sq[start:start + step] + top_sq
-        if k < len(docs):
-            kth = np.partition(near, len(docs) - k, axis=1)[:, len(docs) - k]
-            slack = 3e-7 * np.abs(kth) + 1e-12 * scale
-            qi, di = np.nonzero(near >= (kth - slack)[:, None])
-        else:
-            qi, di = (a.ravel() for a in np.indices(near.shape))
-        like = np.empty(len(qi), dtype=np.float32)
-        pairs = max(1, BLOCK_BYTES // (24 * max(1, docs.shape[1])))
-        for a in range(0, len(qi), pairs):
-            x, y = part[qi[a:a + pairs]], docs[di[a:a + pairs]]
-            if metric == "l2":
-                gap = x - y
-                like[a:a + pairs] = -np.sqrt(np.einsum("ij,ij->i", gap, gap))
-            else:
-                like[a:a + pairs] = np.einsum("ij,ij->i", x, y)
+        part, own = queries[start:start + step], q_sq[start:start + step]
+        left = part if metric != "l2" else np.column_stack([2 * part, np.ones(len(part)), -own])
+        scale = own + top_sq if metric == "l2" else np.sqrt(own * top_sq)
+        tops, floor = np.full((len(part), k), -np.inf), np.full(len(part), -np.inf)
+        met = []
+        for a in range(0, len(docs), TILE_DOCS):
+            near = left @ right[a:a + TILE_DOCS].T
+            first = a == 0 and k <= near.shape[1]
+            if first:
+                tops = np.partition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k:]
+                kth = tops.min(axis=1)
+                floor = kth - (3e-7 * np.abs(kth) + 1e-12 * scale)
+            qi, di = np.divmod(np.flatnonzero(near >= floor[:, None]), near.shape[1])
+            if not len(qi):
+                continue
+            values = near[qi, di]
+            if not first:
+                raise_tops(tops, qi, values)
+                kth = tops.min(axis=1)
+                floor = kth - (3e-7 * np.abs(kth) + 1e-12 * scale)
+            met.append((qi, di + a, values))
+        if not met:
+            continue
+        qi, di, values = (np.concatenate(c) for c in zip(*met))
+        within = values >= floor[qi]
+        qi, di = qi[within], di[within]
+        like = likeness(part, docs, qi, di, metric).astype(np.float32)
         found.append(_first_k(qi + start, di, like, ids[di], k))
     if not found:
         return np.empty(0, int), np.empty(0, int), np.empty(0, np.float32)
@@ -119,10 +158,14 @@ def topk_merge(df: DataFrame, k: int, query: str = "query_id", item: str = "doc_
     return _rank(df, k, [*group, query], descending, item, score)
 
 
-#: Bytes of vectors, as doubles, on each side of a comparison.
-SLICE_BYTES = 64 * 1024 * 1024
+#: Bytes of vectors, as doubles, and rows on each side of a comparison: a task's memory and time.
+SLICE_BYTES, PIECE_ROWS = 32 * 1024 * 1024, 1 << 16
 #: Documents that are worth a slice of their own while cores would be idle.
 SLICE_ROWS = 256
+#: Tasks beyond which every comparison has one on average: several in a task even out by then.
+MANY_TASKS = 4096
+#: Pairs that are worth a task of their own.
+TASK_PAIRS = 1 << 22
 _SLICE, _BLOCK = "_slice", "_block"
 
 
@@ -139,25 +182,35 @@ def dealt(docs: DataFrame, queries: DataFrame, doc_columns: Sequence[str], query
     Rows of each side per slice or block follow from counts and widths. With ``cell`` every
     cell is cut on its own, so a cell of any size spreads; cells without queries are
     left out (and not read, where ``cell`` is a partition column).
+
+    A comparison takes time by its pairs, not by its bytes, by which Spark would put several in
+    one task: both sides are dealt to a set number of tasks, four for each comparison unless
+    those are tiny.
     """
     wide = {"d": _width(docs, doc_vector) * 8, "q": _width(queries, query_vector) * 8}
     context = docs.sparkSession.sparkContext
     if cell is None:
         n_docs, n_queries = docs.count(), queries.count()
-        slices = max(1, -(-n_docs * wide["d"] // max_bytes),
+        slices = max(1, -(-n_docs * wide["d"] // max_bytes), -(-n_docs // PIECE_ROWS),
                      min(context.defaultParallelism, -(-n_docs // SLICE_ROWS)))
-        blocks = max(1, -(-n_queries * wide["q"] // max_bytes))
+        blocks = max(1, -(-n_queries * wide["q"] // max_bytes), -(-n_queries // PIECE_ROWS))
+        pieces, pairs = slices * blocks, n_docs * n_queries
         left = docs.select(*doc_columns, F.lit(slices).alias("_s"), F.lit(blocks).alias("_b"))
         right = queries.select(*query_columns, F.lit(slices).alias("_s"), F.lit(blocks).alias("_b"))
         named = [_SLICE, _BLOCK]
     else:
         def counted(df: DataFrame, name: str) -> DataFrame:
-            pieces = F.ceil(F.count(F.lit(1)) * wide[name[-1]] / F.lit(max_bytes)).cast("int")
-            return df.groupBy(cell).agg(pieces.alias(name))
+            rows = F.count(F.lit(1))
+            return df.groupBy(cell).agg(rows.alias(f"{name}_rows"), F.greatest(
+                F.ceil(rows * wide[name[-1]] / F.lit(max_bytes)), F.ceil(rows / F.lit(PIECE_ROWS))).cast("int").alias(name))
 
         # One row for each cell: written, so that its true size decides how it is joined.
-        cut = stage(counted(queries, "_q").join(counted(docs, "_d"), cell).select(
-            F.col(cell), F.col("_d").alias("_s"), F.col("_q").alias("_b"))).where(F.col(cell) >= 0)
+        counts = stage(counted(queries, "_q").join(counted(docs, "_d"), cell).select(
+            F.col(cell), F.col("_d").alias("_s"), F.col("_q").alias("_b"),
+            (F.col("_q_rows").cast("double") * F.col("_d_rows")).alias("_pairs"))).where(F.col(cell) >= 0)
+        pieces, pairs = (int(x or 1) for x in counts.agg(
+            F.sum(F.col("_s").cast("bigint") * F.col("_b")), F.sum("_pairs")).first())
+        cut = counts.drop("_pairs")
         left = docs.select(cell, *doc_columns).join(cut, cell)
         right = queries.select(cell, *query_columns).join(cut, cell)
         named = [cell, _SLICE, _BLOCK]
@@ -170,7 +223,8 @@ def dealt(docs: DataFrame, queries: DataFrame, doc_columns: Sequence[str], query
         _SLICE), each("_b").alias(_BLOCK))
     right = right.select(*keys, *query_columns, F.pmod(F.xxhash64(*query_columns), F.col("_b")).cast(
         "int").alias(_BLOCK), each("_s").alias(_SLICE))
-    return left, right, named
+    tasks = min(4 * pieces, max(pieces, MANY_TASKS), max(context.defaultParallelism, -(-4 * pairs // TASK_PAIRS)))
+    return left.repartition(tasks, *named), right.repartition(tasks, *named), named
 
 
 def scan_topk(

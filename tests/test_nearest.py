@@ -290,3 +290,41 @@ def test_bounds_are_checked(spark, data):
         bounded_block(d, "doc_id", "embedding", max_bytes=1000)
     blocks = list(bounded_blocks(d, "doc_id", "embedding", max_bytes=100 * 12 * 8))
     assert len(blocks) > 3 and sum(len(b.ids) for b in blocks) == 700
+
+
+def test_block_search_in_tiles(monkeypatch):
+    """Copies, ties and rows over many tiles; the products take little memory at any size."""
+    import tracemalloc
+    docs = np.round(RNG.normal(size=(4000, 6)) * 2)
+    docs[500:900] = docs[3]
+    queries = np.concatenate([np.round(RNG.normal(size=(90, 6))), docs[3:4], np.zeros((1, 6))])
+    for metric in nearest.METRICS:
+        for k in (1, 5, 30):
+            qi, di, _ = nearest.best_in_block(queries, docs, np.arange(len(docs)), k, metric)
+            expected = brute(queries, docs, k, metric)
+            assert [expected[q, r + 1] for q in range(len(queries)) for r in range(k)] == di.tolist()
+            assert qi.tolist() == np.repeat(np.arange(len(queries)), k).tolist()
+    many = RNG.normal(size=(3000, 6))
+    tracemalloc.start()
+    nearest.best_in_block(many, docs, np.arange(len(docs)), 5, "cosine")
+    assert tracemalloc.get_traced_memory()[1] < 32e6  # all products at once are 96 MB
+    tracemalloc.stop()
+
+
+def test_comparisons_are_bounded_by_rows_and_have_tasks(spark, data, monkeypatch):
+    """Time follows the pairs: neither bytes nor coalescing decide how many a task has."""
+    docs, queries = data
+    d, q = frame(spark, range(700), docs), frame(spark, range(22), queries, "query_id")
+    exact = brute(queries, docs, 5, "l2")
+    monkeypatch.setattr(nearest, "PIECE_ROWS", 100)
+    monkeypatch.setattr(nearest, "TASK_PAIRS", 100)
+    cells = cluster.stage(cluster.fit_cells(d, 2, max_iter=1))
+    placed = nearest.store_cells(d, cells)
+    probes = nearest.probe_cells(q, cells, 2, "query_id", "embedding")
+    for pair in ((d, q, None), (placed, probes, "cell")):
+        left, right, named = nearest.dealt(pair[0], pair[1], ["doc_id", "embedding"], ["query_id", "embedding"],
+                                           "embedding", "embedding", pair[2])
+        sizes = [r["count"] for r in left.groupBy(*named).count().collect()]
+        assert len(sizes) >= 7 and max(sizes) < 200
+        assert left.rdd.getNumPartitions() == right.rdd.getNumPartitions() >= 4 * 7
+    assert ranked(nearest.knn_exact(d, q, 5, "l2")) == exact
