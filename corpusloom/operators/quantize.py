@@ -12,6 +12,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
@@ -27,13 +28,16 @@ from corpusloom.operators.batches import (
 )
 from corpusloom.operators.nearest import (
     SLICE_BYTES,
+    TILE_DOCS,
+    TILE_PAIRS,
     Candidates,
     _first_k,
     assign_nearest,
     best_in_block,
     dealt,
+    likeness,
     probe_cells,
-    rerank,
+    raise_tops,
     scan_topk,
     topk_merge,
 )
@@ -280,46 +284,120 @@ def pq_search(
 
 
 class BoundedSearch(NamedTuple):
-    """Neighbours, and the pairs that were scored exactly (``query_id``, ``doc_id``, ``low``, ``high``)."""
+    """Neighbours, and the pairs that the codes leave open (``query_id``, ``doc_id``, ``low``, ``high``).
+
+    The pairs are found when they are asked for; the search itself meets them inside its tasks.
+    """
 
     found: DataFrame
     candidates: DataFrame
 
 
+def _cost_ends(queries: np.ndarray, shift: np.ndarray, decoded: np.ndarray, error: np.ndarray,
+               metric: str) -> tuple[np.ndarray, np.ndarray]:
+    """The least and greatest cost of each row for each query.
+
+    The cost is the distance or the negated product. That of the codes is off by the row's
+    error at most, times the query's norm for the product. ``shift`` is what the coarse centroid
+    adds to the cost. The sum over the slices' distances is that to the decoded vector.
+    """
+    norm = np.sqrt(np.einsum("ij,ij->i", queries, queries))[:, None]
+    product = queries @ decoded.T
+    if metric == "l2":
+        total = norm ** 2 + np.einsum("ij,ij->i", decoded, decoded)[None, :] - 2 * product
+        cost, off = np.sqrt(np.maximum(total, 0)), np.broadcast_to(error[None, :], product.shape)
+    else:
+        cost, off = shift[:, None] - product, norm * error[None, :]
+    # Rounding, also that of the float scores that decide in the end.
+    off = off + 1e-6 * (np.abs(cost) + norm)
+    return cost - off, cost + off
+
+
 def _code_bounds(queries: np.ndarray, shift: np.ndarray, coded: np.ndarray, error: np.ndarray, books: Books,
                  k: int, metric: str) -> tuple[np.ndarray, ...]:
     """(query, row, low, high) of the rows whose lowest cost may be among the k least.
 
-    The cost is the distance or the negated product. That of the codes is off by the row's
-    error at most, times the query's norm for the product; a row stays if its low end is under the
-    k-th least high end. ``shift`` is what the coarse centroid adds to the cost.
+    A row stays if its low end is under the k-th least high end.
     """
-    places = _positions(coded, books)
-    entries = max(centers.size for centers in books[1])
-    step = max(1, (1 << 22) // max(1, len(coded), entries))
+    decoded = decode(coded, books)
+    step = max(1, (1 << 22) // max(1, len(coded)))
     found = []
     for start in range(0, len(queries), step):
         part = queries[start:start + step]
-        norm = np.sqrt(np.einsum("ij,ij->i", part, part))[:, None]
-        total, at = np.zeros((len(part), len(coded))), 0
-        if metric == "l2":
-            for table, where in zip(_tables(part, books), places):
-                total += table[:, where]
-            cost, off = np.sqrt(total), np.broadcast_to(error[None, :], total.shape)
-        else:
-            for centers, where in zip(books[1], places):
-                total -= (part[:, at:at + centers.shape[1]] @ centers.T)[:, where]
-                at += centers.shape[1]
-            cost, off = total + shift[start:start + step, None], norm * error[None, :]
-        # Rounding, also that of the float scores that decide in the end.
-        off = off + 1e-6 * (np.abs(cost) + norm)
-        low, high = cost - off, cost + off
+        low, high = _cost_ends(part, shift[start:start + step], decoded, error, metric)
         kth = np.partition(high, k - 1, axis=1)[:, k - 1] if k <= len(coded) else np.full(len(part), np.inf)
         qi, di = np.nonzero(low <= kth[:, None])
         found.append((qi + start, di, low[qi, di], high[qi, di]))
     return tuple(np.concatenate(c) for c in zip(*found))
 
 
+def _code_best(queries: np.ndarray, center: np.ndarray | None, coded: np.ndarray, error: np.ndarray,
+               docs: np.ndarray, ids: np.ndarray, books: Books, k: int, metric: str) -> Candidates:
+    """The best ``k`` rows of each query: codes leave few rows of a tile to be scored on ``docs``.
+
+    A row is scored if its lowest cost isn't over the k-th least so far, ``t``. With the distance
+    ``c`` to the codes and the error ``e`` that is c <= t + e, or c^2 - t^2 - 2te - e^2 <= 0,
+    so one product of matrices with two columns more decides for a whole tile.
+    """
+    decoded = decode(coded, books)
+    ends, shift = queries, np.zeros(len(queries))
+    if center is not None and metric == "l2":
+        ends = queries - center
+    elif center is not None:
+        shift = -(queries @ center)
+    one, none = np.ones(len(coded)), np.zeros(len(coded))
+    d_sq = np.einsum("ij,ij->i", decoded, decoded)
+    shrink = 1 - 1e-6  # cost - 1e-6 * cost, the allowance for rounding
+    reach = error / shrink
+    right = np.column_stack([decoded, reach, d_sq - reach ** 2, one] if metric == "l2" else
+                            [decoded, error, none, one])
+    far, wide = d_sq.max(initial=0.0), (reach ** 2).max(initial=0.0)
+    step = max(1, TILE_PAIRS // max(1, min(len(coded), TILE_DOCS)))
+    found = []
+    for start in range(0, len(queries), step):
+        part, asked = ends[start:start + step], queries[start:start + step]
+        own = np.einsum("ij,ij->i", part, part)
+        norm, moved = np.sqrt(own), shift[start:start + step]
+        tops, kth = np.full((len(part), k), -np.inf), np.full(len(part), np.inf)
+
+        def decided() -> tuple[np.ndarray, np.ndarray]:
+            """The queries' side of the product and what it may come to."""
+            if metric == "l2":
+                t = (np.maximum(kth, 0) + 1e-6 * norm) / shrink
+                return (np.column_stack([-2 * part, -2 * t, np.ones(len(part)), own - t ** 2]),
+                        1e-12 * (own + far + t ** 2 + wide))
+            slack = 1e-6 * (norm * (1 + np.sqrt(far)) + np.abs(moved) + np.abs(kth))
+            return np.column_stack([-part, -norm, np.zeros(len(part)), moved - kth]), slack
+
+        met = []
+        for a in range(0, len(coded), TILE_DOCS):
+            tile = slice(a, a + TILE_DOCS)
+            if np.isinf(kth).any():
+                low, high = _cost_ends(part, moved, decoded[tile], error[tile], metric)
+                first = np.partition(high, k - 1, axis=1)[:, k - 1] if k <= high.shape[1] else np.inf
+                open_ = low <= np.minimum(kth, first)[:, None]
+            else:
+                left, most = decided()
+                open_ = left @ right[tile].T <= most[:, None]
+            qi, di = np.divmod(np.flatnonzero(open_), open_.shape[1])
+            if not len(qi):
+                continue
+            di += a
+            like = likeness(asked, docs, qi, di, metric)
+            raise_tops(tops, qi, like)
+            kth = -tops.min(axis=1)
+            # One step of a float under the k-th best: those that tie with it in the end stay.
+            within = like >= -kth[qi] - 1e-6 * np.abs(kth[qi])
+            met.append((qi[within], di[within], like[within]))
+        if not met:
+            continue
+        qi, di, like = (np.concatenate(c) for c in zip(*met))
+        found.append(_first_k(qi + start, di, like.astype(np.float32), ids[di], k))
+    if not found:
+        return np.empty(0, int), np.empty(0, int), np.empty(0, np.float32)
+    return tuple(np.concatenate(c) for c in zip(*found))
+
+
 def pq_search_bounded(
     codes: DataFrame,
     docs: DataFrame,
@@ -338,10 +416,13 @@ def pq_search_bounded(
     """The best ``k`` documents per query, exactly, from codes with their errors and few whole vectors.
 
     ``codes`` comes from ``pq_encode(..., with_error=True)``. Every row's cost lies within its error
-    of the cost of its codes. Rows whose low end is over the k-th least high end can't be among
+    of the cost of its codes. Rows whose low end is over the k-th least cost so far can't be among
     the best; the others are scored on the vectors in ``docs``. So no neighbour is lost,
     whatever the codebooks are; better ones leave fewer candidates. With coarse ``centroids``
     the same holds within the ``nprobe`` nearest cells.
+
+    A row's vector goes with its codes to the tasks and is looked at there: candidates are a
+    share of all pairs, so they never become rows. Rows without an id find and are nothing.
     """
     if metric not in ("l2", "inner_product"):
         raise ValueError("metric is 'l2' or 'inner_product'")
@@ -349,36 +430,60 @@ def pq_search_bounded(
     asked = queries.select(query_id, vector) if centroids is None else probe_cells(
         queries, centroids, nprobe, query_id, vector, cell)
     keyed = None if centroids is None else cell
+
+    def center_of(number: int | None) -> np.ndarray | None:
+        coarse = shared.value[1]
+        return None if coarse is None else coarse[1][np.searchsorted(coarse[0], number)]
+
+    def scorer(matrix: np.ndarray, number: int | None) -> Callable[[pa.Table, np.ndarray], Candidates]:
+        books = shared.value[0]
+
+        def find(slice_: pa.Table, rows: np.ndarray) -> Candidates:
+            coded = to_matrix(slice_.column("codes"), len(books[0])).astype(np.int64)
+            return _code_best(
+                matrix, center_of(number), coded, slice_.column("error").to_numpy(),
+                to_matrix(slice_.column(vector), matrix.shape[1]), slice_.column(doc_id).to_numpy(), books, k, metric)
+        return find
+
+    # An id that comes several times counts as often as its codes, vectors and queries are paired.
+    whole = codes.select(doc_id, "codes", "error", *([cell] if keyed else [])).join(
+        docs.select(doc_id, vector), doc_id)
+    asking = asked.join(queries.select(query_id), query_id)
+    found = scan_topk(whole, asking, scorer, [vector, "codes", "error"], doc_id, k, metric, query_id, vector,
+                      cell=keyed, max_bytes=max_bytes)
+    return BoundedSearch(found, _left_open(codes, asked, shared, center_of, k, metric, doc_id, query_id, vector,
+                                           keyed, max_bytes))
+
+
+def _left_open(codes: DataFrame, asked: DataFrame, shared: Broadcast, center_of: Callable, k: int, metric: str,
+               doc_id: str, query_id: str, vector: str, cell: str | None, max_bytes: int) -> DataFrame:
+    """The pairs whose low end isn't over the query's k-th least high end."""
     left, right, named = dealt(codes, asked, [doc_id, "codes", "error"], [query_id, vector], "codes", vector,
-                               keyed, max_bytes)
+                               cell, max_bytes)
     names = ["query_id", "doc_id", "low", "high"]
 
     def run(key: tuple, slice_: pa.Table, block: pa.Table) -> pa.Table:
         if not (slice_.num_rows and block.num_rows):
             return pa.table([pa.array([], x) for x in (pa.int64(), pa.int64(), pa.float64(), pa.float64())],
                             names=names)
-        books, coarse = shared.value
-        matrix = to_matrix(block.column(vector))
-        shift = np.zeros(len(matrix))
-        if coarse is not None:
-            center = coarse[1][np.searchsorted(coarse[0], key[0].as_py())]
-            if metric == "l2":
-                matrix = matrix - center
-            else:
-                shift = -(matrix @ center)
+        books, matrix = shared.value[0], to_matrix(block.column(vector))
+        shift, center = np.zeros(len(matrix)), center_of(key[0].as_py() if cell else None)
+        if center is not None and metric == "l2":
+            matrix = matrix - center
+        elif center is not None:
+            shift = -(matrix @ center)
         coded = to_matrix(slice_.column("codes"), len(books[0])).astype(np.int64)
         qi, di, low, high = _code_bounds(matrix, shift, coded, slice_.column("error").to_numpy(), books, k, metric)
         return pa.table([pa.array(block.column(query_id).to_numpy()[qi], pa.int64()),
                          pa.array(slice_.column(doc_id).to_numpy()[di], pa.int64()), pa.array(low),
                          pa.array(high)], names=names)
 
-    near = stage(left.groupBy(*named).cogroup(right.groupBy(*named)).applyInArrow(
-        run, "query_id bigint, doc_id bigint, low double, high double"))
+    near = left.groupBy(*named).cogroup(right.groupBy(*named)).applyInArrow(
+        run, "query_id bigint, doc_id bigint, low double, high double")
     kth = topk_merge(near, k, score="high", descending=False).where(F.col("rank") == k).select(
         "query_id", F.col("high").alias("_kth"))
-    candidates = stage(near.join(kth, "query_id", "left").where(
-        F.col("_kth").isNull() | (F.col("low") <= F.col("_kth"))).drop("_kth"))
-    return BoundedSearch(rerank(candidates, docs, queries, k, metric, doc_id, query_id, vector), candidates)
+    return near.join(kth, "query_id", "left").where(
+        F.col("_kth").isNull() | (F.col("low") <= F.col("_kth"))).drop("_kth")
 
 
 def reshape_codes(df: DataFrame, width: int = 1024, code: str = "code", batch: str = "batch",

@@ -328,3 +328,36 @@ def test_comparisons_are_bounded_by_rows_and_have_tasks(spark, data, monkeypatch
         assert len(sizes) >= 7 and max(sizes) < 200
         assert left.rdd.getNumPartitions() == right.rdd.getNumPartitions() >= 4 * 7
     assert ranked(nearest.knn_exact(d, q, 5, "l2")) == exact
+
+
+@pytest.mark.parametrize("metric", ["l2", "inner_product"])
+def test_bounded_codes_form_no_rows_of_pairs(spark, data, metric):
+    """Candidates are a share of all pairs: a task scores them and returns k rows for each query."""
+    from corpusloom.storage import staged_count
+    docs, queries = data
+    d, q = frame(spark, range(700), docs), frame(spark, range(22), queries, "query_id")
+    books = cluster.stage(quantize.pq_fit(d, m=4, nbits=2, max_iter=2))
+    codes = cluster.stage(quantize.pq_encode(d, books, ["doc_id"], with_error=True))
+    staged = staged_count()
+    made = quantize.pq_search_bounded(codes, d, q, books, 5, metric)
+    assert ranked(made.found) == brute(queries, docs, 5, metric)
+    assert staged_count() == staged
+    left = made.candidates
+    assert left.join(made.found, ["query_id", "doc_id"], "left_semi").count() == 5 * len(queries)
+
+
+def test_code_search_in_tiles():
+    """Over many tiles, with copies and with a centroid: the same as whole vectors."""
+    docs = np.round(RNG.normal(size=(3000, 6)) * 3, 1)
+    docs[700:1000] = docs[3]
+    queries, center = np.concatenate([docs[:60], RNG.normal(size=(20, 6))]), docs.mean(axis=0)
+    ids = np.arange(len(docs))
+    for middle in (None, center):
+        rest = docs if middle is None else docs - middle
+        books = ([np.arange(9)] * 6, [np.linspace(-8, 8, 9)[:, None]] * 6)
+        coded = quantize.encode(rest, books)
+        error = np.sqrt(((rest - quantize.decode(coded, books)) ** 2).sum(axis=1))
+        for metric in ("l2", "inner_product"):
+            _, di, _ = quantize._code_best(queries, middle, coded, error, docs, ids, books, 5, metric)
+            expected = brute(queries, docs, 5, metric)
+            assert di.tolist() == [expected[q, r + 1] for q in range(len(queries)) for r in range(5)]
